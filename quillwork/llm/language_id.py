@@ -19,14 +19,20 @@ from quillwork.llm._common import fold
 
 #: Snippets per language in a dictionary and characters of each: the documented bound of the fit.
 SNIPPETS, SNIPPET_CHARS = 48, 2000
-BLOCK, LEVEL = 4096, 3
+BLOCK, LEVEL = 4096, 5
 #: Bytes saved over the second language, by bytes of text, under which a prediction is rejected.
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.001
 LETTER = re.compile(r"[^\W\d_]")
+#: What is no letter of ASCII is blank: symbols and digits tell nothing of a language.
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def encoded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace").translate(_LETTERS)
 
 
 def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, remainder: int = 2) -> dict[str, bytes]:
-    """Raw dictionary content per language, from rows outside the held-out fold.
+    """Raw dictionary content per language, from rows outside the held-out fold; languages with more of them come first.
 
     Every labelled row takes part: each is hashed into one of SNIPPETS buckets of its
     language and the smallest hash of a bucket wins, which aggregates on the map side
@@ -38,15 +44,16 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = learn.groupBy("_l", "_b").agg(F.min("_h").alias("_h"))
     at = (F.pmod(F.shiftright("_h", 8), F.greatest(F.length("_t") - SNIPPET_CHARS, F.lit(0)) + 1) + 1).cast("int")
     snippets = learn.join(F.broadcast(best), ["_l", "_b", "_h"]).groupBy("_l", "_b").agg(F.min(F.substring("_t", at, F.lit(SNIPPET_CHARS))).alias("s"))
-    by: dict[str, list[str]] = {}
+    rows = {r["_l"]: r["count"] for r in learn.groupBy("_l").count().collect()}
+    by: dict[str, list[str]] = {lang: [] for lang in sorted(rows, key=lambda x: (-rows[x], x))}
     for r in snippets.orderBy("_l", "_b").collect():
-        by.setdefault(r["_l"], []).append(r["s"])
-    return {lang: "\n".join(s).encode() for lang, s in by.items()}
+        by[r["_l"]].append(r["s"])
+    return {lang: encoded("\n".join(s)) for lang, s in by.items()}
 
 
 def language_of(dictionaries: dict[str, bytes]) -> Callable[[Column], Column]:
     """A function from a text column to a struct lang_pred, score, margin."""
-    langs = sorted(dictionaries)
+    langs = list(dictionaries)
     raw = [dictionaries[x] for x in langs]
 
     @F.pandas_udf("lang_pred string, score double, margin double")
@@ -61,7 +68,7 @@ def language_of(dictionaries: dict[str, bytes]) -> Callable[[Column], Column]:
         def one(text: str | None) -> tuple[str, float, float]:
             if not text or not encoders or not LETTER.search(text):
                 return "und", 0.0, 0.0
-            data = text.lower().encode("utf-8", "replace")
+            data = encoded(text)
             blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
             sizes = [sum(len(e.compress(b)) for b in blocks) for e in encoders]
             least = min(sizes)
@@ -83,8 +90,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     """Per row: id, lang_pred, score (0 to 1), margin, rejected.
 
     A null text and one without a letter get 'und', score 0 and are rejected; so does
-    everything when nothing was learned.  Equal sizes go to the first language in
-    alphabetical order.  Repeated rows give repeated results.  Other columns are not read.
+    everything when nothing was learned.  Equal sizes go to the language with
+    more learned rows.  Repeated rows give repeated results.  Other columns are not read.
     """
     found = docs.select(F.col(id_col), language_of(dictionaries)(F.col(text_col)).alias("_p"))
     return found.select(id_col, "_p.*", is_rejected(F.col("_p"), min_margin).alias("rejected"))
