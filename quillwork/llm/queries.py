@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import exact_dedup, language_id, quality, toxicity
-from quillwork.llm._common import fold, read_table, small_batches
+from quillwork.llm import exact_dedup, language_id, packing, quality, token_file, toxicity
+from quillwork.llm._common import fold, read_table, scratch_root, small_batches
+from quillwork.llm.bpe import public_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = f"{scratch_root(spark)}/token-file-{uuid.uuid4().hex}"
+    token_file.write_token_file(read_table(spark, sf_dir, "documents"), out, public_vocabulary(), end_id=2)
+    return token_file.read_token_file(spark, out)
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -38,8 +47,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_vocabulary())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_pu, op4_toxicity_nb, op6_exact_dedup, op8_language_id)}
+    return {f.__name__: f for f in (op1_token_file, op3_quality_pu, op4_toxicity_nb, op6_exact_dedup, op8_language_id, op9_best_fit_packing)}
 
 
 OP6_SQL = """
