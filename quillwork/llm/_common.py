@@ -46,8 +46,8 @@ def fold(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def sampled(df: DataFrame, bound: int, *keys: str) -> DataFrame:
-    """At most about `bound` rows, picked by a hash of the keys: the same rows at any partitioning; all rows when there are fewer."""
+    """About `bound` rows at most (a binomial draw: some hundreds more at worst), picked by a hash of the keys: the same rows at any partitioning; all rows when there are fewer."""
     n = df.count()
     if n <= bound:
         return df
-    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(bound / n * (1 << 20))).limit(bound + bound // 10)
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(bound / n * (1 << 20)))

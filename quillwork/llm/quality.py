@@ -119,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     prior = min(0.98, max(0.02, ((ones or 0) + 1) / (n + 2)))
     trusted = sampled(known.filter("_y = 1").select("_id"), MAX_POSITIVES, "_id")
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    # At most MAX_POSITIVES ids (and a tenth more): a proven bound for the broadcast.
+    # About MAX_POSITIVES ids at most, by the draw: a bound for the broadcast.
     rows = text.join(F.broadcast(trusted), "_id").dropDuplicates(["_id"]).select(F.lit(True).alias("p"), _features_udf("_t").alias("x"))
     free = sampled(text, MAX_UNLABELLED, "_id").select(F.lit(False).alias("p"), _features_udf("_t").alias("x"))
     found = rows.unionByName(free).toPandas()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import exact_dedup, language_id, packing, quality, token_file, toxicity
+from quillwork.llm import exact_dedup, language_id, packing, quality, simhash_dedup, token_file, toxicity
 from quillwork.llm._common import fold, read_table, scratch_root, small_batches
 from quillwork.llm.bpe import public_vocabulary
 
@@ -22,6 +22,11 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(spark, out)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -53,7 +58,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_file, op3_quality_pu, op4_toxicity_nb, op6_exact_dedup, op8_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op6_exact_dedup, op8_language_id, op9_best_fit_packing)}
 
 
 OP6_SQL = """
