@@ -36,6 +36,9 @@ class BpeEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # the byte alphabet's blank
         self.end_id, self.max_chunks = end_id, max_chunks
         self._forget()
 
@@ -53,6 +56,18 @@ class BpeEncoder:
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, ids])
 
+    def _learn_spaced(self, keys: list[str]) -> None:
+        """Many chunks in one call: where each holds one blank, its first sign, the ids that start with a blank are where chunks start."""
+        lone = [k for k in keys if k and " " not in k and not k[0].isspace()]
+        if len(lone) < len(keys):
+            kept = set(lone)
+            self._learn(self.spaced, [k for k in keys if k not in kept], " ")
+        if not lone:
+            return
+        runs = [" " + " ".join(lone[i : i + 64]) for i in range(0, len(lone), 64)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+        self._add(self.spaced, lone, ids, np.diff(np.append(np.flatnonzero(self.blank_first[ids]), len(ids))))
+
     def _learn(self, where: dict[str, int], keys: list[str], blank: str) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([blank + k for k in keys], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
@@ -83,7 +98,7 @@ class BpeEncoder:
         # "word," is "word" and ",": letters and the mark after them never share a token.
         tailed = [p for p in new if p[-1:] in _TAIL and p[-2:-1] < "\u0250" and p[-2:-1].isalpha()]
         marked = set(tailed)
-        self._learn(spaced, list(dict.fromkeys(p for p in new if p not in marked) | dict.fromkeys(p[:-1] for p in tailed if p[:-1] not in spaced)), " ")
+        self._learn_spaced(list(dict.fromkeys(p for p in new if p not in marked) | dict.fromkeys(p[:-1] for p in tailed if p[:-1] not in spaced)))
         self._learn(first, list(dict.fromkeys([*(p[-1] for p in tailed if p[-1] not in first), *(c[0] for c in cut if c[0] not in first)])), "")
         if tailed:
             ids, after = self._ids(np.array([k for p in tailed for k in (spaced[p[:-1]], first[p[-1]])], np.int64))

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import exact_dedup, language_id, packing, quality, simhash_dedup, token_file, toxicity
+from quillwork.llm import exact_dedup, exact_knn, language_id, packing, quality, segmentation_sampling, simhash_dedup, token_counts, token_file, toxicity
 from quillwork.llm._common import fold, read_table, scratch_root, small_batches
 from quillwork.llm.bpe import public_vocabulary
+from quillwork.llm.unigram import public_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,10 +42,20 @@ def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return exact_knn.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return segmentation_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), public_pieces(), k=3)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -57,8 +68,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_pieces())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op6_exact_dedup, op8_language_id, op9_best_fit_packing)}
+    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 OP6_SQL = """
@@ -69,5 +86,15 @@ FROM n JOIN g USING (t)
 """
 
 
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS e, len(embedding) AS dim FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint AS score
+      FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL}
