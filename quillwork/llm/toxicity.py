@@ -20,7 +20,7 @@ from quillwork.llm._common import fold, sampled
 
 SIZES, BITS = (3, 4, 5, 6), 22
 #: The fit's bounds: labelled rows of a class that the weights are fitted on, and n-grams of the model.
-MAX_ROWS, MAX_FEATURES = 10_000, 8192
+MAX_ROWS, MAX_FEATURES = 6_000, 2048
 MIN_DOCS, MIN_Z, ALPHA = 3, 4.0, 0.5
 THRESHOLD = 0.7
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -115,7 +115,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return ToxicityModel(ids, weight * ratio, bias)
 
 
-def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 150, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
+def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Adam on the whole sample; the classes weigh as often as they occur among all labels."""
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     col = np.concatenate(columns).astype(np.int64) if columns else np.zeros(0, np.int64)
