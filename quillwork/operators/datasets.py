@@ -36,10 +36,14 @@ def corrected_sentence_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select(*_rows(C.SENTENCE_INSTRUCTION, F.col("original"), F.col("corrected")))
 
 
-def chat_rows(instructions: DataFrame, system: str = C.CHAT_SYSTEM) -> DataFrame:
-    """messages: system, user (instruction, blank line, input) and assistant."""
+def chat_messages(system: str = C.CHAT_SYSTEM) -> Column:
+    """Array of role and content: system, user (instruction, blank line, input) and assistant."""
     said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return instructions.select(F.array(said("system", F.lit(system)), said("user", F.concat("instruction", F.lit("\n\n"), "input")), said("assistant", F.col("output"))).alias("messages"))
+    return F.array(said("system", F.lit(system)), said("user", F.concat("instruction", F.lit("\n\n"), "input")), said("assistant", F.col("output")))
+
+
+def chat_rows(instructions: DataFrame, system: str = C.CHAT_SYSTEM) -> DataFrame:
+    return instructions.select(chat_messages(system).alias("messages"))
 
 
 def prompt_text() -> Column:

@@ -1,9 +1,518 @@
-"""Registered queries over the reference's own operators and their SQL."""
+"""Registered queries over the spelling operators, and the same in SQL for DuckDB."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from quillwork.functions import text as T
+from quillwork.functions.similarity import blended_score, lcs_length, matching_ratio
+from quillwork.operators import align, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
+from quillwork.sources import constants as C
+from quillwork.sources import readers
+from quillwork.streaming import session
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Letters that readers with dyslexia mix up: the noise of test sentences.
+SWAP = ("bdpq", "dbqp")
+#: A small cache of corrections, as constants.
+CACHE = [("teh", "the"), ("onth", "month"), ("thon", "than"), ("erth", "earth"), ("nd", "and"), ("tion", "ton")]
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _values(words: list[str]) -> str:
+    return "(VALUES " + ", ".join("('" + w.replace("'", "''") + "')" for w in dict.fromkeys(words)) + ")"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words)) + "]"
+
+
+WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))"
+CLEAN = r"lower(regexp_replace({}, '[^a-zA-Z0-9_]', '', 'g'))"
+CACHE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CACHE) + ")"
+
+
+def noised(x: Column | str) -> Column:
+    return F.translate(x, *SWAP)
+
+
+# --- words -------------------------------------------------------------------------------------------------------
+
+
+def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(T.words("text")).alias("word"))
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct()
+
+
+EN = f"en AS (SELECT unnest({WORDS.format('text')}) AS word FROM documents WHERE lang = 'en')"
+BM = f"bm AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS word FROM benchmark)"
+
+
+@query(f"WITH {EN} SELECT word, count(*) AS n FROM en GROUP BY word")
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '\s+|\S+') AS ts FROM conversations),
+e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) - 1 AS token_index, unnest(ts) AS token FROM t)
+SELECT conv_id, turn, token_index::int AS token_index, token,
+       coalesce(sum(length(token)) OVER (PARTITION BY conv_id, turn ORDER BY token_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS position
+FROM e""")
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return correct.tokens(rows, "key", "text").select("key.conv_id", "key.turn", F.col("index").alias("token_index"), "token", "position")
+
+
+@query(f"WITH {EN}, {BM} SELECT word, count(*) AS n FROM en WHERE length(word) >= 2 AND word NOT IN (SELECT word FROM bm) GROUP BY word")
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = word_frequency(spark, sf_dir).filter("length(word) >= 2")
+    return counted.join(benchmark_words(spark, sf_dir), "word", "left_anti")
+
+
+@query(f"""
+WITH w AS (SELECT lang, unnest({WORDS.format('text')}) AS word FROM documents)
+SELECT lang, count(*) AS n_tokens, count(*) FILTER (word IN (SELECT * FROM {_values(C.VALID_WORDS)})) AS n_valid FROM w GROUP BY lang""")
+def valid_word_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _t(spark, sf_dir, "documents").select("lang", F.explode(T.words("text")).alias("word"))
+    return words.groupBy("lang").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("word").isin(C.VALID_WORDS)).alias("n_valid"))
+
+
+@query(r"SELECT lang, sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')))::bigint AS n_words, count(*) AS n_docs FROM documents GROUP BY lang")
+def whitespace_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.count_words("text").cast("long")).alias("n_words"), F.count(F.lit(1)).alias("n_docs"))
+
+
+# --- similarity --------------------------------------------------------------------------------------------------
+
+
+def swapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return english_words(spark, sf_dir).select(noised("word").alias("misspelling"), F.col("word").alias("correct")).distinct().filter("misspelling <> correct")
+
+
+SWAPPED = f"{EN}, p AS (SELECT DISTINCT translate(word, 'bdpq', 'dbqp') AS misspelling, word AS correct FROM en WHERE translate(word, 'bdpq', 'dbqp') <> word)"
+
+
+@query(f"""
+WITH {SWAPPED}, h AS (SELECT levenshtein(misspelling, correct)::int AS edit_distance, count(*) AS n FROM p GROUP BY 1)
+SELECT edit_distance, n, n / sum(n) OVER () * 100 AS pct FROM h""")
+def edit_distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.distance_histogram(swapped_pairs(spark, sf_dir))
+
+
+@query(f"WITH {SWAPPED} SELECT count(*) AS n_pairs, count(DISTINCT lower(correct)) AS n_correct FROM p")
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pair_statistics(swapped_pairs(spark, sf_dir))
+
+
+@query(f"WITH {SWAPPED} SELECT misspelling, correct, levenshtein(lower(misspelling), lower(correct))::int AS edit_distance, (length(misspelling) - length(correct))::int AS len_diff FROM p")
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.with_distance(swapped_pairs(spark, sf_dir))
+
+
+@query(f"WITH {SWAPPED} SELECT misspelling, correct, round(1 - levenshtein(misspelling, correct) / greatest(length(misspelling), length(correct))::double, 9) AS similarity FROM p")
+def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillwork.functions.similarity import edit_similarity as similar
+
+    return swapped_pairs(spark, sf_dir).withColumn("similarity", F.round(similar(F.col("misspelling"), F.col("correct")), 9))
+
+
+def blocked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown words and benchmark words with the same two last letters and about the same length."""
+    ending = lambda c: F.substring(c, -2, 2)
+    words = unknown_words(spark, sf_dir).select("word", ending("word").alias("e"), F.length("word").alias("n"))
+    known = benchmark_words(spark, sf_dir).filter("length(word) >= 2").select(F.col("word").alias("candidate"), ending("word").alias("e"), F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])).alias("n"))
+    met = words.join(known, ["e", "n"]).select("word", "candidate")
+    return met.withColumn("score", blended_score(F.col("word"), F.col("candidate"), lcs_length("word", "candidate")))
+
+
+LCS = "list_reduce(list_prepend(list_transform(range(0, length(candidate) + 1), lambda i: 0), list_transform(string_split(word, ''), lambda c: [ascii(c)])), lambda r, ch: list_transform(r, lambda v, j: greatest(v, coalesce(list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN ascii(candidate[k - 1]) = ch[1] THEN r[k - 1] + 1 ELSE 0 END)), 0))))[-1]"
+SCORED = f"""{EN}, {BM},
+u AS (SELECT DISTINCT word FROM en WHERE length(word) >= 2 AND word NOT IN (SELECT word FROM bm)),
+c AS (SELECT u.word, bm.word AS candidate FROM u JOIN bm ON right(u.word, 2) = right(bm.word, 2) AND abs(length(u.word) - length(bm.word)) <= 1 AND length(bm.word) >= 2),
+l AS (SELECT *, {LCS} AS lcs, greatest(length(word), length(candidate))::double AS far FROM c),
+s AS (SELECT word, candidate, (1 - abs(length(word) - length(candidate)) / far) * 0.1::double + (CASE WHEN word[1] = candidate[1] THEN 1.0::double ELSE 0.5::double END) * 0.2::double
+      + (lcs / far) * 0.3::double + (1 - levenshtein(word, candidate) / far) * 0.4::double AS score FROM l),
+r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY word ORDER BY score DESC, candidate))"""
+
+
+@query(f"WITH {SCORED} SELECT word, candidate, round(score, 9) AS score FROM r WHERE rn = 1")
+def blended_score_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = correct.best_matches(blocked_scores(spark, sf_dir))
+    return best.select("word", F.col("candidates")[0].alias("candidate"), F.round("score", 9).alias("score"))
+
+
+@query(f"""
+WITH {SCORED}, k AS (SELECT word, candidate, CASE WHEN second > score * 0.8::double THEN score * 0.7::double ELSE score END AS confidence FROM r WHERE rn = 1)
+SELECT word, CASE WHEN confidence > 0.3 THEN candidate END AS best_match, round(confidence, 9) AS confidence, confidence > 0.5 AS accepted FROM k""")
+def close_runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = correct.best_matches(blocked_scores(spark, sf_dir))
+    return best.select("word", "best_match", F.round("confidence", 9).alias("confidence"), (F.col("confidence") > correct.ACCEPT).alias("accepted"))
+
+
+def dictionary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in dictionary and the benchmark's words behind it, in order of the alphabet."""
+    return correct.add_words(readers.dictionary(spark), benchmark_words(spark, sf_dir))
+
+
+@query()
+def phonetic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correct.phonetic_matches(unknown_words(spark, sf_dir).select("word"), dictionary_of(spark, sf_dir))
+    return found.select("word", "best_match", F.round("confidence", 9).alias("confidence"), F.size("candidates").alias("n_candidates"))
+
+
+@query()
+def phonetic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = correct.phonetic_index(readers.dictionary(spark))
+    return index.groupBy("code").agg(F.transform(F.array_sort(F.collect_set(F.struct("dict_pos", "word"))), lambda x: x["word"]).alias("words"))
+
+
+@query()
+def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations")
+    nxt = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return rows.select("conv_id", "turn", "text", nxt.alias("next")).filter("next IS NOT NULL").select("conv_id", "turn", F.round(matching_ratio("text", "next"), 9).alias("ratio"))
+
+
+@query()
+def hybrid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("sentence")).dropDuplicates(["key"])
+    cache = spark.createDataFrame(CACHE, "word string, correction string")
+    found = correct.check_sentences(rows, dictionary_of(spark, sf_dir), cache)
+    return found.select("key", F.inline("corrections"))
+
+
+# --- sentences ---------------------------------------------------------------------------------------------------
+
+
+def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve words of ASCII turns, noised; and the same, clean, without the fourth."""
+    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    first = F.slice(T.split_words("text"), 1, 12)
+    return rows.select("conv_id", "turn", noised(F.array_join(first, " ")).alias("original"), F.array_join(F.concat(F.slice(first, 1, 3), F.slice(first, 5, 8)), " ").alias("corrected"))
+
+
+ENDS = r"lower(regexp_replace({}, '^[^a-zA-Z0-9_'']+|[^a-zA-Z0-9_'']+$', '', 'g'))"
+
+
+@query(rf"""
+WITH f AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:12] AS w FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+p AS (SELECT conv_id, turn, translate(array_to_string(w, ' '), 'bdpq', 'dbqp') AS original, array_to_string(list_concat(w[1:3], w[5:12]), ' ') AS corrected FROM f),
+q AS (SELECT conv_id, turn, string_split_regex(original, '\s+') AS a,
+      string_split_regex(trim(regexp_replace(regexp_replace(corrected, '^(here''?s?\s+(the\s+)?corrected\s+(sentence|text)[:\s]*)', '', 'i'), '^(corrected[:\s]*)', '', 'i')), '\s+') AS b FROM p),
+a AS (SELECT conv_id, turn, generate_subscripts(a, 1) AS i, unnest(a) AS o FROM q WHERE abs(len(a) - len(b)) <= 3),
+b AS (SELECT conv_id, turn, generate_subscripts(b, 1) AS j, unnest(b) AS c FROM q),
+x AS (SELECT conv_id, turn, i, j, o, {ENDS.format('o')} AS oc, {ENDS.format('c')} AS cc FROM a JOIN b USING (conv_id, turn) WHERE j BETWEEN i - 2 AND i + 2),
+s AS (SELECT *, CASE WHEN oc = cc THEN 1.0::double ELSE 1 - levenshtein(oc, cc) / greatest(length(oc), length(cc))::double END AS sim FROM x
+      WHERE length(oc) >= 2 AND cc <> '' AND NOT list_contains({_list(C.VALID_WORDS)}, oc)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, i ORDER BY sim + CASE WHEN i = j THEN 0.1::double ELSE 0.0::double END DESC, j) AS rn FROM s WHERE sim > 0.3),
+d AS (SELECT conv_id, turn, i, regexp_extract(o, '[a-zA-Z'',]+') AS original, cc FROM r WHERE rn = 1 AND cc <> oc)
+SELECT conv_id, turn, original, CASE WHEN original = upper(original) THEN upper(cc) WHEN original[1] = upper(original[1]) THEN upper(cc[1]) || cc[2:] ELSE cc END AS corrected,
+       count(*) AS n FROM d WHERE original <> '' GROUP BY ALL""")
+def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentence_pairs(spark, sf_dir)
+    found = rows.select("conv_id", "turn", F.inline(align.sentence_changes(F.col("original"), F.col("corrected"))))
+    return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""
+WITH p AS (SELECT {WORDS.format("translate(text, 'bdpq', 'dbqp')")} AS a, {WORDS.format('text')} AS b FROM conversations),
+z AS (SELECT unnest(list_zip(a, b)) AS p FROM p WHERE len(a) = len(b)),
+m AS (SELECT p[1] AS misspelling, p[2] AS correct FROM z)
+SELECT misspelling, correct, count(*) AS n FROM m
+WHERE misspelling <> correct AND length(misspelling) >= 3 AND length(correct) >= 3 AND abs(length(misspelling) - length(correct)) <= 3
+  AND NOT list_contains({_list(C.CODE_TERMS)}, misspelling) AND NOT list_contains({_list(C.CODE_TERMS)}, correct)
+  AND NOT (list_contains({_list(C.MEANING_WORDS)}, misspelling) AND list_contains({_list(C.MEANING_WORDS)}, correct))
+  AND NOT ((misspelling || 's' = correct OR correct || 's' = misspelling) AND length(misspelling) > 4 AND length(correct) > 4)
+GROUP BY ALL""")
+def typo_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations")
+    found = rows.select(F.inline(pairs.word_typos(noised("text"), "text")))
+    return found.groupBy("misspelling", "correct").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ts, text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS token, text FROM t),
+c AS (SELECT e.*, k.correction FROM e LEFT JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) k ON {CLEAN.format('e.token')} = k.word),
+g AS (SELECT conv_id, turn, count(correction) AS cache_hits,
+      string_agg(CASE WHEN correction IS NULL THEN token ELSE correction || regexp_replace(token, '[a-zA-Z0-9_]', '', 'g') END, ' ' ORDER BY i) AS joined FROM c GROUP BY conv_id, turn)
+SELECT t.conv_id, t.turn, coalesce(g.cache_hits, 0) AS cache_hits, CASE WHEN g.cache_hits > 0 THEN g.joined ELSE t.text END AS corrected, coalesce(g.cache_hits, 0) < 2 AS asked
+FROM t LEFT JOIN g USING (conv_id, turn)""")
+def apply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
+    found = correct.rewrite_sentences(rows, spark.createDataFrame(CACHE, "word string, correction string"))
+    return found.select("key.conv_id", "key.turn", "cache_hits", "corrected", "asked")
+
+
+HOMOPHONES_SQL = "(VALUES " + ", ".join("('" + w.replace("'", "''") + f"', {len(g)})" for g in C.HOMOPHONE_GROUPS for w in g) + ")"
+
+
+@query(rf"""
+WITH e AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS token FROM conversations),
+w AS (SELECT conv_id, turn, lower(regexp_replace(token, '[^a-zA-Z0-9_'']', '', 'g')) AS word FROM e)
+SELECT conv_id, turn, w.word, h.n_members::int AS n_members, count(*) AS n FROM w JOIN (SELECT * FROM {HOMOPHONES_SQL} v(word, n_members)) h ON w.word = h.word GROUP BY ALL""")
+def homophone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
+    found = homophones.scan(rows, readers.homophones(spark))
+    return found.groupBy("key.conv_id", "key.turn", "word", F.size("members").alias("n_members")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda t:
+  CASE WHEN lower(regexp_replace(t, '[^a-zA-Z0-9_'']', '', 'g')) = 'by' THEN '[pause] ' || upper(t) || '. BY means {C.DEFINITIONS['by']}. Did you mean BUY, as in {C.DEFINITIONS['buy']}?' ELSE t END), ' ') AS script
+FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+def tts_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    means = lambda w: F.lit(C.DEFINITIONS[w])
+    return rows.select("conv_id", "turn", homophones.speech_script("text", F.lit("by"), F.lit("buy"), means("by"), means("buy")).alias("script"))
+
+
+@query(r"""
+WITH e AS (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: regexp_full_match(x, '[A-Za-z]+'))) AS token FROM documents),
+d AS (SELECT token, count(*) AS n FROM e GROUP BY token), c AS (SELECT *, translate(lower(token), 'bdpq', 'dbqp') AS fix FROM d)
+SELECT token, n, CASE WHEN token = upper(token) THEN upper(fix) WHEN token[1] = upper(token[1]) THEN upper(fix[1]) || fix[2:] ELSE fix END AS matched,
+       CASE WHEN token = upper(token) THEN upper(fix) WHEN token = lower(token) THEN lower(fix) ELSE fix END AS preserved FROM c""")
+def case_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _t(spark, sf_dir, "documents").select(F.explode(F.filter(T.split_words("text"), lambda w: w.rlike("^[A-Za-z]+$"))).alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("fix", noised(F.lower("token")))
+    return counted.select("token", "n", T.match_case("token", "fix").alias("matched"), T.preserve_case("token", "fix").alias("preserved"))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z0-9_'']+|[^a-zA-Z0-9_'']+') AS ts FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS shown FROM t),
+p AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS start FROM e)
+SELECT conv_id, turn, start, (start + length(shown))::int AS stop, shown,
+       CASE WHEN shown = upper(shown) THEN upper(c.correction) WHEN shown = lower(shown) THEN lower(c.correction) ELSE c.correction END AS correction
+FROM p JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON lower(p.shown) = c.word""")
+def mark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.struct("conv_id", "turn").alias("key"), "text")
+    cache = spark.createDataFrame(CACHE, "original string, corrected string")
+    found = marks.mark_occurrences(rows, rows.select("key").crossJoin(F.broadcast(cache)))
+    return found.select("key.conv_id", "key.turn", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
+
+
+@query("""
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head
+FROM conversations""")
+def carry_forward_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    so_far = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(so_far).alias("head"))
+
+
+# --- pairs and training rows -------------------------------------------------------------------------------------
+
+
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swapped words of documents, their source's number being their precedence."""
+    docs = _t(spark, sf_dir, "documents")
+    rows = docs.select("source", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("priority"), "doc_id", F.posexplode(T.words("text")).alias("pos", "correct"))
+    return rows.withColumn("misspelling", noised("correct")).filter("misspelling <> correct")
+
+
+DOC_PAIRS = f"""d AS (SELECT source, regexp_extract(source, '(\\d+)$', 1)::int AS priority, doc_id, {WORDS.format('text')} AS ws FROM documents),
+e AS (SELECT source, priority, doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS correct FROM d),
+p AS (SELECT *, translate(correct, 'bdpq', 'dbqp') AS misspelling FROM e WHERE translate(correct, 'bdpq', 'dbqp') <> correct),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY misspelling, correct ORDER BY priority, doc_id, pos) AS rn FROM p) WHERE rn = 1)"""
+
+
+@query(f"WITH {DOC_PAIRS} SELECT misspelling, correct, priority, doc_id, pos::int AS pos, source FROM k")
+def pair_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.keep_first(document_pairs(spark, sf_dir), "priority", "doc_id", "pos")
+
+
+@query(f"""
+WITH {DOC_PAIRS}, t AS (SELECT source, count(*) AS total FROM p GROUP BY source), u AS (SELECT source, count(*) AS unique_new FROM k GROUP BY source)
+SELECT source, total, coalesce(unique_new, 0) AS unique_new, coalesce(unique_new, 0) / (SELECT sum(unique_new) FROM u) * 100 AS pct FROM t LEFT JOIN u USING (source)""")
+def source_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.source_statistics(document_pairs(spark, sf_dir), "priority", "doc_id", "pos")
+
+
+def benchmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_words(spark, sf_dir).select(noised("word").alias("misspelling"), F.col("word").alias("correct")).filter("misspelling <> correct")
+
+
+BM_PAIRS = f"{BM}, p AS (SELECT translate(word, 'bdpq', 'dbqp') AS misspelling, word AS correct FROM bm WHERE translate(word, 'bdpq', 'dbqp') <> word)"
+
+
+@query(f"WITH {BM_PAIRS} SELECT '{C.WORD_INSTRUCTION}' AS instruction, misspelling AS input, correct AS output FROM p")
+def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.word_rows(benchmark_pairs(spark, sf_dir))
+
+
+CHANGES = f"SELECT '{C.CHANGES_INSTRUCTION}' AS instruction, 'Fix spelling: \"The ' || misspelling || ' is here.\"' AS input, 'CHANGES: ' || misspelling || '->' || correct AS output FROM p"
+
+
+@query(f"WITH {BM_PAIRS} {CHANGES} UNION ALL {CHANGES.replace('The ', 'I have ').replace(' is here', ' here')}")
+def changes_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = benchmark_pairs(spark, sf_dir)
+    return datasets.changes_rows(rows, "the").unionByName(datasets.changes_rows(rows, "have"))
+
+
+@query(f"""
+WITH {BM_PAIRS}, n AS (SELECT *, row_number() OVER (ORDER BY correct) AS row_number FROM p),
+t AS (SELECT *, {_list(C.SENTENCE_TEMPLATES)}[(row_number - 1) % 8 + 1] AS tpl FROM n)
+SELECT row_number, '{C.SENTENCE_INSTRUCTION}' AS instruction, replace(tpl, '{{}}', misspelling) AS input, replace(tpl, '{{}}', correct) AS output FROM t""")
+def template_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.sentence_rows(benchmark_pairs(spark, sf_dir), "correct")
+
+
+@query(f"""
+WITH {BM_PAIRS}, i AS (SELECT '{C.WORD_INSTRUCTION}' AS instruction, misspelling AS input, correct AS output FROM p)
+SELECT '{C.CHAT_SYSTEM}' AS system_text, instruction || chr(10) || chr(10) || input AS user_text, output AS assistant_text,
+       '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || input || chr(10) || chr(10) || '### Response:' || chr(10) || output AS prompt FROM i""")
+def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = datasets.word_rows(benchmark_pairs(spark, sf_dir)).withColumn("prompt", datasets.prompt_text())
+    said = datasets.chat_messages()
+    return rows.select(said[0]["content"].alias("system_text"), said[1]["content"].alias("user_text"), said[2]["content"].alias("assistant_text"), "prompt")
+
+
+@query(f"""
+WITH {SWAPPED}, i AS (SELECT misspelling AS input, correct AS output, md5(misspelling || chr(1) || correct) AS h FROM p),
+n AS (SELECT *, row_number() OVER (ORDER BY h, input, output) AS row_number, count(*) OVER () AS n FROM i)
+SELECT input, output, row_number, CASE WHEN row_number <= floor(n * 0.9::double) THEN 'train' ELSE 'eval' END AS split FROM n""")
+def train_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = swapped_pairs(spark, sf_dir).select(F.col("misspelling").alias("input"), F.col("correct").alias("output"))
+    return ordering.shuffled_split(rows, 0.9).select("input", "output", "row_number", "split")
+
+
+@query(f"""
+WITH {BM_PAIRS}, r AS (SELECT correct, 'Sure.' || chr(10) || 'changes: "' || misspelling || '" -> ' || correct || '., a->b->c, ' || correct || '->' || upper(correct) || ', the->teh, x' AS reply FROM p)
+SELECT correct AS reply_of, translate(correct, 'bdpq', 'dbqp') AS original, correct AS corrected FROM r
+WHERE NOT list_contains({_list(C.VALID_WORDS)}, translate(correct, 'bdpq', 'dbqp'))""")
+def changes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = benchmark_pairs(spark, sf_dir)
+    reply = F.concat(F.lit('Sure.\nchanges: "'), "misspelling", F.lit('" -> '), "correct", F.lit("., a->b->c, "), "correct", F.lit("->"), F.upper("correct"), F.lit(", the->teh, x"))
+    return rows.select(F.col("correct").alias("reply_of"), F.inline(T.parse_changes(reply, C.VALID_WORDS)))
+
+
+# --- logs and evaluation -----------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def last_100_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.last_entries(_t(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "ts", "user_id", "event_type")
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a log entry of one correction; a few kinds of events stand for the sources."""
+    kind = F.pmod(F.length("event_type"), F.lit(3))
+    source = F.when(kind == 0, "phonetic").when(kind == 1, "llm").otherwise("cache")
+    return _t(spark, sf_dir, "events").select("user_id", F.array(F.struct(F.col("event_type").alias("original"), source.alias("source"))).alias("corrections"))
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (length(event_type) % 3 = 0) AS phonetic, count(*) FILTER (length(event_type) % 3 = 1) AS llm, count(*) FILTER (length(event_type) % 3 = 2) AS cache FROM events""")
+def source_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.source_counts(event_log(spark, sf_dir))
+
+
+@query("SELECT event_id, to_json(struct_pack(id := event_id, kind := event_type)) AS packed, (json_extract_string(props, '$') IS NOT NULL) AS is_json FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events")
+    return rows.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("packed"), F.get_json_object("props", "$").isNotNull().alias("is_json"))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as test results: source is the model, toxic the category, quality whether it passed."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.col("source").alias("model"), F.concat(F.lit("toxic"), F.col("toxic").cast("string")).alias("category"), (F.col("quality") == 1).alias("passed"), (F.col("quality") == 1).alias("correct"), (F.col("n_chars") / 1000.0).alias("time"))
+
+
+JUDGED = "j AS (SELECT doc_id, source AS model, 'toxic' || toxic AS category, quality = 1 AS passed, n_chars / 1000.0::double AS time FROM labels JOIN documents USING (doc_id))"
+ACCURACY = "a AS (SELECT model, sum(passed::int)::bigint AS n_correct, count(*) AS n_total, sum(passed::int) / count(*) * 100 AS accuracy, avg(time) AS avg_time, min(time) AS min_time, max(time) AS max_time FROM j GROUP BY model)"
+
+
+@query(f"""
+WITH {JUDGED} SELECT model, category, sum(passed::int)::bigint AS n_passed, (count(*) - sum(passed::int))::bigint AS n_failed, round(sum(passed::int) * 100.0::double / count(*), 9) AS pct
+FROM j GROUP BY GROUPING SETS ((model), (model, category))""")
+def suite_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.suite_summary(judged(spark, sf_dir)).withColumn("pct", F.round("pct", 9))
+
+
+@query(f"WITH {JUDGED}, {ACCURACY} SELECT model, n_correct, n_total, round(accuracy, 6) AS accuracy, round(avg_time, 6) AS avg_time, min_time, max_time, CASE WHEN n_correct / n_total >= 0.8 THEN 'good' WHEN n_correct / n_total >= 0.6 THEN 'fair' ELSE 'poor' END AS verdict FROM a")
+def model_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.accuracy(judged(spark, sf_dir)).withColumn("verdict", evaluate.verdict(F.col("n_correct") / F.col("n_total")))
+    return found.withColumn("accuracy", F.round("accuracy", 6)).withColumn("avg_time", F.round("avg_time", 6))
+
+
+@query(f"WITH {JUDGED}, {ACCURACY} SELECT model, round(accuracy, 6) AS accuracy FROM a ORDER BY a.accuracy DESC, model LIMIT 1")
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_model(evaluate.accuracy(judged(spark, sf_dir))).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {JUDGED}, {ACCURACY} SELECT model, round(accuracy - avg_time * 5, 6) AS balance FROM a WHERE accuracy - avg_time * 5 > 0 ORDER BY accuracy - avg_time * 5 DESC, model LIMIT 1")
+def best_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_balance(evaluate.accuracy(judged(spark, sf_dir))).withColumn("balance", F.round("balance", 6))
+
+
+@query(f"""
+WITH {JUDGED} SELECT count(*) FILTER (category = 'toxic0' AND passed) AS n_correct, count(*) FILTER (category = 'toxic0') AS n_scored, count(*) AS n_loaded,
+round(count(*) FILTER (category = 'toxic0' AND passed) * 100.0::double / count(*) FILTER (category = 'toxic0'), 9) AS accuracy, round(count(*) FILTER (category = 'toxic0' AND passed) * 100.0::double / count(*), 9) AS accuracy_compat FROM j""")
+def eval_set_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.eval_accuracy(judged(spark, sf_dir).withColumnRenamed("category", "instruction"), "toxic0")
+    return found.withColumn("n_correct", F.col("n_correct").cast("long")).withColumn("accuracy", F.round("accuracy", 9)).withColumn("accuracy_compat", F.round("accuracy_compat", 9))
+
+
+@query(f"WITH {JUDGED} SELECT doc_id, model, category, time FROM j WHERE NOT passed ORDER BY doc_id LIMIT 10")
+def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.failures(judged(spark, sf_dir), "doc_id").select("doc_id", "model", "category", "time")
+
+
+STREAM_SQL = """
+WITH r AS (SELECT user_id::varchar AS key, ts, event_type AS text, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events),
+k AS (SELECT key, text, coalesce(before = text, false) AS skip FROM r)
+SELECT key, count(*) AS n_rows, count(*) FILTER (skip) AS n_skipped, (count(*) FILTER (NOT skip) - count(DISTINCT text))::bigint AS n_hits, count(DISTINCT text) AS n_misses FROM k GROUP BY key"""
+
+
+@query(STREAM_SQL)
+def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("text"))
+    return session.session_totals_batch(rows)
+
+
+@query(STREAM_SQL)
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of finished sentences, run until what is there is read."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    table = _t(spark, sf_dir, "events")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = stream.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("text"))
+    name = "stream_cache_" + uuid.uuid4().hex
+    where = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillwork") + "/" + name
+    session.session_totals(rows).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/{n:06d}")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.schema(session.OUTPUT).option("recursiveFileLookup", "true").parquet(f"{where}/out").withColumn("n", F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1))
+    return updates.groupBy("key").agg(F.max_by(F.struct("n_rows", "n_skipped", "n_hits", "n_misses"), "n").alias("s")).select("key", "s.*")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
