@@ -101,7 +101,7 @@ def parse_changes(reply: Column | str, valid_words: Iterable[str] = ()) -> Colum
     arrow, empty or equal sides (ignoring case) and valid originals are left out.
     """
     r = _col(reply)
-    line = F.element_at(F.filter(F.split(r, "\n"), lambda x: F.upper(x).contains("CHANGES:")), 1)
+    line = F.try_element_at(F.filter(F.split(r, "\n"), lambda x: F.upper(x).contains("CHANGES:")), F.lit(1))
     listed = strip(F.regexp_extract(F.coalesce(line, F.lit("")), r"(?i)CHANGES:\s*(.+)$", 1))
     parts = F.transform(F.filter(F.split(listed, ","), lambda x: F.size(F.split(x, "->")) == 2), lambda x: F.split(x, "->"))
     pairs = F.transform(parts, lambda p: F.struct(strip_punctuation(strip(p[0])).alias("original"), strip_punctuation(strip(p[1])).alias("corrected")))

@@ -27,7 +27,7 @@ def read_headed_list(spark: SparkSession, path: str, encoding: str = "ISO-8859-1
     becomes its frequency; keep_counts leaves it in the misspelling, as published sets do.
     """
     files = spark.read.format("binaryFile").load(path)
-    lines = files.select("path", F.posexplode(F.split(F.decode("content", F.lit(encoding)), r"\r?\n")).alias("pos", "raw")).withColumn("line", strip("raw")).filter("line <> ''")
+    lines = files.select("path", F.posexplode(F.split(F.decode("content", encoding), r"\r?\n")).alias("pos", "raw")).withColumn("line", strip("raw")).filter("line <> ''")
     is_head = F.startswith("line", F.lit("$"))
     head = F.last(F.when(is_head, F.regexp_replace(F.substring("line", 2, 1 << 30), "_", " ")), ignorenulls=True).over(W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     members = lines.withColumn("correct", head).filter(~is_head & F.col("correct").isNotNull())
