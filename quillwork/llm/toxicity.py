@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios (Wang and Manning, 2012).
 
 A feature is the presence of a hashed character n-gram of the lower-cased text.
-Document counts of every labelled text outside the held-out fold give each
-n-gram's log-count ratio; the n-grams whose ratio stands out are kept, and a
-logistic model is fitted on presence times ratio.
+Document counts of a bounded sample of labelled texts outside the held-out fold
+give each n-gram's log-count ratio; the n-grams whose ratio stands out are kept, and
+a logistic model is fitted on presence times ratio.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import fold, sampled
+from quillwork.llm._common import fold, sampled, write_scratch
 
-SIZES, BITS = (3, 4, 5, 6), 22
-#: The fit's bounds: labelled rows of a class that the weights are fitted on, and n-grams of the model.
-MAX_ROWS, MAX_FEATURES = 6_000, 2048
+SIZES, BITS = (3, 4, 5, 6), 21
+#: The fit's bounds: toxic rows (and twice as many others) that n-grams are counted in, those that
+#: weights are fitted on, and n-grams of the model.
+MAX_COUNTED, MAX_ROWS, MAX_FEATURES = 12_000, 4_000, 2048
 MIN_DOCS, MIN_Z, ALPHA = 3, 4.0, 0.5
 THRESHOLD = 0.7
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -66,12 +67,16 @@ def present(text: str | None, table: np.ndarray) -> np.ndarray:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """zeros and ones: texts of each class with n-gram g; all texts with g = -1."""
     counts = np.zeros((2, 1 << BITS), np.int32)
+    texts = np.zeros(2, np.int64)
     for f in frames:
         for y, t in zip(f["_y"], f["_t"], strict=True):
+            texts[int(y == 1)] += 1
             found = hashes(t)
             if found:
                 counts[int(y == 1), np.unique(np.concatenate(found))] += 1
+    yield pd.DataFrame({"g": [-1], "zeros": texts[:1], "ones": texts[1:]})
     seen = np.flatnonzero(counts.any(0))
     for part in np.array_split(seen, len(seen) // 50_000 + 1):
         yield pd.DataFrame({"g": part, "zeros": counts[0, part], "ones": counts[1, part]})
@@ -83,23 +88,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     With one class only, or no text, the model is its bias.
     """
     known = labels.filter(~fold(id_col, modulus, remainder) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(known, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     n = {y: c for y, c in known.groupBy("_y").count().collect()}
     ones = n.get(1, 0)
     zeros = sum(n.values()) - ones
+    prior = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 4.0 if ones else -4.0)
     if not ones or not zeros:
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 4.0 if ones else -4.0)
-    # Presence counts of all labelled texts; a task sends each n-gram once.
+        return prior
+    toxic, other = known.filter("_y = 1"), known.filter("_y <> 1")
+    odds_of_others = zeros / ones
+
+    def labelled(bound: int) -> DataFrame:
+        # About three times `bound` ids at most, by the draw: a bound for the broadcast.
+        return rows.join(F.broadcast(sampled(toxic, bound, "_id").unionByName(sampled(other, 2 * bound, "_id"))), "_id")
+
+    # A task sends each n-gram once.
+    counted = write_scratch(labelled(MAX_COUNTED).mapInPandas(_count, "g int, zeros long, ones long").groupBy("g").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")), "toxicity-counts")
+    sums = counted.filter("g = -1").first()
+    if sums is None or not sums["ones"] or not sums["zeros"]:
+        return prior
+    zeros, ones = sums["zeros"], sums["ones"]
     p, q = (F.col("ones") + ALPHA) / (ones + 2 * ALPHA), (F.col("zeros") + ALPHA) / (zeros + 2 * ALPHA)
     odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
     error = F.sqrt(1 / (F.col("ones") + ALPHA) + 1 / (ones - F.col("ones") + ALPHA) + 1 / (F.col("zeros") + ALPHA) + 1 / (zeros - F.col("zeros") + ALPHA))
-    grams = rows.mapInPandas(_count, "g int, zeros long, ones long").groupBy("g").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    grams = grams.filter(F.col("zeros") + F.col("ones") >= MIN_DOCS).select("g", F.log(p / q).alias("r"), F.abs(odds / error).alias("z")).filter(F.col("z") >= MIN_Z)
+    grams = counted.filter("g >= 0").filter(F.col("zeros") + F.col("ones") >= MIN_DOCS).select("g", F.log(p / q).alias("r"), F.abs(odds / error).alias("z")).filter(F.col("z") >= MIN_Z)
     model = grams.orderBy(F.desc("z"), "g").limit(MAX_FEATURES).toPandas()
     ids, ratio = model["g"].to_numpy(np.int64), model["r"].to_numpy()
-    table = np.full(1 << BITS, -1, np.int16)
-    table[ids] = np.arange(len(ids))
-    some = sampled(known.filter("_y = 1"), MAX_ROWS, "_id").unionByName(sampled(known.filter("_y <> 1"), 2 * MAX_ROWS, "_id"))
 
     def vector(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = np.full(1 << BITS, -1, np.int16)
@@ -107,15 +121,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         for f in frames:
             yield pd.DataFrame({"y": (f["_y"] == 1).astype("int32"), "x": [present(t, slots).astype("<i2").tobytes() for t in f["_t"]]})
 
-    fit = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(some), "_id").mapInPandas(vector, "y int, x binary").toPandas()
+    fit = labelled(MAX_ROWS).mapInPandas(vector, "y int, x binary").toPandas()
     fit = fit.sort_values(["y", "x"])  # the same sums whatever the order of arrival
     columns = [np.frombuffer(b, "<i2") for b in fit["x"]]
     y = fit["y"].to_numpy(np.float64)
-    weight, bias = _logistic(columns, y, ratio, zeros / ones)
+    weight, bias = _logistic(columns, y, ratio, odds_of_others)
     return ToxicityModel(ids, weight * ratio, bias)
 
 
-def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 250, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Adam on the whole sample; the classes weigh as often as they occur among all labels."""
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     col = np.concatenate(columns).astype(np.int64) if columns else np.zeros(0, np.int64)
