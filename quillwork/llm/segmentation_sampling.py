@@ -25,33 +25,48 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.unigram import SPACE, load_vocabulary
 
-#: Arcs that a worker remembers; the memory starts anew when it is full.
-MEMORY = 8_000_000
+#: Arcs that a worker remembers (the memory starts anew when it is full), and texts that are walked together.
+MEMORY, TOGETHER = 6_000_000, 100
 _WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
 
+def _substring_hashes(text: str, longest: int) -> dict[int, np.ndarray]:
+    """By length: a hash of the substring at each place where one of that length starts."""
+    letters = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    out, h = {}, np.zeros(len(letters) + 1, np.uint64)
+    for n in range(1, min(longest, len(letters)) + 1):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + letters[n - 1 :]
+        out[n] = _mix(h)
+    return out
+
+
 class Lattice:
     """Arcs of the words seen so far, flat and ordered by node; node 0 is a word's end and has none.
 
     Every position of a word is a node.  An arc has log_own, its log probability given
-    its node, and share, the probabilities of its node's arcs summed up to it.
+    its node, and share, the probabilities of the node's arcs up to it, the likeliest arc
+    being a node's first.
     """
 
     def __init__(self, path: str):
-        import ahocorasick
-
         self.v = load_vocabulary(path)
         self.byte_log_prob = float(self.v.log_prob[self.v.byte_id[0]])
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.v.pieces.items():
-            self.automaton.add_word(piece, (len(piece), i))
-        self.automaton.make_automaton()
+        # By length: hashes of the pieces in order, their ids, and a table of which hashes' first bits occur.
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(map(len, self.v.pieces))):
+            pieces = [p for p in self.v.pieces if len(p) == n]
+            h = _substring_hashes("".join(pieces), n)[n][::n]
+            order = np.argsort(h)
+            some = np.zeros(1 << 18, bool)
+            some[h >> np.uint64(46)] = True
+            self.known[n] = h[order], np.array([self.v.pieces[p] for p in pieces])[order], some
         self._forget()
 
     def _forget(self) -> None:
@@ -59,7 +74,8 @@ class Lattice:
         self.nodes = np.zeros(2, np.int64)  # where each node's arcs start, and the end
         self.share, self.log_own = np.zeros(0, np.float32), np.zeros(0)
         self.to, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.raw: list[list[int]] = [[]]  # bytes of characters without a piece, by minus the arc's piece
+        # Ids of the bytes of characters without a piece, one after the other; an arc of such has minus its place.
+        self.raw, self.raw_size = np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def learn(self, words: set[str]) -> None:
         if len(self.to) > MEMORY:
@@ -67,23 +83,32 @@ class Lattice:
         new = sorted(w for w in words if w not in self.words)
         if not new:
             return
-        # No piece crosses from one word into the next: one pass of the automaton finds the arcs of all.
+        # No piece crosses from one word into the next: all substrings are looked up at once, by 64-bit hashes.
         text = "".join(new)
         size = np.fromiter(map(len, new), np.int64, len(new))
         stop = np.repeat(np.cumsum(size), size)  # where each position's word ends
-        found = np.array([(e + 1, n, p) for e, (n, p) in self.automaton.iter(text)], np.int64).reshape(-1, 3)
-        to, piece = found[:, 0], found[:, 2]
-        at = to - found[:, 1]
+        hashes, found = _substring_hashes(text, max(self.known)), []
+        for n, (keys, ids, some) in self.known.items():
+            if n not in hashes:
+                break
+            at = np.flatnonzero(some[hashes[n] >> np.uint64(46)])
+            k = np.minimum(np.searchsorted(keys, hashes[n][at]), len(keys) - 1)
+            hit = (keys[k] == hashes[n][at]) & (at + n <= stop[at])
+            found.append((at[hit], at[hit] + n, ids[k[hit]]))
+        at, to, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        long = to - at
         log_prob = self.v.log_prob[piece]
         single = np.zeros(len(text), bool)
-        single[at[found[:, 1] == 1]] = True
+        single[at[long == 1]] = True
         lone = np.flatnonzero(~single)
         if len(lone):
             raw = [[self.v.byte_id[b] for b in text[i].encode("utf-8", "replace")] for i in lone.tolist()]
+            size_of = np.array(list(map(len, raw)), np.int32)
             at, to = np.concatenate([at, lone]), np.concatenate([to, lone + 1])
-            piece = np.concatenate([piece, -np.arange(len(self.raw), len(self.raw) + len(lone))])
-            log_prob = np.concatenate([log_prob, self.byte_log_prob * np.array(list(map(len, raw)))])
-            self.raw += raw
+            piece = np.concatenate([piece, -(len(self.raw) + np.cumsum(size_of) - size_of)])
+            log_prob = np.concatenate([log_prob, self.byte_log_prob * size_of])
+            self.raw = np.concatenate([self.raw, np.array([i for r in raw for i in r], np.int32)])
+            self.raw_size = np.concatenate([self.raw_size, np.repeat(size_of, size_of)])
         # Log mass behind each position, from the words' ends backwards, all words at once.
         order = np.lexsort((to, at, stop[at] - at))
         at, to, piece, log_prob = at[order], to[order], piece[order], log_prob[order]
@@ -97,7 +122,7 @@ class Lattice:
             total = np.logaddexp.reduceat(m, head)
             mass[at[a:b][head]] = total
             log_own[a:b] = m - np.repeat(total, np.diff(np.append(head, b - a)))
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((-log_own, at))
         at, log_own = at[order], log_own[order]
         head = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(head[1:], len(at)) - 1
@@ -113,85 +138,112 @@ class Lattice:
         self.share = np.concatenate([self.share, share.astype(np.float32)])
         self.piece = np.concatenate([self.piece, piece[order].astype(np.int32)])
 
-    def walk(self, starts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Ancestral sample from each start node to its word's end: arcs in order of words, then of position."""
-        live, at, found = np.arange(len(starts)), starts, []
+    def walk(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ancestral samples from start nodes to their words' ends: arcs in order of start and position, and how many each start has."""
+        live, at, found, step = np.arange(len(starts)), starts, [], 0
         while len(live):
-            arc = self._draw(at, rng.random(len(at)))
+            arc, u = self.nodes[at], _uniform(seeds[live], step)
+            on = np.flatnonzero(self.share[arc] < u)
+            while len(on):
+                arc[on] += 1
+                on = on[self.share[arc[on]] < u[on]]
             found.append((live, arc))
             at = self.to[arc]
             on = at > 0
-            live, at = live[on], at[on]
+            live, at, step = live[on], at[on], step + 1
         if not found:
-            return np.zeros(0, np.int64)
-        word, arcs = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        return arcs[np.argsort(word, kind="stable")]
-
-    def _draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        lo, hi = self.nodes[at], self.nodes[at + 1] - 1
-        while True:  # binary search in all nodes at once
-            open_ = lo < hi
-            if not open_.any():
-                return lo
-            mid = (lo + hi) >> 1
-            right = open_ & (self.share[mid] < u)
-            lo = np.where(right, mid + 1, lo)
-            hi = np.where(open_ & ~right, mid, hi)
-
-
-def _cut_gumbel(mass: np.ndarray, top: float, rng: np.random.Generator) -> np.ndarray:
+            return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+        word = np.concatenate([x for x, _ in found])
+        order = np.argsort(word, kind="stable")
+        return np.concatenate([x for _, x in found])[order], np.bincount(word, minlength=len(starts))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's output function: random bits of a counter."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _seed(seeds: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return _mix(seeds + (np.atleast_1d(n).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _uniform(seeds: np.ndarray, n: np.ndarray | int = 0) -> np.ndarray:
+    """Numbers above 0 and below 1, the same for the same seed and n whatever else is drawn."""
+    return ((_seed(seeds, n) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _cut_gumbel(mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at these log masses, given that each is below top."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-top, np.log(rng.exponential(size=np.shape(mass))) - mass)
+    return -np.logaddexp(-top, np.log(-np.log(u)) - mass)
 
 
-def sample_paths(lattice: Lattice, starts: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
-    """Up to k distinct paths by falling perturbed value: arcs, log probability, perturbed value, inclusion score."""
+def sample_paths(lattice: Lattice, texts: list[np.ndarray], k: int, seeds: np.ndarray) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text, given by its words' first nodes: up to k distinct paths by falling perturbed value, as arcs, log probability, perturbed value, inclusion score."""
     log_own, to, nodes = lattice.log_own, lattice.to, lattice.nodes
-    if not len(starts):
-        return [(np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
-    closed: list[list] = []  # [best value, path, values by decision, arcs already opened by decision]
-
-    def open_(prefix: np.ndarray, node_after: int, top: float) -> None:
-        """The best path that starts with these arcs, and what stays closed beside it."""
-        done = int((to[prefix] == 0).sum())
-        rest = starts[done:] if node_after <= 0 else np.append(node_after, starts[done + 1 :])
-        new = lattice.walk(rest, rng)
-        arcs = np.concatenate([prefix, new])
-        before = np.cumsum(log_own[arcs]) - log_own[arcs]
-        other = -np.expm1(log_own[arcs])
-        with np.errstate(divide="ignore"):
-            value = np.where(other > 1e-12, _cut_gumbel(before + np.log(np.maximum(other, 1e-300)), top, rng), -np.inf)
-        value[: len(prefix)] = -np.inf  # those belong to whoever opened the prefix
-        found.append((arcs, float(log_own[arcs].sum()), top))
-        closed.append([value, arcs, {}])
-
-    found: list[tuple[np.ndarray, float, float]] = []
-    open_(np.zeros(0, np.int64), 0, float(rng.gumbel()))
-    while len(found) < k + 1:
-        best = max(range(len(closed)), key=lambda i: closed[i][0].max(initial=-np.inf))
-        value, arcs, opened = closed[best]
-        if not len(value) or (top := float(value.max())) == -np.inf:
-            break
-        i = int(value.argmax())
-        node = int(np.searchsorted(nodes, arcs[i], "right")) - 1
-        arcs_here = np.arange(nodes[node], nodes[node + 1])
-        taken = opened.setdefault(i, [int(arcs[i])])
-        free = arcs_here[~np.isin(arcs_here, taken)]
-        own = np.exp(log_own[free])
-        p = own / own.sum()
-        arc = int(free[min(len(free) - 1, int(np.searchsorted(np.cumsum(p), rng.random())))])
-        taken.append(arc)
-        left = float(own.sum() - own[free == arc][0])
-        if len(free) > 1 and left > 1e-15:
-            mass = float(log_own[arcs[:i]].sum() + math.log(left))
-            value[i] = float(_cut_gumbel(np.array(mass), top, rng))
-        else:
-            value[i] = -np.inf
-        open_(np.append(arcs[:i], arc), int(to[arc]), top)
-    # The next value after the k-th is the threshold of the inclusion scores.
-    kappa = found[k][2] if len(found) > k else -math.inf
-    return [(arcs, lp, g, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(700.0, lp - kappa)))) for arcs, lp, g in found[:k]]
+    found: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
+    closed: list[list[list]] = [[] for _ in texts]  # [values by decision, arcs, arcs opened by decision]
+    kappa = np.full(len(texts), -np.inf)
+    nothing = np.zeros(0, np.int64)
+
+    def open_(round_: int, todo: list[tuple[int, np.ndarray, np.ndarray, float]]) -> None:
+        """For (text, prefix, nodes behind it, perturbed value): the best path with this prefix, and what stays closed beside it."""
+        size = np.array([len(rest) for _, _, rest, _ in todo])
+        own_seed = _seed(seeds[[i for i, _, _, _ in todo]], round_)
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        arcs, n = lattice.walk(np.concatenate([rest for _, _, rest, _ in todo]), _seed(np.repeat(own_seed, size), place))
+        ends = np.append(0, np.cumsum(n))
+        spans = np.stack([ends[first], ends[first + size]], axis=1) if len(n) else np.zeros((len(todo), 2), np.int64)
+        lp = log_own[arcs]
+        before = np.cumsum(lp) - lp
+        many = spans[:, 1] - spans[:, 0]
+        start = np.array([log_own[prefix].sum() for _, prefix, _, _ in todo])
+        shift = start - np.where(many > 0, np.append(before, 0.0)[np.minimum(spans[:, 0], len(before))], 0.0)
+        other = -np.expm1(lp)
+        mass = before + np.repeat(shift, many) + np.log(np.maximum(other, 1e-300))
+        u = _uniform(np.repeat(_seed(own_seed, 1 << 40), many), np.arange(len(arcs)) - np.repeat(spans[:, 0], many))
+        value = np.where(other > 1e-12, _cut_gumbel(mass, np.repeat([top for _, _, _, top in todo], many), u), -np.inf)
+        for (i, prefix, _, top), (a, e), s in zip(todo, spans.tolist(), start.tolist(), strict=True):
+            # Decisions of the prefix belong to whoever opened it.
+            closed[i].append([np.concatenate([np.full(len(prefix), -np.inf), value[a:e]]), np.concatenate([prefix, arcs[a:e]]), {}])
+            found[i].append((closed[i][-1][1], s + float(lp[a:e].sum()), top))
+
+    tops = -np.log(-np.log(_uniform(_seed(seeds, 1 << 41))))
+    open_(0, [(i, nothing, t, float(g)) for i, (t, g) in enumerate(zip(texts, tops, strict=True))])
+    live = list(range(len(texts)))
+    for round_ in range(1, k + 1):
+        pick, cut = _uniform(_seed(seeds, (1 << 42) + round_)), _uniform(_seed(seeds, (1 << 43) + round_))
+        todo = []
+        for t in live:
+            value, arcs, opened = max(closed[t], key=lambda c: c[0].max(initial=-np.inf))
+            top = float(value.max(initial=-np.inf))
+            if top == -np.inf:
+                continue
+            if round_ == k:
+                kappa[t] = top  # the (k+1)th value: only the threshold is asked for
+                continue
+            i = int(value.argmax())
+            node = int(np.searchsorted(nodes, arcs[i], "right")) - 1
+            here = np.arange(nodes[node], nodes[node + 1])
+            taken = opened.setdefault(i, [int(arcs[i])])
+            free = here[~np.isin(here, taken)]
+            own = np.exp(log_own[free])
+            j = min(len(free) - 1, int(np.searchsorted(np.cumsum(own), pick[t] * own.sum())))
+            arc, left = int(free[j]), float(own.sum() - own[j])
+            taken.append(arc)
+            if len(free) > 1 and left > 1e-15:
+                value[i] = _cut_gumbel(log_own[arcs[:i]].sum() + math.log(left), top, cut[t])
+            else:
+                value[i] = -np.inf
+            done = int((to[arcs[:i]] == 0).sum())
+            behind = texts[t][done + 1 :] if to[arc] == 0 else np.append(to[arc], texts[t][done + 1 :])
+            todo.append((t, np.append(arcs[:i], arc), behind, top))
+        live = [t for t, _, _, _ in todo] if round_ < k else live
+        if todo:
+            open_(round_, todo)
+    return [[(arcs, lp, g, 1.0 if kappa[t] == -np.inf else -math.expm1(-math.exp(min(700.0, lp - kappa[t])))) for arcs, lp, g in f] for t, f in enumerate(found)]
 
 
 class Sampler:
@@ -209,26 +261,33 @@ class Sampler:
         return self.model.normalize((text or "").encode("utf-8", "replace").decode())
 
     def ids(self, arcs: np.ndarray) -> np.ndarray:
-        piece = self.lattice.piece[arcs]
-        if len(piece) and piece.min() < 0:
-            return np.array([i for p in piece.tolist() for i in ([p] if p >= 0 else self.lattice.raw[-p])], np.int64)
-        return piece
+        lattice = self.lattice
+        piece = lattice.piece[arcs]
+        raw = piece < 0
+        if not raw.any():
+            return piece
+        size = np.where(raw, lattice.raw_size[np.where(raw, -piece, 0)], 1)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        whole, lone = np.repeat(piece, size), np.repeat(raw, size)
+        return np.where(lone, lattice.raw[np.where(lone, at - whole, 0)], whole)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the blank that encoding puts first is taken off."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
     def samples(self, keys: list, texts: list[str | None], k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float, bool]]:
-        cut = [_WORD.findall(self.normalised(t)) for t in texts]
-        self.lattice.learn({w for c in cut for w in c})
-        words = self.lattice.words
-        for i, (key, c) in enumerate(zip(keys, cut, strict=True)):
-            seed = xxhash.xxh64_intdigest(str(key).encode(), 42)
-            rng = np.random.Generator(np.random.Philox(seed))
-            text = "".join(c).replace(SPACE, " ").removeprefix(" ")
-            for n, (arcs, lp, g, inclusion) in enumerate(sample_paths(self.lattice, np.array([words[w] for w in c], np.int64), k, rng), 1):
-                ids = self.ids(arcs)
-                yield i, n, ids, lp, g, inclusion, self.decode(ids) == text
+        """Row, sample, ids, log probability, perturbed value, inclusion score, and whether decoding gives the normalised text."""
+        for a in range(0, len(keys), TOGETHER):
+            cut = [_WORD.findall(self.normalised(t)) for t in texts[a : a + TOGETHER]]
+            self.lattice.learn({w for c in cut for w in c})
+            first = self.lattice.words
+            seeds = np.array([xxhash.xxh64_intdigest(str(x).encode(), 42) for x in keys[a : a + TOGETHER]], np.uint64)
+            words = [np.array([first[w] for w in c], np.int64) for c in cut]
+            for i, (c, paths) in enumerate(zip(cut, sample_paths(self.lattice, words, k, seeds), strict=True)):
+                text = "".join(c).replace(SPACE, " ").removeprefix(" ")
+                for n, (arcs, lp, g, inclusion) in enumerate(paths, 1):
+                    ids = self.ids(arcs)
+                    yield a + i, n, ids, lp, g, inclusion, self.decode(ids) == text
 
 
 @cache
@@ -269,17 +328,18 @@ def sample_segmentations(docs: DataFrame, path: str, k: int, id_col: str = "doc_
     inclusion is 1 - exp(-exp(log_prob - t)), t being the (k+1)th perturbed value.  The id
     seeds a row, so repeated rows give repeated results.  Other columns are not read.
     """
-    schema = "sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = pa.schema([("sample", pa.int32()), ("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), *[("ids", pa.list_(pa.int32()))] * with_ids])
+    ddl = f"`{id_col}` {kind}, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
-    @F.pandas_udf(f"array<struct<{', '.join(':'.join(x.split(' ', 1)) for x in schema.split(', '))}>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path)
-        for keys, texts in batches:
-            out: list[list[dict]] = [[] for _ in range(len(keys))]
-            for i, n, ids, lp, g, inclusion, same in s.samples(keys.tolist(), texts.tolist(), k):
-                row = {"sample": n, "n_pieces": len(ids), "log_prob": lp, "perturbed": g, "inclusion": inclusion, "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "round_trip": same}
-                out[i].append(row | ({"ids": ids.tolist()} if with_ids else {}))
-            yield pd.Series(out)
-
-    found = docs.select(F.col(id_col), run(F.col(id_col).cast("string"), F.col(text_col)).alias("_s"))
-    return found.select(id_col, F.inline("_s"))
+        for b in batches:
+            at, rows = [], []
+            for i, n, ids, lp, g, inclusion, same in s.samples(b.column(0).to_pylist(), b.column(1).to_pylist(), k):
+                at.append(i)
+                rows.append((n, len(ids), lp, g, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), same, *[ids.tolist()] * with_ids))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], [id_col, *schema.names])
+
+    return docs.select(id_col, text_col).mapInArrow(run, ddl)
