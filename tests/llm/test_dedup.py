@@ -62,13 +62,14 @@ def test_fingerprint(text):
 
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
-    b = a.copy()
-    for i in range(1000):
-        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
-            b[i] ^= np.uint64(1) << np.uint64(bit)
-    for radius in (0, 1, 2, 3, 4):
-        assert (simhash_dedup.linked(a, b, radius) == (np.bitwise_count(a ^ b) <= radius)).all()
+    for words in (1, 4):
+        a = rng.integers(0, 1 << 63, (1000, words), dtype=np.uint64)
+        b = a.copy()
+        for i in range(1000):
+            for bit in rng.choice(64 * words, rng.integers(0, 6 * words), replace=False):
+                b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        for radius in (0, 1, 2, 3, 4, 11, 17):
+            assert (simhash_dedup.linked(a, b, radius) == (np.bitwise_count(a ^ b).sum(1) <= radius)).all()
     assert len(simhash_dedup.linked(a[:0], b[:0])) == 0
 
 
@@ -109,7 +110,39 @@ def test_near_duplicates(spark):
     top = 3 if near else 5
     assert got == sorted([(5, top), (3, 3), (9, top), (9, top), (2, 2), (4, 2), (1, 1), (None, top)], key=str)
     assert simhash_dedup.near_duplicates(table(spark, [])).count() == 0
-    assert {r["doc_id"] for r in simhash_dedup.drop_near_copies(table(spark, [(1, "a b"), (2, "a b"), (3, "c d")])).collect()} == {1, 3}
+    assert {r["doc_id"] for r in simhash_dedup.drop_near_copies(table(spark, [(1, "a b"), (2, "A b"), (3, "c d"), (5, None), (4, "")])).collect()} == {1, 3, 4}
+    assert simhash_dedup.drop_near_copies(table(spark, [])).count() == 0
+
+
+def test_large_groups_as_small_ones():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, (6, 1), dtype=np.uint64)
+    fps = base[rng.integers(0, 6, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 1), dtype=np.uint64))
+    pairs = np.array([(i, j) for j in range(300) for i in range(j) if int(fps[i, 0] ^ fps[j, 0]).bit_count() <= 2])
+    assert (simhash_dedup._reach(fps, 2) == simhash_dedup._forest(300, pairs[:, 0], pairs[:, 1])).all()
+
+
+@pytest.mark.parametrize("tile", [8, 4096])
+def test_similar_documents(spark, tile):
+    """Texts of one, two and many changed words, clean ones, and one group of near copies larger than a tile."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, family = [], {}
+    for f in range(30):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        for c in range(40 if f == 0 else rng.randint(1, 4)):
+            text = list(base)
+            if c:
+                for _ in range(rng.randint(1, max(1, len(text) // 120))):
+                    text[rng.randrange(len(text))] = word()
+            i = len(rows)
+            rows.append((i, " ".join(text)))
+            family[i] = f
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(table(spark, rows), tile=tile).collect()}
+    first = {}
+    for i, f in family.items():
+        first.setdefault(f, i)
+    assert got == {i: first[f] for i, f in family.items()}
 
 
 def check_packing(rows, docs, capacity):
