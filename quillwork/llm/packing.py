@@ -26,7 +26,7 @@ from quillwork.llm.bpe import bpe_encoder, ids_crc32
 
 CAPACITY, END_ID = 1024, 2
 #: Bounds of the search: its nodes, steps of one enumeration, and fillings that a node branches on.
-NODES, STEPS, FILLINGS = 4000, 1500, 6
+NODES, STEPS, FILLINGS = 2000, 1500, 6
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quillwork.llm.unigram import SPACE, load_vocabulary
 
 #: Arcs that a worker remembers (the memory starts anew when it is full), and texts that are walked together.
-MEMORY, TOGETHER = 6_000_000, 100
+MEMORY, TOGETHER = 12_000_000, 100
 _WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
 
@@ -47,6 +47,23 @@ def _substring_hashes(text: str, longest: int) -> dict[int, np.ndarray]:
     return out
 
 
+class _Grown:
+    """An array that more is added to; room doubles, so that adding costs what is added."""
+
+    def __init__(self, start: np.ndarray):
+        self.room, self.n = start.copy(), len(start)
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty(self.n + 2 * len(more), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Lattice:
     """Arcs of the words seen so far, flat and ordered by node; node 0 is a word's end and has none.
 
@@ -71,12 +88,16 @@ class Lattice:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}  # first node
-        self.nodes = np.zeros(2, np.int64)  # where each node's arcs start, and the end
-        self.share, self.log_own = np.zeros(0, np.float32), np.zeros(0)
-        self.to, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._nodes = _Grown(np.zeros(2, np.int64))  # where each node's arcs start, and the end
+        self._share, self._log_own = _Grown(np.zeros(0, np.float32)), _Grown(np.zeros(0))
+        self._to, self._piece = _Grown(np.zeros(0, np.int32)), _Grown(np.zeros(0, np.int32))
+        self._show()
         # Ids of the bytes of characters without a piece, one after the other; an arc of such has minus its place.
         self.raw, self.raw_size = np.zeros(1, np.int32), np.zeros(1, np.int32)
 
+    def _show(self) -> None:
+        self.nodes, self.share, self.log_own, self.to, self.piece = (x.all for x in (self._nodes, self._share, self._log_own, self._to, self._piece))
+
     def learn(self, words: set[str]) -> None:
         if len(self.to) > MEMORY:
             self._forget()
@@ -110,7 +131,7 @@ class Lattice:
             self.raw = np.concatenate([self.raw, np.array([i for r in raw for i in r], np.int32)])
             self.raw_size = np.concatenate([self.raw_size, np.repeat(size_of, size_of)])
         # Log mass behind each position, from the words' ends backwards, all words at once.
-        order = np.lexsort((to, at, stop[at] - at))
+        order = np.argsort((stop[at] - at) * (len(text) + 1) + at)
         at, to, piece, log_prob = at[order], to[order], piece[order], log_prob[order]
         level = stop[at] - at
         ends_word = to == stop[at]
@@ -122,7 +143,7 @@ class Lattice:
             total = np.logaddexp.reduceat(m, head)
             mass[at[a:b][head]] = total
             log_own[a:b] = m - np.repeat(total, np.diff(np.append(head, b - a)))
-        order = np.lexsort((-log_own, at))
+        order = np.argsort(at - 0.999 * np.exp(log_own))  # by node, the likeliest arc first
         at, log_own = at[order], log_own[order]
         head = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(head[1:], len(at)) - 1
@@ -132,11 +153,12 @@ class Lattice:
         share[last] = 2.0  # no draw passes a node's last arc
         base = len(self.nodes) - 1
         self.words.update(zip(new, (np.cumsum(size) - size + base).tolist(), strict=True))
-        self.to = np.concatenate([self.to, np.where(ends_word[order], 0, to[order] + base).astype(np.int32)])
-        self.nodes = np.concatenate([self.nodes, len(self.log_own) + last + 1])
-        self.log_own = np.concatenate([self.log_own, log_own])
-        self.share = np.concatenate([self.share, share.astype(np.float32)])
-        self.piece = np.concatenate([self.piece, piece[order].astype(np.int32)])
+        self._to.add(np.where(ends_word[order], 0, to[order] + base))
+        self._nodes.add(self._log_own.n + last + 1)
+        self._log_own.add(log_own)
+        self._share.add(share)
+        self._piece.add(piece[order])
+        self._show()
 
     def walk(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from start nodes to their words' ends: arcs in order of start and position, and how many each start has."""
