@@ -325,6 +325,67 @@ def carry_forward_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(so_far).alias("head"))
 
 
+# --- replies of models -------------------------------------------------------------------------------------------
+
+ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
+
+
+def ascii_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+@query(rf"""
+WITH f AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:5] AS w FROM conversations WHERE {ASCII})
+SELECT conv_id, turn, array_to_string(w, ' ') AS sentence, array_to_string(w, ' ') AS answer, coalesce(w[1], '') AS word, coalesce(nullif(regexp_extract('HINT: "' || coalesce(w[1], '') || '" means', '"([a-zA-Z0-9_'']+)"', 1), ''), '') AS hinted,
+       starts_with('HINT: "' || coalesce(w[1], '') || '" means', 'HINT:') AS is_hint FROM f""")
+def reply_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with what models put around them, cleaned."""
+    first = F.array_join(F.slice(T.split_words("text"), 1, 5), " ")
+    word = F.coalesce(F.try_element_at(T.split_words("text"), F.lit(1)), F.lit(""))
+    hint = F.concat(F.lit('HINT: "'), word, F.lit('" means'))
+    rows = ascii_turns(spark, sf_dir).select("conv_id", "turn", first.alias("s"), word.alias("w"), hint.alias("h"))
+    wrapped = F.concat(F.lit("Here's the corrected sentence: "), "s")
+    thought = F.concat(F.lit("<think>hm</think> "), "s", F.lit("\nmore"))
+    said = F.concat(F.lit("  "), "w", F.lit(" and more\nlines"))
+    return rows.select("conv_id", "turn", T.strip_reply_prefix(wrapped).alias("sentence"), T.strip_thinking(thought).alias("answer"), F.when(F.col("w") == "", "").otherwise(T.first_word(said)).alias("word"), T.hinted_word("h").alias("hinted"), T.is_hint("h").alias("is_hint"))
+
+
+@query(rf"""
+WITH r AS (SELECT conv_id, turn, text, strpos(lower(text), 'the') AS a FROM conversations WHERE {ASCII}),
+b AS (SELECT *, CASE WHEN a > 0 THEN text[1:a - 1] || 'teh' || text[a + 3:] ELSE text END AS one FROM r),
+c AS (SELECT *, strpos(lower(one), 'on') AS n FROM b)
+SELECT conv_id, turn, CASE WHEN n > 0 THEN one[1:n - 1] || 'no' || one[n + 2:] ELSE one END AS changed FROM c""")
+def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changes after each other, each at its first occurrence."""
+    changes = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (("the", "teh"), ("on", "no"))])
+    return ascii_turns(spark, sf_dir).select("conv_id", "turn", T.apply_changes("text", changes).alias("changed"))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, text, strpos(text, ' ') AS p FROM conversations WHERE {ASCII} AND strpos(text, ' ') > 1)
+SELECT conv_id, turn, 'FIRST' || text[p:] AS accepted FROM t""")
+def accept_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word replaced by its correction."""
+    rows = ascii_turns(spark, sf_dir).withColumn("stop", F.instr("text", " ") - 1).filter("stop > 0")
+    return rows.select("conv_id", "turn", marks.accept_correction(F.col("text"), F.lit(0), F.col("stop"), F.lit("FIRST")).alias("accepted"))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, text, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[2:], ' ') AS reply FROM conversations WHERE {ASCII})
+SELECT conv_id, turn, contains(lower(text), lower(reply)) AS has_reply, trim(text) = trim(reply) AS same,
+       abs(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) - len(list_filter(string_split_regex(reply, '\s+'), lambda x: x <> ''))) <= 1 AS kept_words FROM t""")
+def pass_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ascii_turns(spark, sf_dir).withColumn("reply", F.array_join(F.slice(T.split_words("text"), 2, 1 << 30), " "))
+    kept = F.abs(T.count_words("text") - T.count_words("reply")) <= 1
+    return rows.select("conv_id", "turn", evaluate.reply_contains(F.col("text"), F.col("reply")).alias("has_reply"), evaluate.same_trimmed(F.col("text"), F.col("reply")).alias("same"), kept.alias("kept_words"))
+
+
+@query(f"WITH {SWAPPED}, c AS (SELECT misspelling AS word, correct AS candidate FROM p) SELECT word, candidate, {LCS}::int AS lcs FROM c")
+def common_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = swapped_pairs(spark, sf_dir).select(F.col("misspelling").alias("word"), F.col("correct").alias("candidate"))
+    return rows.withColumn("lcs", lcs_length("word", "candidate"))
+
+
 # --- pairs and training rows -------------------------------------------------------------------------------------
 
 
