@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import preserve_case
@@ -12,16 +11,20 @@ from quillwork.functions.text import preserve_case
 def mark_occurrences(texts: DataFrame, corrections: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """key, from, to, shown, correction: each occurrence, whatever its case, of a correction's original between non-word characters.
 
-    corrections: key, original, corrected, originals made of word characters and
-    apostrophes.  Offsets count from 0.  Runs of such characters are found once per
-    text and joined on the word.
+    corrections: key, original, corrected, a few for each text, empty originals left out.
+    Offsets count from 0; occurrences are taken from left to right and do not overlap.
+    Cutting the text at the original gives them within the row.
     """
-    pieces = F.regexp_extract_all(text, F.lit(r"[\w']+|[^\w']+"), F.lit(0))
-    rows = texts.select(key, F.posexplode(pieces).alias("i", "shown"))
-    before = W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("from", F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)).cast("int")).withColumn("word", F.lower("shown"))
-    found = placed.join(corrections.select(key, F.lower("original").alias("word"), "corrected").distinct(), [key, "word"])
-    return found.select(key, "from", (F.col("from") + F.length("shown")).alias("to"), "shown", preserve_case("shown", "corrected").alias("correction"))
+    met = texts.select(key, F.col(text).alias("_t")).join(corrections.filter("original <> ''").select(key, "original", "corrected").distinct(), key)
+    wanted = F.lower("original")
+    parts = F.split(F.lower("_t"), F.concat(F.lit("\\Q"), wanted, F.lit("\\E")))
+    before = lambda i: F.aggregate(F.slice("_p", 1, i), F.lit(0), lambda n, x: n + F.length(x)) + (i - 1) * F.length("original")
+    starts = F.when(F.size("_p") > 1, F.transform(F.sequence(F.lit(1), F.size("_p") - 1), before)).otherwise(F.array().cast("array<int>"))
+    found = met.withColumn("_p", parts).select(key, "_t", "original", "corrected", F.explode(starts).alias("from")).withColumn("to", F.col("from") + F.length("original"))
+    is_word = lambda at: F.substring("_t", at, F.lit(1)).rlike(r"\w")
+    alone = ~((F.col("from") > 0) & is_word(F.col("from"))) & ~is_word(F.col("to") + 1)
+    shown = F.substring("_t", F.col("from") + 1, F.length("original"))
+    return found.filter(alone).select(key, "from", "to", shown.alias("shown"), preserve_case(shown, "corrected").alias("correction"))
 
 
 def suggestion_for(word: Column, corrections: Column) -> Column:

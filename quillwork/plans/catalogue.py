@@ -304,7 +304,7 @@ def case_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z0-9_'']+|[^a-zA-Z0-9_'']+') AS ts FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+') AS ts FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
 e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS shown FROM t),
 p AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS start FROM e)
 SELECT conv_id, turn, start, (start + length(shown))::int AS stop, shown,

@@ -193,10 +193,11 @@ def test_homophones(spark):
 
 
 def test_marks(spark):
-    texts = spark.createDataFrame([("1", "Teh cat, teh TEH ateh teh.")], "key string, text string")
-    fixes = spark.createDataFrame([("1", "teh", "the")], "key string, original string, corrected string")
-    assert rows(marks.mark_occurrences(texts, fixes).select("from", "to", "correction"), "from") == [(0, 3, "the"), (9, 12, "the"), (13, 16, "THE"), (22, 25, "the")]
-    t = texts.select(marks.accept_correction(F.col("text"), F.lit(9), F.lit(12), F.lit("the"))).first()[0]
+    texts = spark.createDataFrame([("1", "Teh cat, teh TEH ateh teh."), ("2", "teh's do'nt teh")], "key string, text string")
+    fixes = spark.createDataFrame([("1", "teh", "the"), ("2", "teh", "the"), ("2", "Do'nt", "don't"), ("2", "", "x")], "key string, original string, corrected string")
+    got = marks.mark_occurrences(texts, fixes).select("key", "from", "to", "correction")
+    assert rows(got, "key", "from") == [("1", 0, 3, "the"), ("1", 9, 12, "the"), ("1", 13, 16, "THE"), ("1", 22, 25, "the"), ("2", 0, 3, "the"), ("2", 6, 11, "don't"), ("2", 12, 15, "the")]
+    t = texts.filter("key = '1'").select(marks.accept_correction(F.col("text"), F.lit(9), F.lit(12), F.lit("the"))).first()[0]
     assert t == "Teh cat, the TEH ateh teh."
     listed = spark.createDataFrame([([("Teh", "the"), ("x", "y")],)], "c array<struct<original: string, corrected: string>>")
     assert listed.select(marks.suggestion_for(F.lit("TEH"), F.col("c"))).first()[0] == "the"
