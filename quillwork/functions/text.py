@@ -41,13 +41,18 @@ def tokens_with_separators(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\s+|\S+"), F.lit(0))
 
 
-def clean(word: Column | str) -> Column:
+#: Word characters: of ASCII, as browsers and Java have them; of all scripts, as Python has them.
+_ASCII, _ANY = r"\w", r"\p{L}\p{N}_"
+
+
+def clean(word: Column | str, unicode: bool = False) -> Column:
     """Word characters only, lower case."""
-    return F.lower(F.regexp_replace(_col(word), r"[^\w]", ""))
+    return F.lower(F.regexp_replace(_col(word), f"[^{_ANY if unicode else _ASCII}]", ""))
 
 
 def clean_keeping_apostrophes(word: Column | str) -> Column:
-    return F.lower(F.regexp_replace(_col(word), r"[^\w']", ""))
+    """Word characters of any script and apostrophes, lower case."""
+    return F.lower(F.regexp_replace(_col(word), f"[^{_ANY}']", ""))
 
 
 def clean_ends(word: Column | str) -> Column:
@@ -60,7 +65,7 @@ def letters_only(word: Column | str, apostrophes: bool = False) -> Column:
 
 
 def strip_punctuation(word: Column | str) -> Column:
-    return F.regexp_replace(_col(word), r"^[^\w]+|[^\w]+$", "")
+    return F.regexp_replace(_col(word), f"^[^{_ANY}]+|[^{_ANY}]+$", "")
 
 
 def match_case(original: Column | str, corrected: Column | str) -> Column:
@@ -114,7 +119,7 @@ def parse_changes(reply: Column | str, valid_words: Iterable[str] = ()) -> Colum
 
 def keep_punctuation(word: Column | str, correction: Column | str) -> Column:
     """The correction with all of the word's punctuation behind it."""
-    return F.concat(_col(correction), F.regexp_replace(_col(word), r"[\w]", ""))
+    return F.concat(_col(correction), F.regexp_replace(_col(word), f"[{_ANY}]", ""))
 
 
 def replace_first(text: Column | str, original: Column, corrected: Column) -> Column:

@@ -115,7 +115,7 @@ def rewrite_sentences(sentences: DataFrame, cache: DataFrame, replies: DataFrame
 
     Cached words keep their punctuation, behind the correction.
     """
-    rows = sentences.select("key", "sentence", F.posexplode(split_words("sentence")).alias("i", "token")).withColumn("word", clean("token"))
+    rows = sentences.select("key", "sentence", F.posexplode(split_words("sentence")).alias("i", "token")).withColumn("word", clean("token", unicode=True))
     looked = rows.join(cache.select("word", "correction"), "word", "left")
     new = F.when(F.col("correction").isNotNull(), keep_punctuation("token", "correction")).otherwise(F.col("token"))
     per = looked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", new.alias("t")))).alias("_t"), F.count("correction").alias("cache_hits"))

@@ -11,7 +11,7 @@ from quillwork.functions.text import clean, clean_keeping_apostrophes, split_wor
 def scan(sentences: DataFrame, homophones: DataFrame, key: str = "key", text: str = "sentence", keep_apostrophes: bool = True) -> DataFrame:
     """key, index, token, word, members: one row for each token that has homophones."""
     rows = sentences.select(key, F.posexplode(split_words(text)).alias("index", "token"))
-    word = clean_keeping_apostrophes("token") if keep_apostrophes else clean("token")
+    word = clean_keeping_apostrophes("token") if keep_apostrophes else clean("token", unicode=True)
     return rows.withColumn("word", word).join(homophones.select("word", "members"), "word").select(key, "index", "token", "word", "members")
 
 

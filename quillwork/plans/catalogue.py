@@ -274,7 +274,7 @@ HOMOPHONES_SQL = "(VALUES " + ", ".join("('" + w.replace("'", "''") + f"', {len(
 
 @query(rf"""
 WITH e AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS token FROM conversations),
-w AS (SELECT conv_id, turn, lower(regexp_replace(token, '[^a-zA-Z0-9_'']', '', 'g')) AS word FROM e)
+w AS (SELECT conv_id, turn, lower(regexp_replace(token, '[^\p{{L}}\p{{N}}_'']', '', 'g')) AS word FROM e)
 SELECT conv_id, turn, w.word, h.n_members::int AS n_members, count(*) AS n FROM w JOIN (SELECT * FROM {HOMOPHONES_SQL} v(word, n_members)) h ON w.word = h.word GROUP BY ALL""")
 def homophone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))

@@ -82,6 +82,7 @@ def test_tokens(spark):
 
 def test_cleaning(spark):
     assert one(spark, T.clean("t"), t='"Don\'t!"') == "dont"
+    assert one(spark, T.clean("t"), t="Été") == "t" and one(spark, T.clean("t", unicode=True), t="(Été)") == "été"
     assert one(spark, T.clean_keeping_apostrophes("t"), t='"Don\'t!"') == "don't"
     assert one(spark, T.clean_ends("t"), t="(Ab-c')") == "ab-c'"
     assert one(spark, T.letters_only("t", apostrophes=True), t="I'm 2") == "i'm"
