@@ -29,6 +29,17 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _gaps(found: list[int | None]) -> list[int]:
+    """Places of chunks that are not known yet."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class BpeEncoder:
     def __init__(self, path: str, end_id: int | None, max_chunks: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -93,8 +104,11 @@ class BpeEncoder:
             self._forget()
         cut = [self._pieces(t or "") for t in texts]
         spaced, first = self.spaced, self.first
-        found = [list(map(spaced.get, c)) for c in cut]  # of the first piece, another dictionary tells
-        new = list(dict.fromkeys(p for c, f in zip(cut, found, strict=True) if None in f for p, k in zip(c[1:], f[1:], strict=True) if k is None))
+        found = [list(map(spaced.get, c)) for c in cut]
+        for f in found:
+            f[0] = 0  # of the first piece, another dictionary tells
+        gaps = [_gaps(f) for f in found]
+        new = list(dict.fromkeys(c[i] for c, g in zip(cut, gaps, strict=True) for i in g))
         # "word," is "word" and ",": letters and the mark after them never share a token.
         tailed = [p for p in new if p[-1:] in _TAIL and p[-2:-1] < "\u0250" and p[-2:-1].isalpha()]
         marked = set(tailed)
@@ -105,9 +119,9 @@ class BpeEncoder:
             self._add(spaced, tailed, ids, np.diff(after[1::2], prepend=0))
         chunks: list[int] = []
         ends = np.empty(len(cut), np.int64)
-        for i, (c, f) in enumerate(zip(cut, found, strict=True)):
-            if None in f:
-                f = list(map(spaced.get, c))
+        for i, (c, f, g) in enumerate(zip(cut, found, gaps, strict=True)):
+            for k in g:
+                f[k] = spaced[c[k]]
             f[0] = first[c[0]]
             chunks += f
             chunks.append(0)
