@@ -145,6 +145,34 @@ def test_similar_documents(spark, tile):
     assert got == {i: first[f] for i, f in family.items()}
 
 
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("tile", [4, 4096])
+def test_similar_documents_around_the_threshold(spark, tile):
+    """Texts of n shingles and of their first k, and chains of such, short and long, against all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for n, *cuts in [(5, 4), (6, 5), (6, 4), (10, 8), (15, 12), (15, 11), (25, 20), (25, 19), (26, 20), (250, 200), (250, 199), (250, 210, 170, 140), (1000, 800), (1000, 799), (100, 70), (20, 16, 13, 11, 9)]:
+        for _ in range(6):
+            base = [word() for _ in range(n + 4)]
+            rows += [" ".join(base[: k + 4]) for k in (n, *cuts)]
+    rng.shuffle(rows)
+    sets = [shingles(t) for t in rows]
+    top = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if top[i] != top[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top[i], top[j]))
+                top = [a if x == b else x for x in top]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(table(spark, list(enumerate(rows))), tile=tile).collect()}
+    assert got == dict(enumerate(top))
+
+
 def check_packing(rows, docs, capacity):
     encoder = BpeEncoder(public_vocabulary(), 2)
     by_sequence = {}
