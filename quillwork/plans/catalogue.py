@@ -239,6 +239,16 @@ def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def sentence_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sentence_diff, of every turn and its whole text."""
+    rows = _t(spark, sf_dir, "conversations").withColumn("w", T.split_words("text"))
+    original = noised(F.array_join("w", " "))
+    corrected = F.array_join(F.concat(F.slice("w", 1, 3), F.slice("w", 5, 1 << 30)), " ")
+    found = rows.select("conv_id", "turn", original.alias("o"), corrected.alias("c")).select("conv_id", "turn", F.inline(align.sentence_changes(F.col("o"), F.col("c"))))
+    return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(rf"""
 WITH p AS (SELECT {WORDS.format("translate(text, 'bdpq', 'dbqp')")} AS a, {WORDS.format('text')} AS b FROM conversations),
 z AS (SELECT unnest(list_zip(a, b)) AS p FROM p WHERE len(a) = len(b)),
