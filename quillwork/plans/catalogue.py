@@ -360,6 +360,17 @@ def reply_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.strip_reply_prefix(wrapped).alias("sentence"), T.strip_thinking(thought).alias("answer"), F.when(F.col("w") == "", "").otherwise(T.first_word(said)).alias("word"), T.hinted_word("h").alias("hinted"), T.is_hint("h").alias("is_hint"))
 
 
+@query()
+def reply_cleaning_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As reply_cleaning, of every turn and its whole text."""
+    rows = _t(spark, sf_dir, "conversations")
+    wrapped = F.concat(F.lit("Here's the corrected sentence: "), "text")
+    thought = F.concat(F.lit("<think>hm</think> "), "text", F.lit("\nmore"))
+    said = F.concat(F.lit("  "), "text", F.lit("\nlines"))
+    hint = F.concat(F.lit('HINT: "'), F.coalesce(F.try_element_at(T.split_words("text"), F.lit(1)), F.lit("")), F.lit('" means '), "text")
+    return rows.select("conv_id", "turn", T.strip_reply_prefix(wrapped).alias("sentence"), T.strip_thinking(thought).alias("answer"), T.first_word(said).alias("word"), T.hinted_word(hint).alias("hinted"), T.is_hint(hint).alias("is_hint"))
+
+
 @query(rf"""
 WITH r AS (SELECT conv_id, turn, text, strpos(lower(text), 'the') AS a FROM conversations WHERE {ASCII}),
 b AS (SELECT *, CASE WHEN a > 0 THEN text[1:a - 1] || 'teh' || text[a + 3:] ELSE text END AS one FROM r),

@@ -72,3 +72,15 @@ def test_sentence_diff_whole(spark, sf_dir, turns):
         for o, c in changes(" ".join(w).translate(NOISE), " ".join(w[:3] + w[4:])):
             wanted[conv, turn, o, c] += 1
     assert got(spark, sf_dir, "sentence_diff_whole", "conv_id", "turn", "original", "corrected", "n") == Counter((*k, n) for k, n in wanted.items())
+
+
+def test_reply_cleaning_whole(spark, sf_dir, turns):
+    wanted = Counter()
+    for conv, turn, text in turns:
+        once = re.sub(r"^(here'?s?\s+(the\s+)?corrected\s+(sentence|text)[:\s]*)", "", "Here's the corrected sentence: " + text, flags=re.I | re.A)
+        sentence = re.sub(r"^(corrected[:\s]*)", "", once, flags=re.I | re.A).strip()
+        answer = (text + "\nmore").strip().split("\n")[0].strip()
+        first = re.search(r"[^ \t\n\x0b\f\r]+", (text + "\nlines").strip().split("\n")[0])
+        hinted = re.search(r'"([a-zA-Z0-9_\']+)"', f'HINT: "{(words(text) or [""])[0]}" means {text}')
+        wanted[conv, turn, sentence, answer, first[0], hinted[1] if hinted else "", True] += 1
+    assert got(spark, sf_dir, "reply_cleaning_whole", "conv_id", "turn", "sentence", "answer", "word", "hinted", "is_hint") == wanted
