@@ -274,9 +274,7 @@ g AS (SELECT conv_id, turn, count(correction) AS cache_hits,
 SELECT t.conv_id, t.turn, coalesce(g.cache_hits, 0) AS cache_hits, CASE WHEN g.cache_hits > 0 THEN g.joined ELSE t.text END AS corrected, coalesce(g.cache_hits, 0) < 2 AS asked
 FROM t LEFT JOIN g USING (conv_id, turn)""")
 def apply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
-    found = correct.rewrite_sentences(rows, spark.createDataFrame(CACHE, "word string, correction string"))
-    return found.select("key.conv_id", "key.turn", "cache_hits", "corrected", "asked")
+    return _apply_cache(spark, ascii_turns(spark, sf_dir))
 
 
 HOMOPHONES_SQL = "(VALUES " + ", ".join("('" + w.replace("'", "''") + f"', {len(g)})" for g in C.HOMOPHONE_GROUPS for w in g) + ")"
@@ -297,9 +295,7 @@ SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_re
   CASE WHEN lower(regexp_replace(t, '[^a-zA-Z0-9_'']', '', 'g')) = 'by' THEN '[pause] ' || upper(t) || '. BY means {C.DEFINITIONS['by']}. Did you mean BUY, as in {C.DEFINITIONS['buy']}?' ELSE t END), ' ') AS script
 FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
 def tts_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    means = lambda w: F.lit(C.DEFINITIONS[w])
-    return rows.select("conv_id", "turn", homophones.speech_script("text", F.lit("by"), F.lit("buy"), means("by"), means("buy")).alias("script"))
+    return _tts_script(spark, ascii_turns(spark, sf_dir))
 
 
 @query(r"""
@@ -321,10 +317,7 @@ SELECT conv_id, turn, start, (start + length(shown))::int AS stop, shown,
        CASE WHEN shown = upper(shown) THEN upper(c.correction) WHEN shown = lower(shown) THEN lower(c.correction) ELSE c.correction END AS correction
 FROM p JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON lower(p.shown) = c.word""")
 def mark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.struct("conv_id", "turn").alias("key"), "text")
-    cache = spark.createDataFrame(CACHE, "original string, corrected string")
-    found = marks.mark_occurrences(rows, rows.select("key").crossJoin(F.broadcast(cache)))
-    return found.select("key.conv_id", "key.turn", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
+    return _mark_occurrences(spark, ascii_turns(spark, sf_dir))
 
 
 @query("""
@@ -378,8 +371,7 @@ c AS (SELECT *, strpos(lower(one), 'on') AS n FROM b)
 SELECT conv_id, turn, CASE WHEN n > 0 THEN one[1:n - 1] || 'no' || one[n + 2:] ELSE one END AS changed FROM c""")
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two changes after each other, each at its first occurrence."""
-    changes = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (("the", "teh"), ("on", "no"))])
-    return ascii_turns(spark, sf_dir).select("conv_id", "turn", T.apply_changes("text", changes).alias("changed"))
+    return _apply_changes(spark, ascii_turns(spark, sf_dir))
 
 
 @query(rf"""
@@ -387,8 +379,7 @@ WITH t AS (SELECT conv_id, turn, text, strpos(text, ' ') AS p FROM conversations
 SELECT conv_id, turn, 'FIRST' || text[p:] AS accepted FROM t""")
 def accept_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word replaced by its correction."""
-    rows = ascii_turns(spark, sf_dir).withColumn("stop", F.instr("text", " ") - 1).filter("stop > 0")
-    return rows.select("conv_id", "turn", marks.accept_correction(F.col("text"), F.lit(0), F.col("stop"), F.lit("FIRST")).alias("accepted"))
+    return _accept_correction(spark, ascii_turns(spark, sf_dir))
 
 
 @query(rf"""
@@ -396,11 +387,79 @@ WITH t AS (SELECT conv_id, turn, text, array_to_string(list_filter(string_split_
 SELECT conv_id, turn, contains(lower(text), lower(reply)) AS has_reply, trim(text) = trim(reply) AS same,
        abs(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) - len(list_filter(string_split_regex(reply, '\s+'), lambda x: x <> ''))) <= 1 AS kept_words FROM t""")
 def pass_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ascii_turns(spark, sf_dir).withColumn("reply", F.array_join(F.slice(T.split_words("text"), 2, 1 << 30), " "))
+    return _pass_predicates(spark, ascii_turns(spark, sf_dir))
+
+
+def _apply_cache(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    rows = turns.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
+    found = correct.rewrite_sentences(rows, spark.createDataFrame(CACHE, "word string, correction string"))
+    return found.select("key.conv_id", "key.turn", "cache_hits", "corrected", "asked")
+
+
+@query()
+def apply_cache_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As apply_cache, of every turn."""
+    return _apply_cache(spark, _t(spark, sf_dir, "conversations"))
+
+
+def _tts_script(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    means = lambda w: F.lit(C.DEFINITIONS[w])
+    return turns.select("conv_id", "turn", homophones.speech_script("text", F.lit("by"), F.lit("buy"), means("by"), means("buy")).alias("script"))
+
+
+@query()
+def tts_script_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tts_script, of every turn."""
+    return _tts_script(spark, _t(spark, sf_dir, "conversations"))
+
+
+def _mark_occurrences(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    rows = turns.select(F.struct("conv_id", "turn").alias("key"), "text")
+    cache = spark.createDataFrame(CACHE, "original string, corrected string")
+    found = marks.mark_occurrences(rows, rows.select("key").crossJoin(F.broadcast(cache)))
+    return found.select("key.conv_id", "key.turn", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
+
+
+@query()
+def mark_occurrences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mark_occurrences, of every turn."""
+    return _mark_occurrences(spark, _t(spark, sf_dir, "conversations"))
+
+
+def _apply_changes(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    changes = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (("the", "teh"), ("on", "no"))])
+    return turns.select("conv_id", "turn", T.apply_changes("text", changes).alias("changed"))
+
+
+@query()
+def apply_changes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As apply_changes, of every turn."""
+    return _apply_changes(spark, _t(spark, sf_dir, "conversations"))
+
+
+def _accept_correction(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    rows = turns.withColumn("stop", F.instr("text", " ") - 1).filter("stop > 0")
+    return rows.select("conv_id", "turn", marks.accept_correction(F.col("text"), F.lit(0), F.col("stop"), F.lit("FIRST")).alias("accepted"))
+
+
+@query()
+def accept_correction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As accept_correction, of every turn."""
+    return _accept_correction(spark, _t(spark, sf_dir, "conversations"))
+
+
+def _pass_predicates(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    rows = turns.withColumn("reply", F.array_join(F.slice(T.split_words("text"), 2, 1 << 30), " "))
     kept = F.abs(T.count_words("text") - T.count_words("reply")) <= 1
     return rows.select("conv_id", "turn", evaluate.reply_contains(F.col("text"), F.col("reply")).alias("has_reply"), evaluate.same_trimmed(F.col("text"), F.col("reply")).alias("same"), kept.alias("kept_words"))
 
 
+@query()
+def pass_predicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pass_predicates, of every turn."""
+    return _pass_predicates(spark, _t(spark, sf_dir, "conversations"))
+
+
 @query(f"WITH {SWAPPED}, c AS (SELECT misspelling AS word, correct AS candidate FROM p) SELECT word, candidate, {LCS}::int AS lcs FROM c")
 def common_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = swapped_pairs(spark, sf_dir).select(F.col("misspelling").alias("word"), F.col("correct").alias("candidate"))

@@ -84,3 +84,50 @@ def test_reply_cleaning_whole(spark, sf_dir, turns):
         hinted = re.search(r'"([a-zA-Z0-9_\']+)"', f'HINT: "{(words(text) or [""])[0]}" means {text}')
         wanted[conv, turn, sentence, answer, first[0], hinted[1] if hinted else "", True] += 1
     assert got(spark, sf_dir, "reply_cleaning_whole", "conv_id", "turn", "sentence", "answer", "word", "hinted", "is_hint") == wanted
+
+
+def case(shown, c):
+    return c.upper() if shown == shown.upper() else c.lower() if shown == shown.lower() else c
+
+
+def test_apply_cache_all(spark, sf_dir, turns):
+    cache, wanted = dict(catalogue.CACHE), Counter()
+    for conv, turn, text in turns:
+        found = [(w, cache.get(re.sub(r"\W", "", w).lower())) for w in words(text)]
+        n = sum(c is not None for _, c in found)
+        joined = " ".join(w if c is None else c + re.sub(r"\w", "", w) for w, c in found)
+        wanted[conv, turn, n, joined if n else text, n < 2] += 1
+    assert got(spark, sf_dir, "apply_cache_all", "conv_id", "turn", "cache_hits", "corrected", "asked") == wanted
+
+
+def test_tts_script_all(spark, sf_dir, turns):
+    ask = lambda w: f"[pause] {w.upper()}. BY means {C.DEFINITIONS['by']}. Did you mean BUY, as in {C.DEFINITIONS['buy']}?"
+    wanted = Counter((conv, turn, " ".join(ask(w) if re.sub(r"[^\w']", "", w).lower() == "by" else w for w in words(text))) for conv, turn, text in turns)
+    assert got(spark, sf_dir, "tts_script_all", "conv_id", "turn", "script") == wanted
+
+
+def test_mark_occurrences_all(spark, sf_dir, turns):
+    wanted = Counter()
+    for conv, turn, text in turns:
+        for o, c in catalogue.CACHE:
+            for m in re.finditer(re.escape(o), text, re.I | re.A):
+                if not re.match(r"\w", text[m.start() - 1 : m.start()] if m.start() else "", re.A) and not re.match(r"\w", text[m.end() : m.end() + 1], re.A):
+                    wanted[conv, turn, m.start(), m.end(), m[0], case(m[0], c)] += 1
+    assert got(spark, sf_dir, "mark_occurrences_all", "conv_id", "turn", "start", "stop", "shown", "correction") == wanted
+
+
+def test_changes_accepted_and_predicates_all(spark, sf_dir, turns):
+    changed, accepted, passed = Counter(), Counter(), Counter()
+    for conv, turn, text in turns:
+        one = text
+        for o, c in (("the", "teh"), ("on", "no")):
+            one = re.sub(o, c, one, count=1, flags=re.I | re.A)
+        changed[conv, turn, one] += 1
+        if text.find(" ") > 0:
+            accepted[conv, turn, "FIRST" + text[text.find(" ") :]] += 1
+        w = words(text)
+        reply = " ".join(w[1:])
+        passed[conv, turn, reply.lower() in text.lower(), text.strip() == reply.strip(), len(w) - len(words(reply)) <= 1] += 1
+    assert got(spark, sf_dir, "apply_changes_all", "conv_id", "turn", "changed") == changed
+    assert got(spark, sf_dir, "accept_correction_all", "conv_id", "turn", "accepted") == accepted
+    assert got(spark, sf_dir, "pass_predicates_all", "conv_id", "turn", "has_reply", "same", "kept_words") == passed
