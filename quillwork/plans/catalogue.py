@@ -200,7 +200,10 @@ def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("sentence")).dropDuplicates(["key"])
+    """Every turn; only rows of equal conv_id, turn and text are one, their key holding the text's hash."""
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("sentence")).distinct()
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    rows = rows.select(F.concat_ws("-", part(F.col("conv_id")), part(F.col("turn")), part(F.sha2("sentence", 256))).alias("key"), "sentence")
     cache = spark.createDataFrame(CACHE, "word string, correction string")
     found = correct.check_sentences(rows, dictionary_of(spark, sf_dir), cache)
     return found.select("key", F.inline("corrections"))

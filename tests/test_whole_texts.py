@@ -131,3 +131,13 @@ def test_changes_accepted_and_predicates_all(spark, sf_dir, turns):
     assert got(spark, sf_dir, "apply_changes_all", "conv_id", "turn", "changed") == changed
     assert got(spark, sf_dir, "accept_correction_all", "conv_id", "turn", "accepted") == accepted
     assert got(spark, sf_dir, "pass_predicates_all", "conv_id", "turn", "has_reply", "same", "kept_words") == passed
+
+
+def test_hybrid_check_of_equal_keys(spark, sf_dir, tmp_path):
+    """Turns that share conv_id and turn, and turns without a conv_id, are all checked; equal rows once."""
+    rows = [(1, 1, "teh one"), (1, 1, "onth two"), (1, 1, "teh one"), (None, 1, "thon"), (None, 1, "erth"), (None, 2, None), (2, 1, "thon")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = catalogue.queries()["hybrid_check"](spark, str(tmp_path)).filter("source = 'cache'").collect()
+    assert sorted(r["original"] for r in found) == ["erth", "onth", "teh", "thon", "thon"]
+    assert len({r["key"] for r in found}) == 5
