@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import write_scratch
+from quillwork.llm._common import keep_named, write_scratch
 
 
 def ascii_lower(text: Column) -> Column:
@@ -63,6 +63,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """docs with one document of each group of equal texts, all columns as they were."""
-    ids = dedup_classes(docs, id_col, text_col, keep).select(F.col("keep_id").alias(id_col)).distinct()
-    return docs.join(ids, id_col, "left_semi")
+    """docs with one document of each group of equal texts, all columns as they were.
+
+    The smallest (keep='max': the largest) id stays; a group of null ids only keeps one of
+    its rows.  Rows that share an id for different texts are told apart by the text; of
+    rows that share both, letter case aside, any one stays.  An empty table stays empty.
+    """
+    kept = dedup_classes(docs, id_col, text_col, keep).select(F.col("keep_id").alias("_id"), "_norm")
+    mark = F.sha2(ascii_lower(F.col(text_col)), 256)
+    return keep_named(docs, kept.select("_id"), id_col, kept.select("_id", F.sha2("_norm", 256).alias("_mark")), mark)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import exact_dedup, exact_knn, language_id, packing, quality, segmentation_sampling, simhash_dedup, token_counts, token_file, toxicity
-from quillwork.llm._common import fold, read_table, scratch_root, small_batches
+from quillwork.llm._common import fold, read_table, scratch_root
 from quillwork.llm.bpe import public_vocabulary
 from quillwork.llm.unigram import public_pieces
 
@@ -17,26 +17,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     out = f"{scratch_root(spark)}/token-file-{uuid.uuid4().hex}"
     token_file.write_token_file(read_table(spark, sf_dir, "documents"), out, public_vocabulary(), end_id=2)
     return token_file.read_token_file(spark, out)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
@@ -52,24 +48,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return segmentation_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), public_pieces(), k=3)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     found = language_id.identify_languages(docs)
     return found.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.pack(read_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_pieces())
 
 
