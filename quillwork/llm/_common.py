@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def clear_scratch(spark: SparkSession) -> None:
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts (in that column) have at most so many bytes, one row at least."""
     for b in batches:
-        size = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         end, a = np.cumsum(size, dtype=np.int64), 0
         while a < b.num_rows:
             e = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + most, "right")))

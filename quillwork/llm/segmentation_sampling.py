@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.llm._common import by_bytes
+from quillwork.llm.bpe import Grown
 from quillwork.llm.unigram import SPACE, load_vocabulary
 
 #: Arcs that a worker remembers (the memory starts anew when it is full), and texts that are walked together.
@@ -47,23 +49,6 @@ def _substring_hashes(text: str, longest: int) -> dict[int, np.ndarray]:
     return out
 
 
-class _Grown:
-    """An array that more is added to; room doubles, so that adding costs what is added."""
-
-    def __init__(self, start: np.ndarray):
-        self.room, self.n = start.copy(), len(start)
-
-    def add(self, more: np.ndarray) -> None:
-        if self.n + len(more) > len(self.room):
-            self.room = np.concatenate([self.room[: self.n], np.empty(self.n + 2 * len(more), self.room.dtype)])
-        self.room[self.n : self.n + len(more)] = more
-        self.n += len(more)
-
-    @property
-    def all(self) -> np.ndarray:
-        return self.room[: self.n]
-
-
 class Lattice:
     """Arcs of the words seen so far, flat and ordered by node; node 0 is a word's end and has none.
 
@@ -88,9 +73,9 @@ class Lattice:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}  # first node
-        self._nodes = _Grown(np.zeros(2, np.int64))  # where each node's arcs start, and the end
-        self._share, self._log_own = _Grown(np.zeros(0, np.float32)), _Grown(np.zeros(0))
-        self._to, self._piece = _Grown(np.zeros(0, np.int32)), _Grown(np.zeros(0, np.int32))
+        self._nodes = Grown(np.zeros(2, np.int64))  # where each node's arcs start, and the end
+        self._share, self._log_own = Grown(np.zeros(0, np.float32)), Grown(np.zeros(0))
+        self._to, self._piece = Grown(np.zeros(0, np.int32)), Grown(np.zeros(0, np.int32))
         self._show()
         # Ids of the bytes of characters without a piece, one after the other; an arc of such has minus its place.
         self.raw, self.raw_size = np.zeros(1, np.int32), np.zeros(1, np.int32)
@@ -356,7 +341,7 @@ def sample_segmentations(docs: DataFrame, path: str, k: int, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path)
-        for b in batches:
+        for b in by_bytes(batches):
             at, rows = [], []
             for i, n, ids, lp, g, inclusion, same in s.samples(b.column(0).to_pylist(), b.column(1).to_pylist(), k):
                 at.append(i)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from quillwork.llm import segmentation_sampling as S
@@ -15,18 +16,22 @@ from quillwork.llm.unigram import SPACE, load_vocabulary, public_pieces
 HARD = ["", None, " ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "a\n\n  b  ", "it 's don't  we'll", "a\t b", " 12 ab12, q,", "wörd, É. ,,. a.b, <|endoftext|> x<|endoftext|>", "a\x1c b \x1cb", "　 x 　", "日本語、 テスト。", "▁a ▁", "### $$$ ☃"]
 
 
+END = "<|endoftext|>"
+MARKED = [END, f" {END}", f"{END} ", f"a {END} b", f"a{END}b", f"{END}{END}", f"word, {END}, word", f"<|endoftext {END[:-1]} |>", f"\n{END}\n\n x", f"{END} a\n b", "plain text between"]
+
+
 def texts(seed, n, letters="ab ,.\n'1é\t s  ☃▁"):
     rng = random.Random(seed)
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("batch", [HARD, *(texts(s, 50) for s in range(20))])
+@pytest.mark.parametrize("batch", [HARD, MARKED, *(texts(s, 50) for s in range(20))])
 def test_chunked_bpe_is_the_librarys(batch):
-    encoder = BpeEncoder(public_vocabulary(), 2, max_chunks=60)
+    encoder, fresh = BpeEncoder(public_vocabulary(), 2, max_chunks=60), Tokenizer.from_file(public_vocabulary())
     for _ in range(2):
         ids, bounds = encoder.encode(batch)
         for i, t in enumerate(batch):
-            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*fresh.encode(t or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("bits", [4, 5, 12])
@@ -65,13 +70,12 @@ def test_blocks_round_trip(n):
 
 
 def test_token_file(spark, tmp_path):
-    docs = [(i, t) for i, t in enumerate(texts(7, 300) + HARD + ["long " * 30000])] + [(None, "null id"), (7, "again"), (7, "again")]
+    docs = [(i, t) for i, t in enumerate(texts(7, 300) + HARD + MARKED + ["long " * 30000])] + [(None, "null id"), (7, "again"), (7, "again")]
     random.Random(1).shuffle(docs)
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, start string").repartition(5)
     out = f"file://{tmp_path}/file"
     token_file.write_token_file(df, out, public_vocabulary(), 2)
     rows = sorted(token_file.read_token_file(spark, out, with_ids=True).collect(), key=lambda r: r["start"])
-    encoder = BpeEncoder(public_vocabulary(), 2)
     at = 0
     for r in rows:
         ids = np.frombuffer(r["ids"], "<u4")
@@ -79,8 +83,8 @@ def test_token_file(spark, tmp_path):
         at += len(ids)
     order = [r["doc_id"] for r in rows]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
-    ids, bounds = encoder.encode([t for _, t in docs])
-    wanted = Counter((i, ids[a:b].astype("<u4").tobytes()) for (i, _), a, b in zip(docs, bounds[:-1], bounds[1:], strict=True))
+    fresh = Tokenizer.from_file(public_vocabulary())
+    wanted = Counter((i, np.array([*fresh.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in docs)
     assert Counter((r["doc_id"], r["ids"]) for r in rows) == wanted
     token_file.write_token_file(df.filter("false"), out, public_vocabulary(), 2)
     assert token_file.read_token_file(spark, out).count() == 0
@@ -107,8 +111,9 @@ def test_counts_over_documents(spark, sf_dir, unigram):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, public_pieces()).collect()}
     assert got == {r["doc_id"]: len(unigram.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect()}
-    odd = spark.createDataFrame([(None, None, 1), (1, "a", 1), (1, "a", 1)], "doc_id long, text string, n_tokens int")
-    assert sorted(r["n_tokens"] for r in token_counts.count_tokens(odd, public_pieces()).collect()) == [0, 1, 1]
+    long = "é the cat " * 20_000
+    odd = spark.createDataFrame([(None, None, 1), (1, "a", 1), (1, "a", 1), (2, long, 1)], "doc_id long, text string, n_tokens int")
+    assert sorted(r["n_tokens"] for r in token_counts.count_tokens(odd, public_pieces()).collect()) == [0, 1, 1, len(unigram.encode(long, add_special_tokens=False).ids)]
     assert token_counts.count_tokens(odd.filter("false"), public_pieces()).count() == 0
 
 
@@ -170,3 +175,5 @@ def test_samples_of_documents(spark):
     assert S.sample_segmentations(df.filter("false"), public_pieces(), 2).count() == 0
     back = df.filter("doc_id = 1").select(S.decode_of(public_pieces())(S.encode_of(public_pieces())("text")).alias("t")).first()["t"]
     assert back == "the cat\n sat"
+    none = df.filter("doc_id = 2").select(S.encode_of(public_pieces())("text").alias("ids"), S.decode_of(public_pieces())(F.lit(None).cast("array<int>")).alias("t")).first()
+    assert none["ids"] == [] and none["t"] == ""
