@@ -3,16 +3,22 @@
 Documents are tokenised where they lie; those longer than a sequence are cut, the
 first piece taking the remainder.  What decides a packing is how many pieces have
 each length, at most `capacity` numbers however many documents there are.  The
-search runs on that histogram: around the largest piece it enumerates the
-undominated fillings, repeats the chosen one as often as the counts allow, prunes
-by a bound on waste, and holds the best-fit solution as the incumbent.  Spark then
+search runs on that histogram, with the best-fit solution as its incumbent: around
+the largest piece it tries the undominated fillings, least waste first, all of them if
+need be, and leaves a branch when its waste rules out fewer sequences than the
+incumbent's.  It stops at the lower bound, or when nothing has improved for a while; then
+parts of the incumbent, its wasteful sequences and some others, are searched anew.  With
+nodes=None the search is exhaustive and the packing optimal.  Spark then
 gives every piece its place: its rank among the pieces of its length, counted by
 task and summed by a window over tasks, names sequence and offset.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import write_scratch
-from quillwork.llm.bpe import bpe_encoder, ids_crc32
+from quillwork.llm._common import by_bytes, drop_scratch, write_scratch
+from quillwork.llm.bpe import BPE_BYTES, bpe_encoder, forget_encoders, ids_crc32
 
 CAPACITY, END_ID = 1024, 2
-#: Bounds of the search: its nodes, steps of one enumeration, and fillings that a node branches on.
-NODES, STEPS, FILLINGS = 2000, 1500, 6
+#: The search gives up after so many nodes without a better packing; parts of so many sequences are searched anew, by so many nodes each, until so many in a row gave nothing.
+NODES, PART, PART_NODES, PARTS = 150, 16, 60, 400
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -64,118 +70,177 @@ def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return fit(b, list(a))
 
 
-def fillings(space: int, counts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, ...]]:
-    """Undominated fillings of the space with pieces at hand, least waste first; sizes: the lengths at hand, largest first."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = exact = 0
-
-    def extend(chosen: tuple[int, ...], left: int, at: int) -> None:
-        nonlocal steps, exact
-        start, full = at, True
-        at += int(np.searchsorted(-sizes[at:], -left))
-        for i in range(at, len(sizes)):
-            s = int(sizes[i])
-            if chosen.count(s) >= counts[s]:
-                continue
-            full = False
-            steps += 1
-            if steps > STEPS or exact >= FILLINGS:
-                break
-            if len(chosen) >= 3 and i > at + 2:
-                break
-            extend((*chosen, s), left - s, i)
-        if full or (steps > STEPS and start == at):
-            exact += left == 0
-            found.append((left, chosen))
-
-    extend((), space, 0)
-    if not found:
-        # The enumeration ran out before a leaf: largest first until nothing fits.
-        chosen, left = (), space
-        for s in map(int, sizes):
-            while s <= left and chosen.count(s) < counts[s]:
-                chosen, left = (*chosen, s), left - s
-        found.append((left, chosen))
-    found.sort(key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))
+def _sums(total: int, sizes: list[int], counts: list[int], reach: list[int], at: int = 0) -> Iterator[tuple[int, ...]]:
+    """All ways to make the total of pieces at hand, large pieces first; reach[i] has bit t set if sizes[i:] make t."""
+    if not total:
+        yield ()
+        return
+    for i in range(at, len(sizes)):
+        s = sizes[i]
+        if not reach[i] >> total & 1:
+            return
+        for k in range(min(counts[s], total // s), 0, -1):
+            if reach[i + 1] >> (total - k * s) & 1:
+                for rest in _sums(total - k * s, sizes, counts, reach, i + 1):
+                    yield (s,) * k + rest
+
+
+def fillings(space: int, counts: list[int], sizes: list[int]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of the space with pieces at hand, least waste first; sizes: the lengths at hand, largest first."""
+    sizes = [s for s in sizes if s <= space]
+    if not sizes:
+        yield ()
+        return
     kept: list[tuple[int, ...]] = []
-    for _, f in found:
-        if len(kept) < FILLINGS and f not in kept and not any(len(f) <= 6 and _dominated(k, f) for k in kept):
-            kept.append(f)
-    return kept
+    # One or two pieces that fill the space need no table.
+    have = set(sizes)
+    if space in have:
+        kept.append((space,))
+        yield (space,)
+    for s in sizes:
+        if 2 * s < space:
+            break
+        if space - s in have and (2 * s > space or counts[s] > 1):
+            kept.append((s, space - s))
+            yield kept[-1]
+    reach, mask = [1], (1 << space + 1) - 1
+    for s in reversed(sizes):
+        sums, k, step = reach[-1], min(counts[s], space // s), 1
+        while k > 0:
+            sums |= sums << s * min(step, k) & mask
+            k, step = k - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+    for total in range(space, 0, -1):
+        if not reach[0] >> total & 1:
+            continue
+        for f in _sums(total, sizes, counts, reach):
+            full = not any(s <= space - total and f.count(s) < counts[s] for s in sizes[bisect_left(sizes, total - space, key=int.__neg__) :])
+            if full and f not in kept and not any(_dominated(k, f) for k in kept):
+                kept.append(f)
+                yield f
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Incumbent: around the largest piece, the largest that fits, until nothing fits."""
-    return _complete(counts.copy(), capacity, lambda space, left, sizes: _greedy(space, left, sizes))
-
-
-def _greedy(space: int, counts: np.ndarray, sizes: np.ndarray) -> tuple[int, ...]:
-    chosen: tuple[int, ...] = ()
-    at = int(np.searchsorted(-sizes, -space))
-    while at < len(sizes):
-        s = int(sizes[at])
-        k = min(int(counts[s]), space // s)
-        chosen, space = chosen + (s,) * k, space - k * s
-        at = max(at + 1, int(np.searchsorted(-sizes, -space)))
-    return chosen
-
-
-def _times(largest: int, filling: tuple[int, ...], counts: np.ndarray) -> int:
-    use: dict[int, int] = {largest: 1}
-    for s in filling:
-        use[s] = use.get(s, 0) + 1
-    return min(int(counts[s]) // u for s, u in use.items())
-
-
-def _complete(counts, capacity, choose) -> list[tuple[tuple[int, ...], int]]:
-    out = []
-    while counts.any():
-        largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        sizes = np.flatnonzero(counts)[::-1]
-        filling = choose(capacity - largest, counts, sizes)
-        counts[largest] += 1
-        n = _times(largest, filling, counts)
-        for s in (largest, *filling):
-            counts[s] -= n
-        out.append(((largest, *filling), n))
+    left, out = np.asarray(counts).tolist(), []
+    sizes = [s for s in range(capacity, 0, -1) if left[s]]
+    while sizes:
+        largest = sizes[0]
+        left[largest] -= 1
+        chosen, space = (largest,), capacity - largest
+        at = 0
+        while (at := max(at, bisect_left(sizes, -space, key=int.__neg__))) < len(sizes):
+            k = min(left[sizes[at]], space // sizes[at])
+            chosen, space = chosen + (sizes[at],) * k, space - k * sizes[at]
+            at += 1
+        left[largest] += 1
+        n = _times(chosen, left)
+        for s in chosen:
+            left[s] -= n
+        out.append((chosen, n))
+        sizes = [s for s in sizes if left[s]]
     return out
 
 
-def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings of sequences and how often each occurs; counts[n] pieces have length n, 1 <= n <= capacity."""
-    counts = np.asarray(counts, np.int64)
-    total = int((counts * np.arange(capacity + 1)).sum())
-    best = best_fit(counts, capacity)
-    used = sum(n for _, n in best)
-    bound = lower_bound(counts, capacity)
-    nodes = 0
-    # Depth first; an entry is a state, the sequences so far and the fillings not yet tried there.
-    stack: list[tuple[np.ndarray, int, list[tuple[tuple[int, ...], int]], list[tuple[int, ...]] | None, int]] = [(counts.copy(), 0, [], None, 0)]
-    while stack and used > bound and nodes < NODES:
-        left, sofar, path, options, largest = stack.pop()
-        if options is None:
-            nodes += 1
-            if not left.any():
-                if sofar < used:
-                    used, best = sofar, path
-                continue
-            rest = int((left * np.arange(capacity + 1)).sum())
-            # Waste bound: what is left cannot take fewer sequences than its tokens, or its large pieces, need.
-            if sofar + max(-(-rest // capacity), int(left[capacity // 2 + 1 :].sum())) >= used:
-                continue
-            largest = int(np.flatnonzero(left)[-1])
-            left[largest] -= 1
-            options = fillings(capacity - largest, left, np.flatnonzero(left)[::-1])
-            left[largest] += 1
-        filling, options = options[0], options[1:]
-        if options:
-            stack.append((left, sofar, path, options, largest))
-        after, n = left.copy(), _times(largest, filling, left)
-        for s in (largest, *filling):
+def _times(filling: tuple[int, ...], counts: list[int]) -> int:
+    """How often the pieces at hand make the filling."""
+    return min(counts[s] // n for s, n in Counter(filling).items())
+
+
+def search(counts: list[int], capacity: int, limit: int, nodes: int | None) -> list[tuple[tuple[int, ...], int]] | None:
+    """Depth first for a packing of fewer sequences than the limit; None if there is none, or none within so many nodes after the first descent.
+
+    A node is what is left to pack.  Its branches are the fillings around its largest piece, each
+    as often as pieces allow and once, so that any number of times is tried.
+    """
+    allowed = (limit - 1) * capacity - sum(s * n for s, n in enumerate(counts))
+    seen: dict[bytes, int] = {}
+    # What is left, sequences, waste, the path to here, branches taken.
+    stack: list[tuple] = [(counts, 0, 0, None, 0)] if allowed >= 0 else []
+    tried, deepest = 0, False
+    while stack and (nodes is None or tried < nodes):
+        left, used, waste, path, k = stack.pop()
+        sizes = [s for s in range(capacity, 0, -1) if left[s]]
+        if not sizes:
+            out = []
+            while path:
+                path, filling, n = path
+                out.append((filling, n))
+            return out[::-1]
+        largest = sizes[0]
+        left[largest] -= 1
+        rest = sizes if left[largest] else sizes[1:]
+        options = ((largest, *f) for f in fillings(capacity - largest, left, rest))
+        filling = next(islice(options, k // 2, None), None)
+        left[largest] += 1
+        if filling is None:
+            continue
+        lost, most = capacity - sum(filling), _times(filling, left)
+        if waste + lost > allowed:
+            deepest = True
+            continue  # later fillings lose as much or more
+        stack.append((left, used, waste, path, k + 1))
+        n = 1 if k % 2 else most
+        tried += deepest
+        if k % 2 and most == 1 or waste + n * lost > allowed:
+            deepest = True
+            continue
+        after = left.copy()
+        for s in filling:
             after[s] -= n
-        stack.append((after, sofar + n, [*path, ((largest, *filling), n)], None, 0))
-    assert sum(n * sum(f) for f, n in best) == total
+        mark = np.array(after, np.int64).tobytes()
+        if seen.get(mark, waste + n * lost + 1) > waste + n * lost:
+            seen[mark] = waste + n * lost
+            stack.append((after, used + n, waste + n * lost, (path, filling, n), 0))
+    return None
+
+
+def _improved(packing: list[tuple[tuple[int, ...], int]], capacity: int, bound: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences with waste and some without are packed anew, together: a part that takes fewer is taken over, and one that gathers its waste in fewer sequences, so that others may follow."""
+    rng, idle = np.random.default_rng(0), 0
+    kinds: Counter = Counter()
+    for filling, n in packing:
+        kinds[filling] += n
+    while idle < PARTS and kinds.total() > bound:
+        names = sorted(kinds)
+        loss = np.array([capacity - sum(f) for f in names])
+        of = np.repeat(np.arange(len(names)), np.minimum([kinds[f] for f in names], PART))
+        # Half of them by lot from those with waste, half from all.
+        lossy = of[loss[of] > 0]
+        take = rng.permutation(np.concatenate([rng.permutation(lossy)[: PART // 2], rng.permutation(of)[:PART]]))
+        part: Counter = Counter()
+        for i in take.tolist():
+            if part.total() < PART and part[names[i]] < kinds[names[i]]:
+                part[names[i]] += 1
+        counts = [0] * (capacity + 1)
+        for f, n in part.items():
+            for s in f:
+                counts[s] += n
+        found = search(counts, capacity, part.total() + 1, PART_NODES)
+        idle += 1
+        if found is None:
+            continue
+        packed = Counter()
+        for f, n in found:
+            packed[f] += n
+        worth = [(-x.total(), sum(n * (capacity - sum(f)) ** 2 for f, n in x.items())) for x in (part, packed)]
+        if worth[1] > worth[0]:
+            idle = 0 if worth[1][0] > worth[0][0] else idle
+            kinds = kinds - part + packed
+    return sorted(kinds.items(), reverse=True)
+
+
+def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings of sequences and how often each occurs; counts[n] pieces have length n, 1 <= n <= capacity.  nodes=None: the fewest sequences, whatever it takes."""
+    counts = np.asarray(counts, np.int64)
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    limit = sum(n for _, n in best)
+    while limit > bound and (found := search(counts.tolist(), capacity, limit, nodes)):
+        best, limit = found, sum(n for _, n in found)
+    if nodes is not None:
+        best = _improved(best, capacity, bound)
+    assert sum(n * sum(f) for f, n in best) == int((counts * np.arange(capacity + 1)).sum())
     return best
 
 
@@ -186,8 +251,8 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = bpe_encoder(path, end_id), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for b in batches:
-            ids, bounds = encoder.encode(b.column(1).to_pylist())
+        for b in by_bytes(batches, most=BPE_BYTES):
+            ids, bounds = encoder.encode(b.column(1))
             ids = ids.astype("<u4")
             row, piece, start, length, crc, rank, raw = [], [], [], [], [], [], []
             for i, (a, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -255,6 +320,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     before = by_task.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)

@@ -3,14 +3,16 @@
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillwork.llm import exact_dedup, packing, simhash_dedup
-from quillwork.llm.bpe import BpeEncoder, ids_crc32, public_vocabulary
+from quillwork.llm.bpe import ids_crc32, public_vocabulary
 
 ODD = "doc_id long, text string, lang string, kept string, keep_id string, _h string, fp string"
 
@@ -174,7 +176,7 @@ def test_similar_documents_around_the_threshold(spark, tile):
 
 
 def check_packing(rows, docs, capacity):
-    encoder = BpeEncoder(public_vocabulary(), 2)
+    fresh = Tokenizer.from_file(public_vocabulary())
     by_sequence = {}
     for r in rows:
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -184,8 +186,7 @@ def check_packing(rows, docs, capacity):
             assert offset == at
             at += length
         assert at <= capacity
-    ids, bounds = encoder.encode([t for _, t in docs])
-    whole = sorted((str(i), tuple(ids[a:b].tolist())) for (i, _), a, b in zip(docs, bounds[:-1], bounds[1:], strict=True))
+    whole = sorted((str(i), (*fresh.encode(t or "", add_special_tokens=False).ids, 2)) for i, t in docs)
     pieces = {}
     for r in sorted(rows, key=lambda r: r["piece"]):
         part = np.frombuffer(r["ids"], "<u4")
@@ -199,7 +200,7 @@ def check_packing(rows, docs, capacity):
 
 def test_packing(spark):
     rng = random.Random(2)
-    docs = [(i, " ".join(rng.choice(["a", "bc", "the", "é☃"]) for _ in range(rng.choice([0, 3, 20, 60, 200])))) for i in range(120)] + [(None, "null id"), (500, None)]
+    docs = [(i, " ".join(rng.choice(["a", "bc", "the", "é☃"]) for _ in range(rng.choice([0, 3, 20, 60, 200])))) for i in range(120)] + [(None, "null id"), (500, None), (501, "a <|endoftext|> b" * 20)]
     got = packing.pack(table(spark, docs), public_vocabulary(), capacity=64, with_ids=True).collect()
     used = check_packing(got, docs, 64)
     assert used <= packing.lower_bound(np.bincount([r["length"] for r in got], minlength=65), 64) + 1
@@ -242,3 +243,51 @@ def test_bin_completion_is_near_the_optimum(seed):
     assert (used == counts).all()
     least = least_bins(sizes, capacity)
     assert packing.lower_bound(counts, capacity) <= least == sum(n for _, n in found)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_exhaustive_search_is_exact(seed):
+    """Up to 15 pieces, and repeated lengths that had better not be used up at once."""
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([12, 30, 100])
+    sizes = sorted((rng.choice([rng.randint(1, capacity), capacity // 3, capacity // 4 + 1]) for _ in range(rng.randint(8, 15))), reverse=True)
+    counts = np.bincount(sizes, minlength=capacity + 1)
+    found = packing.pack_histogram(counts, capacity, nodes=None)
+    assert Counter(s for f, n in found for s in f for _ in range(n)) == Counter(sizes)
+    assert all(sum(f) <= capacity for f, _ in found)
+    assert least_bins(sizes, capacity) == sum(n for _, n in found)
+
+
+def test_fillings_are_all_the_undominated_ones():
+    """Every maximal filling is there, or one that is there dominates it."""
+    rng = random.Random(4)
+    for _ in range(40):
+        counts = [0] * 21
+        for _ in range(rng.randint(1, 9)):
+            counts[rng.randint(1, 20)] += 1
+        sizes = [s for s in range(20, 0, -1) if counts[s]]
+        space = rng.randint(1, 20)
+        found = list(packing.fillings(space, counts.copy(), sizes))
+        waste = [space - sum(f) for f in found]
+        assert waste == sorted(waste) and len(set(found)) == len(found)
+
+        def all_of(at, left):
+            yield ()
+            for i in range(at, len(sizes)):
+                for k in range(1, min(counts[sizes[i]], left // sizes[i]) + 1):
+                    for rest in all_of(i + 1, left - k * sizes[i]):
+                        yield (sizes[i],) * k + rest
+
+        for f in all_of(0, space):
+            assert f in found or any(packing._dominated(g, f) for g in found)
+
+
+def test_search_improves_on_best_fit():
+    rng = np.random.default_rng(1)
+    gains = []
+    for low, high, n in [(200, 500, 120), (100, 400, 200), (150, 700, 200), (200, 500, 120)]:
+        counts = np.bincount(rng.integers(low, high + 1, n), minlength=1025)
+        used = [sum(k for _, k in x) for x in (packing.best_fit(counts, 1024), packing.pack_histogram(counts))]
+        assert packing.lower_bound(counts, 1024) <= used[1] <= used[0]
+        gains.append(used[0] - used[1])
+    assert sum(gains) >= 3
