@@ -2,8 +2,9 @@
 
 A feature is the presence of a hashed character n-gram of the lower-cased text.
 Document counts of a bounded sample of labelled texts outside the held-out fold
-give each n-gram's log-count ratio; the n-grams whose ratio stands out are kept, and
-a logistic model is fitted on presence times ratio.
+give each n-gram's log-count ratio; all n-grams whose log odds ratio stands out by so many
+of its standard errors are kept, the errors being those at the classes' true sizes, whatever
+the sample's.  A logistic model is fitted on presence times ratio.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import fold, sampled, write_scratch
+from quillwork.llm._common import drop_scratch, fold, sampled, write_scratch
 
 SIZES, BITS = (3, 4, 5, 6), 21
-#: The fit's bounds: toxic rows (and twice as many others) that n-grams are counted in, those that
-#: weights are fitted on, and n-grams of the model.
-MAX_COUNTED, MAX_ROWS, MAX_FEATURES = 12_000, 4_000, 2048
+#: The fit's bounds: labelled toxic rows (and twice as many others) that n-grams are counted in, and those that weights are fitted on.
+MAX_COUNTED, MAX_ROWS = 12_000, 4_000
+#: Texts that an n-gram is seen in, at least; standard errors that a log odds ratio must have; the counts' smoothing.
 MIN_DOCS, MIN_Z, ALPHA = 3, 4.0, 0.5
 THRESHOLD = 0.7
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -51,8 +52,7 @@ class ToxicityModel:
     bias: float
 
     def scorer(self) -> Callable[[str | None], float]:
-        table = np.full(1 << BITS, -1, np.int16)
-        table[self.ids] = np.arange(len(self.ids))
+        table = slots(self.ids)
 
         def score(text: str | None) -> float:
             z = self.bias + (self.weight[p].sum() if len(p := present(text, table)) else 0.0)
@@ -61,9 +61,16 @@ class ToxicityModel:
         return score
 
 
+def slots(ids: np.ndarray) -> np.ndarray:
+    """By hash: the place of a kept n-gram, or -1."""
+    table = np.full(1 << BITS, -1, np.int32)
+    table[ids] = np.arange(len(ids))
+    return table
+
+
 def present(text: str | None, table: np.ndarray) -> np.ndarray:
     found = [k[k >= 0] for h in hashes(text) for k in (table[h],)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int16)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,6 +89,17 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": part, "zeros": counts[0, part], "ones": counts[1, part]})
 
 
+def telling_ngrams(counted: DataFrame, zeros: int, ones: int, odds_of_others: float) -> DataFrame:
+    """g and r, the log-count ratio, of the n-grams that tell the classes apart; zeros and ones: texts counted of each class."""
+    p, q = (F.col("ones") + ALPHA) / (ones + 2 * ALPHA), (F.col("zeros") + ALPHA) / (zeros + 2 * ALPHA)
+    odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
+    whole = odds_of_others * ones / zeros  # texts of the other class for one of the sample
+    cells = (F.col("ones"), ones - F.col("ones"), whole * F.col("zeros"), whole * (zeros - F.col("zeros")))
+    error = F.sqrt(sum((1 / (c + ALPHA) for c in cells[1:]), 1 / (cells[0] + ALPHA)))
+    seen = F.col("zeros") + F.col("ones")
+    return counted.filter("g >= 0").filter(seen >= MIN_DOCS).select("g", F.log(p / q).alias("r"), F.abs(odds / error).alias("z")).filter(F.col("z") >= MIN_Z)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, remainder: int = 1) -> ToxicityModel:
     """Labels of the held-out fold are never read; of several labels of an id the largest counts, null labels none.
 
@@ -108,31 +126,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if sums is None or not sums["ones"] or not sums["zeros"]:
         return prior
     zeros, ones = sums["zeros"], sums["ones"]
-    p, q = (F.col("ones") + ALPHA) / (ones + 2 * ALPHA), (F.col("zeros") + ALPHA) / (zeros + 2 * ALPHA)
-    odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    error = F.sqrt(1 / (F.col("ones") + ALPHA) + 1 / (ones - F.col("ones") + ALPHA) + 1 / (F.col("zeros") + ALPHA) + 1 / (zeros - F.col("zeros") + ALPHA))
-    grams = counted.filter("g >= 0").filter(F.col("zeros") + F.col("ones") >= MIN_DOCS).select("g", F.log(p / q).alias("r"), F.abs(odds / error).alias("z")).filter(F.col("z") >= MIN_Z)
-    model = grams.orderBy(F.desc("z"), "g").limit(MAX_FEATURES).toPandas()
+    grams = telling_ngrams(counted, zeros, ones, odds_of_others)
+    # At most 2 ** BITS rows, the hashes there are; in practice those of a few thousand n-grams.
+    model = grams.select("g", "r").orderBy("g").toPandas()
+    drop_scratch(counted)
     ids, ratio = model["g"].to_numpy(np.int64), model["r"].to_numpy()
 
     def vector(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = np.full(1 << BITS, -1, np.int16)
-        slots[ids] = np.arange(len(ids))
+        table = slots(ids)
         for f in frames:
-            yield pd.DataFrame({"y": (f["_y"] == 1).astype("int32"), "x": [present(t, slots).astype("<i2").tobytes() for t in f["_t"]]})
+            yield pd.DataFrame({"y": (f["_y"] == 1).astype("int32"), "x": [present(t, table).astype("<i4").tobytes() for t in f["_t"]]})
 
     fit = labelled(MAX_ROWS).mapInPandas(vector, "y int, x binary").toPandas()
     fit = fit.sort_values(["y", "x"])  # the same sums whatever the order of arrival
-    columns = [np.frombuffer(b, "<i2") for b in fit["x"]]
+    columns = [np.frombuffer(b, "<i4") for b in fit["x"]]
     y = fit["y"].to_numpy(np.float64)
     weight, bias = _logistic(columns, y, ratio, odds_of_others)
     return ToxicityModel(ids, weight * ratio, bias)
 
 
-def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 250, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
+def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 120, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Adam on the whole sample; the classes weigh as often as they occur among all labels."""
-    row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    col = np.concatenate(columns).astype(np.int64) if columns else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
+    col = np.concatenate(columns) if columns else np.zeros(0, np.int32)
     value = ratio[col]
     weigh = np.where(y == 1, 1 / max(1, (y == 1).sum()), odds / max(1, (y == 0).sum()))
     weigh /= weigh.sum()
