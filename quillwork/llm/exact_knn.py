@@ -1,12 +1,14 @@
 """Exact top-k search by inner product with a KD-tree in each shard.
 
-Candidates are dealt into shards by a hash of their id; a shard is indexed once:
-median splits along the widest side, a tight box around each node.  A node's best
-possible score against a query follows from its box.  A query is searched best
-first, and nodes whose bound is under the kth score so far are skipped.  Every
-query first meets one shard; the kth score found there goes with it to the others.
-Blocks of queries meet shards by a shuffle on (block, shard): neither side is
-broadcast, and no task holds more than one shard and one block.
+Candidates are dealt into shards by where they lie: median splits along the widest
+side, fitted on a bounded sample, make cells, and a cell of very many rows (equal ones,
+perhaps) is dealt out by a hash.  A shard is indexed once: median splits again, a tight
+box around each node.  A node's best possible score against a query follows from its
+box.  A query is searched best first, and nodes whose bound is under the kth score so
+far are skipped.  Every query first meets the shard where it lies itself; with the kth
+score found there it is held against the other shards' outermost boxes, in blocks, and
+travels to those shards alone that may still have better ones.  Queries stream past a
+shard: a task holds one shard and one batch of them.
 """
 
 from __future__ import annotations
@@ -15,15 +17,22 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import write_scratch
+from quillwork.llm._common import drop_scratch, sampled, write_scratch
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 1024, 256
+#: Rows of a shard, queries that a copy of a shard serves, rows of a leaf.
+SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 65_536, 256
+#: The sample that cells are fitted on (rows and numbers), and the cells at most.
+SAMPLE_ROWS, SAMPLE_NUMBERS, CELLS = 32_768, 1 << 24, 512
+#: Queries and boxes that are held against each other at once.
+PRUNE_QUERIES, PRUNE_BOXES = 4096, 256
 SCALE = 256
+KEY = ["dim", "cell", "part", "block"]
 
 
 class KdTree:
@@ -57,11 +66,11 @@ class KdTree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """No point of node n scores more against query q than bounds[q, n]."""
-        return np.maximum(queries, 0) @ np.stack(self.hi).T + np.minimum(queries, 0) @ np.stack(self.lo).T
+        return bounds_of(queries, np.stack(self.lo), np.stack(self.hi))
 
 
-def scores_of(points: np.ndarray, query: np.ndarray) -> np.ndarray:
-    return points @ query
+def bounds_of(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return np.maximum(queries, 0) @ hi.T + np.minimum(queries, 0) @ lo.T
 
 
 def search(tree: KdTree, points: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, bounds: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +88,7 @@ def search(tree: KdTree, points: np.ndarray, ids: np.ndarray, query: np.ndarray,
                     heapq.heappush(heap, (-bounds[n], n))
             continue
         a, b = tree.span[node]
-        s = scores_of(points[a:b], query)
+        s = points[a:b] @ query
         hit = np.flatnonzero((s >= kth) & (ids[a:b] != own))
         if not len(hit):
             continue
@@ -92,10 +101,18 @@ def search(tree: KdTree, points: np.ndarray, ids: np.ndarray, query: np.ndarray,
 
 
 def quantised(vectors: pa.Array) -> np.ndarray:
-    """floor(SCALE * x) of rows of one width: doubles where inner products are exact in them, else 64-bit integers."""
-    x = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).reshape(len(vectors), -1)
-    most = float(np.abs(x).max(initial=0))
-    return x if most * most * max(1, x.shape[1]) < 2**53 else np.clip(x, -(2.0**31), 2.0**31).astype(np.int64)
+    """floor(SCALE * x) of rows of one width, whole numbers that doubles hold exactly."""
+    return np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).reshape(len(vectors), -1)
+
+
+def exact_kind(most: float, width: int) -> type:
+    """In which numbers sums of so many products of at most this size are exact: doubles, 64-bit integers, or Python's."""
+    sums = float(most) * max(1, width)
+    return np.float64 if sums < 2**53 else np.int64 if sums < 2**62 else object
+
+
+def _as_kind(x: np.ndarray, kind: type) -> np.ndarray:
+    return np.vectorize(int, otypes=[object])(x) if kind is object and x.size else x.astype(kind)
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -103,69 +120,175 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
 
 
+def fit_cells(cand: DataFrame, rows: int, shard_rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per width: axes and places of median splits, as a heap; widths of fewer rows than a shard have none."""
+    if rows <= shard_rows:
+        return {}
+    widest = max(1, cand.agg(F.max("dim")).first()[0])
+    found = sampled(cand, min(SAMPLE_ROWS, max(1, SAMPLE_NUMBERS // widest)), "id", "dim").toPandas()
+    out = {}
+    for dim, part in found.groupby("dim"):
+        levels = int(np.log2(max(1, min(CELLS, rows * len(part) / len(found) / shard_rows))))
+        if not levels or not dim:
+            continue
+        points = np.stack(part["v"].to_numpy()).astype(np.float64)
+        axes, places = np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
+        todo = [(0, np.arange(len(points)))]
+        while todo:
+            node, of = todo.pop()
+            if node >= len(axes) or not len(of):
+                continue
+            axis = int(np.ptp(points[of], axis=0).argmax())
+            axes[node], places[node] = axis, np.median(points[of, axis])
+            left = points[of, axis] <= places[node]
+            todo += [(2 * node + 1, of[left]), (2 * node + 2, of[~left])]
+        out[int(dim)] = axes, places
+    return out
+
+
+def with_cell(rows: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """rows (id, v, dim) with the cell that each vector lies in."""
+    if not cells:
+        return rows.withColumn("cell", F.lit(0))
+
+    @F.pandas_udf("int")
+    def cell_of(v: pd.Series, dims: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int64)
+        for dim, (axes, places) in cells.items():
+            at = np.flatnonzero(dims.to_numpy() == dim)
+            if len(at):
+                x = np.stack(v.iloc[at].to_numpy()).astype(np.float64)
+                node = np.zeros(len(at), np.int64)
+                while node[0] < len(axes):
+                    node = 2 * node + 1 + (x[np.arange(len(at)), axes[node]] > places[node])
+                out[at] = node - len(axes)
+        return pd.Series(out)
+
+    return rows.withColumn("cell", cell_of("v", "dim"))
+
+
+def _build(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.combine_chunks()
+    points = quantised(table.column("v").chunk(0))
+    tree = KdTree(points)
+    ids = table.column("id").to_numpy()[tree.order]
+    nodes = np.concatenate([np.array(tree.span), np.array(tree.kids)], axis=1).astype("<i8")
+    boxes = np.stack([np.stack(tree.lo), np.stack(tree.hi)])
+    names = dict(zip(KEY, ([k.as_py()] for k in key)))
+    names = {n: pa.array(v, pa.int32()) for n, v in names.items()}
+    return pa.table(names | {"root": [np.ascontiguousarray(boxes[:, 0]).tobytes()], "ids": [ids.astype("<i8").tobytes()], "points": [points[tree.order].tobytes()], "nodes": [nodes.tobytes()], "boxes": [boxes.tobytes()]})
+
+
+def _loaded(row: dict) -> tuple[KdTree, np.ndarray, np.ndarray]:
+    """The tree of an index row, its points and their ids."""
+    nodes = np.frombuffer(row["nodes"], "<i8").reshape(-1, 4)
+    tree = KdTree.__new__(KdTree)
+    tree.span, tree.kids = [(a, b) for a, b, _, _ in nodes.tolist()], [(c, d) for _, _, c, d in nodes.tolist()]
+    tree.lo, tree.hi = np.frombuffer(row["boxes"], "<f8").reshape(2, len(nodes), -1)
+    ids = np.frombuffer(row["ids"], "<i8")
+    return tree, np.frombuffer(row["points"], "<f8").reshape(len(ids), -1), ids
+
+
+def _asked(tree: KdTree, points: np.ndarray, ids: np.ndarray, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """Results of a batch of queries (id, v, floor) in one shard."""
+    q = quantised(queries.column("v"))
+    kind = exact_kind(float(np.abs(q).max(initial=0)) * float(max(np.abs(tree.lo[0]).max(initial=0), np.abs(tree.hi[0]).max(initial=0))), q.shape[1])
+    if kind is not np.float64:
+        q, points = _as_kind(q, kind), _as_kind(points, kind)
+        same = KdTree.__new__(KdTree)
+        same.span, same.kids, same.lo, same.hi = tree.span, tree.kids, _as_kind(np.asarray(tree.lo), kind), _as_kind(np.asarray(tree.hi), kind)
+        tree = same
+    bounds = tree.bounds(q)
+    found_q, found_i, found_s = [], [], []
+    for n, (own, floor) in enumerate(zip(queries.column("id").to_pylist(), queries.column("floor").to_pylist(), strict=True)):
+        i, s = search(tree, points, ids, q[n], own, bounds[n], k, -np.inf if floor is None else floor)
+        found_q += [own] * len(i)
+        found_i += i.tolist()
+        # Scores beyond a long show as the last that it holds; they were compared as they are.
+        found_s += [max(-(2**63), min(2**63 - 1, int(x))) for x in s]
+    return pa.RecordBatch.from_arrays([pa.array(found_q, pa.int64()), pa.array(found_i, pa.int64()), pa.array(found_s, pa.int64())], ["query_id", "vec_id", "score"])
+
+
+def meet(index: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Results of the queries (KEY, id, v, floor) in their shards: a shard comes first, its queries follow it."""
+    copies = index.drop("root").join(rows.select(*KEY).distinct(), KEY[:3])
+    shards = copies.select(*KEY, F.lit(0).alias("turn"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), F.lit(None).cast("long").alias("floor"), "ids", "points", "nodes", "boxes")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "points", "nodes", "boxes")]
+    both = shards.unionByName(rows.select(*KEY, F.lit(1).alias("turn"), "id", "v", "floor", *none))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            turn = b.column("turn").to_numpy()
+            cuts = np.flatnonzero((turn == 0) | (np.diff(turn, prepend=1) != 0)).tolist()
+            for a, e in zip([0, *cuts] if 0 not in cuts else cuts, [*(cuts if 0 not in cuts else cuts[1:]), len(turn)], strict=True):
+                if turn[a] == 0:
+                    shard = _loaded({c: b.column(c)[a].as_py() for c in ("nodes", "boxes", "ids", "points")})
+                else:
+                    yield _asked(*shard, b.slice(a, e - a), k)
+
+    ordered = both.repartition(n, *KEY).sortWithinPartitions(*KEY, "turn")
+    return ordered.mapInArrow(find, "query_id long, vec_id long, score long")
+
+
+def may_hold_better(asked: DataFrame, roots: DataFrame, shards: int, queries: int) -> DataFrame:
+    """Queries (KEY, id, v, floor) paired with the shards whose outermost box allows a score of floor or more."""
+    slots, blocks = max(1, -(-shards // PRUNE_BOXES)), max(1, -(-queries // PRUNE_QUERIES))
+    group = ["dim", "slot", "batch"]
+    boxes = roots.withColumn("slot", F.pmod(F.xxhash64("cell", "part"), F.lit(slots)).cast("int")).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = asked.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    def prune(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            at, to = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        else:
+            box = np.frombuffer(b"".join(right.column("root").to_pylist()), "<f8").reshape(right.num_rows, 2, -1)
+            q = quantised(left.column("v").chunk(0))
+            # Bounds may be off by the rounding of doubles, where numbers are very large.
+            slack = 1e-10 * (np.abs(q) @ np.abs(box).max(1).T)
+            floor = np.array([-np.inf if x is None else x for x in left.column("floor").to_pylist()], np.float64)
+            better = bounds_of(q, box[:, 0], box[:, 1]) + slack >= floor[:, None]
+            own = np.stack([left.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("home_cell", "home_part")], axis=1)
+            here = np.stack([right.column(c).to_numpy() for c in ("cell", "part")], axis=1)
+            at, to = np.nonzero(better & ~(own[:, None] == here[None]).all(2))
+        l, r = left.take(pa.array(at)), right.take(pa.array(to))
+        return pa.table({"dim": l.column("dim"), "cell": r.column("cell"), "part": r.column("part"), "block": l.column("block"), "id": l.column("id"), "v": l.column("v"), "floor": l.column("floor")})
+
+    kind = asked.schema["v"].dataType.simpleString()
+    return met.groupBy(*group).cogroup(boxes.groupBy(*group)).applyInArrow(prune, f"dim int, cell int, part int, block int, id long, v {kind}, floor long")
+
+
 def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank from 1, vec_id, score: for each query its k best candidates, ties to the smaller id, all if there are fewer.
 
-    A score is the inner product of floor(256 x); components that a score cannot hold
-    exactly are cut at 2**31.  A query's own id is no candidate of it.  Rows whose id or
+    A score is the inner product of floor(256 x), exact whatever its size; one that a
+    long cannot hold shows as the last number it holds.  A query's own id is no candidate of it.  Rows whose id or
     vector is null, or whose vector holds null or a non-finite number, take no part; vectors
     meet those of their own width only.  Repeated candidates appear as often as they come;
     repeated queries should be made distinct.  Empty tables give an empty result.
     """
     cand, asked = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col)
-    shards = max(1, -(-cand.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_rows))
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        points = quantised(table.column("v").chunk(0))
-        tree = KdTree(points)
-        ids = table.column("id").to_numpy()[tree.order]
-        whole = points[tree.order].astype("<f8" if points.dtype == np.float64 else "<i8")
-        nodes = np.concatenate([np.array(tree.span), np.array(tree.kids)], axis=1).astype("<i8")
-        boxes = np.stack([np.stack(tree.lo), np.stack(tree.hi)]).astype(whole.dtype)
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "ints": [whole.dtype == np.int64], "ids": [ids.astype("<i8").tobytes()], "points": [whole.tobytes()], "nodes": [nodes.tobytes()], "boxes": [boxes.tobytes()]})
-
-    index = cand.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ints boolean, ids binary, points binary, nodes binary, boxes binary")
-    index = write_scratch(index, "knn-index", "none")
-
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_q, found_i, found_s = [], [], []
-        if left.num_rows and right.num_rows:
-            right = right.combine_chunks()
-            row = {n: left.column(n)[0].as_py() for n in left.column_names}
-            kind = "<i8" if row["ints"] else "<f8"
-            ids = np.frombuffer(row["ids"], "<i8")
-            points = np.frombuffer(row["points"], kind).reshape(len(ids), -1)
-            nodes = np.frombuffer(row["nodes"], "<i8").reshape(-1, 4)
-            tree = KdTree.__new__(KdTree)
-            tree.span, tree.kids = [(a, b) for a, b, _, _ in nodes.tolist()], [(c, d) for _, _, c, d in nodes.tolist()]
-            tree.lo, tree.hi = np.frombuffer(row["boxes"], kind).reshape(2, len(nodes), -1)
-            q = quantised(right.column("v").chunk(0))
-            if q.dtype != points.dtype:
-                q, points = q.astype(np.int64), points.astype(np.int64)
-                tree.lo, tree.hi = tree.lo.astype(np.int64), tree.hi.astype(np.int64)
-            bounds = tree.bounds(q)
-            for n, (own, floor) in enumerate(zip(right.column("id").to_pylist(), right.column("floor").to_pylist(), strict=True)):
-                i, s = search(tree, points, ids, q[n], own, bounds[n], k, -np.inf if floor is None else floor)
-                found_q += [own] * len(i)
-                found_i += i.tolist()
-                found_s += [int(x) for x in s]
-        return pa.table({"query_id": pa.array(found_q, pa.int64()), "vec_id": pa.array(found_i, pa.int64()), "score": pa.array(found_s, pa.int64())})
-
-    def meet(rows: DataFrame) -> DataFrame:
-        """rows: queries with floor, block and shard."""
-        pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ["dim", "block", "shard"]
-        return pairs.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(find, "query_id long, vec_id long, score long")
-
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    first = write_scratch(meet(asked.withColumn("floor", F.lit(None).cast("double")).withColumn("shard", F.col("home"))), "knn-first")
-    found = first
+    rows, n_asked = cand.count(), asked.count()
+    cells = fit_cells(cand, rows, shard_rows)
+    placed = write_scratch(with_cell(cand, cells), "knn-rows", "snappy")
+    parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    index = placed.join(parts, ["dim", "cell"]).withColumn("part", part).groupBy("dim", "cell", "part")
+    index = write_scratch(index.applyInArrow(_build, "dim int, cell int, part int, root binary, ids binary, points binary, nodes binary, boxes binary"), "knn-index", "none")
+    blocks = max(1, -(-n_asked // block_rows))
+    asked = with_cell(asked, cells).join(parts, ["dim", "cell"], "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = write_scratch(asked.select("dim", F.when(F.col("parts") > 0, F.col("cell")).alias("home_cell"), part.alias("home_part"), "block", "id", "v"), "knn-asked", "snappy")
+    home = asked.filter("home_cell IS NOT NULL").withColumnsRenamed({"home_cell": "cell", "home_part": "part"}).withColumn("floor", F.lit(None).cast("long"))
+    found = write_scratch(meet(index, home, k), "knn-first")
+    shards = index.count()
     if shards > 1:
-        kth = first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor"))
-        kth = kth.select("id", F.when(F.col("n") >= k, F.col("floor")).alias("floor"))
-        rest = asked.join(kth, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-        found = first.unionByName(meet(rest))
+        kth = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+        # A score at a long's end may be another's stand-in: no floor.
+        kth = kth.select("id", F.when((F.col("n") >= k) & (F.abs("floor") < 2**62), F.col("floor")).alias("floor"))
+        rest = may_hold_better(asked.join(kth, "id", "left"), index.select("dim", "cell", "part", "root"), shards, n_asked)
+        found = found.unionByName(meet(index, write_scratch(rest, "knn-pairs", "snappy"), k))
+    drop_scratch(placed)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
