@@ -21,7 +21,7 @@ from quillwork.llm._common import drop_scratch, fold, sampled, write_scratch
 
 SIZES, BITS = (3, 4, 5, 6), 21
 #: The fit's bounds: labelled toxic rows (and twice as many others) that n-grams are counted in, and those that weights are fitted on.
-MAX_COUNTED, MAX_ROWS = 12_000, 4_000
+MAX_COUNTED, MAX_ROWS = 12_000, 2_500
 #: Texts that an n-gram is seen in, at least; standard errors that a log odds ratio must have; the counts' smoothing.
 MIN_DOCS, MIN_Z, ALPHA = 3, 4.0, 0.5
 THRESHOLD = 0.7
@@ -138,27 +138,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pd.DataFrame({"y": (f["_y"] == 1).astype("int32"), "x": [present(t, table).astype("<i4").tobytes() for t in f["_t"]]})
 
     fit = labelled(MAX_ROWS).mapInPandas(vector, "y int, x binary").toPandas()
-    fit = fit.sort_values(["y", "x"])  # the same sums whatever the order of arrival
-    columns = [np.frombuffer(b, "<i4") for b in fit["x"]]
-    y = fit["y"].to_numpy(np.float64)
+    order = sorted(range(len(fit)), key=lambda i: (fit["y"].iat[i], fit["x"].iat[i]))  # the same sums whatever the order of arrival
+    columns = [np.frombuffer(fit["x"].iat[i], "<i4") for i in order]
+    y = fit["y"].to_numpy(np.float64)[order]
+    del fit
     weight, bias = _logistic(columns, y, ratio, odds_of_others)
     return ToxicityModel(ids, weight * ratio, bias)
 
 
-def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 120, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Adam on the whole sample; the classes weigh as often as they occur among all labels."""
-    row = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
-    col = np.concatenate(columns) if columns else np.zeros(0, np.int32)
-    value = ratio[col]
+def _logistic(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, odds: float, steps: int = 120, rate: float = 0.05, l2: float = 2e-5, together: int = 1000) -> tuple[np.ndarray, float]:
+    """Adam on the whole sample, so many rows at a time (columns is emptied); the classes weigh as often as they occur among all labels."""
+    parts = []
+    for a in range(0, len(columns), together):
+        size = np.array([len(c) for c in columns[a : a + together]])
+        parts.append((np.concatenate(columns[a : a + together]), size))
+        columns[a : a + together] = [None] * len(size)  # held once
     weigh = np.where(y == 1, 1 / max(1, (y == 1).sum()), odds / max(1, (y == 0).sum()))
     weigh /= weigh.sum()
     w = np.zeros(len(ratio) + 1)
     w[-1] = -np.log(odds)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=value * w[col], minlength=len(y)) + w[-1]
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weigh
-        g = np.append(np.bincount(col, weights=value * e[row], minlength=len(ratio)) + l2 * w[:-1], e.sum())
+        scaled, g, at = ratio * w[:-1], np.zeros(len(ratio) + 1), 0
+        for col, size in parts:
+            rows = slice(at, at + len(size))
+            sums = np.append(0, np.cumsum(scaled[col]))
+            z = np.diff(sums[np.append(0, np.cumsum(size))]) + w[-1]
+            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * weigh[rows]
+            g[:-1] += np.bincount(col, weights=np.repeat(e, size), minlength=len(ratio))
+            g[-1] += e.sum()
+            at += len(size)
+        g[:-1] = ratio * g[:-1] + l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
