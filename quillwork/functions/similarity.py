@@ -44,6 +44,16 @@ def blended_score(a: Column, b: Column, lcs: Column) -> Column:
     return length * F.lit(0.1) + first * F.lit(0.2) + (lcs / far) * F.lit(0.3) + edit * F.lit(0.4)
 
 
+def lcs_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """Least and most that the common subsequence can have, given the edit distance.
+
+    What stays in place in an edit is common; and what is common leaves the other letters
+    to be taken out and put in, which no edit needs more steps for.
+    """
+    n, m, d = F.length(a), F.length(b), F.levenshtein(a, b)
+    return F.greatest(n, m) - d, F.least(n, m, F.floor((n + m - d) / 2).cast("int"))
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's ratio of the lower-cased texts, popular letters of long texts set aside; not symmetric."""

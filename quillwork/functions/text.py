@@ -41,6 +41,12 @@ def tokens_with_separators(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\s+|\S+"), F.lit(0))
 
 
+def sums_before(lengths: Column) -> Column:
+    """For each of an array's whole numbers the sum of those before it, within the row."""
+    start = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("sum"))
+    return F.aggregate(lengths, start, lambda acc, n: F.struct(F.concat(acc["all"], F.array(acc["sum"])).alias("all"), (acc["sum"] + n).alias("sum")))["all"]
+
+
 #: Word characters: of ASCII, as browsers and Java have them; of all scripts, as Python has them.
 _ASCII, _ANY = r"\w", r"\p{L}\p{N}_"
 

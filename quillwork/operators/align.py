@@ -1,8 +1,8 @@
-"""Word-level differences of an original sentence and its correction, within the row."""
+"""Word-level differences of an original sentence and its correction: one row a word, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.similarity import edit_similarity
@@ -12,31 +12,31 @@ from quillwork.sources.constants import VALID_WORDS
 DRIFT, LEAST, SAME_PLACE, GUARD = 2, 0.3, 0.1, 3
 
 
-def sentence_changes(original: Column, corrected: Column) -> Column:
-    """Array of (original, corrected), in order of the original's words.
+def once(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """Kept columns and new ones that are worked out once a row, however often later expressions read them: they go through a generator, which no later projection is merged with."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def sentence_changes(rows: DataFrame, *keys: str, original: str = "original", corrected: str = "corrected") -> DataFrame:
+    """keys, i (the word's place, from 0), original, corrected: the changed words of each row.
 
     Each word looks two places to either side for the most similar corrected word,
     the same place counting a tenth more, the first of equals winning; similarity must
     pass 0.3.  Sentences whose word counts differ by more than three have no changes.
     """
-    a = split_words_keeping_empty(original)
-    b = F.transform(split_words_keeping_empty(strip_reply_prefix(corrected)), clean_ends)
+    split = once(rows, *keys, _a=split_words_keeping_empty(original), _b=F.transform(split_words_keeping_empty(strip_reply_prefix(corrected)), clean_ends))
+    near_enough = split.filter(F.abs(F.size("_a") - F.size("_b")) <= GUARD)
 
-    def best(word: Column, i: Column) -> Column:
+    def beside(word: Column, i: Column) -> Column:
         start = F.greatest(i - DRIFT, F.lit(0))
-        near = F.slice(b, start + 1, F.greatest(F.least(F.size(b), i + DRIFT + 1) - start, F.lit(0)))
-        scored = F.transform(near, lambda w, k: F.struct(edit_similarity(word, w).alias("s"), F.when(start + k == i, F.lit(SAME_PLACE)).otherwise(F.lit(0.0)).alias("bonus"), w.alias("w")))
-        fit = F.filter(scored, lambda x: (x["w"] != "") & (x["s"] > LEAST))
-        start_at = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("w"))
-        take = lambda acc, x: F.when(x["s"] + x["bonus"] > acc["score"], F.struct((x["s"] + x["bonus"]).alias("score"), x["w"].alias("w"))).otherwise(acc)
-        return F.aggregate(fit, start_at, take)["w"]
-
-    def change(word: Column, i: Column) -> Column:
-        c = clean_ends(word)
-        shown = F.regexp_extract(word, "[a-zA-Z',]+", 0)
-        found = best(c, i)
-        is_one = (F.length(c) >= 2) & ~c.isin(VALID_WORDS) & found.isNotNull() & (found != c) & (shown != "")
-        return F.when(is_one, F.struct(shown.alias("original"), match_case(shown, found).alias("corrected")))
-
-    changes = F.filter(F.transform(a, change), lambda x: x.isNotNull())
-    return F.when(F.abs(F.size(a) - F.size(b)) <= GUARD, changes).otherwise(F.filter(changes, lambda x: F.lit(False)))
+        return F.struct(word.alias("word"), start.alias("start"), F.slice("_b", start + 1, F.greatest(F.least(F.size("_b"), i + DRIFT + 1) - start, F.lit(0))).alias("near"))
+
+    words = near_enough.select(*keys, F.posexplode(F.transform("_a", beside)).alias("i", "_w"))
+    words = once(words, *keys, "i", _clean=clean_ends("_w.word"), _shown=F.regexp_extract("_w.word", "[a-zA-Z',]+", 0), _start=F.col("_w.start"), _near=F.col("_w.near"))
+    words = words.filter((F.length("_clean") >= 2) & ~F.col("_clean").isin(VALID_WORDS) & (F.col("_shown") != ""))
+    scored = once(words, *keys, "i", "_clean", "_shown", _found=F.transform("_near", lambda w, k: F.struct(edit_similarity(F.col("_clean"), w).alias("s"), F.when(F.col("_start") + k == F.col("i"), F.lit(SAME_PLACE)).otherwise(F.lit(0.0)).alias("bonus"), w.alias("w"))))
+    start_at = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("w"))
+    take = lambda acc, x: F.when(x["s"] + x["bonus"] > acc["score"], F.struct((x["s"] + x["bonus"]).alias("score"), x["w"].alias("w"))).otherwise(acc)
+    best = F.aggregate(F.filter("_found", lambda x: (x["w"] != "") & (x["s"] > LEAST)), start_at, take)["w"]
+    found = once(scored, *keys, "i", "_clean", "_shown", _best=best).filter(F.col("_best").isNotNull() & (F.col("_best") != F.col("_clean")))
+    return found.select(*keys, "i", F.col("_shown").alias("original"), match_case("_shown", "_best").alias("corrected"))

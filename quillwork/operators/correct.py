@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.functions.phonetic import double_metaphone
-from quillwork.functions.similarity import blended_score, lcs_length
-from quillwork.functions.text import apply_changes, clean, keep_punctuation, letters_only, parse_changes, split_words, tokens_with_separators
+from quillwork.functions.similarity import blended_score, lcs_bounds, lcs_length
+from quillwork.functions.text import apply_changes, clean, keep_punctuation, letters_only, parse_changes, split_words, sums_before, tokens_with_separators
 from quillwork.operators.align import sentence_changes
 from quillwork.operators.ordering import with_row_number
 from quillwork.sources.constants import VALID_WORDS
@@ -48,31 +48,53 @@ def scored(candidates: DataFrame, word: str = "clean") -> DataFrame:
     return candidates.withColumn("score", blended_score(F.col(word), F.col("candidate"), lcs_length(word, "candidate")))
 
 
-def best_matches(scores: DataFrame, key: str = "word", *ties: str) -> DataFrame:
-    """word, candidates (best first), best_match, score, confidence from rows (word, candidate, score).
+def contenders(candidates: DataFrame, key: str = "word", word: str = "clean") -> DataFrame:
+    """Candidates that can still be among a word's best two: by the edit distance alone the score is known to within bounds."""
+    least, most = (blended_score(F.col(word), F.col("candidate"), x) for x in lcs_bounds(F.col(word), F.col("candidate")))
+    by = W.partitionBy(key)
+    rows = candidates.withColumn("_least", least).withColumn("_rank", F.row_number().over(by.orderBy(F.desc("_least"))))
+    rows = rows.withColumn("_second", F.max(F.when(F.col("_rank") == 2, F.col("_least"))).over(by))
+    # Room for the rounding of sums.
+    return rows.filter(F.col("_second").isNull() | (most >= F.col("_second") - 1e-9)).drop("_least", "_rank", "_second")
 
-    Ties go by the columns named.  A runner-up above 0.8 of the best takes 0.3 of the
-    confidence; under a confidence of 0.3 there is no best match.
-    """
+
+def _confidence(first: Column, second: Column) -> Column:
+    return F.when(second > first * F.lit(CLOSE), first * F.lit(CLOSE_FACTOR)).otherwise(first)
+
+
+def ranked_candidates(scores: DataFrame, key: str = "word", *ties: str) -> DataFrame:
+    """word, candidates: all of them, best first; ties go by the columns named, then by the alphabet."""
     order = [-F.col("score"), *map(F.col, ties), F.col("candidate")]
     rows = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))).alias("_r"))
     last = f"o{len(order) - 1}"
-    first, second = -F.col("_r")[0]["o0"], -F.try_element_at("_r", F.lit(2))["o0"]
-    confidence = F.when(second > first * F.lit(CLOSE), first * F.lit(CLOSE_FACTOR)).otherwise(first)
-    found = rows.select(key, F.transform("_r", lambda x: x[last]).alias("candidates"), first.alias("score"), confidence.alias("confidence"))
-    return found.withColumn("best_match", F.when(F.col("confidence") > KEEP, F.col("candidates")[0]))
+    return rows.select(key, F.transform("_r", lambda x: x[last]).alias("candidates"))
+
+
+def best_matches(scores: DataFrame, key: str = "word", *ties: str) -> DataFrame:
+    """word, candidate (the best), best_match, score, confidence from rows (word, candidate, score).
+
+    Ties go by the columns named.  A runner-up above 0.8 of the best takes 0.3 of the
+    confidence; under a confidence of 0.3 there is no best match.  Only two rows of a
+    word are read, and each task cuts a word down to two before rows are moved.
+    """
+    order = W.partitionBy(key).orderBy(F.desc("score"), *ties, "candidate")
+    top = scores.withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
+    at = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
+    rows = top.groupBy(key).agg(at(1, "candidate").alias("candidate"), at(1, "score").alias("score"), at(2, "score").alias("_second"))
+    found = rows.withColumn("confidence", _confidence(F.col("score"), F.col("_second"))).drop("_second")
+    return found.withColumn("best_match", F.when(F.col("confidence") > KEEP, F.col("candidate")))
 
 
 def phonetic_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Best matches by sound of distinct words; words without a candidate are absent."""
-    return best_matches(scored(phonetic_candidates(words, phonetic_index(dictionary))), "word", "code_rank", "dict_pos")
+    return best_matches(scored(contenders(phonetic_candidates(words, phonetic_index(dictionary)))), "word", "code_rank", "dict_pos")
 
 
 def tokens(sentences: DataFrame, key: str = "key", text: str = "sentence") -> DataFrame:
-    """key, index, token, position: words and separators with their character offset."""
-    rows = sentences.select(key, F.posexplode(tokens_with_separators(text)).alias("index", "token"))
-    before = W.partitionBy(key).orderBy("index").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("position", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)))
+    """key, index, token, position: words and separators with their character offset, summed up within the row."""
+    rows = sentences.withColumn("_t", tokens_with_separators(text))
+    placed = F.arrays_zip(F.col("_t").alias("token"), sums_before(F.transform("_t", F.length)).alias("position"))
+    return rows.select(key, F.posexplode(placed).alias("index", "_p")).select(key, "index", F.col("_p.token").alias("token"), F.col("_p.position").cast("long").alias("position"))
 
 
 def check_sentences(sentences: DataFrame, dictionary: DataFrame, cache: DataFrame | None = None, corrector: Corrector | None = None) -> DataFrame:
@@ -100,14 +122,15 @@ def check_sentences(sentences: DataFrame, dictionary: DataFrame, cache: DataFram
     if corrector is None:
         return found.select("key", "corrections")
     replies = corrector(found.filter("_ask").select("key", "sentence"))
-    merged = found.join(replies, "key", "left")
-    place = lambda c: F.struct((F.instr(F.lower("sentence"), F.lower(c["original"])) - 1).alias("position"), c["original"].alias("original"), c["corrected"].alias("corrected"), F.lit("llm").alias("source"))
-    more = F.transform(sentence_changes(F.col("sentence"), F.col("reply")), place)
+    told = found.filter("_ask").join(replies.filter("reply IS NOT NULL"), "key")
+    more = sentence_changes(told, "key", "sentence", "corrections", original="sentence", corrected="reply").withColumn("_name", F.lower("original"))
     have = F.transform("corrections", lambda c: c["original"])
-    fresh = F.filter(more, lambda c: (c["position"] >= 0) & ~F.array_contains(have, F.lower(c["original"])))
+    more = more.withColumn("position", F.instr(F.lower("sentence"), F.col("_name")) - 1).filter((F.col("position") >= 0) & ~F.array_contains(have, F.col("_name")))
     # Of equal words the first counts.
-    once = F.filter(fresh, lambda c, i: ~F.array_contains(F.transform(F.slice(fresh, 1, i), lambda d: F.lower(d["original"])), F.lower(c["original"])))
-    return merged.select("key", F.when(F.col("_ask") & F.col("reply").isNotNull(), F.concat("corrections", once)).otherwise(F.col("corrections")).alias("corrections"))
+    once = more.groupBy("key", "_name").agg(F.min(F.struct("i", "position", "original", "corrected")).alias("m"))
+    fresh = once.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("_more"))
+    added = F.transform("_more", lambda m: F.struct(m["position"].alias("position"), m["original"].alias("original"), m["corrected"].alias("corrected"), F.lit("llm").alias("source")))
+    return found.join(fresh, "key", "left").select("key", F.when(F.col("_more").isNotNull(), F.concat("corrections", added)).otherwise(F.col("corrections")).alias("corrections"))
 
 
 def rewrite_sentences(sentences: DataFrame, cache: DataFrame, replies: DataFrame | None = None) -> DataFrame:

@@ -40,9 +40,9 @@ def same_trimmed(output: Column, expected: Column) -> Column:
 
 
 def accuracy(rows: DataFrame, by: str = "model") -> DataFrame:
-    """correct, total, accuracy (%), average, least and largest time."""
+    """correct, total, accuracy (%), average, least and largest time; the most accurate first."""
     right = F.sum(F.col("correct").cast("long"))
-    return rows.groupBy(by).agg(right.alias("n_correct"), F.count(F.lit(1)).alias("n_total"), (right / F.count(F.lit(1)) * 100).alias("accuracy"), F.avg("time").alias("avg_time"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
+    return rows.groupBy(by).agg(right.alias("n_correct"), F.count(F.lit(1)).alias("n_total"), (right / F.count(F.lit(1)) * 100).alias("accuracy"), F.avg("time").alias("avg_time"), F.min("time").alias("min_time"), F.max("time").alias("max_time")).orderBy(F.desc("accuracy"), by)
 
 
 def eval_accuracy(rows: DataFrame, instruction: str) -> DataFrame:
@@ -53,10 +53,10 @@ def eval_accuracy(rows: DataFrame, instruction: str) -> DataFrame:
 
 
 def suite_summary(rows: DataFrame) -> DataFrame:
-    """model, category, passed, failed, pct; category null: over all of the model's."""
+    """model, category, passed, failed, pct; category null: over all of the model's, before its categories."""
     n, ok = F.count(F.lit(1)), F.sum(F.col("passed").cast("long"))
     totals = rows.rollup("model", "category").agg(ok.alias("n_passed"), (n - ok).alias("n_failed"), (ok * 100.0 / n).alias("pct"))
-    return totals.filter("model IS NOT NULL")
+    return totals.filter("model IS NOT NULL").orderBy("model", F.col("category").asc_nulls_first())
 
 
 def best_model(summary: DataFrame) -> DataFrame:

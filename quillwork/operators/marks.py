@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import preserve_case
+from quillwork.functions.text import preserve_case, sums_before
 
 
-def mark_occurrences(texts: DataFrame, corrections: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+def mark_occurrences(texts: DataFrame, corrections: DataFrame | Column, key: str = "key", text: str = "text") -> DataFrame:
     """key, from, to, shown, correction: each occurrence, whatever its case, of a correction's original between non-word characters.
 
-    corrections: key, original, corrected, a few for each text, empty originals left out.
+    corrections: a table key, original, corrected, a few for each text, or one array of
+    (original, corrected) for all texts; empty originals are left out.
     Offsets count from 0; occurrences are taken from left to right and do not overlap.
     Cutting the text at the original gives them within the row.
     """
-    met = texts.select(key, F.col(text).alias("_t")).join(corrections.filter("original <> ''").select(key, "original", "corrected").distinct(), key)
-    wanted = F.lower("original")
-    parts = F.split(F.lower("_t"), F.concat(F.lit("\\Q"), wanted, F.lit("\\E")))
-    before = lambda i: F.aggregate(F.slice("_p", 1, i), F.lit(0), lambda n, x: n + F.length(x)) + (i - 1) * F.length("original")
-    starts = F.when(F.size("_p") > 1, F.transform(F.sequence(F.lit(1), F.size("_p") - 1), before)).otherwise(F.array().cast("array<int>"))
-    found = met.withColumn("_p", parts).select(key, "_t", "original", "corrected", F.explode(starts).alias("from")).withColumn("to", F.col("from") + F.length("original"))
+    if isinstance(corrections, Column):
+        met = texts.select(key, F.col(text).alias("_t"), F.inline(F.array_distinct(corrections))).filter("original <> ''")
+    else:
+        met = texts.select(key, F.col(text).alias("_t")).join(corrections.filter("original <> ''").select(key, "original", "corrected").distinct(), key)
+    parts = F.split(F.lower("_t"), F.concat(F.lit("\\Q"), F.lower("original"), F.lit("\\E")))
+    # Each part but the last ends where an occurrence starts.
+    starts = F.transform(sums_before(F.transform(parts, lambda x: F.length(x) + F.length("original"))), lambda n: n - F.length("original"))
+    found = met.select(key, "_t", "original", "corrected", F.explode(F.slice(starts, 2, 1 << 30)).alias("from")).withColumn("to", F.col("from") + F.length("original"))
     is_word = lambda at: F.substring("_t", at, F.lit(1)).rlike(r"\w")
     alone = ~((F.col("from") > 0) & is_word(F.col("from"))) & ~is_word(F.col("to") + 1)
     shown = F.substring("_t", F.col("from") + 1, F.length("original"))

@@ -6,19 +6,11 @@ the sizes of the ranges before; only those sizes, one for each partition, meet.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/quillwork'}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillwork.sources.shared import shared_table
 
 
 def with_row_number(df: DataFrame, *order: Column | str, name: str = "row_number") -> DataFrame:

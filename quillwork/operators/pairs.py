@@ -65,14 +65,15 @@ def source_statistics(pairs: DataFrame, *order: str) -> DataFrame:
     new = keep_first(pairs, *order).groupBy("source").agg(F.count(F.lit(1)).alias("unique_new"))
     both = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("total")).join(new, "source", "left").withColumn("unique_new", F.coalesce("unique_new", F.lit(0)))
     total = new.agg(F.sum("unique_new").alias("_all"))
-    return both.crossJoin(F.broadcast(total)).select("source", "total", "unique_new", (F.col("unique_new") / F.col("_all") * 100).alias("pct"))
+    return both.crossJoin(F.broadcast(total)).select("source", "total", "unique_new", (F.col("unique_new") / F.col("_all") * 100).alias("pct")).orderBy(F.desc("unique_new"), "source")
 
 
-def distance_histogram(pairs: DataFrame) -> DataFrame:
-    """edit_distance, n, pct of all."""
+def distance_histogram(pairs: DataFrame, first: int | None = None) -> DataFrame:
+    """edit_distance, n, pct of all, by ascending distance; the first so many distances, or all."""
     counts = pairs.groupBy(F.levenshtein(F.lower("misspelling"), F.lower("correct")).alias("edit_distance")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select("edit_distance", "n", (F.col("n") / F.col("_all") * 100).alias("pct"))
+    rows = counts.crossJoin(F.broadcast(total)).select("edit_distance", "n", (F.col("n") / F.col("_all") * 100).alias("pct")).orderBy("edit_distance")
+    return rows if first is None else rows.limit(first)
 
 
 def pair_statistics(pairs: DataFrame) -> DataFrame:

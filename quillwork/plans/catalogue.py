@@ -10,10 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as T
-from quillwork.functions.similarity import blended_score, lcs_length, matching_ratio
+from quillwork.functions.similarity import lcs_length, matching_ratio
 from quillwork.operators import align, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
 from quillwork.sources import constants as C
 from quillwork.sources import readers
+from quillwork.sources.shared import shared_root, shared_table
 from quillwork.streaming import session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +31,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with its SQL if it has one, and under an earlier name too if it had one."""
+
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
+        for name in filter(None, (f.__name__, also)):
+            _QUERIES[name] = f
+            if sql is not None:
+                _SQL[name] = sql
         return f
 
     return add
@@ -49,7 +53,10 @@ def _list(words: list[str]) -> str:
 
 
 WORDS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))"
-CLEAN = r"lower(regexp_replace({}, '[^a-zA-Z0-9_]', '', 'g'))"
+CLEAN = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', '', 'g'))"
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+#: DuckDB's edit distance counts bytes: letters beyond ASCII become one byte each, capitals, which lower-cased words lack.
+BYTES = "translate({}, 'óéñèüäößíêçàâîïôûùëáú', 'ABCDEFGHIJKLMNOPQRSTU')"
 CACHE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CACHE) + ")"
 
 
@@ -141,13 +148,16 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swapped_pairs(spark, sf_dir).withColumn("similarity", F.round(similar(F.col("misspelling"), F.col("correct")), 9))
 
 
-def blocked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown words and benchmark words with the same two last letters and about the same length."""
     ending = lambda c: F.substring(c, -2, 2)
     words = unknown_words(spark, sf_dir).select("word", ending("word").alias("e"), F.length("word").alias("n"))
     known = benchmark_words(spark, sf_dir).filter("length(word) >= 2").select(F.col("word").alias("candidate"), ending("word").alias("e"), F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])).alias("n"))
-    met = words.join(known, ["e", "n"]).select("word", "candidate")
-    return met.withColumn("score", blended_score(F.col("word"), F.col("candidate"), lcs_length("word", "candidate")))
+    return words.join(known, ["e", "n"]).select("word", "candidate")
+
+
+def blocked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correct.best_matches(correct.scored(correct.contenders(blocked_pairs(spark, sf_dir), word="word"), "word"))
 
 
 LCS = "list_reduce(list_prepend(list_transform(range(0, length(candidate) + 1), lambda i: 0), list_transform(string_split(word, ''), lambda c: [ascii(c)])), lambda r, ch: list_transform(r, lambda v, j: greatest(v, coalesce(list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN ascii(candidate[k - 1]) = ch[1] THEN r[k - 1] + 1 ELSE 0 END)), 0))))[-1]"
@@ -162,15 +172,14 @@ r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s W
 
 @query(f"WITH {SCORED} SELECT word, candidate, round(score, 9) AS score FROM r WHERE rn = 1")
 def blended_score_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = correct.best_matches(blocked_scores(spark, sf_dir))
-    return best.select("word", F.col("candidates")[0].alias("candidate"), F.round("score", 9).alias("score"))
+    return blocked_matches(spark, sf_dir).select("word", "candidate", F.round("score", 9).alias("score"))
 
 
 @query(f"""
 WITH {SCORED}, k AS (SELECT word, candidate, CASE WHEN second > score * 0.8::double THEN score * 0.7::double ELSE score END AS confidence FROM r WHERE rn = 1)
 SELECT word, CASE WHEN confidence > 0.3 THEN candidate END AS best_match, round(confidence, 9) AS confidence, confidence > 0.5 AS accepted FROM k""")
 def close_runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = correct.best_matches(blocked_scores(spark, sf_dir))
+    best = blocked_matches(spark, sf_dir)
     return best.select("word", "best_match", F.round("confidence", 9).alias("confidence"), (F.col("confidence") > correct.ACCEPT).alias("accepted"))
 
 
@@ -181,8 +190,9 @@ def dictionary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def phonetic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = correct.phonetic_matches(unknown_words(spark, sf_dir).select("word"), dictionary_of(spark, sf_dir))
-    return found.select("word", "best_match", F.round("confidence", 9).alias("confidence"), F.size("candidates").alias("n_candidates"))
+    words, known = shared_table(unknown_words(spark, sf_dir).select("word"), "unknown-words"), shared_table(dictionary_of(spark, sf_dir), "dictionary")
+    n = correct.phonetic_candidates(words, correct.phonetic_index(known)).groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"))
+    return correct.phonetic_matches(words, known).join(n, "word").select("word", "best_match", F.round("confidence", 9).alias("confidence"), "n_candidates")
 
 
 @query()
@@ -213,42 +223,31 @@ def hybrid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of ASCII turns, noised; and the same, clean, without the fourth."""
-    rows = _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    first = F.slice(T.split_words("text"), 1, 12)
-    return rows.select("conv_id", "turn", noised(F.array_join(first, " ")).alias("original"), F.array_join(F.concat(F.slice(first, 1, 3), F.slice(first, 5, 8)), " ").alias("corrected"))
+    """Whole turns, noised; and the same, clean, without the fourth word."""
+    rows = _t(spark, sf_dir, "conversations").withColumn("w", T.split_words("text"))
+    corrected = F.array_join(F.concat(F.slice("w", 1, 3), F.slice("w", 5, 1 << 30)), " ")
+    return rows.select("conv_id", "turn", noised(F.array_join("w", " ")).alias("original"), corrected.alias("corrected"))
 
 
 ENDS = r"lower(regexp_replace({}, '^[^a-zA-Z0-9_'']+|[^a-zA-Z0-9_'']+$', '', 'g'))"
 
 
 @query(rf"""
-WITH f AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:12] AS w FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-p AS (SELECT conv_id, turn, translate(array_to_string(w, ' '), 'bdpq', 'dbqp') AS original, array_to_string(list_concat(w[1:3], w[5:12]), ' ') AS corrected FROM f),
+WITH f AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT conv_id, turn, translate(array_to_string(w, ' '), 'bdpq', 'dbqp') AS original, array_to_string(list_concat(w[1:3], w[5:]), ' ') AS corrected FROM f),
 q AS (SELECT conv_id, turn, string_split_regex(original, '\s+') AS a,
       string_split_regex(trim(regexp_replace(regexp_replace(corrected, '^(here''?s?\s+(the\s+)?corrected\s+(sentence|text)[:\s]*)', '', 'i'), '^(corrected[:\s]*)', '', 'i')), '\s+') AS b FROM p),
 a AS (SELECT conv_id, turn, generate_subscripts(a, 1) AS i, unnest(a) AS o FROM q WHERE abs(len(a) - len(b)) <= 3),
 b AS (SELECT conv_id, turn, generate_subscripts(b, 1) AS j, unnest(b) AS c FROM q),
 x AS (SELECT conv_id, turn, i, j, o, {ENDS.format('o')} AS oc, {ENDS.format('c')} AS cc FROM a JOIN b USING (conv_id, turn) WHERE j BETWEEN i - 2 AND i + 2),
-s AS (SELECT *, CASE WHEN oc = cc THEN 1.0::double ELSE 1 - levenshtein(oc, cc) / greatest(length(oc), length(cc))::double END AS sim FROM x
+s AS (SELECT *, CASE WHEN oc = cc THEN 1.0::double ELSE 1 - levenshtein({BYTES.format('oc')}, {BYTES.format('cc')}) / greatest(length(oc), length(cc))::double END AS sim FROM x
       WHERE length(oc) >= 2 AND cc <> '' AND NOT list_contains({_list(C.VALID_WORDS)}, oc)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, i ORDER BY sim + CASE WHEN i = j THEN 0.1::double ELSE 0.0::double END DESC, j) AS rn FROM s WHERE sim > 0.3),
 d AS (SELECT conv_id, turn, i, regexp_extract(o, '[a-zA-Z'',]+') AS original, cc FROM r WHERE rn = 1 AND cc <> oc)
 SELECT conv_id, turn, original, CASE WHEN original = upper(original) THEN upper(cc) WHEN original[1] = upper(original[1]) THEN upper(cc[1]) || cc[2:] ELSE cc END AS corrected,
-       count(*) AS n FROM d WHERE original <> '' GROUP BY ALL""")
+       count(*) AS n FROM d WHERE original <> '' GROUP BY ALL""", also="sentence_diff_whole")
 def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentence_pairs(spark, sf_dir)
-    found = rows.select("conv_id", "turn", F.inline(align.sentence_changes(F.col("original"), F.col("corrected"))))
-    return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def sentence_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As sentence_diff, of every turn and its whole text."""
-    rows = _t(spark, sf_dir, "conversations").withColumn("w", T.split_words("text"))
-    original = noised(F.array_join("w", " "))
-    corrected = F.array_join(F.concat(F.slice("w", 1, 3), F.slice("w", 5, 1 << 30)), " ")
-    found = rows.select("conv_id", "turn", original.alias("o"), corrected.alias("c")).select("conv_id", "turn", F.inline(align.sentence_changes(F.col("o"), F.col("c"))))
+    found = align.sentence_changes(sentence_pairs(spark, sf_dir), "conv_id", "turn")
     return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -268,16 +267,40 @@ def typo_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("misspelling", "correct").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rf"""
-WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ts, text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+CACHED = rf"""
+t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ts, text FROM conversations),
 e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS token, text FROM t),
 c AS (SELECT e.*, k.correction FROM e LEFT JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) k ON {CLEAN.format('e.token')} = k.word),
 g AS (SELECT conv_id, turn, count(correction) AS cache_hits,
-      string_agg(CASE WHEN correction IS NULL THEN token ELSE correction || regexp_replace(token, '[a-zA-Z0-9_]', '', 'g') END, ' ' ORDER BY i) AS joined FROM c GROUP BY conv_id, turn)
-SELECT t.conv_id, t.turn, coalesce(g.cache_hits, 0) AS cache_hits, CASE WHEN g.cache_hits > 0 THEN g.joined ELSE t.text END AS corrected, coalesce(g.cache_hits, 0) < 2 AS asked
-FROM t LEFT JOIN g USING (conv_id, turn)""")
+      string_agg(CASE WHEN correction IS NULL THEN token ELSE correction || regexp_replace(token, '[\p{{L}}\p{{N}}_]', '', 'g') END, ' ' ORDER BY i) AS joined FROM c GROUP BY conv_id, turn),
+a AS (SELECT t.conv_id, t.turn, coalesce(g.cache_hits, 0) AS cache_hits, CASE WHEN g.cache_hits > 0 THEN g.joined ELSE t.text END AS corrected, coalesce(g.cache_hits, 0) < 2 AS asked
+      FROM t LEFT JOIN g USING (conv_id, turn))"""
+
+
+def keyed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
+
+
+@query(f"WITH {CACHED} SELECT * FROM a", also="apply_cache_all")
 def apply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _apply_cache(spark, ascii_turns(spark, sf_dir))
+    found = correct.rewrite_sentences(keyed_sentences(spark, sf_dir), spark.createDataFrame(CACHE, "word string, correction string"))
+    return found.select("key.conv_id", "key.turn", "cache_hits", "corrected", "asked")
+
+
+#: What a model replies to every sentence that it is asked for: four changes, of which one is valid already and one changes nothing.
+REPLY = "CHANGES: ing->ung, the->teh, onth->Onth, schen->chen"
+
+
+@query(f"""
+WITH {CACHED},
+b AS (SELECT *, strpos(lower(corrected), 'ing') AS p FROM a), c1 AS (SELECT *, CASE WHEN asked AND p > 0 THEN corrected[1:p - 1] || 'ung' || corrected[p + 3:] ELSE corrected END AS one FROM b),
+d AS (SELECT *, strpos(lower(one), 'schen') AS q FROM c1)
+SELECT conv_id, turn, cache_hits, asked, CASE WHEN asked AND q > 0 THEN one[1:q - 1] || 'chen' || one[q + 5:] ELSE one END AS corrected FROM d""")
+def model_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache first; where it knows fewer than two words, the changes that a model replies."""
+    rows = keyed_sentences(spark, sf_dir)
+    found = correct.rewrite_sentences(rows, spark.createDataFrame(CACHE, "word string, correction string"), rows.select("key", F.lit(REPLY).alias("reply")))
+    return found.select("key.conv_id", "key.turn", "cache_hits", "asked", "corrected")
 
 
 HOMOPHONES_SQL = "(VALUES " + ", ".join("('" + w.replace("'", "''") + f"', {len(g)})" for g in C.HOMOPHONE_GROUPS for w in g) + ")"
@@ -295,10 +318,11 @@ def homophone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda t:
-  CASE WHEN lower(regexp_replace(t, '[^a-zA-Z0-9_'']', '', 'g')) = 'by' THEN '[pause] ' || upper(t) || '. BY means {C.DEFINITIONS['by']}. Did you mean BUY, as in {C.DEFINITIONS['buy']}?' ELSE t END), ' ') AS script
-FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+  CASE WHEN lower(regexp_replace(t, '[^\p{{L}}\p{{N}}_'']', '', 'g')) = 'by' THEN '[pause] ' || upper(t) || '. BY means {C.DEFINITIONS['by']}. Did you mean BUY, as in {C.DEFINITIONS['buy']}?' ELSE t END), ' ') AS script
+FROM conversations""", also="tts_script_all")
 def tts_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tts_script(spark, ascii_turns(spark, sf_dir))
+    means = lambda w: F.lit(C.DEFINITIONS[w])
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", homophones.speech_script("text", F.lit("by"), F.lit("buy"), means("by"), means("buy")).alias("script"))
 
 
 @query(r"""
@@ -313,14 +337,17 @@ def case_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+') AS ts FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+') AS ts FROM conversations),
 e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS shown FROM t),
 p AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS start FROM e)
 SELECT conv_id, turn, start, (start + length(shown))::int AS stop, shown,
        CASE WHEN shown = upper(shown) THEN upper(c.correction) WHEN shown = lower(shown) THEN lower(c.correction) ELSE c.correction END AS correction
-FROM p JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON lower(p.shown) = c.word""")
+FROM p JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON lower(p.shown) = c.word""", also="mark_occurrences_all")
 def mark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mark_occurrences(spark, ascii_turns(spark, sf_dir))
+    rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    cache = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in CACHE])
+    found = marks.mark_occurrences(rows, cache)
+    return found.select("key.conv_id", "key.turn", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
 
 
 @query("""
@@ -333,32 +360,14 @@ def carry_forward_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- replies of models -------------------------------------------------------------------------------------------
 
-ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
-
-
-def ascii_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
 @query(rf"""
-WITH f AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:5] AS w FROM conversations WHERE {ASCII})
-SELECT conv_id, turn, array_to_string(w, ' ') AS sentence, array_to_string(w, ' ') AS answer, coalesce(w[1], '') AS word, coalesce(nullif(regexp_extract('HINT: "' || coalesce(w[1], '') || '" means', '"([a-zA-Z0-9_'']+)"', 1), ''), '') AS hinted,
-       starts_with('HINT: "' || coalesce(w[1], '') || '" means', 'HINT:') AS is_hint FROM f""")
+WITH f AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1] AS w FROM conversations),
+s AS (SELECT *, regexp_replace(regexp_replace('Here''s the corrected sentence: ' || text, '^(here''?s?\s+(the\s+)?corrected\s+(sentence|text)[:\s]*)', '', 'i'), '^(corrected[:\s]*)', '', 'i') AS said FROM f)
+SELECT conv_id, turn, {STRIP.format('said')} AS sentence, {STRIP.format("split_part(" + STRIP.format("text || chr(10) || 'more'") + ", chr(10), 1)")} AS answer,
+       regexp_extract(split_part({STRIP.format("text || chr(10) || 'lines'")}, chr(10), 1), '(\S+)', 1) AS word,
+       regexp_extract('HINT: "' || coalesce(w, '') || '" means ' || text, '"([a-zA-Z0-9_'']+)"', 1) AS hinted, true AS is_hint FROM s""", also="reply_cleaning_whole")
 def reply_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies with what models put around them, cleaned."""
-    first = F.array_join(F.slice(T.split_words("text"), 1, 5), " ")
-    word = F.coalesce(F.try_element_at(T.split_words("text"), F.lit(1)), F.lit(""))
-    hint = F.concat(F.lit('HINT: "'), word, F.lit('" means'))
-    rows = ascii_turns(spark, sf_dir).select("conv_id", "turn", first.alias("s"), word.alias("w"), hint.alias("h"))
-    wrapped = F.concat(F.lit("Here's the corrected sentence: "), "s")
-    thought = F.concat(F.lit("<think>hm</think> "), "s", F.lit("\nmore"))
-    said = F.concat(F.lit("  "), "w", F.lit(" and more\nlines"))
-    return rows.select("conv_id", "turn", T.strip_reply_prefix(wrapped).alias("sentence"), T.strip_thinking(thought).alias("answer"), F.when(F.col("w") == "", "").otherwise(T.first_word(said)).alias("word"), T.hinted_word("h").alias("hinted"), T.is_hint("h").alias("is_hint"))
-
-
-@query()
-def reply_cleaning_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As reply_cleaning, of every turn and its whole text."""
+    """Whole turns with what models put around their replies, cleaned."""
     rows = _t(spark, sf_dir, "conversations")
     wrapped = F.concat(F.lit("Here's the corrected sentence: "), "text")
     thought = F.concat(F.lit("<think>hm</think> "), "text", F.lit("\nmore"))
@@ -367,102 +376,36 @@ def reply_cleaning_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.strip_reply_prefix(wrapped).alias("sentence"), T.strip_thinking(thought).alias("answer"), T.first_word(said).alias("word"), T.hinted_word(hint).alias("hinted"), T.is_hint(hint).alias("is_hint"))
 
 
-@query(rf"""
-WITH r AS (SELECT conv_id, turn, text, strpos(lower(text), 'the') AS a FROM conversations WHERE {ASCII}),
+@query("""
+WITH r AS (SELECT conv_id, turn, text, strpos(lower(text), 'the') AS a FROM conversations),
 b AS (SELECT *, CASE WHEN a > 0 THEN text[1:a - 1] || 'teh' || text[a + 3:] ELSE text END AS one FROM r),
 c AS (SELECT *, strpos(lower(one), 'on') AS n FROM b)
-SELECT conv_id, turn, CASE WHEN n > 0 THEN one[1:n - 1] || 'no' || one[n + 2:] ELSE one END AS changed FROM c""")
+SELECT conv_id, turn, CASE WHEN n > 0 THEN one[1:n - 1] || 'no' || one[n + 2:] ELSE one END AS changed FROM c""", also="apply_changes_all")
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two changes after each other, each at its first occurrence."""
-    return _apply_changes(spark, ascii_turns(spark, sf_dir))
+    changes = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (("the", "teh"), ("on", "no"))])
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.apply_changes("text", changes).alias("changed"))
 
 
-@query(rf"""
-WITH t AS (SELECT conv_id, turn, text, strpos(text, ' ') AS p FROM conversations WHERE {ASCII} AND strpos(text, ' ') > 1)
-SELECT conv_id, turn, 'FIRST' || text[p:] AS accepted FROM t""")
+@query("""
+WITH t AS (SELECT conv_id, turn, text, strpos(text, ' ') AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN p > 0 THEN 'FIRST' || text[p:] WHEN text IS NOT NULL THEN 'FIRST' END AS accepted FROM t""", also="accept_correction_all")
 def accept_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first word replaced by its correction."""
-    return _accept_correction(spark, ascii_turns(spark, sf_dir))
+    """What stands before the first blank, or the whole text, replaced by its correction."""
+    rows = _t(spark, sf_dir, "conversations").withColumn("stop", F.when(F.instr("text", " ") > 0, F.instr("text", " ") - 1).otherwise(F.length("text")))
+    return rows.select("conv_id", "turn", marks.accept_correction(F.col("text"), F.lit(0), F.col("stop"), F.lit("FIRST")).alias("accepted"))
 
 
 @query(rf"""
-WITH t AS (SELECT conv_id, turn, text, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[2:], ' ') AS reply FROM conversations WHERE {ASCII})
-SELECT conv_id, turn, contains(lower(text), lower(reply)) AS has_reply, trim(text) = trim(reply) AS same,
-       abs(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) - len(list_filter(string_split_regex(reply, '\s+'), lambda x: x <> ''))) <= 1 AS kept_words FROM t""")
+WITH t AS (SELECT conv_id, turn, text, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[2:], ' ') AS reply FROM conversations)
+SELECT conv_id, turn, contains(lower(text), lower(reply)) AS has_reply, {STRIP.format('text')} = {STRIP.format('reply')} AS same,
+       abs(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) - len(list_filter(string_split_regex(reply, '\s+'), lambda x: x <> ''))) <= 1 AS kept_words FROM t""", also="pass_predicates_all")
 def pass_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pass_predicates(spark, ascii_turns(spark, sf_dir))
-
-
-def _apply_cache(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    rows = turns.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
-    found = correct.rewrite_sentences(rows, spark.createDataFrame(CACHE, "word string, correction string"))
-    return found.select("key.conv_id", "key.turn", "cache_hits", "corrected", "asked")
-
-
-@query()
-def apply_cache_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As apply_cache, of every turn."""
-    return _apply_cache(spark, _t(spark, sf_dir, "conversations"))
-
-
-def _tts_script(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    means = lambda w: F.lit(C.DEFINITIONS[w])
-    return turns.select("conv_id", "turn", homophones.speech_script("text", F.lit("by"), F.lit("buy"), means("by"), means("buy")).alias("script"))
-
-
-@query()
-def tts_script_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As tts_script, of every turn."""
-    return _tts_script(spark, _t(spark, sf_dir, "conversations"))
-
-
-def _mark_occurrences(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    rows = turns.select(F.struct("conv_id", "turn").alias("key"), "text")
-    cache = spark.createDataFrame(CACHE, "original string, corrected string")
-    found = marks.mark_occurrences(rows, rows.select("key").crossJoin(F.broadcast(cache)))
-    return found.select("key.conv_id", "key.turn", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
-
-
-@query()
-def mark_occurrences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As mark_occurrences, of every turn."""
-    return _mark_occurrences(spark, _t(spark, sf_dir, "conversations"))
-
-
-def _apply_changes(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    changes = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (("the", "teh"), ("on", "no"))])
-    return turns.select("conv_id", "turn", T.apply_changes("text", changes).alias("changed"))
-
-
-@query()
-def apply_changes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As apply_changes, of every turn."""
-    return _apply_changes(spark, _t(spark, sf_dir, "conversations"))
-
-
-def _accept_correction(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    rows = turns.withColumn("stop", F.instr("text", " ") - 1).filter("stop > 0")
-    return rows.select("conv_id", "turn", marks.accept_correction(F.col("text"), F.lit(0), F.col("stop"), F.lit("FIRST")).alias("accepted"))
-
-
-@query()
-def accept_correction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As accept_correction, of every turn."""
-    return _accept_correction(spark, _t(spark, sf_dir, "conversations"))
-
-
-def _pass_predicates(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    rows = turns.withColumn("reply", F.array_join(F.slice(T.split_words("text"), 2, 1 << 30), " "))
+    rows = _t(spark, sf_dir, "conversations").withColumn("reply", F.array_join(F.slice(T.split_words("text"), 2, 1 << 30), " "))
     kept = F.abs(T.count_words("text") - T.count_words("reply")) <= 1
     return rows.select("conv_id", "turn", evaluate.reply_contains(F.col("text"), F.col("reply")).alias("has_reply"), evaluate.same_trimmed(F.col("text"), F.col("reply")).alias("same"), kept.alias("kept_words"))
 
 
-@query()
-def pass_predicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As pass_predicates, of every turn."""
-    return _pass_predicates(spark, _t(spark, sf_dir, "conversations"))
-
-
 @query(f"WITH {SWAPPED}, c AS (SELECT misspelling AS word, correct AS candidate FROM p) SELECT word, candidate, {LCS}::int AS lcs FROM c")
 def common_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = swapped_pairs(spark, sf_dir).select(F.col("misspelling").alias("word"), F.col("correct").alias("candidate"))
@@ -628,6 +571,47 @@ def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.failures(judged(spark, sf_dir), "doc_id").select("doc_id", "model", "category", "time")
 
 
+WORD_CASES = f"w AS (SELECT word AS expected, translate(word, 'bdpq', 'dbqp') AS input FROM bm), o AS (SELECT expected, input, CASE WHEN length(expected) % 3 = 0 THEN input WHEN length(expected) % 3 = 1 THEN upper(expected) ELSE expected END AS reply FROM w)"
+
+
+@query(f"""
+WITH {BM}, {WORD_CASES} SELECT length(expected)::int AS n_letters, sum((lower(reply) = lower(expected))::int)::bigint AS n_correct, count(*) AS n_total FROM o GROUP BY 1""")
+def word_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark as cases; what stands for the model's reply is at times the misspelling, at times upper case, and goes on after the word."""
+    cases = benchmark_words(spark, sf_dir).select(F.col("word").alias("case_id"), noised("word").alias("input"), F.col("word").alias("expected"))
+    kind = F.length("expected") % 3
+    reply = F.when(kind == 0, F.col("input")).when(kind == 1, F.upper("expected")).otherwise(F.col("expected"))
+    outputs = cases.select(F.lit("m").alias("model"), "case_id", F.concat(F.lit(" "), reply, F.lit(" is right\nmore")).alias("output"), F.lit(0.5).alias("time"))
+    scored = evaluate.score_words(cases, outputs)
+    return scored.groupBy(F.length("expected").alias("n_letters")).agg(F.sum(F.col("correct").cast("long")).alias("n_correct"), F.count(F.lit(1)).alias("n_total"))
+
+
+@query()
+def sentence_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as cases of five categories; a model that thinks aloud and repeats each turn noised, without its last word where the category asks for word counts."""
+    rows = _t(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    names = F.array(*map(F.lit, [*evaluate.LEAST_RATIO, "word_preservation"]))
+    category = F.element_at(names, (F.pmod(F.xxhash64("text"), F.lit(5)) + 1).cast("int"))
+    cases = rows.select(category.alias("category"), F.struct("conv_id", "turn").alias("case_id"), F.col("text").alias("input"), F.col("text").alias("expected"))
+    words = T.split_words("input")
+    said = F.when(F.col("category") == "word_preservation", F.array_join(F.slice(words, 1, F.size(words) - 1 - F.col("case_id.turn").cast("int") % 2), " ")).otherwise(noised(F.translate("input", "\n", " ")))
+    outputs = cases.select(F.lit("m").alias("model"), "category", "case_id", F.concat(F.lit("<think>hm</think> "), said).alias("output"), F.lit(0.5).alias("time"))
+    scored = evaluate.score_sentences(cases, outputs)
+    return scored.select("case_id.conv_id", "case_id.turn", "category", F.round("similarity", 9).alias("similarity"), "passed")
+
+
+@query()
+def hybrid_check_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn, noised, checked by cache, sound and a model that knows the clean turn; only where words stay unknown is it asked."""
+    rows = _t(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", noised("text").alias("sentence"), "text").distinct()
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    rows = rows.select(F.concat_ws("-", part(F.col("conv_id")), part(F.col("turn")), F.sha2("text", 256)).alias("key"), "sentence", "text")
+    replies = rows.groupBy("sentence").agg(F.min("text").alias("reply"))
+    cache = spark.createDataFrame(CACHE, "word string, correction string")
+    found = correct.check_sentences(rows.select("key", "sentence"), dictionary_of(spark, sf_dir), cache, correct.lookup_corrector(replies))
+    return found.select("key", F.inline("corrections"))
+
+
 STREAM_SQL = """
 WITH r AS (SELECT user_id::varchar AS key, ts, event_type AS text, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events),
 k AS (SELECT key, text, coalesce(before = text, false) AS skip FROM r)
@@ -640,18 +624,51 @@ def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.session_totals_batch(rows)
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _t(spark, sf_dir, "events")
+    return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+def ran(result: DataFrame, name: str, mode: str) -> DataFrame:
+    return session.run_available(result, f"{shared_root(result.sparkSession)}/{name}-{uuid.uuid4().hex}", mode)
+
+
 @query(STREAM_SQL)
 def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of finished sentences, run until what is there is read."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    table = _t(spark, sf_dir, "events")
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = stream.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("text"))
-    name = "stream_cache_" + uuid.uuid4().hex
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillwork") + "/" + name
-    session.session_totals(rows).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/{n:06d}")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    updates = spark.read.schema(session.OUTPUT).option("recursiveFileLookup", "true").parquet(f"{where}/out").withColumn("n", F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1))
-    return updates.groupBy("key").agg(F.max_by(F.struct("n_rows", "n_skipped", "n_hits", "n_misses"), "n").alias("s")).select("key", "s.*")
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("text"))
+    return session.latest_by_key(ran(session.session_totals(rows), "stream-cache", "update"))
+
+
+def learning_events(events: DataFrame) -> DataFrame:
+    """Each event asks for its type and then teaches a correction of it, which carries the event's number."""
+    return events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), F.col("event_type").alias("word"), F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("correction"))
+
+
+ANSWERS_SQL = """
+WITH r AS (SELECT user_id::varchar AS key, event_id AS seq, event_type, lag(event_type || '-' || event_id) OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts, event_id) AS known FROM events)
+SELECT key, seq, coalesce(known, event_type) AS corrected, (known IS NOT NULL)::int AS hits FROM r"""
+
+
+@query(ANSWERS_SQL)
+def session_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.session_answers_batch(learning_events(_t(spark, sf_dir, "events"))).select("key", "seq", "corrected", "hits")
+
+
+@query(ANSWERS_SQL)
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: a session's corrections are keyed state, the latest wins."""
+    return ran(session.session_answers(learning_events(event_stream(spark, sf_dir))), "stream-answers", "append").select("key", "seq", "corrected", "hits")
+
+
+@query("""
+WITH r AS (SELECT user_id::varchar AS key, event_id AS seq, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
+           lag(event_type || '-' || event_id) OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts, event_id) AS known FROM events)
+SELECT key, seq, text, coalesce(known, text) AS corrected FROM r WHERE rn <= 100""")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred answers of each session, as its state holds them at the end of the stream."""
+    last = session.latest_by_key(ran(session.session_logs(learning_events(event_stream(spark, sf_dir))), "stream-log", "update"))
+    return last.select("key", F.inline("entries")).select("key", "seq", "text", "corrected")
 
 
 def queries() -> dict[str, Query]:

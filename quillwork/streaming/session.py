@@ -1,22 +1,32 @@
-"""Sentences as a stream: what a session has cached, and what it checked last.
+"""Sentences as a stream: what a session has cached, what it checked last, and its log.
 
 Rows are (key, ts, text), one finished sentence each.  A session skips blank text
 and text equal to the last it checked; words of a checked sentence that the session
 has not seen yet are misses and are remembered, others are hits.
+
+With (key, ts, seq, text, word, correction) a session also learns: a sentence is answered
+with the corrections known before it, then the row's correction of its word is
+remembered, the latest replacing those before.
+
+A session's rows of one micro-batch are sorted in its task: bound a micro-batch by the
+source's maxFilesPerTrigger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "key string, n_rows long, n_skipped long, n_hits long, n_misses long"
+ANSWERS = "key string, ts timestamp, seq long, corrected string, hits int"
+LOG = "key string, entries array<struct<ts: timestamp, seq: long, text: string, corrected: string>>"
 #: Log entries that a session keeps.
 KEPT = 100
 
@@ -26,21 +36,17 @@ class SessionCache(StatefulProcessor):
         self.seen = handle.getMapState("seen", "word string", "n long")
         self.last = handle.getValueState("last", "text string")
         self.totals = handle.getValueState("totals", "n_rows long, n_skipped long, n_hits long, n_misses long")
-        self.log = handle.getListState("log", "text string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n, skipped, hits, misses = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
         last = self.last.get()[0] if self.last.exists() else None
-        entries = [x[0] for x in self.log.get()] if self.log.exists() else []
         # A micro-batch's rows of a key come unordered.
-        frame = pd.concat(list(rows)).sort_values(["ts", "text"])
-        for text in frame["text"]:
+        for text in pd.concat(list(rows)).sort_values(["ts", "text"])["text"]:
             n += 1
             if text is None or not text.strip() or text == last:
                 skipped += 1
                 continue
             last = text
-            entries = [*entries, text][-KEPT:]
             for word in text.lower().split():
                 if self.seen.containsKey((word,)):
                     hits += 1
@@ -51,19 +57,93 @@ class SessionCache(StatefulProcessor):
         self.totals.update((n, skipped, hits, misses))
         if last is not None:
             self.last.update((last,))
-        if entries:
-            self.log.put([(x,) for x in entries])
         yield pd.DataFrame({"key": [key[0]], "n_rows": [n], "n_skipped": [skipped], "n_hits": [hits], "n_misses": [misses]})
 
     def close(self) -> None:
         pass
 
 
+class SessionCorrections(StatefulProcessor):
+    """Answers each sentence, or with log=True gives the session's log, its last KEPT answers, after each micro-batch."""
+
+    def __init__(self, log: bool = False):
+        self.gives_log = log
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cache = handle.getMapState("cache", "word string", "correction string")
+        self.log = handle.getListState("log", "ts timestamp, seq long, text string, corrected string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        entries = [tuple(x) for x in self.log.get()] if self.log.exists() else []
+        told: list[tuple] = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            words = (r.text or "").split()
+            new = [self.cache.getValue((w.lower(),))[0] if self.cache.containsKey((w.lower(),)) else None for w in words]
+            hits = sum(c is not None for c in new)
+            corrected = " ".join(w if c is None else c for w, c in zip(words, new, strict=True)) if hits else r.text
+            told.append((key[0], r.ts, r.seq, corrected, hits))
+            entries.append((r.ts.to_pydatetime(), r.seq, r.text, corrected))
+            if r.word is not None and r.correction is not None:
+                self.cache.updateValue((r.word.lower(),), (r.correction,))
+        entries = entries[-KEPT:]
+        self.log.put(entries)
+        if self.gives_log:
+            names = ("ts", "seq", "text", "corrected")
+            yield pd.DataFrame({"key": [key[0]], "entries": [[dict(zip(names, e, strict=True)) for e in entries]]})
+        else:
+            yield pd.DataFrame(told, columns=["key", "ts", "seq", "corrected", "hits"])
+
+    def close(self) -> None:
+        pass
+
+
 def session_totals(stream: DataFrame) -> DataFrame:
     """Running totals of each session; needs the RocksDB state store."""
     return stream.groupBy("key").transformWithStateInPandas(SessionCache(), OUTPUT, "update", "none")
 
 
+def session_answers(stream: DataFrame) -> DataFrame:
+    """key, ts, seq, corrected, hits of each row; needs the RocksDB state store."""
+    return stream.groupBy("key").transformWithStateInPandas(SessionCorrections(), ANSWERS, "append", "none")
+
+
+def session_logs(stream: DataFrame) -> DataFrame:
+    """key, entries: a session's log after each micro-batch that it has rows in; needs the RocksDB state store."""
+    return stream.groupBy("key").transformWithStateInPandas(SessionCorrections(log=True), LOG, "update", "none")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_available(result: DataFrame, where: str, mode: str) -> DataFrame:
+    """Run until what is there is read; then all that was ever emitted, with the micro-batch (column n) that did.
+
+    State and progress are under `where`: run again, it goes on with what came since.  A
+    micro-batch that is repeated after a failure replaces its own folder.
+    """
+    spark = result.sparkSession
+    with rocksdb(spark):
+        writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out/{n:06d}")).start().awaitTermination()
+    found = spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{where}/out")
+    return found.withColumn("n", F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1))
+
+
+def latest_by_key(emitted: DataFrame) -> DataFrame:
+    """Of updates, the last of each key."""
+    rest = [c for c in emitted.columns if c not in ("key", "n")]
+    return emitted.groupBy("key").agg(F.max_by(F.struct(*rest), "n").alias("s")).select("key", "s.*")
+
+
 def session_totals_batch(rows: DataFrame) -> DataFrame:
     """The same totals of a finished table."""
     order = W.partitionBy("key").orderBy("ts", "text")
@@ -77,6 +157,19 @@ def session_totals_batch(rows: DataFrame) -> DataFrame:
     return sums.join(first, "key", "left").select("key", "n_rows", "n_skipped", (F.col("_all") - F.coalesce("n_misses", F.lit(0))).alias("n_hits"), F.coalesce("n_misses", F.lit(0)).alias("n_misses"))
 
 
+def session_answers_batch(rows: DataFrame) -> DataFrame:
+    """The same answers of a finished table: each word meets the last correction of it before its row."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    asked = rows.select("key", "ts", "seq", F.posexplode(words).alias("i", "token")).select("key", "ts", "seq", "i", "token", F.lower("token").alias("word"), F.lit(None).cast("string").alias("correction"))
+    writes = rows.filter("word IS NOT NULL AND correction IS NOT NULL").select("key", "ts", "seq", F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("token"), F.lower("word").alias("word"), "correction")
+    before = W.partitionBy("key", "word").orderBy("ts", "seq", F.col("i").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    told = asked.unionByName(writes).withColumn("known", F.last("correction", ignorenulls=True).over(before)).filter("i IS NOT NULL")
+    per = told.groupBy("key", "ts", "seq").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("known", "token").alias("t")))).alias("_t"), F.count("known").cast("int").alias("hits"))
+    found = rows.select("key", "ts", "seq", "text").join(per, ["key", "ts", "seq"], "left")
+    hits = F.coalesce("hits", F.lit(0))
+    return found.select("key", "ts", "seq", F.when(hits > 0, F.array_join(F.transform("_t", lambda x: x["t"]), " ")).otherwise(F.col("text")).alias("corrected"), hits.alias("hits"))
+
+
 def append_log(log: DataFrame, path: str, checkpoint: str):
     """A query that appends finished log entries to a table as they come; the caller starts or stops others of it."""
     return log.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,10 +2,13 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillwork.functions import registry
+from quillwork.functions.similarity import lcs_bounds, lcs_length
 from quillwork.operators import align, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
 from quillwork.sources import readers, sinks
 
@@ -139,15 +142,19 @@ def test_training_rows(spark):
     ],
 )
 def test_sentence_changes(spark, a, b, wanted):
-    got = spark.createDataFrame([(a, b)], "a string, b string").select(align.sentence_changes(F.col("a"), F.col("b"))).first()[0]
-    assert [tuple(x) for x in got] == wanted
+    df = spark.createDataFrame([(1, a, b), (2, None, b), (3, a, None)], "k int, a string, b string")
+    got = align.sentence_changes(df, "k", original="a", corrected="b").orderBy("i").collect()
+    assert [(r["original"], r["corrected"]) for r in got] == wanted and all(r["k"] == 1 for r in got)
 
 
 def test_matches_by_sound(spark):
     words = spark.createDataFrame([("becuase",), ("freind",), ("zzz",), ("im",)], "word string")
     got = {r["word"]: r for r in correct.phonetic_matches(words, readers.dictionary(spark)).collect()}
     assert got["becuase"]["best_match"] == "because" and got["freind"]["best_match"] == "friend" and "zzz" not in got
-    assert got["im"]["candidates"][0] == "i'm" and got["im"]["score"] == pytest.approx(0.7333, abs=1e-3)
+    scores = correct.scored(correct.phonetic_candidates(words, correct.phonetic_index(readers.dictionary(spark))))
+    ranked = {r["word"]: r["candidates"] for r in correct.ranked_candidates(scores, "word", "code_rank", "dict_pos").collect()}
+    assert all(ranked[w][0] == r["candidate"] for w, r in got.items()) and ranked.keys() == got.keys()
+    assert got["im"]["candidate"] == "i'm" and got["im"]["score"] == pytest.approx(0.7333, abs=1e-3)
 
 
 def test_close_alternatives_and_ties(spark):
@@ -162,7 +169,7 @@ def test_hybrid_check(spark):
     cache = spark.createDataFrame([("teh", "the")], "word string, correction string")
     model = correct.lookup_corrector(spark.createDataFrame([("My freind is qwxyz teh  becuase", "My friend is quiz the because")], "sentence string, reply string"))
     got = {r["key"]: [tuple(c) for c in r["corrections"]] for r in correct.check_sentences(asked, readers.dictionary(spark), cache, model).collect()}
-    assert got["1"] == [(3, "freind", "friend", "phonetic"), (19, "teh", "the", "cache"), (24, "becuase", "because", "phonetic"), (13, "qwxyz", "quiz", "llm")] or [c[1:] for c in got["1"]][:3] == [("freind", "friend", "phonetic"), ("teh", "the", "cache"), ("becuase", "because", "phonetic")]
+    assert got["1"] == [(3, "freind", "friend", "phonetic"), (19, "teh", "the", "cache"), (24, "becuase", "because", "phonetic"), (13, "qwxyz", "quiz", "llm")]
     assert got["2"] == []
     plain = correct.check_sentences(asked, readers.dictionary(spark)).filter("key = '1'").first()["corrections"]
     assert [c["original"] for c in plain] == ["freind", "becuase"]
@@ -217,3 +224,38 @@ def test_evaluation(spark):
 
 def test_log(spark):
     assert log.last_entries(spark.range(250), "id").agg(F.min("id"), F.count("id")).first() == (150, 100)
+
+
+def test_orders_of_reports(spark):
+    """Statistics come in the order that they are read in."""
+    df = spark.createDataFrame([("s1", 0, "a", "b"), ("s2", 1, "a", "b"), ("s2", 1, "abc", "x"), ("s2", 1, "ab", "abcd")], "source string, priority int, misspelling string, correct string")
+    assert [r["source"] for r in pairs.source_statistics(df, "priority").collect()] == ["s2", "s1"]
+    assert [r["edit_distance"] for r in pairs.distance_histogram(df).collect()] == [1, 2, 3]
+    assert [r["edit_distance"] for r in pairs.distance_histogram(df, first=2).collect()] == [1, 2]
+    judged = spark.createDataFrame([("n", "b", False), ("m", "a", True), ("m", "b", False), ("k", "a", True)], "model string, category string, correct boolean").withColumn("time", F.lit(1.0)).withColumn("passed", F.col("correct"))
+    assert [r["model"] for r in evaluate.accuracy(judged).collect()] == ["k", "m", "n"]
+    assert [(r["model"], r["category"]) for r in evaluate.suite_summary(judged).collect()] == [("k", None), ("k", "a"), ("m", None), ("m", "a"), ("m", "b"), ("n", None), ("n", "b")]
+    assert rows(df.filter(pairs.differs(F.col("misspelling"), F.lit("A"))).select("misspelling"), "misspelling") == [("ab",), ("abc",)]
+
+
+def test_functions_in_sql(spark):
+    registry.register(spark)
+    got = spark.sql("SELECT double_metaphone('night') AS m, lcs_length('becuase', 'because') AS l, matching_ratio('abcd', 'bcde') AS r").first()
+    assert got["m"][0] == "NT" and got["l"] == 6 and got["r"] == 0.75
+
+
+def test_bounds_of_the_common_subsequence(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
+    df = spark.createDataFrame([(word(), word()) for _ in range(500)], "a string, b string")
+    least, most = lcs_bounds(F.col("a"), F.col("b"))
+    assert df.filter((lcs_length("a", "b") < least) | (lcs_length("a", "b") > most)).count() == 0
+
+
+def test_contenders_keep_the_best_two(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 7)))
+    df = spark.createDataFrame(sorted({(rng.choice(["abcd", "dcba", "aabb"]), word()) for _ in range(400)}), "word string, candidate string")
+    whole, cut = (sorted(map(tuple, correct.best_matches(correct.scored(c, "word")).collect())) for c in (df, correct.contenders(df, word="word")))
+    assert whole == cut and len(whole) == 3
+    assert correct.contenders(df, word="word").count() < df.count()

@@ -1,9 +1,86 @@
-"""The stream's totals equal those of the finished table."""
+"""Streams equal the finished table, and go on from where they stopped."""
+
+import shutil
+
+from pyspark.sql import functions as F
 
 from quillwork.plans import catalogue
+from quillwork.streaming import session
+
+
+def key(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()))
 
 
 def test_stream_equals_batch(spark, sf_dir):
-    key = lambda df: sorted(map(tuple, df.select("key", "n_rows", "n_skipped", "n_hits", "n_misses").collect()))
-    batch = key(catalogue.session_totals(spark, sf_dir))
-    assert key(catalogue.stream_cache(spark, sf_dir)) == batch and len(batch) == 15
+    columns = ("key", "n_rows", "n_skipped", "n_hits", "n_misses")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    batch = key(catalogue.session_totals(spark, sf_dir), *columns)
+    assert key(catalogue.stream_cache(spark, sf_dir), *columns) == batch and len(batch) == 15
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+ROWS = [
+    ("a", 1, 1, "teh cat", "teh", "the"),
+    ("a", 2, 2, "Teh dog teh", "teh", "ten"),
+    ("a", 3, 3, "teh end", None, None),
+    ("b", 1, 4, "teh", "cat", "dog"),
+    ("b", 2, 5, None, "teh", None),
+    ("b", 3, 6, "  ", "x", "y"),
+    ("b", 4, 7, "cat  X", "CAT", "cow"),
+    ("b", 4, 8, "cat", None, None),
+    ("a", 9, 9, "cat teh", "teh", "tee"),
+]
+WANTED = {1: ("teh cat", 0), 2: ("the dog the", 2), 3: ("ten end", 1), 4: ("teh", 0), 5: (None, 0), 6: ("  ", 0), 7: ("dog y", 2), 8: ("cow", 1), 9: ("cat ten", 1)}
+
+
+def sentences(spark):
+    df = spark.createDataFrame(ROWS, "key string, at int, seq long, text string, word string, correction string")
+    return df.withColumn("ts", F.timestamp_seconds("at")).drop("at")
+
+
+def test_corrections_are_learned_and_the_latest_wins(spark):
+    got = {r["seq"]: (r["corrected"], r["hits"]) for r in session.session_answers_batch(sentences(spark)).collect()}
+    assert got == WANTED
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stopped after the first file, it knows what it learned when the second comes; and the log holds both."""
+    rows = sentences(spark)
+    early, late = (rows.filter(c).coalesce(1) for c in ("seq <= 4", "seq > 4"))
+    early.write.parquet(f"{tmp_path}/early")
+    late.write.parquet(f"{tmp_path}/late")
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def answers():
+        stream = spark.readStream.schema(rows.schema).parquet(f"file://{source}")
+        return session.run_available(session.session_answers(stream), f"file://{tmp_path}/answers", "append")
+
+    def logs():
+        stream = spark.readStream.schema(rows.schema).parquet(f"file://{source}")
+        return session.latest_by_key(session.run_available(session.session_logs(stream), f"file://{tmp_path}/logs", "update"))
+
+    for part, known in (("early", range(1, 5)), ("late", range(1, 10))):
+        for f in (tmp_path / part).glob("*.parquet"):
+            shutil.copy(f, source / f"{part}-{f.name}")
+        assert sorted((r["seq"], (r["corrected"], r["hits"])) for r in answers().collect()) == [(i, WANTED[i]) for i in known]
+        found = {r["key"]: [e["seq"] for e in r["entries"]] for r in logs().collect()}
+        assert found == {k: [s for x, _, s, *_ in ROWS if x == k and s in known] for k in "ab"}
+
+
+def test_totals_go_on(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x y"), ("a", 2, "x z"), ("b", 1, "x")], "key string, ts int, text string")
+    for i in (1, 2):
+        rows.filter(f"ts = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in/*")
+        out = session.latest_by_key(session.run_available(session.session_totals(stream), f"file://{tmp_path}/run", "update"))
+        assert key(out, "key", "n_rows", "n_hits", "n_misses") == ([("a", 1, 0, 2), ("b", 1, 0, 1)] if i == 1 else [("a", 2, 1, 3), ("b", 1, 0, 1)])
+
+
+def test_appended_log(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "input string, n int")
+    rows.write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # what was appended is not appended again
+        session.append_log(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/log", f"file://{tmp_path}/state").awaitTermination()
+    assert key(spark.read.parquet(f"file://{tmp_path}/log"), "input", "n") == [("a", 1), ("b", 2)]
