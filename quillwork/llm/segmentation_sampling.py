@@ -20,8 +20,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from quillwork.llm.bpe import Grown
 from quillwork.llm.unigram import SPACE, load_vocabulary
 
 #: Arcs that a worker remembers (the memory starts anew when it is full), and texts that are walked together.
-MEMORY, TOGETHER = 12_000_000, 100
+MEMORY, TOGETHER = 12_000_000, 400
 _WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
 
@@ -83,10 +84,11 @@ class Lattice:
     def _show(self) -> None:
         self.nodes, self.share, self.log_own, self.to, self.piece = (x.all for x in (self._nodes, self._share, self._log_own, self._to, self._piece))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
+        """Arcs of different words."""
         if len(self.to) > MEMORY:
             self._forget()
-        new = sorted(w for w in words if w not in self.words)
+        new = [w for w in words if w not in self.words]
         if not new:
             return
         # No piece crosses from one word into the next: all substrings are looked up at once, by 64-bit hashes.
@@ -116,7 +118,8 @@ class Lattice:
             self.raw = np.concatenate([self.raw, np.array([i for r in raw for i in r], np.int32)])
             self.raw_size = np.concatenate([self.raw_size, np.repeat(size_of, size_of)])
         # Log mass behind each position, from the words' ends backwards, all words at once.
-        order = np.argsort((stop[at] - at) * (len(text) + 1) + at)
+        # Keys without ties, so that arcs come in the same order whatever other words are learned with theirs.
+        order = np.argsort(((stop[at] - at) * (len(text) + 1) + at) * 64 + np.minimum(to - at, 63))
         at, to, piece, log_prob = at[order], to[order], piece[order], log_prob[order]
         level = stop[at] - at
         ends_word = to == stop[at]
@@ -128,13 +131,20 @@ class Lattice:
             total = np.logaddexp.reduceat(m, head)
             mass[at[a:b][head]] = total
             log_own[a:b] = m - np.repeat(total, np.diff(np.append(head, b - a)))
-        order = np.argsort(at - 0.999 * np.exp(log_own))  # by node, the likeliest arc first
+        # By node, the likeliest arc first, of likely ones alike the shorter.
+        if len(text) < 1 << 20:
+            order = np.argsort(at << 43 | ((1 - np.exp(log_own)) * 2.0**36).astype(np.int64) << 6 | np.minimum(to - at, 63))
+        else:
+            order = np.lexsort((to - at, ((1 - np.exp(log_own)) * 2.0**36).astype(np.int64), at))
         at, log_own = at[order], log_own[order]
         head = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(head[1:], len(at)) - 1
-        own = np.exp(log_own)
-        share = np.cumsum(own)
-        share -= np.repeat(share[head] - own[head], last - head + 1)
+        share, on, k = np.exp(log_own), head[last > head], 1
+        while len(on):  # each node's sums on their own
+            share[on + k] += share[on + k - 1]
+            k += 1
+            on = on[at[np.minimum(on + k, len(at) - 1)] == at[on]]
+            on = on[on + k < len(at)]
         share[last] = 2.0  # no draw passes a node's last arc
         base = len(self.nodes) - 1
         self.words.update(zip(new, (np.cumsum(size) - size + base).tolist(), strict=True))
@@ -261,40 +271,53 @@ class Sampler:
         self.lattice = Lattice(path)
         v = self.lattice.v
         at = {b: i for i, b in enumerate(v.byte_id)}
-        self.bytes_of = [bytes([at[i]]) if i in at else n.replace(SPACE, " ").encode() for i, n in enumerate(v.names)]
+        pieces = [bytes([at[i]]) if i in at else n.replace(SPACE, " ").encode() for i, n in enumerate(v.names)]
+        self.letters, self.size_of = np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces)), np.int64)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
 
     def normalised(self, text: str | None) -> str:
         """The model file's own normalisation; surrogates that UTF-8 lacks become question marks."""
         return self.model.normalize((text or "").encode("utf-8", "replace").decode())
 
-    def ids(self, arcs: np.ndarray) -> np.ndarray:
+    def ids(self, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of arcs one after the other, and how many each arc has."""
         lattice = self.lattice
         piece = lattice.piece[arcs]
         raw = piece < 0
-        if not raw.any():
-            return piece
         size = np.where(raw, lattice.raw_size[np.where(raw, -piece, 0)], 1)
+        if not raw.any():
+            return piece, size
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         whole, lone = np.repeat(piece, size), np.repeat(raw, size)
-        return np.where(lone, lattice.raw[np.where(lone, at - whole, 0)], whole)
+        return np.where(lone, lattice.raw[np.where(lone, at - whole, 0)], whole), size
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids one after the other, and how many each has."""
+        size = self.size_of[ids]
+        first = np.cumsum(size) - size
+        return self.letters[np.repeat(self.start_of[ids] - first, size) + np.arange(size.sum())].tobytes(), size
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the blank that encoding puts first is taken off."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+        return self.bytes_of(ids)[0].decode("utf-8", "replace").removeprefix(" ")
 
     def samples(self, keys: list, texts: list[str | None], k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float, bool]]:
         """Row, sample, ids, log probability, perturbed value, inclusion score, and whether decoding gives the normalised text."""
         for a in range(0, len(keys), TOGETHER):
             cut = [_WORD.findall(self.normalised(t)) for t in texts[a : a + TOGETHER]]
-            self.lattice.learn({w for c in cut for w in c})
+            self.lattice.learn(dict.fromkeys(chain.from_iterable(cut)))
             first = self.lattice.words
             seeds = np.array([xxhash.xxh64_intdigest(str(x).encode(), 42) for x in keys[a : a + TOGETHER]], np.uint64)
             words = [np.array([first[w] for w in c], np.int64) for c in cut]
-            for i, (c, paths) in enumerate(zip(cut, sample_paths(self.lattice, words, k, seeds), strict=True)):
-                text = "".join(c).replace(SPACE, " ").removeprefix(" ")
-                for n, (arcs, lp, g, inclusion) in enumerate(paths, 1):
-                    ids = self.ids(arcs)
-                    yield a + i, n, ids, lp, g, inclusion, self.decode(ids) == text
+            found = [(i, n, p) for i, paths in enumerate(sample_paths(self.lattice, words, k, seeds)) for n, p in enumerate(paths, 1)]
+            # All samples at once: ids of their arcs, bytes of their ids, and where each sample ends in them.
+            ids, many = self.ids(np.concatenate([p[0] for _, _, p in found]))
+            ends = np.append(0, np.cumsum(many))[np.cumsum([0, *(len(p[0]) for _, _, p in found)])]
+            raw, size = self.bytes_of(ids)
+            cuts = np.append(0, np.cumsum(size))[ends].tolist()
+            texts_as_bytes = ["".join(c).replace(SPACE, " ").encode() for c in cut]
+            for j, (i, n, (_, lp, g, inclusion)) in enumerate(found):
+                yield a + i, n, ids[ends[j] : ends[j + 1]], lp, g, inclusion, raw[cuts[j] : cuts[j + 1]] == texts_as_bytes[i]
 
 
 @cache
