@@ -72,6 +72,14 @@ def read_json_array(spark: SparkSession, paths: str | list[str], schema: str) ->
     return spark.read.schema(schema).json(paths, multiLine=True)
 
 
+def read_cases(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """category, case_id, input, expected: cases for evaluation from files that each hold one JSON array; case_id is a case's place in its file, from 0.  Cases without a category have the file's name for one; a corrupt file is empty."""
+    kind = "array<struct<category: string, input: string, expected: string>>"
+    text = spark.read.text(paths, wholetext=True).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1))
+    rows = text.select("_file", F.posexplode(F.from_json("value", kind)).alias("case_id", "c"))
+    return rows.select(F.coalesce("c.category", "_file").alias("category"), "case_id", "c.input", "c.expected")
+
+
 def read_existing(spark: SparkSession, paths: Iterable[str], read) -> tuple[DataFrame | None, list[str]]:
     """read(spark, existing paths), or None when there are none; and the paths that are missing."""
     there, missing = [], []

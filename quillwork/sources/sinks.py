@@ -32,8 +32,9 @@ def clear(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def export_log(log: DataFrame, folder: str, day: str) -> str:
-    """The log as JSON lines in a folder that carries the day (yyyy-MM-dd); returns its path."""
+def export_log(log: DataFrame, folder: str, day: str | None = None) -> str:
+    """The log as JSON lines in a folder that carries the day (yyyy-MM-dd; today's by the session's clock if none is given); returns its path."""
+    day = day or log.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd")).first()[0]
     path = f"{folder}/spelling-log-{day}"
     log.write.mode("overwrite").json(path)
     return path

@@ -259,3 +259,16 @@ def test_contenders_keep_the_best_two(spark):
     whole, cut = (sorted(map(tuple, correct.best_matches(correct.scored(c, "word")).collect())) for c in (df, correct.contenders(df, word="word")))
     assert whole == cut and len(whole) == 3
     assert correct.contenders(df, word="word").count() < df.count()
+
+
+def test_cases_and_clock(spark, tmp_path):
+    (tmp_path / "edge_cases.json").write_text(json.dumps([{"input": "teh", "expected": "the"}, {"category": "dyslexia", "input": "dog", "expected": "bog"}]))
+    (tmp_path / "broken.json").write_text("[{")
+    got = rows(readers.read_cases(spark, str(tmp_path)), "case_id")
+    assert got == [("edge_cases", 0, "teh", "the"), ("dyslexia", 1, "dog", "bog")]
+    entries = spark.createDataFrame([(10,), (None,)], "s long").select(F.timestamp_seconds("s").alias("timestamp"))
+    aged = log.with_elapsed(entries, now=F.timestamp_seconds(F.lit(12.5))).select("age_seconds").collect()
+    assert sorted(r[0] or -1 for r in aged) == [-1, 2.5]
+    assert log.with_elapsed(entries).filter("age_seconds > 0").count() == 1
+    path = sinks.export_log(spark.range(2), f"file://{tmp_path}/logs")
+    assert path.endswith(spark.sql("SELECT date_format(now(), 'yyyy-MM-dd')").first()[0]) and spark.read.json(path).count() == 2
