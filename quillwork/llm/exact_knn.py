@@ -281,6 +281,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str =
     asked = with_cell(asked, cells).join(parts, ["dim", "cell"], "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = write_scratch(asked.select("dim", F.when(F.col("parts") > 0, F.col("cell")).alias("home_cell"), part.alias("home_part"), "block", "id", "v"), "knn-asked", "snappy")
     home = asked.filter("home_cell IS NOT NULL").withColumnsRenamed({"home_cell": "cell", "home_part": "part"}).withColumn("floor", F.lit(None).cast("long"))
+    home = home.join(index.select(*KEY[:3]), KEY[:3], "left_semi")  # a part may have got no candidate
     found = write_scratch(meet(index, home, k), "knn-first")
     shards = index.count()
     if shards > 1:

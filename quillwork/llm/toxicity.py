@@ -21,7 +21,7 @@ from quillwork.llm._common import drop_scratch, fold, sampled, write_scratch
 
 SIZES, BITS = (3, 4, 5, 6), 21
 #: The fit's bounds: labelled toxic rows (and twice as many others) that n-grams are counted in, and those that weights are fitted on.
-MAX_COUNTED, MAX_ROWS = 12_000, 2_500
+MAX_COUNTED, MAX_ROWS = 12_000, 2_000
 #: Texts that an n-gram is seen in, at least; standard errors that a log odds ratio must have; the counts' smoothing.
 MIN_DOCS, MIN_Z, ALPHA = 3, 4.0, 0.5
 THRESHOLD = 0.7
@@ -137,11 +137,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         for f in frames:
             yield pd.DataFrame({"y": (f["_y"] == 1).astype("int32"), "x": [present(t, table).astype("<i4").tobytes() for t in f["_t"]]})
 
-    fit = labelled(MAX_ROWS).mapInPandas(vector, "y int, x binary").toPandas()
-    order = sorted(range(len(fit)), key=lambda i: (fit["y"].iat[i], fit["x"].iat[i]))  # the same sums whatever the order of arrival
-    columns = [np.frombuffer(fit["x"].iat[i], "<i4") for i in order]
-    y = fit["y"].to_numpy(np.float64)[order]
-    del fit
+    fit = write_scratch(labelled(MAX_ROWS).mapInPandas(vector, "y int, x binary"), "toxicity-fit")
+    # A partition at a time to the driver; in order, so that sums do not depend on the order of arrival.
+    found = sorted((r["y"], bytes(r["x"])) for r in fit.coalesce(8).toLocalIterator())
+    drop_scratch(fit)
+    y, columns = np.array([y for y, _ in found], np.float64), [np.frombuffer(x, "<i4") for _, x in found]
+    del found
     weight, bias = _logistic(columns, y, ratio, odds_of_others)
     return ToxicityModel(ids, weight * ratio, bias)
 

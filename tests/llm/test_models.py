@@ -230,6 +230,16 @@ def test_pruned_shards_change_nothing(spark):
     assert len(placed) == 16 and max(r["count"] for r in placed) < 300
 
 
+@pytest.mark.parametrize("n", [5, 7, 9, 11, 13])
+def test_queries_whose_own_shard_is_empty(spark, n):
+    """Very small shards: some get no candidate, and queries that lie there are answered by the others."""
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 2)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_knn.exact_top_k(df, df, 3, shard_rows=1)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(slow_top(rows, range(n), 3))
+
+
 def test_one_cell_of_equal_rows(spark):
     """A third of all vectors are the same: their cell is dealt out by a hash."""
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(200, 500)]
