@@ -84,8 +84,8 @@ class _ChunkHash:
                 self.powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), np.repeat(self.base[:, None], longest, 1)], axis=1), axis=1)
         out = np.zeros((2, len(start)), np.uint64)
         some = np.flatnonzero(size)
-        step = np.searchsorted(end[some], np.arange(0, int(end[some[-1]]) if len(some) else 0, HASH_BYTES))
-        for a, b in zip(step, [*step[1:], len(some)], strict=True):
+        step = [*np.searchsorted(end[some], np.arange(0, int(end.max(initial=0)), HASH_BYTES)), len(some)]
+        for a, b in zip(step[:-1], step[1:], strict=True):
             at = some[a:b]
             if not len(at):
                 continue

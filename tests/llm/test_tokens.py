@@ -25,7 +25,7 @@ def texts(seed, n, letters="ab ,.\n'1é\t s  ☃▁"):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("batch", [HARD, MARKED, *(texts(s, 50) for s in range(20))])
+@pytest.mark.parametrize("batch", [HARD, MARKED, [], [""], [None, ""], [END], [" "], *(texts(s, 50) for s in range(20))])
 def test_chunked_bpe_is_the_librarys(batch):
     encoder, fresh = BpeEncoder(public_vocabulary(), 2, max_chunks=60), Tokenizer.from_file(public_vocabulary())
     for _ in range(2):
