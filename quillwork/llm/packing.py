@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import by_bytes, drop_scratch, write_scratch
+from quillwork.llm._common import by_bytes, write_scratch
 from quillwork.llm.bpe import BPE_BYTES, bpe_encoder, forget_encoders, ids_crc32
 
 CAPACITY, END_ID = 1024, 2

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillwork.llm import exact_dedup, exact_knn, language_id, packing, quality, segmentation_sampling, simhash_dedup, token_counts, token_file, toxicity
 from quillwork.llm._common import fold, read_table, scratch_root
