@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillwork.llm import exact_dedup, exact_knn, language_id, packing, quality, segmentation_sampling, simhash_dedup, token_counts, token_file, toxicity
+from quillwork.llm import exact_dedup, exact_knn, fill_in_middle, language_id, packing, quality, segmentation_sampling, simhash_dedup, token_counts, token_file, toxicity
 from quillwork.llm._common import fold, read_table, scratch_root
 from quillwork.llm.bpe import public_vocabulary
 from quillwork.llm.unigram import public_pieces
@@ -64,8 +65,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_pieces())
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    before = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(before, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts)
+    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
@@ -87,5 +94,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts,
+      ('0x' || h[1:8])::bigint AS h1, ('0x' || h[9:16])::bigint AS h2, ('0x' || h[17:24])::bigint AS h3, ('0x' || h[25:32])::bigint AS h4 FROM d),
+f AS (SELECT *, len(ts) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+      least(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) AS a, greatest(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) AS b FROM s),
+p AS (SELECT *, array_to_string(ts[:a], '') AS pre, array_to_string(ts[a + 1:b], '') AS mid, array_to_string(ts[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::bigint AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::bigint AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op13_fill_in_middle": OP13_SQL}
