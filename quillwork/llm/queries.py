@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import exact_dedup, exact_knn, fill_in_middle, language_id, packing, quality, segmentation_sampling, simhash_dedup, token_counts, token_file, toxicity
+from quillwork.llm import exact_dedup, exact_knn, fill_in_middle, language_id, packing, quality, segmentation_sampling, simhash_dedup, source_divergence, token_counts, token_file, toxicity
 from quillwork.llm._common import fold, read_table, scratch_root
 from quillwork.llm.bpe import public_vocabulary
 from quillwork.llm.unigram import public_pieces
@@ -65,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_pieces())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
     before = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -72,7 +76,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts, op13_fill_in_middle)
+    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts, op11_source_divergence, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
@@ -94,6 +98,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+e AS (SELECT lang, source, term, r, count(*) AS n FROM o GROUP BY ALL),
+c AS (SELECT lang, source, term, sum(n)::bigint AS n, count(*) AS docs FROM e GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::bigint AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n)::bigint AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT g.lang, g.source, k.term, k.n AS ln, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+m AS (SELECT lang, source, sum(n)::bigint AS n FROM w GROUP BY ALL),
+p AS (SELECT w.lang, w.source, w.term, w.n, (1 + (1000000000::hugeint * (w.n + 1)) // (m.n + v.v))::bigint AS p, (1 + (1000000000::hugeint * (w.ln + 1)) // (v.n + v.v))::bigint AS q
+      FROM w JOIN m ON m.lang = w.lang AND m.source = w.source JOIN v ON v.lang = w.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::bigint AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
 s AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts,
@@ -108,4 +133,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
