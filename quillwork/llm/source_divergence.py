@@ -2,11 +2,12 @@
 
 Terms are counted by source with partial sums where the texts lie.  Then each term of a
 language is one row: a wide vector, an array with a place for every source of the
-language.  Higher-order functions turn the counts of a vector into shares and emit what the
-term adds to every pair of sources; the additions are summed up in the tasks before
-they are moved.  A term that two sources both lack adds the same to their pair whatever the
-term is, so only pairs that have it in one source at least are emitted, and the
-others are added as one product.
+language.  Terms of equal vectors add the same, so each vector is worked out once and
+counts as often as it occurs.  Higher-order functions turn the counts of a vector into
+shares and emit, for each of its sources, an array of what it adds to the pairs with
+all others; the additions are summed up in the tasks before they are moved.  A term that two
+sources both lack adds the same to their pair whatever the term is, so only pairs
+that have it in one source at least are emitted, and the others are added as one product.
 
 All arithmetic is of whole numbers.  A share is 1 + floor(10^9 (count + 1) / (N + V)), N
 the counts of the V kept terms in the source (or in the language), and what a
@@ -15,16 +16,18 @@ source with share p is from one with share q is floor((p - q)^2 / q).
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.llm._common import write_scratch
-from quillwork.llm.exact_dedup import ascii_lower
 from quillwork.operators.align import once
 
-#: Runs of ASCII letters and of what is beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands in terms as it is, besides all beyond ASCII; A-Z become these, other ASCII characters part terms.
+LETTERS = string.ascii_lowercase
+_PARTING = "".join(c for c in map(chr, range(128)) if c not in string.ascii_letters)
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 
 
@@ -45,10 +48,12 @@ def distance(p: Column, q: Column) -> Column:
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold it): nulls are empty texts; only A-Z are lower-cased."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(part(lang_col).alias("lang"), part(source_col).alias("source"), F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(TERM), F.lit(0)).alias("_t"))
-    told = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    each = F.concat(F.transform("_t", told(1, 0)), F.transform(F.array_distinct("_t"), told(0, 1)))
-    return rows.select("lang", "source", F.inline(each)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parted = F.translate(part(text_col), string.ascii_uppercase + _PARTING, LETTERS + " " * len(_PARTING))
+    rows = docs.select(part(lang_col).alias("lang"), part(source_col).alias("source"), F.split(parted, " ").alias("_t"))
+    # All terms of a row, and behind them the different ones.
+    each = rows.select("lang", "source", F.size("_t").alias("_many"), F.posexplode(F.concat("_t", F.array_distinct("_t"))).alias("_i", "term")).filter("term <> ''")
+    is_term = F.col("_i") < F.col("_many")
+    return each.groupBy("lang", "source", "term").agg(F.count_if(is_term).alias("n"), F.count_if(~is_term).alias("docs"))
 
 
 def wide_vectors(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -69,12 +74,14 @@ def language_totals(groups: DataFrame, vectors: DataFrame) -> DataFrame:
 def _pairs(vectors: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, source, item, value: every source and every other one of its language."""
 
-    def emitted(p: Column, i: Column) -> Column:
-        others = F.transform("_p", lambda q, j: F.struct(i.alias("i"), j.alias("j"), distance(p, q).alias("f")))
-        has = lambda k: F.get("_c", k) > 0
-        return F.filter(others, lambda x: (x["j"] != i) & (has(i) | has(x["j"])))
-
-    sums = vectors.select("lang", F.inline(F.flatten(F.transform("_p", emitted)))).groupBy("lang", "i", "j").agg(F.sum("f").alias("_f"), F.count(F.lit(1)).alias("_n"))
+    alike = vectors.groupBy("lang", "_c").agg(F.count(F.lit(1)).alias("_m"), F.any_value("_p").alias("_p"))
+    # Little data but much work: as many tasks as a shuffle has.
+    alike = alike.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    one = alike.select("lang", "_m", "_c", "_p", F.posexplode(F.arrays_zip("_c", "_p")).alias("i", "_a"))
+    held, p = F.col("_a._c") > 0, F.col("_a._p")
+    added = F.when(held, F.transform("_p", lambda q: distance(p, q))).otherwise(F.zip_with("_c", "_p", lambda c, q: F.when(c > 0, distance(p, q))))
+    each = one.select("lang", "_m", "i", F.posexplode(added).alias("j", "f")).filter("f IS NOT NULL")
+    sums = each.groupBy("lang", "i", "j").agg(F.sum(F.col("f") * F.col("_m")).alias("_f"), F.sum("_m").alias("_n"))
     one = totals.select("lang", "kept", "sources", F.posexplode("sources").alias("i", "a"))
     two = one.select("lang", "kept", "i", "a", F.posexplode("sources").alias("j", "b")).filter("i <> j")
     lacking = F.when(F.col("kept") == 0, F.lit(0)).otherwise(distance(share(F.lit(0), F.col("a.n"), F.col("kept")), share(F.lit(0), F.col("b.n"), F.col("kept"))))
