@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import exact_dedup, exact_knn, fill_in_middle, language_id, packing, quality, segmentation_sampling, simhash_dedup, source_divergence, token_counts, token_file, toxicity
+from quillwork.llm import cutting_stock, exact_dedup, exact_knn, fill_in_middle, language_id, packing, quality, segmentation_sampling, simhash_dedup, source_divergence, token_counts, token_file, toxicity
 from quillwork.llm._common import fold, read_table, scratch_root
 from quillwork.llm.bpe import public_vocabulary
 from quillwork.llm.unigram import public_pieces
@@ -69,6 +69,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(read_table(spark, sf_dir, "documents"))
 
 
+def op12_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack_by_patterns(read_table(spark, sf_dir, "documents"), public_vocabulary())
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
     before = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -76,7 +80,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts, op11_source_divergence, op13_fill_in_middle)
+    found = (op1_token_file, op2_simhash_near_dedup, op3_quality_pu, op4_toxicity_nb, op5_exact_top_k, op6_exact_dedup, op7_sentencepiece_samples, op8_language_id, op9_best_fit_packing, op10_token_counts, op11_source_divergence, op12_cutting_stock_packing, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 

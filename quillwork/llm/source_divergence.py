@@ -63,12 +63,14 @@ def wide_vectors(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def language_totals(groups: DataFrame, vectors: DataFrame) -> DataFrame:
-    """lang, kept (terms), total, sources: (source, n) in order of the source; every language and source of groups, n the counts of its kept terms."""
+    """lang, kept (terms), total, sources: (source, n, zero) in order of the source; every language and source of groups, n the counts of its kept terms, zero its share of a term that it lacks."""
     n = vectors.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     v = vectors.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     told = groups.join(n, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     each = told.groupBy("lang").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"))
-    return each.join(v, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), "total", "sources")
+    known = each.join(v, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), "total", "sources")
+    zero = lambda s: F.when(F.col("kept") > 0, share(F.lit(0), s["n"], F.col("kept")))
+    return known.withColumn("sources", F.transform("sources", lambda s: F.struct(s["source"].alias("source"), s["n"].alias("n"), zero(s).alias("zero"))))
 
 
 def _pairs(vectors: DataFrame, totals: DataFrame) -> DataFrame:
@@ -84,8 +86,8 @@ def _pairs(vectors: DataFrame, totals: DataFrame) -> DataFrame:
     sums = each.groupBy("lang", "i", "j").agg(F.sum(F.col("f") * F.col("_m")).alias("_f"), F.sum("_m").alias("_n"))
     one = totals.select("lang", "kept", "sources", F.posexplode("sources").alias("i", "a"))
     two = one.select("lang", "kept", "i", "a", F.posexplode("sources").alias("j", "b")).filter("i <> j")
-    lacking = F.when(F.col("kept") == 0, F.lit(0)).otherwise(distance(share(F.lit(0), F.col("a.n"), F.col("kept")), share(F.lit(0), F.col("b.n"), F.col("kept"))))
     met = two.join(sums, ["lang", "i", "j"], "left")
+    lacking = F.coalesce(distance(F.col("a.zero"), F.col("b.zero")), F.lit(0))
     value = F.coalesce("_f", F.lit(0)) + (F.col("kept") - F.coalesce("_n", F.lit(0))) * lacking
     return met.select("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), value.alias("value"))
 
@@ -118,7 +120,7 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
 
     rows = kept.join(totals, "lang")
     named = once(rows, "lang", "term", "kept", "total", "sources", _c=F.transform("sources", lambda s: F.coalesce(F.try_element_at("counts", s["source"]), F.lit(0))))
-    shares = F.zip_with("_c", "sources", lambda c, s: share(c, s["n"], F.col("kept")))
+    shares = F.zip_with("_c", "sources", lambda c, s: F.when(c == 0, s["zero"]).otherwise(share(c, s["n"], F.col("kept"))))
     all_of = F.aggregate("_c", F.lit(0).cast("long"), lambda acc, c: acc + c)
     vectors = once(named, "lang", "term", "_c", _s=F.transform("sources", lambda s: s["source"]), _p=shares, _q=share(all_of, F.col("total"), F.col("kept")))
     by = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
