@@ -40,14 +40,18 @@ MEMORY, TOGETHER = 12_000_000, 100
 _WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
 
-def _substring_hashes(text: str, longest: int) -> dict[int, np.ndarray]:
-    """By length: a hash of the substring at each place where one of that length starts."""
+def _substring_hashes(text: str, stop: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, places and hashes of the substrings that end where their place's word (stop) does, or before; places fall out as lengths grow."""
     letters = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
-    out, h = {}, np.zeros(len(letters) + 1, np.uint64)
-    for n in range(1, min(longest, len(letters)) + 1):
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + letters[n - 1 :]
-        out[n] = _mix(h)
-    return out
+    at, h = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+    for n in range(1, longest + 1):
+        if n > 1:
+            fits = at + n <= stop[at]
+            at, h = at[fits], h[fits]
+        if not len(at):
+            return
+        h = h * np.uint64(0x9E3779B97F4A7C15) + letters[at + (n - 1)]
+        yield n, at, _mix(h)
 
 
 class Lattice:
@@ -65,7 +69,8 @@ class Lattice:
         self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted(set(map(len, self.v.pieces))):
             pieces = [p for p in self.v.pieces if len(p) == n]
-            h = _substring_hashes("".join(pieces), n)[n][::n]
+            stop = np.repeat(np.arange(1, len(pieces) + 1) * n, n)
+            h = next(x for m, _, x in _substring_hashes("".join(pieces), stop, n) if m == n)
             order = np.argsort(h)
             some = np.zeros(1 << 18, bool)
             some[h >> np.uint64(46)] = True
@@ -95,14 +100,16 @@ class Lattice:
         text = "".join(new)
         size = np.fromiter(map(len, new), np.int64, len(new))
         stop = np.repeat(np.cumsum(size), size)  # where each position's word ends
-        hashes, found = _substring_hashes(text, max(self.known)), []
-        for n, (keys, ids, some) in self.known.items():
-            if n not in hashes:
-                break
-            at = np.flatnonzero(some[hashes[n] >> np.uint64(46)])
-            k = np.minimum(np.searchsorted(keys, hashes[n][at]), len(keys) - 1)
-            hit = (keys[k] == hashes[n][at]) & (at + n <= stop[at])
-            found.append((at[hit], at[hit] + n, ids[k[hit]]))
+        found = []
+        for n, place, h in _substring_hashes(text, stop, max(self.known)):
+            if n not in self.known:
+                continue
+            keys, ids, some = self.known[n]
+            maybe = np.flatnonzero(some[h >> np.uint64(46)])
+            k = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            hit = keys[k] == h[maybe]
+            at = place[maybe[hit]]
+            found.append((at, at + n, ids[k[hit]]))
         at, to, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         long = to - at
         log_prob = self.v.log_prob[piece]
