@@ -1,8 +1,9 @@
 """Exact top-k search by inner product with a KD-tree in each shard.
 
 Candidates are dealt into shards by where they lie: median splits along the widest
-side, fitted on a bounded sample, make cells, and a cell of very many rows (equal ones,
-perhaps) is dealt out by a hash.  A shard is indexed once: median splits again, a tight
+side, fitted on a bounded sample, make cells; cells that hold more rows than a shard are split
+again in the same way, each on a sample of its own, in its own task; and what even
+then has very many rows (equal ones, perhaps) is dealt out by a hash.  A shard is indexed once: median splits again, a tight
 box around each node.  A node's best possible score against a query follows from its
 box.  A query is searched best first, and nodes whose bound is under the kth score so
 far are skipped.  Every query first meets the shard where it lies itself; with the kth
@@ -27,8 +28,8 @@ from quillwork.llm._common import drop_scratch, sampled, write_scratch
 
 #: Rows of a shard, queries that a copy of a shard serves, rows of a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 65_536, 256
-#: The sample that cells are fitted on (rows and numbers), and the cells at most.
-SAMPLE_ROWS, SAMPLE_NUMBERS, CELLS = 32_768, 1 << 24, 512
+#: The sample that cells are fitted on (rows and numbers), the cells at most, in which a cell may be split again into as many, and sampled rows for each of these.
+SAMPLE_ROWS, SAMPLE_NUMBERS, CELLS, CELL_SAMPLE = 32_768, 1 << 24, 512, 64
 #: Queries and boxes that are held against each other at once.
 PRUNE_QUERIES, PRUNE_BOXES = 4096, 256
 SCALE = 256
@@ -120,48 +121,84 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
 
 
-def fit_cells(cand: DataFrame, rows: int, shard_rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per width: axes and places of median splits, as a heap; widths of fewer rows than a shard have none."""
+Splits = tuple[np.ndarray, np.ndarray]
+
+
+def median_splits(points: np.ndarray, levels: int) -> Splits:
+    """Axes and places of median splits along the widest side, as a heap."""
+    axes, places = np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
+    todo = [(0, np.arange(len(points)))]
+    while todo:
+        node, of = todo.pop()
+        if node >= len(axes) or not len(of):
+            continue
+        axis = int(np.ptp(points[of], axis=0).argmax())
+        axes[node], places[node] = axis, np.median(points[of, axis])
+        left = points[of, axis] <= places[node]
+        todo += [(2 * node + 1, of[left]), (2 * node + 2, of[~left])]
+    return axes, places
+
+
+def _leaf(points: np.ndarray, splits: Splits) -> np.ndarray:
+    """The leaf, from 0, that each point comes to."""
+    axes, places = splits
+    node = np.zeros(len(points), np.int64)
+    while len(node) and node[0] < len(axes):
+        node = 2 * node + 1 + (points[np.arange(len(points)), axes[node]] > places[node])
+    return node - len(axes)
+
+
+def fit_cells(cand: DataFrame, rows: int, shard_rows: int, most: int = CELLS) -> dict[int, Splits]:
+    """Per width: the splits into cells; widths of fewer rows than a shard have none."""
     if rows <= shard_rows:
         return {}
     widest = max(1, cand.agg(F.max("dim")).first()[0])
     found = sampled(cand, min(SAMPLE_ROWS, max(1, SAMPLE_NUMBERS // widest)), "id", "dim").toPandas()
     out = {}
     for dim, part in found.groupby("dim"):
-        levels = int(np.log2(max(1, min(CELLS, rows * len(part) / len(found) / shard_rows))))
-        if not levels or not dim:
-            continue
-        points = np.stack(part["v"].to_numpy()).astype(np.float64)
-        axes, places = np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
-        todo = [(0, np.arange(len(points)))]
-        while todo:
-            node, of = todo.pop()
-            if node >= len(axes) or not len(of):
-                continue
-            axis = int(np.ptp(points[of], axis=0).argmax())
-            axes[node], places[node] = axis, np.median(points[of, axis])
-            left = points[of, axis] <= places[node]
-            todo += [(2 * node + 1, of[left]), (2 * node + 2, of[~left])]
-        out[int(dim)] = axes, places
+        levels = int(np.log2(max(1, min(most, rows * len(part) / len(found) / shard_rows))))
+        if levels and dim:
+            out[int(dim)] = median_splits(np.stack(part["v"].to_numpy()).astype(np.float64), levels)
     return out
 
 
-def with_cell(rows: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """rows (id, v, dim) with the cell that each vector lies in."""
-    if not cells:
+def fit_subcells(placed: DataFrame, sizes: dict[tuple[int, int], int], shard_rows: int, most: int = CELLS) -> dict[tuple[int, int], Splits]:
+    """Per width and cell: the splits of cells that hold more than a shard.  Each is fitted in a task, on a sample of at most CELL_SAMPLE rows, or so, for each part; what comes here is `most` numbers for each cell."""
+    large = {k: min(most, 1 << (-(-n // shard_rows) - 1).bit_length()) for k, n in sizes.items() if n > shard_rows and k[0]}
+    if not large:
+        return {}
+    spark = placed.sparkSession
+    shares = spark.createDataFrame([(*k, parts.bit_length() - 1, min(1 << 20, -(-CELL_SAMPLE * parts * (1 << 20) // sizes[k]))) for k, parts in large.items()], "dim int, cell int, levels int, share long")
+    some = placed.join(F.broadcast(shares), ["dim", "cell"]).filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < F.col("share"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        axes, places = median_splits(np.stack(part["v"].to_numpy()).astype(np.float64), int(part["levels"].iloc[0]))
+        return pd.DataFrame({"dim": part["dim"].iloc[:1], "cell": part["cell"].iloc[:1], "axes": [axes.tolist()], "places": [places.tolist()]})
+
+    found = some.groupBy("dim", "cell").applyInPandas(fit, "dim int, cell int, axes array<int>, places array<double>").collect()
+    return {(r["dim"], r["cell"]): (np.array(r["axes"], np.int64), np.array(r["places"])) for r in found}
+
+
+def with_cell(rows: DataFrame, cells: dict[int, Splits], again: dict[tuple[int, int], Splits] | None = None) -> DataFrame:
+    """rows (id, v, dim) with the cell that each vector lies in; cells that were split again are numbered apart."""
+    if not cells and not again:
         return rows.withColumn("cell", F.lit(0))
 
     @F.pandas_udf("int")
     def cell_of(v: pd.Series, dims: pd.Series) -> pd.Series:
         out = np.zeros(len(v), np.int64)
-        for dim, (axes, places) in cells.items():
+        for dim in np.unique(dims.to_numpy()).tolist():
             at = np.flatnonzero(dims.to_numpy() == dim)
-            if len(at):
-                x = np.stack(v.iloc[at].to_numpy()).astype(np.float64)
-                node = np.zeros(len(at), np.int64)
-                while node[0] < len(axes):
-                    node = 2 * node + 1 + (x[np.arange(len(at)), axes[node]] > places[node])
-                out[at] = node - len(axes)
+            if not dim:
+                continue
+            points = np.stack(v.iloc[at].to_numpy()).astype(np.float64)
+            cell = _leaf(points, cells[dim]) if dim in cells else np.zeros(len(at), np.int64)
+            sub = np.zeros(len(at), np.int64)
+            for c in np.unique(cell).tolist() if again else ():
+                if (dim, c) in again:
+                    here = cell == c
+                    sub[here] = _leaf(points[here], again[dim, c])
+            out[at] = cell * CELLS + sub if again else cell
         return pd.Series(out)
 
     return rows.withColumn("cell", cell_of("v", "dim"))
@@ -260,25 +297,33 @@ def may_hold_better(asked: DataFrame, roots: DataFrame, shards: int, queries: in
     return met.groupBy(*group).cogroup(boxes.groupBy(*group)).applyInArrow(prune, f"dim int, cell int, part int, block int, id long, v {kind}, floor long")
 
 
-def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, most_cells: int = CELLS) -> DataFrame:
     """query_id, rank from 1, vec_id, score: for each query its k best candidates, ties to the smaller id, all if there are fewer.
 
     A score is the inner product of floor(256 x), exact whatever its size; one that a
     long cannot hold shows as the last number it holds.  A query's own id is no candidate of it.  Rows whose id or
     vector is null, or whose vector holds null or a non-finite number, take no part; vectors
-    meet those of their own width only.  Repeated candidates appear as often as they come;
-    repeated queries should be made distinct.  Empty tables give an empty result.
+    meet those of their own width only.  Repeated candidates appear as often as they come.  A query
+    is one id: of rows that share it the smallest vector asks (shorter before longer where one begins the
+    other).  Empty tables give an empty result.
     """
     cand, asked = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col)
+    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     rows, n_asked = cand.count(), asked.count()
-    cells = fit_cells(cand, rows, shard_rows)
+    cells = fit_cells(cand, rows, shard_rows, most_cells)
     placed = write_scratch(with_cell(cand, cells), "knn-rows", "snappy")
+    # A row for each width and cell.
+    sizes = {(r["dim"], r["cell"]): r["n"] for r in placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()} if rows > shard_rows else {}
+    again = fit_subcells(placed, sizes, shard_rows, most_cells)
+    if again:
+        before, placed = placed, write_scratch(with_cell(placed.drop("cell"), cells, again), "knn-rows", "snappy")
+        drop_scratch(before)
     parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     index = placed.join(parts, ["dim", "cell"]).withColumn("part", part).groupBy("dim", "cell", "part")
     index = write_scratch(index.applyInArrow(_build, "dim int, cell int, part int, root binary, ids binary, points binary, nodes binary, boxes binary"), "knn-index", "none")
     blocks = max(1, -(-n_asked // block_rows))
-    asked = with_cell(asked, cells).join(parts, ["dim", "cell"], "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = with_cell(asked, cells, again).join(parts, ["dim", "cell"], "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = write_scratch(asked.select("dim", F.when(F.col("parts") > 0, F.col("cell")).alias("home_cell"), part.alias("home_part"), "block", "id", "v"), "knn-asked", "snappy")
     home = asked.filter("home_cell IS NOT NULL").withColumnsRenamed({"home_cell": "cell", "home_part": "part"}).withColumn("floor", F.lit(None).cast("long"))
     home = home.join(index.select(*KEY[:3]), KEY[:3], "left_semi")  # a part may have got no candidate

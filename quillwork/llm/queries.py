@@ -93,10 +93,10 @@ FROM n JOIN g USING (t)
 
 
 OP5_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS e, len(embedding) AS dim FROM embeddings
+WITH v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(256 * x::double)) AS e, len(embedding) AS dim FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint AS score
-      FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+a AS (SELECT vec_id, list_transform(min(embedding), lambda x: floor(256 * x::double)) AS e, len(min(embedding)) AS dim FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint AS score FROM a q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +206,53 @@ def test_top_k(spark, shard_rows):
     assert exact_knn.exact_top_k(df, df.filter("false"), 5).count() == 0
 
 
+@pytest.mark.parametrize(("most", "equal"), [(2, 0), (4, 300), (16, 0)])
+def test_cells_are_split_again(spark, most, equal):
+    """Few cells at first, so that each is split again by space; rows that are all equal stay together and are dealt by a hash."""
+    rng = np.random.default_rng(most)
+    rows = [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(900)] + [(2000 + i, [0.5, 0.5, 0.5]) for i in range(equal)] + [(5000 + i, rng.normal(size=2).astype(np.float32).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = exact_knn.exact_top_k(df, df.filter("vec_id % 50 = 0"), 5, shard_rows=25, most_cells=most).collect()
+    vectors = [(i, np.floor(256 * np.array(np.array(v, np.float32), np.float64))) for i, v in rows]
+    wanted = set()
+    for q, x in vectors:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in vectors if i != q and len(y) == len(x))[:5]
+            wanted |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == wanted
+
+
+def test_subcells_lie_apart(spark):
+    """Parts of a cell are boxes of their own, about as large as each other."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.uniform(size=2).tolist(), 2) for i in range(4000)], "id long, v array<double>, dim int")
+    cells = exact_knn.fit_cells(df, 4000, 100, 4)
+    placed = exact_knn.with_cell(df, cells)
+    sizes = {(r["dim"], r["cell"]): r["count"] for r in placed.groupBy("dim", "cell").count().collect()}
+    again = exact_knn.fit_subcells(placed, sizes, 100, 16)
+    assert len(sizes) == 4 and set(again) == set(sizes)
+    found = exact_knn.with_cell(df, cells, again).groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("v")[k]).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in (0, 1)]).collect()
+    assert len(found) == 64 and max(r["n"] for r in found) < 200
+    assert sum((r["max0"] - r["min0"]) * (r["max1"] - r["min1"]) for r in found) < 1.01
+
+
+@pytest.mark.parametrize("shard_rows", [3, 1000])
+def test_top_k_of_repeated_queries(spark, shard_rows, tmp_path):
+    """A query is one id, the smallest vector of those that share it: each candidate comes once for each of its rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
+    rows += [(0, rows[0][1]), (0, [-9.0, *rows[0][1][1:]]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = exact_knn.exact_top_k(df, df.filter("vec_id % 50 = 0"), 5, shard_rows=shard_rows).orderBy("query_id", "rank").collect()
+    q = np.floor(256 * np.array([-9.0, *np.array(rows[0][1][1:], np.float32)], np.float64))
+    scores = sorted((-int(q @ np.floor(256 * np.array(np.array(v, np.float32), np.float64))), i) for i, v in rows if i != 0)[:5]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(db.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.OP5_SQL})").fetchall()) == [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got]
+
+
 def test_top_k_of_large_components_and_repeats(spark):
     """Numbers beyond doubles and beyond longs are compared exactly; repeated candidates count as often as they come."""
     rows = [(0, [1.0, 1.0]), (1, [1e8, 0.0]), (2, [2e8, 0.0]), (3, [2e8, 1.0]), (4, [-1e8, 3.0]), (4, [-1e8, 3.0]), (50, [1e17, 1.0]), (51, [1e17, 2.0]), (52, [3e38, -3e38]), (53, [3e38, -3e38 / 2])]
