@@ -38,6 +38,8 @@ CAPACITY, END_ID = 2048, 1
 GAP, PIVOTS = 0.25, 600
 #: Columns that one knapsack may bring; the basis is inverted anew after so many exchanges.
 COLUMNS, ANEW = 32, 400
+#: Pieces left for cutting that are sent to all tasks; 100 bytes each.
+SENT = 100_000
 _EPS = 1e-9
 
 
@@ -304,6 +306,8 @@ def pack_by_patterns(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     rest = ranked.filter("_rank >= _whole")
     if not with_ids:
-        rest = rest.join(pieces.select("_part", "_n", "_ids"), ["_part", "_n"])
+        # How many these are is known: as a rule a few thousand, so that ids are read as they lie; many are joined by a shuffle.
+        few = F.broadcast(rest) if int(left.sum()) <= SENT else rest
+        rest = few.join(pieces.select("_part", "_n", "_ids"), ["_part", "_n"])
     placed = ranked.filter("_rank < _whole").select(*names, "_rank").mapInArrow(in_patterns, result)
     return placed.unionByName(rest.select(id_col, "start", "length", "doc_tokens", "_rank", "_whole", "_ids").mapInArrow(in_parts, result))
