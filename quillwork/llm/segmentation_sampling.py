@@ -139,14 +139,13 @@ class Lattice:
             mass[at[a:b][head]] = total
             log_own[a:b] = m - np.repeat(total, np.diff(np.append(head, b - a)))
         # By node, the likeliest arc first, of likely ones alike the shorter.
-        if len(text) < 1 << 20:
-            order = np.argsort(at << 43 | ((1 - np.exp(log_own)) * 2.0**36).astype(np.int64) << 6 | np.minimum(to - at, 63))
-        else:
-            order = np.lexsort((to - at, ((1 - np.exp(log_own)) * 2.0**36).astype(np.int64), at))
+        own = np.exp(log_own)
+        unlikely = ((1 - own) * 2.0**36).astype(np.int64)
+        order = np.argsort(at << 43 | unlikely << 6 | np.minimum(to - at, 63)) if len(text) < 1 << 20 else np.lexsort((to - at, unlikely, at))
         at, log_own = at[order], log_own[order]
         head = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(head[1:], len(at)) - 1
-        share, on, k = np.exp(log_own), head[last > head], 1
+        share, on, k = own[order], head[last > head], 1
         while len(on):  # each node's sums on their own
             share[on + k] += share[on + k - 1]
             k += 1
@@ -165,6 +164,7 @@ class Lattice:
     def walk(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from start nodes to their words' ends: arcs in order of start and position, and how many each start has."""
         live, at, found, step = np.arange(len(starts)), starts, [], 0
+        many = np.zeros(len(starts), np.int64)
         while len(live):
             arc, u = self.nodes[at], _uniform(seeds[live], step)
             on = np.flatnonzero(self.share[arc] < u)
@@ -172,14 +172,15 @@ class Lattice:
                 arc[on] += 1
                 on = on[self.share[arc[on]] < u[on]]
             found.append((live, arc))
-            at = self.to[arc]
+            at, step = self.to[arc], step + 1
             on = at > 0
-            live, at, step = live[on], at[on], step + 1
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-        word = np.concatenate([x for x, _ in found])
-        order = np.argsort(word, kind="stable")
-        return np.concatenate([x for _, x in found])[order], np.bincount(word, minlength=len(starts))
+            many[live[~on]] = step
+            live, at = live[on], at[on]
+        # A start's arc of a step has its place: it takes part in all steps up to its word's end.
+        first, out = np.cumsum(many) - many, np.empty(int(many.sum()), np.int64)
+        for step, (of, arc) in enumerate(found):
+            out[first[of] + step] = arc
+        return out, many
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -225,10 +226,13 @@ def sample_paths(lattice: Lattice, texts: list[np.ndarray], k: int, seeds: np.nd
         many = spans[:, 1] - spans[:, 0]
         start = np.array([log_own[prefix].sum() for _, prefix, _, _ in todo])
         shift = start - np.where(many > 0, np.append(before, 0.0)[np.minimum(spans[:, 0], len(before))], 0.0)
+        # Decisions that leave something closed; most arcs are the only likely one of their node.
         other = -np.expm1(lp)
-        mass = before + np.repeat(shift, many) + np.log(np.maximum(other, 1e-300))
-        u = _uniform(np.repeat(_seed(own_seed, 1 << 40), many), np.arange(len(arcs)) - np.repeat(spans[:, 0], many))
-        value = np.where(other > 1e-12, _cut_gumbel(mass, np.repeat([top for _, _, _, top in todo], many), u), -np.inf)
+        some = np.flatnonzero(other > 1e-12)
+        of = np.repeat(np.arange(len(todo)), many)[some]
+        u = _uniform(_seed(own_seed, 1 << 40)[of], some - spans[of, 0])
+        value = np.full(len(arcs), -np.inf)
+        value[some] = _cut_gumbel(before[some] + shift[of] + np.log(other[some]), np.array([top for _, _, _, top in todo])[of], u)
         for (i, prefix, _, top), (a, e), s in zip(todo, spans.tolist(), start.tolist(), strict=True):
             # Decisions of the prefix belong to whoever opened it.
             closed[i].append([np.concatenate([np.full(len(prefix), -np.inf), value[a:e]]), np.concatenate([prefix, arcs[a:e]]), {}])
@@ -252,7 +256,9 @@ def sample_paths(lattice: Lattice, texts: list[np.ndarray], k: int, seeds: np.nd
             node = int(np.searchsorted(nodes, arcs[i], "right")) - 1
             here = np.arange(nodes[node], nodes[node + 1])
             taken = opened.setdefault(i, [int(arcs[i])])
-            free = here[~np.isin(here, taken)]
+            untaken = np.ones(len(here), bool)
+            untaken[np.array(taken) - here[0]] = False
+            free = here[untaken]
             own = np.exp(log_own[free])
             j = min(len(free) - 1, int(np.searchsorted(np.cumsum(own), pick[t] * own.sum())))
             arc, left = int(free[j]), float(own.sum() - own[j])
