@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillwork.functions.matching import most_ratio, ratio
+
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length; 1 for equal words, 0 if one is empty."""
@@ -57,4 +57,17 @@ def lcs_bounds(a: Column, b: Column) -> tuple[Column, Column]:
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's ratio of the lower-cased texts, popular letters of long texts set aside; not symmetric."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.BooleanType())
+def matches_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Whether matching_ratio is above the least; blocks are looked for only where the letters that both have allow it."""
+
+    def above(x: str | None, y: str | None, n: float) -> bool | None:
+        if x is None or y is None or pd.isna(n):
+            return None
+        x, y = x.lower(), y.lower()
+        return most_ratio(x, y) > n and ratio(x, y) > n
+
+    return pd.Series([above(*r) for r in zip(a, b, least, strict=True)], dtype="object")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(x: Column | str) -> Column:
@@ -41,10 +44,14 @@ def tokens_with_separators(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\s+|\S+"), F.lit(0))
 
 
-def sums_before(lengths: Column) -> Column:
-    """For each of an array's whole numbers the sum of those before it, within the row."""
-    start = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("sum"))
-    return F.aggregate(lengths, start, lambda acc, n: F.struct(F.concat(acc["all"], F.array(acc["sum"])).alias("all"), (acc["sum"] + n).alias("sum")))["all"]
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def sums_before(lengths: pa.Array) -> pa.Array:
+    """For each of an array's whole numbers the sum of those before it; one running sum over all arrays of a batch, so linear in what they hold."""
+    offsets = lengths.offsets.to_numpy().astype("int64")
+    ends = np.concatenate([[0], np.cumsum(lengths.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], dtype="int64")])
+    offsets -= offsets[0]
+    before = ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(before, pa.int32()), mask=lengths.is_null())
 
 
 #: Word characters: of ASCII, as browsers and Java have them; of all scripts, as Python has them.
@@ -128,11 +135,16 @@ def keep_punctuation(word: Column | str, correction: Column | str) -> Column:
     return F.concat(_col(correction), F.regexp_replace(_col(word), f"[{_ANY}]", ""))
 
 
+def any_case(word: Column) -> Column:
+    """A pattern of exactly this text, letter by letter whatever its case: places found by it are those of the text itself, which lower-casing may make longer."""
+    return F.concat(F.lit("(?iu)\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def replace_first(text: Column | str, original: Column, corrected: Column) -> Column:
     """The first occurrence, whatever its case, replaced literally."""
     t = _col(text)
-    at = F.instr(F.lower(t), F.lower(original))
-    return F.when((at > 0) & (original != ""), F.concat(F.substring(t, F.lit(1), at - 1), corrected, F.substring(t, at + F.length(original), F.lit(1 << 30)))).otherwise(t)
+    parts = F.split(t, any_case(original), 2)
+    return F.when((original != "") & (F.size(parts) == 2), F.concat(F.get(parts, F.lit(0)), corrected, F.get(parts, F.lit(1)))).otherwise(t)
 
 
 def apply_changes(text: Column | str, changes: Column) -> Column:
@@ -147,3 +159,18 @@ def is_hint(reply: Column | str) -> Column:
 def hinted_word(reply: Column | str) -> Column:
     """The quoted word of a hint, apostrophes included; empty without one."""
     return F.regexp_extract(_col(reply), r"\"([\w']+)\"", 1)
+
+
+def map_get(m: Column, key: Column, default: Column) -> Column:
+    """The value of the key, or the default where there is none or it is null."""
+    return F.coalesce(F.try_element_at(m, key), default)
+
+
+def map_put(m: Column, key: Column, value: Column) -> Column:
+    """The map with this value of the key, in place of another."""
+    return F.map_concat(map_delete(m, key), F.create_map(key, value))
+
+
+def map_delete(m: Column, key: Column) -> Column:
+    """The map without the key."""
+    return F.map_filter(m, lambda k, _: k != key)

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.phonetic import double_metaphone
 from quillwork.functions.similarity import blended_score, lcs_bounds, lcs_length
-from quillwork.functions.text import apply_changes, clean, keep_punctuation, letters_only, parse_changes, split_words, sums_before, tokens_with_separators
+from quillwork.functions.text import any_case, apply_changes, clean, keep_punctuation, letters_only, parse_changes, split_words, sums_before, tokens_with_separators
 from quillwork.operators.align import sentence_changes
 from quillwork.operators.ordering import with_row_number
 from quillwork.sources.constants import VALID_WORDS
+from quillwork.sources.shared import shared_table
 
 KEEP, ACCEPT, CLOSE, CLOSE_FACTOR = 0.3, 0.5, 0.8, 0.7
 #: A model: from (key, sentence) to (key, reply).  None stands for no model.
@@ -85,9 +86,14 @@ def best_matches(scores: DataFrame, key: str = "word", *ties: str) -> DataFrame:
     return found.withColumn("best_match", F.when(F.col("confidence") > KEEP, F.col("candidate")))
 
 
+def matches_of(candidates: DataFrame) -> DataFrame:
+    """Best matches from phonetic_candidates."""
+    return best_matches(scored(contenders(candidates)), "word", "code_rank", "dict_pos")
+
+
 def phonetic_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Best matches by sound of distinct words; words without a candidate are absent."""
-    return best_matches(scored(contenders(phonetic_candidates(words, phonetic_index(dictionary)))), "word", "code_rank", "dict_pos")
+    return matches_of(phonetic_candidates(words, phonetic_index(dictionary)))
 
 
 def tokens(sentences: DataFrame, key: str = "key", text: str = "sentence") -> DataFrame:
@@ -121,11 +127,14 @@ def check_sentences(sentences: DataFrame, dictionary: DataFrame, cache: DataFram
     found = sentences.select("key", "sentence").join(per, "key", "left").withColumn("corrections", F.coalesce("corrections", empty))
     if corrector is None:
         return found.select("key", "corrections")
+    # Asked, compared and added to: read three times, worked out once.
+    found = shared_table(found, "checked")
     replies = corrector(found.filter("_ask").select("key", "sentence"))
     told = found.filter("_ask").join(replies.filter("reply IS NOT NULL"), "key")
     more = sentence_changes(told, "key", "sentence", "corrections", original="sentence", corrected="reply").withColumn("_name", F.lower("original"))
     have = F.transform("corrections", lambda c: c["original"])
-    more = more.withColumn("position", F.instr(F.lower("sentence"), F.col("_name")) - 1).filter((F.col("position") >= 0) & ~F.array_contains(have, F.col("_name")))
+    parts = F.split("sentence", any_case(F.col("_name")), 2)
+    more = more.filter((F.size(parts) == 2) & ~F.array_contains(have, F.col("_name"))).withColumn("position", F.length(F.get(parts, F.lit(0))))
     # Of equal words the first counts.
     once = more.groupBy("key", "_name").agg(F.min(F.struct("i", "position", "original", "corrected")).alias("m"))
     fresh = once.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("_more"))
@@ -136,13 +145,16 @@ def check_sentences(sentences: DataFrame, dictionary: DataFrame, cache: DataFram
 def rewrite_sentences(sentences: DataFrame, cache: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """key, corrected, cache_hits, asked, changes: the cache first, a model's CHANGES reply (key, reply) where fewer than two words were cached.
 
-    Cached words keep their punctuation, behind the correction.
+    Cached words keep their punctuation, behind the correction.  A row is known by its key and
+    sentence: keys may be null or shared, and rows come out as often as they come in; a reply
+    is for all rows of its key.
     """
-    rows = sentences.select("key", "sentence", F.posexplode(split_words("sentence")).alias("i", "token")).withColumn("word", clean("token", unicode=True))
+    given = sentences.select("key", "sentence").withColumn("_h", F.sha2("sentence", 256))
+    rows = given.distinct().select("key", "_h", F.posexplode(split_words("sentence")).alias("i", "token")).withColumn("word", clean("token", unicode=True))
     looked = rows.join(cache.select("word", "correction"), "word", "left")
     new = F.when(F.col("correction").isNotNull(), keep_punctuation("token", "correction")).otherwise(F.col("token"))
-    per = looked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", new.alias("t")))).alias("_t"), F.count("correction").alias("cache_hits"))
-    found = sentences.join(per, "key", "left").withColumn("cache_hits", F.coalesce("cache_hits", F.lit(0)))
+    per = looked.groupBy(F.col("key").alias("_key"), F.col("_h").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("i", new.alias("t")))).alias("_t"), F.count("correction").alias("cache_hits"))
+    found = given.join(per, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_of")), "left").withColumn("cache_hits", F.coalesce("cache_hits", F.lit(0)))
     found = found.withColumn("corrected", F.when(F.col("cache_hits") > 0, F.array_join(F.transform("_t", lambda x: x["t"]), " ")).otherwise(F.col("sentence"))).withColumn("asked", F.col("cache_hits") < 2)
     if replies is None:
         return found.select("key", "corrected", "cache_hits", "asked")

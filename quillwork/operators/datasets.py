@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.operators.ordering import with_row_number
+from quillwork.operators.ordering import shuffled_split, with_row_number
 from quillwork.sources import constants as C
 
 
@@ -49,3 +51,16 @@ def chat_rows(instructions: DataFrame, system: str = C.CHAT_SYSTEM) -> DataFrame
 def prompt_text() -> Column:
     """The prompt for models without a chat template."""
     return F.concat(F.lit("### Instruction:\n"), "instruction", F.lit("\n\n### Input:\n"), "input", F.lit("\n\n### Response:\n"), "output")
+
+
+def training_set(sources: list[tuple[str, DataFrame]], share: float = 0.9, system: str = C.CHAT_SYSTEM) -> DataFrame:
+    """source, instruction, input, output, row_number, split, messages: instruction rows of named sources as one set, in a seeded order, cut into train and eval; repeated rows stay."""
+    union = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("source"), "instruction", "input", "output") for name, df in sources])
+    return shuffled_split(union, share).withColumn("messages", chat_messages(system))
+
+
+def write_training_set(rows: DataFrame, folder: str) -> None:
+    """Two sets of JSON lines of messages, train and eval, each in the order of its rows."""
+    for split in ("train", "eval"):
+        part = rows.filter(F.col("split") == split)
+        part.repartitionByRange("row_number").sortWithinPartitions("row_number").select("messages").write.mode("overwrite").json(f"{folder}/{split}")

@@ -68,6 +68,16 @@ def source_statistics(pairs: DataFrame, *order: str) -> DataFrame:
     return both.crossJoin(F.broadcast(total)).select("source", "total", "unique_new", (F.col("unique_new") / F.col("_all") * 100).alias("pct")).orderBy(F.desc("unique_new"), "source")
 
 
+def combine_corpora(sources: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Corpora of pairs (misspelling, correct) as one, in order of precedence.
+
+    First: misspelling, correct, source, each pair once, of the first source that has it.
+    Second: source, total, unique_new, pct, as source_statistics has them.
+    """
+    union = combine_sources(sources)
+    return keep_first(union, "priority").select("misspelling", "correct", "source"), source_statistics(union, "priority")
+
+
 def distance_histogram(pairs: DataFrame, first: int | None = None) -> DataFrame:
     """edit_distance, n, pct of all, by ascending distance; the first so many distances, or all."""
     counts = pairs.groupBy(F.levenshtein(F.lower("misspelling"), F.lower("correct")).alias("edit_distance")).agg(F.count(F.lit(1)).alias("n"))

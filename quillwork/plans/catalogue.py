@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import text as T
 from quillwork.functions.similarity import lcs_length, matching_ratio
-from quillwork.operators import align, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
+from quillwork.operators import align, channel, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
+from quillwork.operators.sound_index import SoundIndex
 from quillwork.sources import constants as C
-from quillwork.sources import readers
-from quillwork.sources.shared import shared_root, shared_table
-from quillwork.streaming import session
+from quillwork.sources import ingest, readers, sinks, versioned
+from quillwork.sources.shared import shared_folder, shared_table
+from quillwork.streaming import session, typing
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -31,14 +32,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL if it has one, and under an earlier name too if it had one."""
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with its SQL if it has one."""
 
     def add(f: Query) -> Query:
-        for name in filter(None, (f.__name__, also)):
-            _QUERIES[name] = f
-            if sql is not None:
-                _SQL[name] = sql
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
         return f
 
     return add
@@ -190,15 +190,19 @@ def dictionary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def phonetic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, known = shared_table(unknown_words(spark, sf_dir).select("word"), "unknown-words"), shared_table(dictionary_of(spark, sf_dir), "dictionary")
-    n = correct.phonetic_candidates(words, correct.phonetic_index(known)).groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"))
-    return correct.phonetic_matches(words, known).join(n, "word").select("word", "best_match", F.round("confidence", 9).alias("confidence"), "n_candidates")
+    words, known = unknown_words(spark, sf_dir).select("word"), shared_table(dictionary_of(spark, sf_dir), "dictionary")
+    found = shared_table(correct.phonetic_candidates(words, correct.phonetic_index(known)), "sound-candidates")
+    n = found.groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"))
+    return correct.matches_of(found).join(n, "word").select("word", "best_match", F.round("confidence", 9).alias("confidence"), "n_candidates")
 
 
 @query()
 def phonetic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = correct.phonetic_index(readers.dictionary(spark))
-    return index.groupBy("code").agg(F.transform(F.array_sort(F.collect_set(F.struct("dict_pos", "word"))), lambda x: x["word"]).alias("words"))
+    """A kept index of the built-in dictionary and the benchmark's words, to which the words of documents are added: how many words each code has, and the first of them."""
+    name = f"sounds_{uuid.uuid4().hex}"
+    index = SoundIndex.create(dictionary_of(spark, sf_dir), name, shared_folder(spark, "sounds"))
+    index.add(_t(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word")))
+    return index.table.groupBy("code").agg(F.count(F.lit(1)).alias("n_words"), F.min(F.struct("dict_pos", "word"))["word"].alias("first_word"))
 
 
 @query()
@@ -219,6 +223,36 @@ def hybrid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", F.inline("corrections"))
 
 
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swapped words of documents, their source's number being their precedence."""
+    docs = _t(spark, sf_dir, "documents")
+    rows = docs.select("source", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("priority"), "doc_id", F.posexplode(T.words("text")).alias("pos", "correct"))
+    return rows.withColumn("misspelling", noised("correct")).filter("misspelling <> correct")
+
+
+DOC_PAIRS = f"""d AS (SELECT source, regexp_extract(source, '(\\d+)$', 1)::int AS priority, doc_id, {WORDS.format('text')} AS ws FROM documents),
+e AS (SELECT source, priority, doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS correct FROM d),
+p AS (SELECT *, translate(correct, 'bdpq', 'dbqp') AS misspelling FROM e WHERE translate(correct, 'bdpq', 'dbqp') <> correct),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY misspelling, correct ORDER BY priority, doc_id, pos) AS rn FROM p) WHERE rn = 1)"""
+
+
+def model_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents and how often they occur: what the learned model takes to be meant."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+
+
+@query()
+def learned_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of the pairs of swapped words teach a model; it corrects the misspellings of the others."""
+    pairs = shared_table(swapped_pairs(spark, sf_dir), "swapped-pairs").withColumn("_fold", F.crc32("correct") % 5)
+    model = channel.LearnedModel(channel.fit_channel(pairs.filter("_fold <> 0").select("misspelling", "correct")), model_dictionary(spark, sf_dir))
+    held_out = pairs.filter("_fold = 0").select("misspelling", "correct")
+    asked = held_out.select(F.col("misspelling").alias("word")).distinct()
+    told = model.corrections(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return held_out.join(told, held_out["misspelling"] == told["word"], "left").select("misspelling", "correct", "correction", F.round("cost", 9).alias("cost"))
+
+
 # --- sentences ---------------------------------------------------------------------------------------------------
 
 
@@ -245,7 +279,7 @@ s AS (SELECT *, CASE WHEN oc = cc THEN 1.0::double ELSE 1 - levenshtein({BYTES.f
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, i ORDER BY sim + CASE WHEN i = j THEN 0.1::double ELSE 0.0::double END DESC, j) AS rn FROM s WHERE sim > 0.3),
 d AS (SELECT conv_id, turn, i, regexp_extract(o, '[a-zA-Z'',]+') AS original, cc FROM r WHERE rn = 1 AND cc <> oc)
 SELECT conv_id, turn, original, CASE WHEN original = upper(original) THEN upper(cc) WHEN original[1] = upper(original[1]) THEN upper(cc[1]) || cc[2:] ELSE cc END AS corrected,
-       count(*) AS n FROM d WHERE original <> '' GROUP BY ALL""", also="sentence_diff_whole")
+       count(*) AS n FROM d WHERE original <> '' GROUP BY ALL""")
 def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align.sentence_changes(sentence_pairs(spark, sf_dir), "conv_id", "turn")
     return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
@@ -281,7 +315,7 @@ def keyed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("sentence"))
 
 
-@query(f"WITH {CACHED} SELECT * FROM a", also="apply_cache_all")
+@query(f"WITH {CACHED} SELECT * FROM a")
 def apply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = correct.rewrite_sentences(keyed_sentences(spark, sf_dir), spark.createDataFrame(CACHE, "word string, correction string"))
     return found.select("key.conv_id", "key.turn", "cache_hits", "corrected", "asked")
@@ -319,12 +353,28 @@ def homophone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda t:
   CASE WHEN lower(regexp_replace(t, '[^\p{{L}}\p{{N}}_'']', '', 'g')) = 'by' THEN '[pause] ' || upper(t) || '. BY means {C.DEFINITIONS['by']}. Did you mean BUY, as in {C.DEFINITIONS['buy']}?' ELSE t END), ' ') AS script
-FROM conversations""", also="tts_script_all")
+FROM conversations""")
 def tts_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = lambda w: F.lit(C.DEFINITIONS[w])
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", homophones.speech_script("text", F.lit("by"), F.lit("buy"), means("by"), means("buy")).alias("script"))
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ASKED = "MAP {" + ", ".join(f"{_sql(w)}: {_sql(f'. {w.upper()} means ' + C.DEFINITIONS.get(w, 'unknown') + f'. Did you mean {o.upper()}, as in ' + C.DEFINITIONS.get(o, 'unknown') + '?')}" for g in C.HOMOPHONE_GROUPS for w in g for o in [next(x for x in g if x != w)]) + "}"
+
+
+@query(rf"""
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda t:
+  coalesce('[pause] ' || upper(t) || {ASKED}[lower(regexp_replace(t, '[^\p{{L}}\p{{N}}_'']', '', 'g'))], t)), ' ') AS script
+FROM conversations""")
+def tts_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns read out: every word that has homophones is asked about."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", homophones.speech_scripts("text", C.HOMOPHONE_GROUPS, C.DEFINITIONS).alias("script"))
+
+
 @query(r"""
 WITH e AS (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: regexp_full_match(x, '[A-Za-z]+'))) AS token FROM documents),
 d AS (SELECT token, count(*) AS n FROM e GROUP BY token), c AS (SELECT *, translate(lower(token), 'bdpq', 'dbqp') AS fix FROM d)
@@ -342,7 +392,7 @@ e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) AS i, unnest(ts) AS shown
 p AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS start FROM e)
 SELECT conv_id, turn, start, (start + length(shown))::int AS stop, shown,
        CASE WHEN shown = upper(shown) THEN upper(c.correction) WHEN shown = lower(shown) THEN lower(c.correction) ELSE c.correction END AS correction
-FROM p JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON lower(p.shown) = c.word""", also="mark_occurrences_all")
+FROM p JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON lower(p.shown) = c.word""")
 def mark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
     cache = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in CACHE])
@@ -350,6 +400,21 @@ def mark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.conv_id", "key.turn", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
 
 
+@query(f"""
+WITH {DOC_PAIRS}, fix AS (SELECT DISTINCT misspelling, correct FROM k),
+tx AS (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+') AS ts FROM documents),
+ex AS (SELECT doc_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS shown FROM tx),
+px AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS start FROM ex)
+SELECT doc_id, start, (start + length(shown))::int AS stop, shown,
+       CASE WHEN shown = upper(shown) THEN upper(fix.correct) WHEN shown = lower(shown) THEN lower(fix.correct) ELSE fix.correct END AS correction
+FROM px JOIN fix ON lower(px.shown) = fix.misspelling""")
+def mark_all_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that documents give, marked in all documents."""
+    known = pair_keep_first(spark, sf_dir).select(F.col("misspelling").alias("original"), F.col("correct").alias("corrected"))
+    found = marks.mark_all(_t(spark, sf_dir, "documents"), shared_table(known, "pairs"), "doc_id", "text")
+    return found.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"), "shown", "correction")
+
+
 @query("""
 SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head
 FROM conversations""")
@@ -365,7 +430,7 @@ WITH f AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\s+
 s AS (SELECT *, regexp_replace(regexp_replace('Here''s the corrected sentence: ' || text, '^(here''?s?\s+(the\s+)?corrected\s+(sentence|text)[:\s]*)', '', 'i'), '^(corrected[:\s]*)', '', 'i') AS said FROM f)
 SELECT conv_id, turn, {STRIP.format('said')} AS sentence, {STRIP.format("split_part(" + STRIP.format("text || chr(10) || 'more'") + ", chr(10), 1)")} AS answer,
        regexp_extract(split_part({STRIP.format("text || chr(10) || 'lines'")}, chr(10), 1), '(\S+)', 1) AS word,
-       regexp_extract('HINT: "' || coalesce(w, '') || '" means ' || text, '"([a-zA-Z0-9_'']+)"', 1) AS hinted, true AS is_hint FROM s""", also="reply_cleaning_whole")
+       regexp_extract('HINT: "' || coalesce(w, '') || '" means ' || text, '"([a-zA-Z0-9_'']+)"', 1) AS hinted, true AS is_hint FROM s""")
 def reply_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns with what models put around their replies, cleaned."""
     rows = _t(spark, sf_dir, "conversations")
@@ -380,7 +445,7 @@ def reply_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT conv_id, turn, text, strpos(lower(text), 'the') AS a FROM conversations),
 b AS (SELECT *, CASE WHEN a > 0 THEN text[1:a - 1] || 'teh' || text[a + 3:] ELSE text END AS one FROM r),
 c AS (SELECT *, strpos(lower(one), 'on') AS n FROM b)
-SELECT conv_id, turn, CASE WHEN n > 0 THEN one[1:n - 1] || 'no' || one[n + 2:] ELSE one END AS changed FROM c""", also="apply_changes_all")
+SELECT conv_id, turn, CASE WHEN n > 0 THEN one[1:n - 1] || 'no' || one[n + 2:] ELSE one END AS changed FROM c""")
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two changes after each other, each at its first occurrence."""
     changes = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (("the", "teh"), ("on", "no"))])
@@ -389,7 +454,7 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT conv_id, turn, text, strpos(text, ' ') AS p FROM conversations)
-SELECT conv_id, turn, CASE WHEN p > 0 THEN 'FIRST' || text[p:] WHEN text IS NOT NULL THEN 'FIRST' END AS accepted FROM t""", also="accept_correction_all")
+SELECT conv_id, turn, CASE WHEN p > 0 THEN 'FIRST' || text[p:] WHEN text IS NOT NULL THEN 'FIRST' END AS accepted FROM t""")
 def accept_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands before the first blank, or the whole text, replaced by its correction."""
     rows = _t(spark, sf_dir, "conversations").withColumn("stop", F.when(F.instr("text", " ") > 0, F.instr("text", " ") - 1).otherwise(F.length("text")))
@@ -399,7 +464,7 @@ def accept_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH t AS (SELECT conv_id, turn, text, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[2:], ' ') AS reply FROM conversations)
 SELECT conv_id, turn, contains(lower(text), lower(reply)) AS has_reply, {STRIP.format('text')} = {STRIP.format('reply')} AS same,
-       abs(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) - len(list_filter(string_split_regex(reply, '\s+'), lambda x: x <> ''))) <= 1 AS kept_words FROM t""", also="pass_predicates_all")
+       abs(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) - len(list_filter(string_split_regex(reply, '\s+'), lambda x: x <> ''))) <= 1 AS kept_words FROM t""")
 def pass_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "conversations").withColumn("reply", F.array_join(F.slice(T.split_words("text"), 2, 1 << 30), " "))
     kept = F.abs(T.count_words("text") - T.count_words("reply")) <= 1
@@ -415,19 +480,6 @@ def common_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pairs and training rows -------------------------------------------------------------------------------------
 
 
-def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Swapped words of documents, their source's number being their precedence."""
-    docs = _t(spark, sf_dir, "documents")
-    rows = docs.select("source", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("priority"), "doc_id", F.posexplode(T.words("text")).alias("pos", "correct"))
-    return rows.withColumn("misspelling", noised("correct")).filter("misspelling <> correct")
-
-
-DOC_PAIRS = f"""d AS (SELECT source, regexp_extract(source, '(\\d+)$', 1)::int AS priority, doc_id, {WORDS.format('text')} AS ws FROM documents),
-e AS (SELECT source, priority, doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS correct FROM d),
-p AS (SELECT *, translate(correct, 'bdpq', 'dbqp') AS misspelling FROM e WHERE translate(correct, 'bdpq', 'dbqp') <> correct),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY misspelling, correct ORDER BY priority, doc_id, pos) AS rn FROM p) WHERE rn = 1)"""
-
-
 @query(f"WITH {DOC_PAIRS} SELECT misspelling, correct, priority, doc_id, pos::int AS pos, source FROM k")
 def pair_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.keep_first(document_pairs(spark, sf_dir), "priority", "doc_id", "pos")
@@ -447,6 +499,80 @@ def benchmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM_PAIRS = f"{BM}, p AS (SELECT translate(word, 'bdpq', 'dbqp') AS misspelling, word AS correct FROM bm WHERE translate(word, 'bdpq', 'dbqp') <> word)"
 
 
+TYPOS = rf"""
+tp AS (SELECT {WORDS.format("translate(text, 'bdpq', 'dbqp')")} AS a, {WORDS.format('text')} AS b FROM conversations),
+tz AS (SELECT unnest(list_zip(a, b)) AS p FROM tp WHERE len(a) = len(b)),
+ty AS (SELECT DISTINCT p[1] AS misspelling, p[2] AS correct FROM tz WHERE p[1] <> p[2]
+       AND length(p[1]) >= 3 AND length(p[2]) >= 3 AND abs(length(p[1]) - length(p[2])) <= 3
+       AND NOT list_contains({_list(C.CODE_TERMS)}, p[1]) AND NOT list_contains({_list(C.CODE_TERMS)}, p[2])
+       AND NOT (list_contains({_list(C.MEANING_WORDS)}, p[1]) AND list_contains({_list(C.MEANING_WORDS)}, p[2]))
+       AND NOT ((p[1] || 's' = p[2] OR p[2] || 's' = p[1]) AND length(p[1]) > 4 AND length(p[2]) > 4))"""
+CORPORA = f"""{BM_PAIRS}, {TYPOS},
+dw AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS correct FROM documents),
+u AS (SELECT 0 AS priority, 'typos' AS source, misspelling, correct FROM ty UNION ALL SELECT 1, 'benchmark', misspelling, correct FROM p
+      UNION ALL SELECT 2, 'documents', translate(correct, 'bdpq', 'dbqp'), correct FROM dw WHERE translate(correct, 'bdpq', 'dbqp') <> correct),
+f AS (SELECT misspelling, correct, min(priority) AS priority, min_by(source, priority) AS source FROM u GROUP BY ALL)"""
+
+
+def corpora(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """Three corpora of pairs, by falling precedence: typos mined from turns, swapped words of the benchmark, and of documents."""
+    typos = _t(spark, sf_dir, "conversations").select(F.inline(pairs.word_typos(noised("text"), "text"))).distinct()
+    words = _t(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("correct")).distinct()
+    swapped = words.select(noised("correct").alias("misspelling"), "correct").filter("misspelling <> correct")
+    return [("typos", typos), ("benchmark", benchmark_pairs(spark, sf_dir)), ("documents", swapped)]
+
+
+@query(f"WITH {CORPORA} SELECT misspelling, correct, source FROM f")
+def combined_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.combine_corpora(corpora(spark, sf_dir))[0]
+
+
+@query(f"""
+WITH {CORPORA}, t AS (SELECT source, count(*) AS total FROM u GROUP BY source), n AS (SELECT source, count(*) AS unique_new FROM f GROUP BY source)
+SELECT source, total, coalesce(unique_new, 0) AS unique_new, coalesce(unique_new, 0) / (SELECT sum(unique_new) FROM n) * 100 AS pct FROM t LEFT JOIN n USING (source)""")
+def combined_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.combine_corpora(corpora(spark, sf_dir))[1]
+
+
+@query(f"""
+WITH {CORPORA}, i AS (SELECT 'words' AS source, '{C.WORD_INSTRUCTION}' AS instruction, misspelling AS input, correct AS output FROM f
+UNION ALL SELECT 'changes', '{C.CHANGES_INSTRUCTION}', 'Fix spelling: "The ' || misspelling || ' is here."', 'CHANGES: ' || misspelling || '->' || correct FROM p),
+n AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(chr(1), source, instruction, input, output)), source, instruction, input, output) AS row_number, count(*) OVER () AS n FROM i)
+SELECT source, row_number, CASE WHEN row_number <= floor(n * 0.9::double) THEN 'train' ELSE 'eval' END AS split,
+       '{C.CHAT_SYSTEM}' AS system_text, instruction || chr(10) || chr(10) || input AS user_text, output AS assistant_text FROM n""")
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the combined corpora and sentences of the benchmark's pairs as one set of chat rows, cut into train and eval."""
+    found = pairs.combine_corpora(corpora(spark, sf_dir))[0]
+    rows = datasets.training_set([("words", datasets.word_rows(found)), ("changes", datasets.changes_rows(benchmark_pairs(spark, sf_dir)))])
+    said = F.col("messages")
+    return rows.select("source", "row_number", "split", said[0]["content"].alias("system_text"), said[1]["content"].alias("user_text"), said[2]["content"].alias("assistant_text"))
+
+
+@query(rf"""
+WITH {BM}, e AS (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS token FROM conversations),
+w AS (SELECT regexp_replace(lower(token), '[^a-z'']', '', 'g') AS word FROM e)
+SELECT word, count(*) AS n FROM w WHERE length(word) > 1 AND word NOT IN (SELECT word FROM bm) AND NOT list_contains({_list(C.DICTIONARY)}, word) GROUP BY word""")
+def likely_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of turns, cleaned to letters and apostrophes, that the dictionary lacks."""
+    tokens = _t(spark, sf_dir, "conversations").select(F.explode(T.split_words("text")).alias("token"))
+    counted = tokens.select(T.letters_only("token", apostrophes=True).alias("word")).filter("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(dictionary_of(spark, sf_dir).select("word"), "word", "left_anti")
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')[1] AS w FROM conversations WHERE text IS NOT NULL),
+k AS (SELECT t.*, c.correction FROM t LEFT JOIN (SELECT * FROM {CACHE_SQL} v(word, correction)) c ON t.w = c.word)
+SELECT conv_id, turn, coalesce(correction, w, '') AS found, (correction IS NOT NULL) AS has, ({len(CACHE)} + CASE WHEN w IS NOT NULL AND correction IS NULL THEN 1 ELSE 0 END)::int AS n_put,
+       ({len(CACHE)} - CASE WHEN correction IS NOT NULL THEN 1 ELSE 0 END)::int AS n_left FROM k""")
+def cache_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache as a map column: the first word of each turn looked up, put and taken out."""
+    word = F.coalesce(F.try_element_at(T.split_words(F.lower("text")), F.lit(1)), F.lit(""))
+    cache = F.create_map(*[F.lit(x) for pair in CACHE for x in pair])
+    rows = _t(spark, sf_dir, "conversations").filter("text IS NOT NULL").withColumn("w", word).withColumn("m", cache)
+    put = F.when(F.col("w") != "", T.map_put(F.col("m"), F.col("w"), F.lit("x"))).otherwise(F.col("m"))
+    return rows.select("conv_id", "turn", T.map_get(F.col("m"), F.col("w"), F.col("w")).alias("found"), F.map_contains_key("m", F.col("w")).alias("has"), F.size(put).alias("n_put"), F.size(T.map_delete(F.col("m"), F.col("w"))).alias("n_left"))
+
+
 @query(f"WITH {BM_PAIRS} SELECT '{C.WORD_INSTRUCTION}' AS instruction, misspelling AS input, correct AS output FROM p")
 def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.word_rows(benchmark_pairs(spark, sf_dir))
@@ -498,6 +624,54 @@ def changes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("correct").alias("reply_of"), F.inline(T.parse_changes(reply, C.VALID_WORDS)))
 
 
+# --- sources and sinks, over what the tables give ---------------------------------------------------------------------
+
+
+@query(f"WITH {SWAPPED} SELECT correct, misspelling, length(correct)::int AS frequency FROM p WHERE lower(misspelling) <> lower(correct)")
+def headed_list_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as lists of heads and members with their counts, and read in ranges of 64 KB."""
+    folder = shared_folder(spark, "headed-list")
+    members = F.concat("misspelling", F.lit(" "), F.length("correct").cast("string"))
+    lists = swapped_pairs(spark, sf_dir).groupBy("correct").agg(F.array_join(F.collect_list(members), "\n").alias("m"))
+    lists.select(F.concat(F.lit("$"), "correct", F.lit("\n"), "m")).write.text(folder)
+    return readers.read_headed_list(spark, folder, encoding="UTF-8", split_bytes=1 << 16).select("correct", "misspelling", "frequency")
+
+
+@query(f"WITH {SWAPPED} SELECT misspelling, correct FROM p")
+def csv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written to files whose headers differ in names and order, and read as one."""
+    folder, rows = shared_folder(spark, "csv-pairs"), shared_table(swapped_pairs(spark, sf_dir), "csv-pairs-of")
+    kind = F.pmod(F.crc32("correct"), F.lit(3))
+    headers = (("misspelling AS wrong", "correct AS right"), ("correct AS label", "'x,y' AS note", "misspelling AS input"), ("'' AS correct", "'' AS misspelling", "correct AS right", "misspelling AS wrong"))
+    for i, names in enumerate(headers):
+        sinks.write_csv(rows.filter(kind == i).selectExpr(*names), f"{folder}/{i}")
+    return readers.read_pair_csv(spark, [f"{folder}/{i}" for i in range(len(headers))])
+
+
+@query(f"""
+WITH {SWAPPED} SELECT misspelling, correct, (SELECT count(*) FROM p WHERE length(correct) % 7 <> 0) AS n_rows, (SELECT count(*) FROM p WHERE length(correct) % 7 = 0) AS n_bad, 1 AS n_missing
+FROM p WHERE length(correct) % 7 <> 0""")
+def ingested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as JSON lines, those of some lengths cut short: one pass reads, counts and sets these aside."""
+    folder = shared_folder(spark, "json-lines")
+    line = F.to_json(F.struct("misspelling", "correct"))
+    cut = F.when(F.length("correct") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    swapped_pairs(spark, sf_dir).select(cut.alias("value")).write.text(folder)
+    found = ingest.ingest_jsonl(spark, [folder, f"{folder}-missing"], "misspelling string, correct string")
+    return found.rows.select("misspelling", "correct", F.lit(found.n_rows).cast("long").alias("n_rows"), F.lit(found.n_bad).cast("long").alias("n_bad"), F.lit(len(found.missing)).alias("n_missing"))
+
+
+@query(f"""
+WITH {SWAPPED}, a AS (SELECT misspelling, correct FROM p WHERE length(correct) % 2 = 0)
+SELECT misspelling, correct FROM a UNION ALL SELECT misspelling, correct FROM p WHERE length(correct) % 2 = 1""")
+def kept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs added to a versioned table in two micro-batches, of which the first is repeated; the second stands once as well."""
+    path, rows = shared_folder(spark, "kept-log"), shared_table(swapped_pairs(spark, sf_dir), "kept-log-of")
+    for n in (0, 0, 1, 1):
+        versioned.append(rows.filter(F.length("correct") % 2 == n), path, "pairs", n)
+    return versioned.read(spark, path)
+
+
 # --- logs and evaluation -----------------------------------------------------------------------------------------
 
 
@@ -630,7 +804,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ran(result: DataFrame, name: str, mode: str) -> DataFrame:
-    return session.run_available(result, f"{shared_root(result.sparkSession)}/{name}-{uuid.uuid4().hex}", mode)
+    return session.run_available(result, shared_folder(result.sparkSession, name), mode)
 
 
 @query(STREAM_SQL)
@@ -671,6 +845,48 @@ def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("key", F.inline("entries")).select("key", "seq", "text", "corrected")
 
 
+#: Turns as typed: 200 letters a second, an hour from turn to turn; pieces come up to ten seconds late, and a minute without one is a pause.
+TYPED_SQL = r"""
+WITH t AS (SELECT conv_id::varchar AS key, turn::bigint AS turn, regexp_extract_all(text, '(?s).{1,200}') AS ps FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT key, turn, generate_subscripts(ps, 1) - 1 AS seq, unnest(ps) AS piece FROM t),
+w AS (SELECT *, turn * 3600 + seq AS s, max(turn * 3600 + seq) OVER () - 10 AS mark FROM p),
+l AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY key ORDER BY s, seq, piece) > 60, false) AS gap FROM w WHERE s <= mark),
+r AS (SELECT *, sum(gap::int) OVER (PARTITION BY key ORDER BY s, seq, piece ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM l),
+g AS (SELECT key, run, string_agg(piece, '' ORDER BY s, seq, piece) AS text, max(s) AS last, max(mark) AS mark FROM r GROUP BY key, run),
+o AS (SELECT *, run < max(run) OVER (PARTITION BY key) OR last + 60 < mark AS gone, regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+') AS ss FROM g),
+e AS (SELECT key, run, gone, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM o),
+c AS (SELECT *, regexp_replace(s, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS sentence FROM e)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY run, i)::bigint AS number, sentence, regexp_matches(sentence, '[.!?]$') AS finished
+FROM c WHERE (gone OR regexp_matches(sentence, '[.!?]$')) AND regexp_replace(sentence, '[.!?]+$', '') <> ''"""
+
+
+@query(TYPED_SQL)
+def stream_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns come as pieces that are being typed; sentences leave when they are finished, or when a pause has passed."""
+    table = _t(spark, sf_dir, "conversations")
+    pieces = typing.as_typed(spark.readStream.schema(table.schema).parquet(f"{sf_dir}/conversations.parquet*"))
+    return ran(typing.typed_sentences(pieces), "stream-sentences", "append").drop("n")
+
+
+@query(TYPED_SQL)
+def typed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the finished table."""
+    pieces = typing.as_typed(_t(spark, sf_dir, "conversations"))
+    mark = shared_table(pieces.agg((F.max("ts") - F.expr("INTERVAL 10 SECONDS")).alias("_mark")), "watermark")
+    return typing.typed_sentences_batch(pieces.crossJoin(F.broadcast(mark)), F.col("_mark"))
+
+
+@query(ANSWERS_SQL)
+def stream_handed_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query runs over the earlier half of the time; what its sessions have learned is taken from its state and given to another query, which answers the later half."""
+    half = _t(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select((F.col("a") + (F.col("b") - F.col("a")) / 2).alias("half")).first()[0]
+    rows = learning_events(event_stream(spark, sf_dir))
+    first, second = (shared_folder(spark, f"stream-{n}") for n in ("first", "second"))
+    early = session.run_available(session.session_answers(rows.filter(F.col("ts") < F.lit(half))), first, "append")
+    late = session.run_available(session.session_answers(rows.filter(F.col("ts") >= F.lit(half)), session.learned(spark, first)), second, "append")
+    return early.unionByName(late).select("key", "seq", "corrected", "hits")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import strip
 from quillwork.sources import constants
+from quillwork.sources.headed import SPLIT_BYTES, HeadedList
 
 TYPO_SCHEMA = "edits array<struct<is_typo: boolean, src: struct<text: string, lang: string>, tgt: struct<text: string, lang: string>>>"
 INSTRUCTION_SCHEMA = "instruction string, input string, output string"
@@ -19,18 +20,26 @@ HOMOPHONE_SCHEMA = "homophones array<struct<words: array<string>, definitions: m
 MISSPELLING_ALIASES, CORRECT_ALIASES = ("misspelling", "wrong", "input"), ("correct", "right", "label")
 
 
-def read_headed_list(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", keep_counts: bool = False) -> DataFrame:
-    """path, pos, correct, misspelling, frequency from files of "$head" lines and their members.
+def read_headed_list(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", keep_counts: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """path, pos (a line's first byte), correct, misspelling, frequency from files of "$head" lines and their members.
 
+    Files are read in ranges of split_bytes; the last head of each range is carried to the next by a
+    window over the ranges of a file, of which there are as few as tasks.
     Blank lines and members before the first head are dropped, underscores are blanks,
     members equal to their head but for case are dropped.  A member's trailing count
     becomes its frequency; keep_counts leaves it in the misspelling, as published sets do.
     """
-    files = spark.read.format("binaryFile").load(path)
-    lines = files.select("path", F.posexplode(F.split(F.decode("content", encoding), r"\r?\n")).alias("pos", "raw")).withColumn("line", strip("raw")).filter("line <> ''")
-    is_head = F.startswith("line", F.lit("$"))
-    head = F.last(F.when(is_head, F.regexp_replace(F.substring("line", 2, 1 << 30), "_", " ")), ignorenulls=True).over(W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    members = lines.withColumn("correct", head).filter(~is_head & F.col("correct").isNotNull())
+    spark.dataSource.register(HeadedList)
+    source = lambda name, value: spark.read.format("headed_list").option("encoding", encoding).option("split_bytes", split_bytes).option(name, value).load(path)
+    before = W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = source("parts", "heads").select("path", "range", F.last("head", ignorenulls=True).over(before).alias("_carried"))
+    lines = source("carry", "none").join(F.broadcast(carried), ["path", "range"]).withColumn("head", F.coalesce("head", "_carried"))
+    return members_of(lines, keep_counts)
+
+
+def members_of(lines: DataFrame, keep_counts: bool = False) -> DataFrame:
+    """The pairs of rows (path, pos, head, line) of the headed_list source."""
+    members = lines.filter("head IS NOT NULL").withColumn("correct", F.regexp_replace(F.substring("head", 2, 1 << 30), "_", " "))
     plain = F.regexp_replace("line", "_", " ")
     count = F.regexp_extract(plain, r"\s(\d+)$", 1)
     word = plain if keep_counts else F.when(count != "", F.regexp_replace(plain, r"\s+\d+$", "")).otherwise(plain)
@@ -49,10 +58,27 @@ def _pair(rows: DataFrame, misspelling, correct) -> DataFrame:
     return rows.select(m.alias("misspelling"), c.alias("correct")).filter("misspelling <> '' AND correct <> '' AND misspelling <> correct")
 
 
-def read_pair_csv(spark: SparkSession, path: str) -> DataFrame:
-    """misspelling, correct from a CSV whose header uses any alias; the first alias that is not empty counts."""
-    rows = spark.read.csv(path, header=True)
-    first = lambda names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in rows.columns], F.lit(""))
+def read_pair_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """misspelling, correct from CSV files, each with a header of its own that uses any alias; the first alias that is not empty counts.
+
+    A file's header is its first line: the least line number of its first block.  Values are found by
+    their place in the header of their file.  A value does not go on over several lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_at", F.monotonically_increasing_id())
+    headers = lines.filter("_block = 0").groupBy("_file").agg(F.min(F.struct("_at", "value")).alias("_h")).select("_file", F.col("_h._at").alias("_first"), F.regexp_replace("_h.value", "^\ufeff", "").alias("_header"))
+    width = headers.agg(F.max(F.size(F.split("_header", ",")))).first()[0] or 1
+    columns = ", ".join(f"c{i} string" for i in range(width))
+    # A line is parsed once: through a generator, which no later projection is merged with.
+    parsed = lambda df, line: df.withColumn("_p", F.explode(F.array(F.from_csv(line, columns))))
+    cells = F.array(*[F.coalesce(F.col("_p")[f"c{i}"], F.lit("")) for i in range(width)])
+    named = parsed(headers, F.col("_header")).select("_file", "_first", F.transform(cells, lambda x: F.trim(x)).alias("_names"))
+    rows = lines.join(named, "_file").filter(~((F.col("_block") == 0) & (F.col("_at") == F.col("_first"))))
+    rows = parsed(rows, F.col("value")).select("_names", cells.alias("_cells"))
+
+    def first(aliases: tuple[str, ...]) -> Column:
+        of = lambda name: F.get("_cells", F.array_position("_names", name).cast("int") - 1)
+        return F.coalesce(*[F.nullif(of(n), F.lit("")) for n in aliases], F.lit(""))
+
     return _pair(rows, first(MISSPELLING_ALIASES), first(CORRECT_ALIASES))
 
 
@@ -80,12 +106,18 @@ def read_cases(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(F.coalesce("c.category", "_file").alias("category"), "case_id", "c.input", "c.expected")
 
 
-def read_existing(spark: SparkSession, paths: Iterable[str], read) -> tuple[DataFrame | None, list[str]]:
-    """read(spark, existing paths), or None when there are none; and the paths that are missing."""
+def existing(spark: SparkSession, paths: Iterable[str]) -> tuple[list[str], list[str]]:
+    """The paths that are there, and those that are missing."""
     there, missing = [], []
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         (there if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else missing).append(p)
+    return there, missing
+
+
+def read_existing(spark: SparkSession, paths: Iterable[str], read) -> tuple[DataFrame | None, list[str]]:
+    """read(spark, existing paths), or None when there are none; and the paths that are missing.  ingest.ingest_jsonl also counts and keeps what is malformed."""
+    there, missing = existing(spark, paths)
     return (read(spark, there) if there else None), missing
 
 

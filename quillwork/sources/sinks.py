@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillwork.sources import versioned
+
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
@@ -22,8 +24,8 @@ def write_report(summary: DataFrame, path: str) -> None:
 
 
 def write_cache(pairs: DataFrame, path: str) -> None:
-    """word, correction; the latest table replaces the one before."""
-    pairs.select("word", "correction").write.mode("overwrite").parquet(path)
+    """word, correction; replaces the cache before, which stays readable until this one is whole (versioned.read)."""
+    versioned.replace(pairs.select("word", "correction"), path)
 
 
 def clear(spark: SparkSession, path: str) -> None:

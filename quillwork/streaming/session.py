@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quillwork.sources import versioned
+
 OUTPUT = "key string, n_rows long, n_skipped long, n_hits long, n_misses long"
 ANSWERS = "key string, ts timestamp, seq long, corrected string, hits int"
 LOG = "key string, entries array<struct<ts: timestamp, seq: long, text: string, corrected: string>>"
@@ -73,6 +75,10 @@ class SessionCorrections(StatefulProcessor):
         self.cache = handle.getMapState("cache", "word string", "correction string")
         self.log = handle.getListState("log", "ts timestamp, seq long, text string, corrected string")
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        for r in initialState.itertuples():
+            self.cache.updateValue((r.word,), (r.correction,))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         entries = [tuple(x) for x in self.log.get()] if self.log.exists() else []
         told: list[tuple] = []
@@ -102,9 +108,14 @@ def session_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(SessionCache(), OUTPUT, "update", "none")
 
 
-def session_answers(stream: DataFrame) -> DataFrame:
-    """key, ts, seq, corrected, hits of each row; needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(SessionCorrections(), ANSWERS, "append", "none")
+def session_answers(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """key, ts, seq, corrected, hits of each row; needs the RocksDB state store.
+
+    known (key, word, correction): what sessions know before their first row, as `learned` gives it of
+    another query; words that differ in case are one, of which any counts.
+    """
+    first = known.select("key", F.lower("word").alias("word"), "correction").groupBy("key") if known is not None else None
+    return stream.groupBy("key").transformWithStateInPandas(SessionCorrections(), ANSWERS, "append", "none", first)
 
 
 def session_logs(stream: DataFrame) -> DataFrame:
@@ -171,5 +182,15 @@ def session_answers_batch(rows: DataFrame) -> DataFrame:
 
 
 def append_log(log: DataFrame, path: str, checkpoint: str):
-    """A query that appends finished log entries to a table as they come; the caller starts or stops others of it."""
-    return log.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A query that appends finished log entries to a versioned table as they come, each micro-batch once, also when it is repeated after a failure; the caller starts or stops others of it."""
+
+    def add(batch: DataFrame, n: int) -> None:
+        versioned.append(batch, path, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), n)
+
+    return log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def learned(spark: SparkSession, where: str) -> DataFrame:
+    """key, word, correction: what the sessions of a query run by run_available have learned, from its keyed state."""
+    held = spark.read.format("statestore").option("stateVarName", "cache").load(f"{where}/state")
+    return held.select("key.key", F.col("user_map_key.word").alias("word"), F.col("user_map_value.correction").alias("correction"))

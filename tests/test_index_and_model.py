@@ -1,0 +1,190 @@
+"""The kept sound index and the learned model, against rebuilds and brute force."""
+
+import math
+import random
+from collections import Counter
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillwork.operators import channel as N
+from quillwork.operators import correct
+from quillwork.operators.sound_index import SoundIndex
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def words(spark, *given):
+    return spark.createDataFrame([(w,) for w in given], "word string")
+
+
+@pytest.fixture
+def dictionary(spark):
+    return spark.createDataFrame(list(enumerate(["smith", "schmidt", "knight", "night", "there", "their", "write", "right"])), "dict_pos int, word string")
+
+
+def test_added_words_equal_a_rebuild(spark, tmp_path, dictionary):
+    index = SoundIndex.create(dictionary, "sounds_test", f"file://{tmp_path}/index", buckets=4)
+    try:
+        index.add(words(spark, "rite", "Their", "nite", None, "nite", "smyth", "42"))
+        more = correct.add_words(dictionary, words(spark, "rite", "their", "nite", "smyth", "42"))
+        assert rows(index.table.select("code", "word")) == rows(correct.phonetic_index(more).select("code", "word"))
+        place = lambda df: [r["word"] for r in df.select("dict_pos", "word").distinct().orderBy("dict_pos").collect()]
+        assert place(index.table) == [w for w in place(more) if w != "42"]
+        index.add(words(spark, "rite"))
+        asked = words(spark, "nyte", "ryte", "smitt", "there", "!!")
+        named = lambda df: sorted((r["word"], r["candidate"], r["code_rank"]) for r in df.collect())
+        assert named(index.candidates(asked)) == named(correct.phonetic_candidates(asked, correct.phonetic_index(more)))
+        again = SoundIndex.open(spark, "sounds_again", f"file://{tmp_path}/index", buckets=4)
+        assert named(again.candidates(asked)) == named(index.candidates(asked))
+        again.drop()
+    finally:
+        index.drop()
+
+
+def test_the_index_is_not_moved(spark, tmp_path, dictionary):
+    """Its side of the join has no exchange: buckets are read as they lie."""
+    index = SoundIndex.create(dictionary, "sounds_plan", f"file://{tmp_path}/index", buckets=4)
+    try:
+        asked = words(spark, "nyte")
+        plan = index.candidates(asked)._jdf.queryExecution().executedPlan().toString()
+        scan = next(i for i, line in enumerate(plan.splitlines()) if "FileScan parquet" in line and "sounds_plan" in line)
+        above = plan.splitlines()[:scan]
+        join = max(i for i, line in enumerate(above) if "SortMergeJoin" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        # Between the join and the scan, on the scan's own branch.
+        branch, level = [], depth(plan.splitlines()[scan])
+        for line in reversed(above[join + 1 :]):
+            if depth(line) < level:
+                branch.append(line)
+                level = depth(line)
+        assert branch and not any("Exchange" in line for line in branch)
+    finally:
+        index.drop()
+
+
+ALPHABET = "abc"
+
+
+def likelihood(channel, m, c):
+    """The chance of a misspelling: the sum over all ways, letter by letter, by its definition."""
+
+    def ways(i, j):
+        x = channel.stop if i == len(c) and j == len(m) else 0.0
+        if j < len(m):
+            x += channel.slip(m[j]) * ways(i, j + 1)
+        if i < len(c):
+            x += channel.stop * channel.of(c[i], "") * ways(i + 1, j)
+            if j < len(m):
+                x += channel.stop * channel.of(c[i], m[j]) * ways(i + 1, j + 1)
+        return x
+
+    return ways(0, 0)
+
+
+def cheapest(channel, m, c):
+    def ways(i, j):
+        x = -math.log(channel.stop) if i == len(c) and j == len(m) else math.inf
+        if j < len(m):
+            x = min(x, -math.log(channel.slip(m[j])) + ways(i, j + 1))
+        if i < len(c):
+            out = -math.log(channel.stop) - math.log(channel.of(c[i], ""))
+            x = min(x, out + ways(i + 1, j))
+            if j < len(m):
+                x = min(x, -math.log(channel.stop) - math.log(channel.of(c[i], m[j])) + ways(i + 1, j + 1))
+        return x
+
+    return ways(0, 0)
+
+
+def some_channel(seed):
+    rng = random.Random(seed)
+    typed = {a: {b: rng.random() for b in [*ALPHABET, ""]} for a in ALPHABET}
+    typed = {a: {b: x / sum(to.values()) for b, x in to.items()} for a, to in typed.items()}
+    return N.Channel(typed, {b: rng.random() * 0.1 for b in ALPHABET}, 0.8)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_expected_counts(seed):
+    """Derivatives of the log-likelihood: the expected count of a slip is its chance times the derivative by it."""
+    channel, rng = some_channel(seed), random.Random(seed)
+    m, c = ("".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 4))) for _ in range(2))
+    found, whole, step = N.expected(channel, m, c), likelihood(channel, m, c), 1e-6
+    for a, b in product(ALPHABET, [*ALPHABET, ""]):
+        p = channel.typed[a][b]
+        channel.typed[a][b] = p * (1 + step)
+        up = likelihood(channel, m, c)
+        channel.typed[a][b] = p
+        assert found[a, b] == pytest.approx((up - whole) / whole / step, abs=1e-4)
+    for b in ALPHABET:
+        p = channel.slips[b]
+        channel.slips[b] = p * (1 + step)
+        up = likelihood(channel, m, c)
+        channel.slips[b] = p
+        assert found["slip", b] == pytest.approx((up - whole) / whole / step, abs=1e-4)
+    assert found["stop", ""] == len(c) + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_is_exhaustive(seed):
+    """The cheapest of all dictionary words, the first by the alphabet of equals, or none beyond the cutoff."""
+    channel, rng = some_channel(seed), random.Random(seed)
+    known = {"".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 5))): float(rng.randint(1, 9)) for _ in range(25)}
+    trie, total = N.Trie(known, channel), sum(known.values())
+    for _ in range(25):
+        w = "".join(rng.choice(ALPHABET + "x") for _ in range(rng.randint(1, 5)))
+        for cutoff in (1.0, 2.5, 9.0):
+            cost, best = min((cheapest(channel, w, c) - math.log(n / total), c) for c, n in known.items() if c != w)
+            got = trie.best(w, cutoff)
+            if cost > cutoff * len(w):
+                assert got is None
+            else:
+                assert got[1] == pytest.approx(cost) and cheapest(channel, w, got[0]) - math.log(known[got[0]] / total) == pytest.approx(cost)
+
+
+def test_fit_raises_the_likelihood(spark):
+    given = [("teh", "the", 5), ("tehn", "then", 1), ("bog", "dog", 4), ("boor", "door", 2), ("cat", "cat", 9), ("ca", "cat", 1), ("catt", "cat", 1), ("", "x", 3), (None, "y", 1), ("z", None, 1)]
+    pairs = spark.createDataFrame(given, "misspelling string, correct string, n int").repartition(3)
+    told = lambda ch: sum(n * math.log(likelihood(ch, m, c)) for m, c, n in given if m and c)
+    steps = [told(N.fit_channel(pairs, k)) for k in (1, 2, 4)]
+    assert steps[0] < steps[1] < steps[2]
+    channel = N.fit_channel(pairs)
+    assert channel.of("d", "b") > 0.9 > channel.of("c", "t")
+    by_hand = Counter()
+    for m, c, n in given:
+        if m and c:
+            for op, x in N.expected(N.Channel(), m, c).items():
+                by_hand[op] += n * x
+    one = N.fit_channel(pairs, 1)
+    assert one.typed["d"]["b"] == pytest.approx(by_hand["d", "b"] / sum(x for (a, _), x in by_hand.items() if a == "d"))
+    empty = N.fit_channel(pairs.filter("n > 99"))
+    assert empty == N.Channel()
+
+
+def test_model_as_corrector(spark, dictionary):
+    pairs = spark.createDataFrame([("bog", "dog"), ("bay", "day"), ("dig", "big"), ("tep", "ted")], "misspelling string, correct string")
+    model = N.LearnedModel(N.fit_channel(pairs), spark.createDataFrame([("dog", 9), ("day", 5), ("big", 3), ("big", 2)], "word string, n int"))
+    got = {r["word"]: r["correction"] for r in model.corrections(words(spark, "bog", "bay", "dog", "zzzzzzzz", None, "")).collect()}
+    assert got["bog"] == "dog" and got["bay"] == "day" and "zzzzzzzz" not in got and None not in got and "" not in got
+    sentences = spark.createDataFrame([("a", "The  Bog, is dig."), ("b", "the dog is"), ("c", ""), ("d", None)], "key string, sentence string")
+    replies = {r["key"]: r["reply"] for r in model.corrector()(sentences).collect()}
+    assert replies["a"].startswith("The  Dog,") and replies["b"] is None and replies.get("c") is None and replies.get("d") is None
+    found = correct.check_sentences(sentences, dictionary, None, model.corrector()).collect()
+    assert ("bog", "dog", "llm") in {(c["original"].lower(), c["corrected"].lower(), c["source"]) for r in found if r["key"] == "a" for c in r["corrections"]}
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    """Of swapped words that the fit has not seen, the model restores more than the sound does."""
+    from quillwork.plans import catalogue
+
+    found = catalogue.learned_corrections(spark, sf_dir).withColumn("right", F.col("correction") == F.col("correct"))
+    model = found.agg(F.avg(F.coalesce(F.col("right"), F.lit(False)).cast("double"))).first()[0]
+    known = catalogue.model_dictionary(spark, sf_dir).select("word")
+    numbered = correct.add_words(spark.createDataFrame([], "dict_pos int, word string"), known)
+    sound = correct.phonetic_matches(found.select(F.col("misspelling").alias("word")).distinct(), numbered)
+    met = found.join(sound, found["misspelling"] == sound["word"], "left").agg(F.avg(F.coalesce(F.col("candidate") == F.col("correct"), F.lit(False)).cast("double"))).first()[0]
+    print(f"held out: model {model:.3f}, sound {met:.3f}")
+    assert model > 0.8 and model > met

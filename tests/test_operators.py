@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import registry
 from quillwork.functions.similarity import lcs_bounds, lcs_length
 from quillwork.operators import align, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
-from quillwork.sources import readers, sinks
+from quillwork.sources import readers, sinks, versioned
 
 
 def rows(df, *order):
@@ -83,7 +83,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(df, str(tmp_path / "r"))
     assert json.loads("".join(r[0] for r in spark.read.text(str(tmp_path / "r"), wholetext=True).collect())) == [{"word": "teh", "correction": "the"}]
     sinks.write_cache(df, str(tmp_path / "k"))
-    assert rows(spark.read.parquet(str(tmp_path / "k"))) == [("teh", "the")]
+    assert rows(versioned.read(spark, str(tmp_path / "k"))) == [("teh", "the")]
     sinks.clear(spark, str(tmp_path / "k"))
     assert not (tmp_path / "k").exists()
     assert sinks.export_log(df, str(tmp_path), "2024-01-02").endswith("spelling-log-2024-01-02")

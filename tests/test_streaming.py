@@ -1,11 +1,15 @@
 """Streams equal the finished table, and go on from where they stopped."""
 
+import random
+import re
 import shutil
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from quillwork.plans import catalogue
-from quillwork.streaming import session
+from quillwork.sources import versioned
+from quillwork.streaming import session, typing
 
 
 def key(df, *columns):
@@ -83,4 +87,87 @@ def test_appended_log(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     for _ in range(2):  # what was appended is not appended again
         session.append_log(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/log", f"file://{tmp_path}/state").awaitTermination()
-    assert key(spark.read.parquet(f"file://{tmp_path}/log"), "input", "n") == [("a", 1), ("b", 2)]
+    assert key(versioned.read(spark, f"file://{tmp_path}/log"), "input", "n") == [("a", 1), ("b", 2)]
+
+
+def plain_sentences(pieces, until, pause=60):
+    """What is typed, session by session: pieces (key, second, seq, text)."""
+    by, out = defaultdict(list), []
+    for k, s, q, t in pieces:
+        if t is not None and s <= until:
+            by[k].append((s, q, t))
+    for k, typed in by.items():
+        found, text, last = [], "", None
+        for s, _, t in [*sorted(typed), (None, 0, "")]:
+            if last is not None and (s is None and last + pause < until or s is not None and s - last > pause):
+                found.append(text + "\0")
+                text = ""
+            text, last = text + t, s
+        found.append(text)
+        said = []
+        for run in found:
+            for m in re.finditer(r"[^.!?]*[.!?]|[^.!?]+", run.rstrip("\0")):
+                x = m.group().strip(" \t\n\r\f\v")
+                if (x[-1:] in ".!?" or run.endswith("\0")) and x.strip(".!?"):
+                    said.append((x, x[-1:] in ".!?"))
+        out += [(k, i, x, f) for i, (x, f) in enumerate(said, 1)]
+    return sorted(out)
+
+
+def typed_rows(seed):
+    rng = random.Random(seed)
+    out = []
+    for k in "abc":
+        at = 0
+        for q in range(40):
+            at += rng.choice([0, 1, 1, 2, 5, 70])
+            out.append((k, at, q, rng.choice(["Hello", " wörld", ".", "!", "?!", " ", "a. b", "\n", "...", " x", None])))
+    return [*out, ("a", out[0][1] + 100_000, 0, "the end")]
+
+
+def pieces_of(spark, rows):
+    df = spark.createDataFrame(rows, "key string, at long, seq long, piece string")
+    return df.select("key", F.timestamp_seconds("at").alias("ts"), "seq", "piece")
+
+
+def test_sentences_of_keystrokes(spark, tmp_path):
+    """In any order within a micro-batch, stopped and run on, the stream gives what is typed; and so does the finished table."""
+    rows = sorted((r for r in typed_rows(1)), key=lambda r: r[1])
+    until = rows[-1][1] - 10
+    rng = random.Random(2)
+    cut = [rows[:30], rows[30:70], rows[70:]]
+    source = tmp_path / "in"
+    source.mkdir()
+    seen = []
+    for i, part in enumerate(cut):
+        rng.shuffle(part)
+        pieces_of(spark, part).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        for f in (tmp_path / str(i)).glob("*.parquet"):
+            shutil.copy(f, source / f"{i}-{f.name}")
+        seen += part
+        stream = spark.readStream.schema("key string, ts timestamp, seq long, piece string").parquet(f"file://{source}")
+        found = session.run_available(typing.typed_sentences(stream), f"file://{tmp_path}/run", "append")
+        got = sorted(tuple(r) for r in found.select("key", "number", "sentence", "finished").collect())
+        assert got == plain_sentences(seen, max(r[1] for r in seen) - 10)
+    batch = typing.typed_sentences_batch(pieces_of(spark, rows), F.timestamp_seconds(F.lit(until)))
+    assert sorted(tuple(r) for r in batch.collect()) == got
+    everything = typing.typed_sentences_batch(pieces_of(spark, rows))
+    assert sorted(tuple(r) for r in everything.collect()) == plain_sentences(rows, 10**9)
+
+
+def test_state_is_handed_over(spark, tmp_path):
+    """What one query has learned, another begins with; the two give what one long run gives."""
+    rows = sentences(spark)
+    parts = [rows.filter(c).coalesce(1) for c in ("seq <= 4", "seq > 4")]
+    got = {}
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{tmp_path}/in{i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in{i}")
+        known = session.learned(spark, f"file://{tmp_path}/run0") if i else None
+        if i:
+            assert sorted(tuple(r) for r in known.collect()) == [("a", "teh", "ten"), ("b", "cat", "dog")]
+            known.write.parquet(f"{tmp_path}/kept")
+            known = spark.read.parquet(f"{tmp_path}/kept")
+        found = session.run_available(session.session_answers(stream, known), f"file://{tmp_path}/run{i}", "append")
+        got |= {r["seq"]: (r["corrected"], r["hits"]) for r in found.collect()}
+    assert got == WANTED
