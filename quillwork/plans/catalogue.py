@@ -522,6 +522,32 @@ def corpora(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     return [("typos", typos), ("benchmark", benchmark_pairs(spark, sf_dir)), ("documents", swapped)]
 
 
+@query(rf"""
+WITH r AS (SELECT {WORDS.format("translate(text, 'bdpq', 'dbqp')")} AS a, {WORDS.format('text')} AS b FROM conversations WHERE role = 'user' AND turn % 4 <> 2),
+z AS (SELECT unnest(list_zip(a, b)) AS p FROM r WHERE len(a) = len(b))
+SELECT DISTINCT p[1] AS misspelling, p[2] AS correct FROM z WHERE p[1] <> p[2] AND length(p[1]) >= 3 AND length(p[2]) >= 3 AND abs(length(p[1]) - length(p[2])) <= 3
+  AND NOT list_contains({_list(C.CODE_TERMS)}, p[1]) AND NOT list_contains({_list(C.CODE_TERMS)}, p[2])
+  AND NOT (list_contains({_list(C.MEANING_WORDS)}, p[1]) AND list_contains({_list(C.MEANING_WORDS)}, p[2]))
+  AND NOT ((p[1] || 's' = p[2] OR p[2] || 's' = p[1]) AND length(p[1]) > 4 AND length(p[2]) > 4)""")
+def mined_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as commits, each turn an edit: those of users are typo fixes, some in another language; written as JSON lines and mined."""
+    folder = shared_folder(spark, "commits")
+    lang = F.when(F.col("turn") % 4 == 2, F.lit("fra")).otherwise(F.lit("eng"))
+    edit = F.struct((F.col("role") == "user").alias("is_typo"), F.struct(noised("text").alias("text"), lang.alias("lang")).alias("src"), F.struct(F.col("text"), lang.alias("lang")).alias("tgt"))
+    # One turn a commit: a commit with all turns of a conversation would be one value.
+    _t(spark, sf_dir, "conversations").select(F.array(edit).alias("edits")).write.option("compression", "gzip").json(folder)
+    return pairs.mine_commits(readers.read_typo_commits(spark, folder))
+
+
+@query(f"""
+WITH {BM}, c AS (SELECT generate_subscripts({_list(C.DICTIONARY)}, 1) - 1 AS dict_pos, unnest({_list(C.DICTIONARY)}) AS word),
+n AS (SELECT word, row_number() OVER (ORDER BY word) AS n FROM bm WHERE word NOT IN (SELECT word FROM c))
+SELECT dict_pos::int AS dict_pos, word FROM c UNION ALL SELECT ((SELECT max(dict_pos) FROM c) + n)::int, word FROM n""")
+def extended_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in dictionary with the benchmark's words added behind it."""
+    return dictionary_of(spark, sf_dir)
+
+
 @query(f"WITH {CORPORA} SELECT misspelling, correct, source FROM f")
 def combined_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.combine_corpora(corpora(spark, sf_dir))[0]
@@ -680,6 +706,15 @@ def last_100_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.last_entries(_t(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "ts", "user_id", "event_type")
 
 
+@query("SELECT event_id, round(epoch((SELECT max(ts) FROM events)) - epoch(ts), 3) AS age_seconds FROM events")
+def log_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long before the last event each was."""
+    rows = _t(spark, sf_dir, "events")
+    last = rows.agg(F.max("ts").alias("_last"))
+    aged = log.with_elapsed(rows.crossJoin(F.broadcast(last)), "ts", F.col("_last").cast("timestamp"))
+    return aged.select("event_id", F.round("age_seconds", 3).alias("age_seconds"))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a log entry of one correction; a few kinds of events stand for the sources."""
     kind = F.pmod(F.length("event_type"), F.lit(3))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.functions import registry
+from quillwork.functions import registry, text
 from quillwork.functions.similarity import lcs_bounds, lcs_length
 from quillwork.operators import align, correct, datasets, evaluate, homophones, log, marks, ordering, pairs
 from quillwork.sources import readers, sinks, versioned
@@ -272,3 +272,34 @@ def test_cases_and_clock(spark, tmp_path):
     assert log.with_elapsed(entries).filter("age_seconds > 0").count() == 1
     path = sinks.export_log(spark.range(2), f"file://{tmp_path}/logs")
     assert path.endswith(spark.sql("SELECT date_format(now(), 'yyyy-MM-dd')").first()[0]) and spark.read.json(path).count() == 2
+
+
+def test_speech_of_all_homophones(spark):
+    df = spark.createDataFrame([("Go BY, their way no", ), (None,), ("",)], "s string")
+    got = [r[0] for r in df.select(homophones.speech_scripts("s", [["by", "buy"], ["their", "there", "they're"], ["alone"]], {"by": "near", "there": "that place"})).collect()]
+    assert got == ["Go [pause] BY,. BY means near. Did you mean BUY, as in unknown? [pause] THEIR. THEIR means unknown. Did you mean THERE, as in that place? way no", None, ""]
+
+
+def test_maps(spark):
+    df = spark.createDataFrame([({"a": 1, "b": None},), ({},), (None,)], "m map<string, int>")
+    one = df.select(text.map_get(F.col("m"), F.lit("a"), F.lit(0)), text.map_get(F.col("m"), F.lit("b"), F.lit(7)), text.map_put(F.col("m"), F.lit("a"), F.lit(5)), text.map_delete(F.col("m"), F.lit("a"))).collect()
+    assert [tuple(r) for r in one] == [(1, 7, {"b": None, "a": 5}, {"b": None}), (0, 7, {"a": 5}, {}), (0, 7, None, None)]
+
+
+def test_training_set(spark, tmp_path):
+    rows_of = lambda n, k: spark.createDataFrame([("i", f"{n}{j}", "o") for j in range(k)], "instruction string, input string, output string")
+    found = datasets.training_set([("a", rows_of("x", 13)), ("b", rows_of("y", 7)), ("c", rows_of("x", 0))])
+    datasets.write_training_set(found, str(tmp_path / "set"))
+    got = {s: spark.read.json(f"{tmp_path}/set/{s}").collect() for s in ("train", "eval")}
+    assert {s: len(g) for s, g in got.items()} == {"train": 18, "eval": 2}
+    wanted = {r["row_number"]: r["input"] for r in found.collect()}
+    assert [r["messages"][1]["content"] for r in got["eval"]] == [f"i\n\n{wanted[n]}" for n in (19, 20)]
+
+
+def test_rows_that_share_a_key(spark):
+    """Sentences of one key do not mix; null keys keep their words; repeated rows stay."""
+    rows_ = [("k", "teh cat."), ("k", "Onth of"), (None, "teh end"), (None, None), ("k", "teh cat.")]
+    sentences = spark.createDataFrame(rows_, "key string, sentence string")
+    cache = spark.createDataFrame([("teh", "the"), ("onth", "month")], "word string, correction string")
+    got = sorted((str(r["key"]), str(r["corrected"]), r["cache_hits"]) for r in correct.rewrite_sentences(sentences, cache).collect())
+    assert got == [("None", "None", 0), ("None", "the end", 1), ("k", "month of", 1), ("k", "the cat.", 1), ("k", "the cat.", 1)]

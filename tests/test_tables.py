@@ -1,12 +1,13 @@
 """Tables that change as a whole, sources read in ranges, files with headers of their own."""
 
 import gzip
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.sources import ingest, readers, sinks, versioned
+from quillwork.sources import ingest, readers, shared, sinks, versioned
 from quillwork.sources.headed import HeadedList
 from quillwork.streaming import session
 
@@ -202,3 +203,13 @@ def test_progress_of_streams(spark, tmp_path):
         spark.streams.removeListener(seen)
     assert seen.rows_read(str(query.id)) == 14 and seen.ended == {str(query.id): None}
     assert [e["observed"]["counts"]["n"] for e in seen.entries if e["rows"]] == [7, 7]
+
+
+def test_clear_shared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "_made", set())
+    a, b = shared.shared_table(table(spark, "x"), "one"), shared.shared_folder(spark, "two")
+    assert rows(a) == [("x", 0)] and len(shared._made) == 2
+    folders = [f.removeprefix("file://") for f in shared._made]
+    assert any(os.path.isdir(f) for f in folders) and b in shared._made
+    shared.clear_shared(spark)
+    assert not shared._made and not any(os.path.exists(f) for f in folders)
