@@ -84,6 +84,13 @@ def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return english_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH w AS (SELECT lang, unnest({WORDS.format('text')}) AS word FROM documents) SELECT lang, word, count(*) AS n FROM w GROUP BY ALL")
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every language."""
+    words = _t(spark, sf_dir, "documents").select("lang", F.explode(T.words("text")).alias("word"))
+    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '\s+|\S+') AS ts FROM conversations),
 e AS (SELECT conv_id, turn, generate_subscripts(ts, 1) - 1 AS token_index, unnest(ts) AS token FROM t)

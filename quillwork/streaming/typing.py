@@ -99,7 +99,7 @@ class SentenceAssembly(StatefulProcessor):
 def typed_sentences(stream: DataFrame, delay: str = "10 seconds", pause: float = PAUSE_S) -> DataFrame:
     """key, number (from 1 in each session), sentence, finished, from a stream (key, ts, seq, piece); needs the RocksDB state store.
 
-    Rows later than the delay are dropped, as event time has it; null pieces and times are skipped.
+    Rows at the watermark or before it when they come are dropped as late; null pieces and times are skipped.
     """
     return stream.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(SentenceAssembly(pause), SENTENCES, "append", "EventTime")
 
@@ -125,8 +125,8 @@ def typed_sentences_batch(pieces: DataFrame, until: Column | None = None, pause:
 
 
 def as_typed(turns: DataFrame, key: str = "conv_id", turn: str = "turn", text: str = "text", letters: int = 200, turn_s: int = 3600) -> DataFrame:
-    """Pieces (key, ts, seq, piece) of whole turns, as if typed: so many letters a second, each turn so many seconds after the one before.  Null keys, turns and texts are left out."""
+    """Pieces (key, ts, seq, piece) of whole turns, as if typed: so many letters a second, each turn so many seconds after the one before, turn 0 an hour after the epoch (a stream takes rows at the epoch itself, where watermarks begin, for late).  Null keys, turns and texts are left out."""
     rows = turns.filter(F.col(key).isNotNull() & F.col(turn).isNotNull() & F.col(text).isNotNull())
     pieces = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{letters}}}"), F.lit(0))).alias("_i", "piece")
     at = rows.select(F.col(key).cast("string").alias("key"), F.col(turn).cast("long").alias("_turn"), pieces)
-    return at.select("key", F.timestamp_seconds(F.col("_turn") * turn_s + F.col("_i")).alias("ts"), F.col("_i").cast("long").alias("seq"), "piece")
+    return at.select("key", F.timestamp_seconds((F.col("_turn") + 1) * turn_s + F.col("_i")).alias("ts"), F.col("_i").cast("long").alias("seq"), "piece")
