@@ -177,12 +177,12 @@ def test_model_as_corrector(spark, dictionary):
 
 
 def test_held_out_accuracy(spark, sf_dir):
-    """Of swapped words that the fit has not seen, the model restores more than the sound does."""
+    """Of swapped words that the fit has not seen and the dictionary has, the model restores more than the sound does."""
     from quillwork.plans import catalogue
 
-    found = catalogue.learned_corrections(spark, sf_dir).withColumn("right", F.col("correction") == F.col("correct"))
-    model = found.agg(F.avg(F.coalesce(F.col("right"), F.lit(False)).cast("double"))).first()[0]
     known = catalogue.model_dictionary(spark, sf_dir).select("word")
+    found = catalogue.learned_corrections(spark, sf_dir).join(known.withColumnRenamed("word", "correct"), "correct").cache()
+    model = found.agg(F.avg(F.coalesce(F.col("correction") == F.col("correct"), F.lit(False)).cast("double"))).first()[0]
     numbered = correct.add_words(spark.createDataFrame([], "dict_pos int, word string"), known)
     sound = correct.phonetic_matches(found.select(F.col("misspelling").alias("word")).distinct(), numbered)
     met = found.join(sound, found["misspelling"] == sound["word"], "left").agg(F.avg(F.coalesce(F.col("candidate") == F.col("correct"), F.lit(False)).cast("double"))).first()[0]
