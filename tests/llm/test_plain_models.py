@@ -89,7 +89,7 @@ def test_quality_as_a_whole(spark, monkeypatch):
 
 def test_toxicity_as_a_whole(spark):
     """n-grams by slices of bytes, counts by sets, ratios, errors and the weights by loops."""
-    docs, labels, d, l = fixture(spark, np.random.default_rng(3))
+    docs, labels, d, l = fixture(spark, np.random.default_rng(3), 400)
     model = toxicity.fit_toxicity(d, l)
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, model).collect()}
 
@@ -117,7 +117,7 @@ def test_toxicity_as_a_whole(spark):
         error = math.sqrt(sum(1 / (c + a) for c in (n1, ones - n1, n0, zeros - n0)))
         if n1 + n0 >= toxicity.MIN_DOCS and abs(odds / error) >= toxicity.MIN_Z:
             kept[g] = math.log(p / q)
-    assert sorted(kept) == sorted(model.ids.tolist()) and len(kept) > 20
+    assert len(kept) > 5 and (len(kept), sorted(set(kept) ^ set(model.ids.tolist()))) == (len(model.ids), [])
     names = sorted(kept)
     x = {i: np.array([kept[g] * (g in of[i]) for g in names] + [1.0]) for i, _ in docs}
     share = {1: 0.5 / ones / (0.5 / ones * ones + 0.5 * (zeros / ones) / zeros * zeros), 0: 0.5 * (zeros / ones) / zeros / (0.5 / ones * ones + 0.5 * (zeros / ones) / zeros * zeros)}
