@@ -185,12 +185,15 @@ def confidence(found):
 
 
 def test_phonetic_index_and_match(spark, sf_dir, known):
-    codes = metaphone(C.DICTIONARY)
+    (text,) = duckdb.sql(f"SELECT string_agg(lower(text), ' ') FROM '{sf_dir}/documents.parquet'").fetchall()[0]
+    added = sorted({w for w in re.findall(r"\w+", text) if re.fullmatch("[a-z]+", w)} - set(known))
     index = {}
-    for w in dict.fromkeys(C.DICTIONARY):
-        for c in codes[w]:
+    for w, cs in metaphone([*known, *added]).items():
+        for c in cs:
             index.setdefault(c, []).append(w)
-    assert {r["code"]: r["words"] for r in catalogue.queries()["phonetic_index"](spark, sf_dir).collect()} == index
+    order = {w: i for i, w in enumerate([*known, *added])}
+    wanted = {c: (len(ws), min(ws, key=order.get)) for c, ws in index.items()}
+    assert {r["code"]: (r["n_words"], r["first_word"]) for r in catalogue.queries()["phonetic_index"](spark, sf_dir).collect()} == wanted
     rows = {r["word"]: r for r in catalogue.queries()["phonetic_match"](spark, sf_dir).collect()}
     unknown = [r["word"] for r in catalogue.queries()["unknown_words"](spark, sf_dir).select("word").collect()]
     codes, own, seen = metaphone(known), metaphone(unknown), 0
