@@ -9,17 +9,17 @@ with the corrections known before it, then the row's correction of its word is
 remembered, the latest replacing those before.
 
 A session's rows of one micro-batch are sorted in its task: bound a micro-batch by the
-source's maxFilesPerTrigger.
+source's maxFilesPerTrigger.  Each read or write of keyed state is a call to the JVM, so a
+micro-batch reads and writes each of a session's words once, however often it comes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +31,34 @@ ANSWERS = "key string, ts timestamp, seq long, corrected string, hits int"
 LOG = "key string, entries array<struct<ts: timestamp, seq: long, text: string, corrected: string>>"
 #: Log entries that a session keeps.
 KEPT = 100
+_Totals, _Answer, _Entry, _Log = Row("key", "n_rows", "n_skipped", "n_hits", "n_misses"), Row("key", "ts", "seq", "corrected", "hits"), Row("ts", "seq", "text", "corrected"), Row("key", "entries")
+
+
+def _nulls_last(*values: Any) -> tuple:
+    return tuple((v is None, 0 if v is None else v) for v in values)
+
+
+class _Words:
+    """A map state (word to one value) during a micro-batch: a word is read when it is first asked for, and written at the end if it was put."""
+
+    def __init__(self, state: Any):
+        self.state, self.held, self.new = state, {}, set()
+        # Of a session without words nothing has to be asked.
+        self.read: Callable[[tuple], tuple | None] = state.getValue if state.exists() else lambda _: None
+
+    def get(self, word: str) -> Any:
+        if word not in self.held:
+            found = self.read((word,))
+            self.held[word] = None if found is None else found[0]
+        return self.held[word]
+
+    def put(self, word: str, value: Any) -> None:
+        self.held[word] = value
+        self.new.add(word)
+
+    def write(self) -> None:
+        for word in sorted(self.new):
+            self.state.updateValue((word,), (self.held[word],))
 
 
 class SessionCache(StatefulProcessor):
@@ -39,65 +67,68 @@ class SessionCache(StatefulProcessor):
         self.last = handle.getValueState("last", "text string")
         self.totals = handle.getValueState("totals", "n_rows long, n_skipped long, n_hits long, n_misses long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         n, skipped, hits, misses = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
         last = self.last.get()[0] if self.last.exists() else None
+        seen = _Words(self.seen)
         # A micro-batch's rows of a key come unordered.
-        for text in pd.concat(list(rows)).sort_values(["ts", "text"])["text"]:
+        for _, text in sorted(((r["ts"], r["text"]) for r in rows), key=lambda r: _nulls_last(*r)):
             n += 1
             if text is None or not text.strip() or text == last:
                 skipped += 1
                 continue
             last = text
             for word in text.lower().split():
-                if self.seen.containsKey((word,)):
-                    hits += 1
-                    self.seen.updateValue((word,), (self.seen.getValue((word,))[0] + 1,))
-                else:
+                before = seen.get(word)
+                if before is None:
                     misses += 1
-                    self.seen.updateValue((word,), (1,))
+                else:
+                    hits += 1
+                seen.put(word, (before or 0) + 1)
+        seen.write()
         self.totals.update((n, skipped, hits, misses))
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame({"key": [key[0]], "n_rows": [n], "n_skipped": [skipped], "n_hits": [hits], "n_misses": [misses]})
+        yield _Totals(key[0], n, skipped, hits, misses)
 
     def close(self) -> None:
         pass
 
 
 class SessionCorrections(StatefulProcessor):
-    """Answers each sentence, or with log=True gives the session's log, its last KEPT answers, after each micro-batch."""
+    """Answers each sentence, or with log=True keeps the session's log, its last KEPT answers, and gives it after each micro-batch."""
 
     def __init__(self, log: bool = False):
         self.gives_log = log
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cache = handle.getMapState("cache", "word string", "correction string")
-        self.log = handle.getListState("log", "ts timestamp, seq long, text string, corrected string")
+        if self.gives_log:
+            self.log = handle.getListState("log", "ts timestamp, seq long, text string, corrected string")
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        for r in initialState.itertuples():
-            self.cache.updateValue((r.word,), (r.correction,))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self.cache.updateValue((initialState["word"],), (initialState["correction"],))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        entries = [tuple(x) for x in self.log.get()] if self.log.exists() else []
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         told: list[tuple] = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            words = (r.text or "").split()
-            new = [self.cache.getValue((w.lower(),))[0] if self.cache.containsKey((w.lower(),)) else None for w in words]
+        cache = _Words(self.cache)
+        for ts, seq, text, learns, correction in sorted(((r["ts"], r["seq"], r["text"], r["word"], r["correction"]) for r in rows), key=lambda r: _nulls_last(*r[:2])):
+            words = (text or "").split()
+            new = [cache.get(w.lower()) for w in words]
             hits = sum(c is not None for c in new)
-            corrected = " ".join(w if c is None else c for w, c in zip(words, new, strict=True)) if hits else r.text
-            told.append((key[0], r.ts, r.seq, corrected, hits))
-            entries.append((r.ts.to_pydatetime(), r.seq, r.text, corrected))
-            if r.word is not None and r.correction is not None:
-                self.cache.updateValue((r.word.lower(),), (r.correction,))
-        entries = entries[-KEPT:]
+            corrected = " ".join(w if c is None else c for w, c in zip(words, new, strict=True)) if hits else text
+            told.append((ts, seq, text, corrected, hits))
+            if learns is not None and correction is not None:
+                cache.put(learns.lower(), correction)
+        cache.write()
+        if not self.gives_log:
+            yield from (_Answer(key[0], ts, seq, corrected, hits) for ts, seq, _, corrected, hits in told)
+            return
+        fresh = [t[:4] for t in told[-KEPT:]]
+        held = [tuple(x) for x in self.log.get()] if len(fresh) < KEPT and self.log.exists() else []
+        entries = (held + fresh)[-KEPT:]
         self.log.put(entries)
-        if self.gives_log:
-            names = ("ts", "seq", "text", "corrected")
-            yield pd.DataFrame({"key": [key[0]], "entries": [[dict(zip(names, e, strict=True)) for e in entries]]})
-        else:
-            yield pd.DataFrame(told, columns=["key", "ts", "seq", "corrected", "hits"])
+        yield _Log(key[0], [_Entry(*e) for e in entries])
 
     def close(self) -> None:
         pass
@@ -105,7 +136,7 @@ class SessionCorrections(StatefulProcessor):
 
 def session_totals(stream: DataFrame) -> DataFrame:
     """Running totals of each session; needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(SessionCache(), OUTPUT, "update", "none")
+    return stream.groupBy("key").transformWithState(SessionCache(), OUTPUT, "update", "none")
 
 
 def session_answers(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -115,12 +146,12 @@ def session_answers(stream: DataFrame, known: DataFrame | None = None) -> DataFr
     another query; words that differ in case are one, of which any counts.
     """
     first = known.select("key", F.lower("word").alias("word"), "correction").groupBy("key") if known is not None else None
-    return stream.groupBy("key").transformWithStateInPandas(SessionCorrections(), ANSWERS, "append", "none", first)
+    return stream.groupBy("key").transformWithState(SessionCorrections(), ANSWERS, "append", "none", first)
 
 
 def session_logs(stream: DataFrame) -> DataFrame:
     """key, entries: a session's log after each micro-batch that it has rows in; needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(SessionCorrections(log=True), LOG, "update", "none")
+    return stream.groupBy("key").transformWithState(SessionCorrections(log=True), LOG, "update", "none")
 
 
 @contextmanager

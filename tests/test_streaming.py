@@ -5,6 +5,7 @@ import re
 import shutil
 from collections import defaultdict
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillwork.plans import catalogue
@@ -171,3 +172,45 @@ def test_state_is_handed_over(spark, tmp_path):
         found = session.run_available(session.session_answers(stream, known), f"file://{tmp_path}/run{i}", "append")
         got |= {r["seq"]: (r["corrected"], r["hits"]) for r in found.collect()}
     assert got == WANTED
+
+
+class CountedState:
+    """A state variable of one key in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.value, self.calls = {}, None, 0
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.held) or self.value is not None
+
+    def containsKey(self, k):
+        self.calls += 1
+        return k in self.held
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.held.get(k)
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.held[k] = v
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def test_state_is_called_once_a_word_and_micro_batch():
+    """However many rows a session has."""
+    answers, totals = session.SessionCorrections(), session.SessionCache()
+    answers.cache = CountedState()
+    totals.seen, totals.totals, totals.last = CountedState(), CountedState(), CountedState()
+    for batch in (0, 1):
+        rows = [Row(key="a", ts=batch * 1000 + i, seq=i, text=f"teh cat {i % 2}", word="teh", correction=f"the{i}") for i in range(1000)]
+        told = list(answers.handleInputRows(("a",), iter(rows[::-1]), None))
+        assert [r["corrected"] for r in told[:2]] == [["teh", "the999"][batch] + " cat 0", "the0 cat 1"] and len(told) == 1000
+        assert list(totals.handleInputRows(("a",), iter(rows[::-1]), None)) == [Row(key="a", n_rows=1000 * (batch + 1), n_skipped=0, n_hits=3000 * (batch + 1) - 4, n_misses=4)]
+    assert answers.cache.calls < 20 and totals.seen.calls < 20
