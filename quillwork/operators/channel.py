@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import inf, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,72 @@ def expected(channel: Channel, misspelling: str, correct: str) -> Counter:
     return found
 
 
+#: Cells of the sums that are worked out at once.
+CELLS = 1 << 19
+
+
+def expected_sums(channel: Channel, pairs: list[tuple[str, str, float]]) -> Counter:
+    """The sum of `expected` over pairs (misspelling, correct, n), n times each: pairs of equal lengths go through the same steps together."""
+    found: Counter = Counter()
+    by: dict[tuple[int, int], list[tuple[str, str, float]]] = defaultdict(list)
+    for p in pairs:
+        by[len(p[1]), len(p[0])].append(p)
+    for (n, m), group in by.items():
+        at_once = max(1, CELLS // ((n + 1) * (m + 1)))
+        for k in range(0, len(group), at_once):
+            found.update(_sums_of_lengths(channel, n, m, group[k : k + at_once]))
+    return found
+
+
+def _sums_of_lengths(channel: Channel, n: int, m: int, pairs: list[tuple[str, str, float]]) -> dict[tuple[str, str], float]:
+    letters = sorted({x for p in pairs for x in p[0] + p[1]})
+    at, stop = {x: i for i, x in enumerate(letters)}, channel.stop
+    typed = np.full((len(letters), len(letters) + 1), UNSEEN)  # the last column: left out
+    for a, i in at.items():
+        if a not in channel.typed:
+            typed[i, i] = channel.of(a, a)
+        for b, x in channel.typed.get(a, {}).items():
+            if b in at or b == _OUT:
+                typed[i, at.get(b, -1)] = x
+    c = np.array([[at[x] for x in p[1]] for p in pairs], np.int64).T
+    b = np.array([[at[x] for x in p[0]] for p in pairs], np.int64).T
+    keep = typed[c[:, None], b[None]] * stop
+    out, slip = typed[c, -1] * stop, np.array([channel.slip(x) for x in letters])[b]
+    ahead, back = np.zeros((2, n + 1, m + 1, len(pairs)))
+    for i in range(n + 1):
+        for j in range(m + 1):
+            x = ahead[i, j]
+            if not i and not j:
+                x += 1
+            if j:
+                x += ahead[i, j - 1] * slip[j - 1]
+            if i:
+                x += ahead[i - 1, j] * out[i - 1]
+                if j:
+                    x += ahead[i - 1, j - 1] * keep[i - 1, j - 1]
+    for i in range(n, -1, -1):
+        for j in range(m, -1, -1):
+            x = back[i, j]
+            if i == n and j == m:
+                x += stop
+            if j < m:
+                x += slip[j] * back[i, j + 1]
+            if i < n:
+                x += out[i] * back[i + 1, j]
+                if j < m:
+                    x += keep[i, j] * back[i + 1, j + 1]
+    total, times = back[0, 0], np.array([p[2] for p in pairs], float)
+    ahead *= np.divide(times, total, out=np.zeros(len(pairs)), where=total > 0)
+    slips = np.bincount(b.ravel(), (ahead[:, :-1] * slip * back[:, 1:]).sum(0).ravel(), len(letters))
+    outs = np.bincount(c.ravel(), (ahead[:-1] * out[:, None] * back[1:]).sum(1).ravel(), len(letters))
+    keeps = np.bincount((c[:, None] * len(letters) + b[None]).ravel(), (ahead[:-1, :-1] * keep * back[1:, 1:]).ravel(), len(letters) ** 2)
+    found = {(_SLIP, letters[i]): float(slips[i]) for i in np.flatnonzero(slips)} | {(letters[i], _OUT): float(outs[i]) for i in np.flatnonzero(outs)}
+    found |= {(letters[i // len(letters)], letters[i % len(letters)]): float(keeps[i]) for i in np.flatnonzero(keeps)}
+    if (total > 0).any():
+        found[_STOP, ""] = float((n + 1.0) * times[total > 0].sum())
+    return found
+
+
 def fit_channel(pairs: DataFrame, steps: int = STEPS) -> Channel:
     """From pairs (misspelling, correct) and, if there is such a column, n, how often each occurs; lower case.  Null and empty words take no part.
 
@@ -109,9 +176,7 @@ def fit_channel(pairs: DataFrame, steps: int = STEPS) -> Channel:
         def count(batches: Iterator[pa.RecordBatch], channel: Channel = channel) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
             for b in batches:
-                for m, c, k in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    for op, x in expected(channel, m, c).items():
-                        total[op] += x * k
+                total.update(expected_sums(channel, list(zip(*(x.to_pylist() for x in b.columns), strict=True))))
             keys = sorted(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.float64())], ["a", "b", "x"])
 
@@ -137,6 +202,12 @@ class Trie:
         self.channel, self.kids, self.word = channel, [{}], [None]
         self.meant: list[float] = [inf]
         self.least: list[float] = [inf]
+        #: Below each node: a bit for each letter, and the fewest letters to a word's end.
+        self.bits: dict[str, int] = {c: 1 << i for i, c in enumerate(sorted({c for w in words for c in w}))}
+        self.below: list[int] = [0]
+        self.near: list[float] = [inf]
+        self._costs: dict[str, dict[str, float]] = {c: {} for c in self.bits}
+        self._outs = {c: -log(channel.stop) - log(channel.of(c, _OUT)) for c in self.bits}
         for w, n in sorted(words.items()):
             cost, at, way = -log(n / total), 0, [0]
             for c in w:
@@ -146,43 +217,118 @@ class Trie:
                     self.word.append(None)
                     self.meant.append(inf)
                     self.least.append(inf)
+                    self.below.append(0)
+                    self.near.append(inf)
                 at = self.kids[at][c]
                 way.append(at)
             self.word[at], self.meant[at] = w, cost
             for x in way:
                 self.least[x] = min(self.least[x], cost)
+            letters = 0
+            for i in range(len(w), -1, -1):
+                x = way[i]
+                self.below[x] |= letters
+                self.near[x] = min(self.near[x], len(w) - i)
+                letters |= self.bits[w[i - 1]] if i else 0
+
+    def _cost(self, a: str, b: str) -> float:
+        known = self._costs[a]
+        if b not in known:
+            known[b] = -log(self.channel.stop) - log(self.channel.of(a, b))
+        return known[b]
 
     def best(self, word: str, cutoff: float = CUTOFF) -> tuple[str, float] | None:
         """The cheapest word other than this one and its cost, the first by the alphabet of equals; None if it costs more than cutoff for each letter.
 
-        Best first: a node's bound is the cheapest cell of its row and the cheapest word below it.
+        Best first: a cell's bound is what it costs, the cheapest word below its node, and the
+        least that the letters still to be typed can cost with the letters below, each of which
+        is one of the few that are often typed so, or costs more.  Cells beyond the limit are
+        left out; a row is where it begins and its cells.  The word of the likeliest letters, if
+        there is one, is the first limit.
         """
-        stop = -log(self.channel.stop)
+        n, stop, letters = len(word), -log(self.channel.stop), [*self.bits]
         slip = [-log(self.channel.slip(b)) for b in word]
+        limit, answer, slack = cutoff * n, None, 1e-9  # slack: sums in another order
+        by: dict[str, tuple[float, int, float]] = {}
+        for b, x in zip(word, slip, strict=True):
+            if b not in by:
+                costs = {c: self._cost(c, b) for c in letters}
+                low = min(costs.values(), default=inf)
+                often = {c for c, y in costs.items() if y <= low + 2}
+                by[b] = min(low, x), sum(self.bits[c] for c in often), min([y for c, y in costs.items() if c not in often], default=inf)
+        typed = [(low, often, min(x, high)) for (low, often, high), x in zip((by[b] for b in word), slip, strict=True)]
+        least_out = min(self._outs.values(), default=0.0)
+        keeps = {c: [self._cost(c, b) for b in word] for c in letters}
+        rests: dict[int, list[float]] = {}
+
+        def rest(below: int) -> list[float]:
+            found = rests.get(below)
+            if found is None:
+                found = [stop]
+                for low, often, high in reversed(typed):
+                    found.append(found[-1] + (low if below & often else high))
+                found.reverse()
+                rests[below] = found
+            return found
+
+        def step(start: int, row: list[float], c: str, most: float, after: list[float], near: float) -> tuple[int, list[float], float]:
+            """The next row's beginning and cells under a bound, and their least bound."""
+            keep, out, end = keeps[c], self._outs[c], start + len(row)
+            cells, first, bound, left = [], start, inf, inf
+            for j in range(start, n + 1):
+                x = left + slip[j - 1] if left < inf else inf
+                if j < end and row[j - start] + out < x:
+                    x = row[j - start] + out
+                if start < j <= end and row[j - 1 - start] + keep[j - 1] < x:
+                    x = row[j - 1 - start] + keep[j - 1]
+                full = x + after[j]
+                if near > n - j:
+                    full += (near - n + j) * least_out
+                if full > most:
+                    x = inf
+                    if not cells:
+                        first = j + 1
+                        left = inf
+                        if j > end:
+                            break
+                        continue
+                    if j > end:
+                        break
+                elif full < bound:
+                    bound = full
+                cells.append(x)
+                left = x
+            return first, cells, bound
+
+        likely = "".join(min(letters, key=lambda c, b=b: self._cost(c, b), default="") for b in word)
+        if likely != word:
+            node, start, row = 0, 0, [0.0]
+            for x in slip:
+                row.append(row[-1] + x)
+            for c in likely:
+                node = self.kids[node].get(c, -1)
+                if node < 0:
+                    break
+                start, row, _ = step(start, row, c, inf, [0.0] * (n + 1), 0)
+            if node > 0 and self.word[node] is not None and row[-1] + stop + self.meant[node] <= limit:
+                limit, answer = row[-1] + stop + self.meant[node], self.word[node]
         row = [0.0]
         for x in slip:
             row.append(row[-1] + x)
-        limit, answer = cutoff * len(word), None
-        heap = [(min(row) + self.least[0], 0, row)]
-        costs: dict[str, tuple[list[float], float]] = {}
+        heap = [(0.0, 0, 0, row)]
         while heap:
-            bound, node, row = heapq.heappop(heap)
-            if bound > limit:
+            bound, node, start, row = heapq.heappop(heap)
+            if bound > limit + slack:
                 break
-            if self.word[node] is not None and self.word[node] != word:
+            if self.word[node] is not None and self.word[node] != word and start + len(row) == n + 1:
                 cost = row[-1] + stop + self.meant[node]
                 if cost < limit or cost == limit and (answer is None or self.word[node] < answer):
                     limit, answer = cost, self.word[node]
             for c, kid in self.kids[node].items():
-                if c not in costs:
-                    costs[c] = [stop - log(self.channel.of(c, b)) for b in word], stop - log(self.channel.of(c, _OUT))
-                keep, out = costs[c]
-                new = [row[0] + out]
-                for j, b in enumerate(keep):
-                    new.append(min(row[j] + b, row[j + 1] + out, new[j] + slip[j]))
-                bound = min(new) + self.least[kid]
-                if bound <= limit:
-                    heapq.heappush(heap, (bound, kid, new))
+                least = self.least[kid]
+                first, cells, bound = step(start, row, c, limit + slack - least, rest(self.below[kid]), self.near[kid])
+                if cells:
+                    heapq.heappush(heap, (bound + least, kid, first, cells))
         return None if answer is None else (answer, limit)
 
 

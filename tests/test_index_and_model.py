@@ -188,3 +188,38 @@ def test_held_out_accuracy(spark, sf_dir):
     met = found.join(sound, found["misspelling"] == sound["word"], "left").agg(F.avg(F.coalesce(F.col("candidate") == F.col("correct"), F.lit(False)).cast("double"))).first()[0]
     print(f"held out: model {model:.3f}, sound {met:.3f}")
     assert model > 0.8 and model > met
+
+
+def test_sums_over_many_pairs_are_those_of_each():
+    pairs = [("teh", "the", 2.0), ("hte", "the", 1.0), ("a", "the", 3.0), ("théé", "the", 1.0), ("q" * 90, "p" * 70, 1.0)]
+    seen = N.Channel({"t": {"t": 0.8, "h": 0.1, "": 0.1}}, {"e": 0.05}, 0.8)
+    for known in (N.Channel(), seen):
+        wanted = Counter()
+        for m, c, n in pairs:
+            for op, x in N.expected(known, m, c).items():
+                wanted[op] += x * n
+        got = N.expected_sums(known, pairs)
+        assert all(abs(got[op] - x) <= 1e-9 * max(1.0, x) for op, x in wanted.items()) and set(got) <= set(wanted)
+
+
+def test_search_makes_few_rows():
+    """Words whose letters differ are left by what lies below them: 3,125 words of one beginning, of which one is near."""
+    rare = ["abc" + "".join(p) for p in product("fghij", repeat=5)]
+    typed = {x: {x: 1.0} for x in "abcdefghij"} | {"e": {"d": 1.0}}
+    trie = N.Trie({w: 1.0 for w in [*rare, "abceeeee"]}, N.Channel(typed, {}, 1.0))
+    rows, pop = [0], N.heapq.heappush
+
+    class Counting:
+        heappop = staticmethod(N.heapq.heappop)
+
+        @staticmethod
+        def heappush(heap, entry):
+            rows[0] += 1
+            pop(heap, entry)
+
+    before, N.heapq = N.heapq, Counting
+    try:
+        assert trie.best("abcddddd")[0] == "abceeeee"
+    finally:
+        N.heapq = before
+    assert rows[0] < 20
