@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +81,18 @@ def strip_punctuation(word: Column | str) -> Column:
     return F.regexp_replace(_col(word), f"^[^{_ANY}]+|[^{_ANY}]+$", "")
 
 
-def match_case(original: Column | str, corrected: Column | str) -> Column:
+def upper_by_letter(text: Column | str) -> Column:
+    """Upper case, a letter for each letter, as SQL has it: the sharp s has a capital of its own, letters without one stay."""
+    t = F.translate(_col(text), "ß", "ẞ")
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
+    return F.when(t.rlike(r"^[\x00-\x7F]*$"), F.upper(t)).otherwise(F.array_join(F.transform(F.split(t, ""), one), ""))
+
+
+def match_case(original: Column | str, corrected: Column | str, upper: Callable[[Column], Column] = F.upper) -> Column:
     """All upper as the original; or its first letter upper; or as it is."""
     o, c = _col(original), _col(corrected)
     first = F.substring(o, 1, 1)
-    return F.when(o == F.upper(o), F.upper(c)).when(first == F.upper(first), F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))).otherwise(c)
+    return F.when(o == upper(o), upper(c)).when(first == upper(first), F.concat(upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))).otherwise(c)
 
 
 def preserve_case(original: Column | str, corrected: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,13 @@ def once(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def sentence_changes(rows: DataFrame, *keys: str, original: str = "original", corrected: str = "corrected") -> DataFrame:
+def sentence_changes(rows: DataFrame, *keys: str, original: str = "original", corrected: str = "corrected", upper: Callable[[Column], Column] = F.upper) -> DataFrame:
     """keys, i (the word's place, from 0), original, corrected: the changed words of each row.
 
     Each word looks two places to either side for the most similar corrected word,
     the same place counting a tenth more, the first of equals winning; similarity must
     pass 0.3.  Sentences whose word counts differ by more than three have no changes.
+    The case of what is shown is matched by `upper`.
     """
     split = once(rows, *keys, _a=split_words_keeping_empty(original), _b=F.transform(split_words_keeping_empty(strip_reply_prefix(corrected)), clean_ends))
     near_enough = split.filter(F.abs(F.size("_a") - F.size("_b")) <= GUARD)
@@ -39,4 +42,4 @@ def sentence_changes(rows: DataFrame, *keys: str, original: str = "original", co
     take = lambda acc, x: F.when(x["s"] + x["bonus"] > acc["score"], F.struct((x["s"] + x["bonus"]).alias("score"), x["w"].alias("w"))).otherwise(acc)
     best = F.aggregate(F.filter("_found", lambda x: (x["w"] != "") & (x["s"] > LEAST)), start_at, take)["w"]
     found = once(scored, *keys, "i", "_clean", "_shown", _best=best).filter(F.col("_best").isNotNull() & (F.col("_best") != F.col("_clean")))
-    return found.select(*keys, "i", F.col("_shown").alias("original"), match_case("_shown", "_best").alias("corrected"))
+    return found.select(*keys, "i", F.col("_shown").alias("original"), match_case("_shown", "_best", upper).alias("corrected"))

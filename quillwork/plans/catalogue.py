@@ -288,7 +288,7 @@ d AS (SELECT conv_id, turn, i, regexp_extract(o, '[a-zA-Z'',]+') AS original, cc
 SELECT conv_id, turn, original, CASE WHEN original = upper(original) THEN upper(cc) WHEN original[1] = upper(original[1]) THEN upper(cc[1]) || cc[2:] ELSE cc END AS corrected,
        count(*) AS n FROM d WHERE original <> '' GROUP BY ALL""")
 def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.sentence_changes(sentence_pairs(spark, sf_dir), "conv_id", "turn")
+    found = align.sentence_changes(sentence_pairs(spark, sf_dir), "conv_id", "turn", upper=T.upper_by_letter)
     return found.groupBy("conv_id", "turn", "original", "corrected").agg(F.count(F.lit(1)).alias("n"))
 
 

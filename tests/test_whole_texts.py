@@ -75,6 +75,17 @@ def test_sentence_diff(spark, sf_dir, turns):
     assert got(spark, sf_dir, "sentence_diff", "conv_id", "turn", "original", "corrected", "n") == Counter((*k, n) for k, n in wanted.items())
 
 
+def test_sentence_diff_of_sharp_s_equals_sql(spark, tmp_path):
+    texts = ["Schge enge iegeung SSßpf zukeitein chver", "Süß Fuß Maß Füßé die groß und bßße", "SSßbe das ungscher lichie üst", "ŉb ŉbb ŉbd ŉpp ŉpd B'"]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = ("conv_id", "turn", "original", "corrected", "n")
+    wanted = Counter(db.sql(catalogue.oracle_sql()["sentence_diff"]).select(*columns).fetchall())
+    assert any("ẞ" in r[3] for r in wanted)
+    assert got(spark, str(tmp_path), "sentence_diff", *columns) == wanted
+
+
 def test_reply_cleaning(spark, sf_dir, turns):
     wanted = Counter()
     for conv, turn, text in turns:
