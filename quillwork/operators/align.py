@@ -12,6 +12,8 @@ from quillwork.functions.text import clean_ends, match_case, split_words_keeping
 from quillwork.sources.constants import VALID_WORDS
 
 DRIFT, LEAST, SAME_PLACE, GUARD = 2, 0.3, 0.1, 3
+#: Up to so many letters no other word beats an equal one beside it: one edit in nine or more must cost a tenth at most.
+SHORT = 8
 
 
 def once(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
@@ -37,6 +39,9 @@ def sentence_changes(rows: DataFrame, *keys: str, original: str = "original", co
     words = near_enough.select(*keys, F.posexplode(F.transform("_a", beside)).alias("i", "_w"))
     words = once(words, *keys, "i", _clean=clean_ends("_w.word"), _shown=F.regexp_extract("_w.word", "[a-zA-Z',]+", 0), _start=F.col("_w.start"), _near=F.col("_w.near"))
     words = words.filter((F.length("_clean") >= 2) & ~F.col("_clean").isin(VALID_WORDS) & (F.col("_shown") != ""))
+    # Most words are as they were: an equal one in the same place wins, and so does one beside it if it is short.
+    here = F.coalesce(F.get("_near", F.col("i") - F.col("_start")) == F.col("_clean"), F.lit(False))
+    words = words.filter(~here & ~((F.length("_clean") <= SHORT) & F.array_contains("_near", F.col("_clean"))))
     scored = once(words, *keys, "i", "_clean", "_shown", _found=F.transform("_near", lambda w, k: F.struct(edit_similarity(F.col("_clean"), w).alias("s"), F.when(F.col("_start") + k == F.col("i"), F.lit(SAME_PLACE)).otherwise(F.lit(0.0)).alias("bonus"), w.alias("w"))))
     start_at = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("w"))
     take = lambda acc, x: F.when(x["s"] + x["bonus"] > acc["score"], F.struct((x["s"] + x["bonus"]).alias("score"), x["w"].alias("w"))).otherwise(acc)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillwork.functions.phonetic import double_metaphone
 from quillwork.functions.similarity import blended_score, lcs_bounds, lcs_length
 from quillwork.functions.text import any_case, apply_changes, clean, keep_punctuation, letters_only, parse_changes, split_words, sums_before, tokens_with_separators
-from quillwork.operators.align import sentence_changes
+from quillwork.operators.align import once, sentence_changes
 from quillwork.operators.ordering import with_row_number
 from quillwork.sources.constants import VALID_WORDS
 from quillwork.sources.shared import shared_table
@@ -111,12 +111,15 @@ def check_sentences(sentences: DataFrame, dictionary: DataFrame, cache: DataFram
     with the original, and changes of words not corrected yet are added at their first
     occurrence.  source tells which of cache, phonetic and llm decided.
     """
-    asked = tokens(sentences).withColumn("word", clean("token")).filter((F.length("word") >= 2) & ~F.col("word").isin(VALID_WORDS))
-    if cache is not None:
-        asked = asked.join(cache.select("word", F.col("correction").alias("_cached")), "word", "left")
-    else:
-        asked = asked.withColumn("_cached", F.lit(None).cast("string"))
-    open_words = asked.filter("_cached IS NULL").select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
+
+    def looked_up(tokens: DataFrame) -> DataFrame:
+        words = tokens.withColumn("word", clean("token")).filter((F.length("word") >= 2) & ~F.col("word").isin(VALID_WORDS))
+        return words.withColumn("_cached", F.lit(None).cast("string")) if cache is None else words.join(cache.select("word", F.col("correction").alias("_cached")), "word", "left")
+
+    asked = looked_up(tokens(sentences))
+    # Words alone need no places; read twice, worked out once.
+    alone = looked_up(sentences.select(F.explode(tokens_with_separators("sentence")).alias("token")).distinct())
+    open_words = shared_table(alone.filter("_cached IS NULL").select("word").distinct().join(dictionary.select("word"), "word", "left_anti"), "open-words")
     matches = phonetic_matches(open_words, dictionary).select("word", F.when(F.col("confidence") > ACCEPT, F.col("best_match")).alias("_sound"))
     unknown = open_words.join(matches, "word", "left").withColumn("_unknown", F.lit(True))
     told = asked.join(unknown, "word", "left").withColumn("corrected", F.coalesce("_cached", "_sound"))
@@ -131,13 +134,17 @@ def check_sentences(sentences: DataFrame, dictionary: DataFrame, cache: DataFram
     found = shared_table(found, "checked")
     replies = corrector(found.filter("_ask").select("key", "sentence"))
     told = found.filter("_ask").join(replies.filter("reply IS NOT NULL"), "key")
-    more = sentence_changes(told, "key", "sentence", "corrections", original="sentence", corrected="reply").withColumn("_name", F.lower("original"))
-    have = F.transform("corrections", lambda c: c["original"])
+    # Lower-casing leaves letters up to U+00FF in their places, and none of them but a-z and A-Z is found by a-z.
+    low = F.when(F.col("sentence").rlike(r"^[\x00-\xFF]*$"), F.lower("sentence"))
+    told = once(told, "key", "sentence", "reply", _low=low, _have=F.transform("corrections", lambda c: c["original"]))
+    more = sentence_changes(told, "key", "sentence", "_low", "_have", original="sentence", corrected="reply")
+    more = more.withColumn("_name", F.lower("original")).filter(~F.array_contains("_have", F.col("_name")))
     parts = F.split("sentence", any_case(F.col("_name")), 2)
-    more = more.filter((F.size(parts) == 2) & ~F.array_contains(have, F.col("_name"))).withColumn("position", F.length(F.get(parts, F.lit(0))))
+    place = F.when(F.col("_low").isNotNull(), F.position(F.col("_name"), F.col("_low")) - 1).when(F.size(parts) == 2, F.length(F.get(parts, F.lit(0)))).otherwise(-1)
+    more = once(more, "key", "i", "original", "corrected", "_name", position=place).filter("position >= 0")
     # Of equal words the first counts.
-    once = more.groupBy("key", "_name").agg(F.min(F.struct("i", "position", "original", "corrected")).alias("m"))
-    fresh = once.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("_more"))
+    first = more.groupBy("key", "_name").agg(F.min(F.struct("i", "position", "original", "corrected")).alias("m"))
+    fresh = first.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("_more"))
     added = F.transform("_more", lambda m: F.struct(m["position"].alias("position"), m["original"].alias("original"), m["corrected"].alias("corrected"), F.lit("llm").alias("source")))
     return found.join(fresh, "key", "left").select("key", F.when(F.col("_more").isNotNull(), F.concat("corrections", added)).otherwise(F.col("corrections")).alias("corrections"))
 

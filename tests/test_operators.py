@@ -175,6 +175,21 @@ def test_hybrid_check(spark):
     assert [c["original"] for c in plain] == ["freind", "becuase"]
 
 
+def test_places_of_model_changes_in_any_script(spark):
+    # Latin letters are found by place, others by a pattern: İ is two letters when lower-cased, the long s is an s.
+    texts = {"1": "Éß QWXYZ zzqqk", "2": "İİ qwxyz zzqqk", "3": "quiz zzkkq qwxyz"}
+    asked = spark.createDataFrame(list(texts.items()), "key string, sentence string")
+    replies = spark.createDataFrame([(t, t.replace("QWXYZ", "QWXYA").replace("qwxyz", "qwxya")) for t in texts.values()], "sentence string, reply string")
+    found = correct.check_sentences(asked, readers.dictionary(spark), None, correct.lookup_corrector(replies)).collect()
+    assert {r["key"]: [(c[0], c[1], c[2]) for c in r["corrections"] if c[3] == "llm"] for r in found} == {"1": [(3, "QWXYZ", "QWXYA")], "2": [(3, "qwxyz", "qwxya")], "3": [(11, "qwxyz", "qwxya")]}
+
+
+def test_places_are_summed_once(spark):
+    asked = spark.createDataFrame([("1", "My freind is qwxyz teh  becuase")], "key string, sentence string")
+    plan = correct.check_sentences(asked, readers.dictionary(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sums_before(") == 1
+
+
 def test_rewrite(spark):
     asked = spark.createDataFrame([("1", "(teh) frend, x"), ("2", "teh wrod"), ("3", "fine")], "key string, sentence string")
     cache = spark.createDataFrame([("teh", "the"), ("frend", "friend")], "word string, correction string")

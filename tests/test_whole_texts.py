@@ -1,12 +1,15 @@
 """Queries over all turns and their whole texts, against plain Python."""
 
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillwork.functions.phonetic import metaphone_codes
+from quillwork.operators.align import sentence_changes
 from quillwork.plans import catalogue
 from quillwork.sources import constants as C
 
@@ -75,6 +78,18 @@ def test_sentence_diff(spark, sf_dir, turns):
     assert got(spark, sf_dir, "sentence_diff", "conv_id", "turn", "original", "corrected", "n") == Counter((*k, n) for k, n in wanted.items())
 
 
+def test_changes_beside_equal_words(spark):
+    """Equal words beside a place win unless a long word in it is nearly equal."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(300):
+        base = ["".join(rng.choices("abc", k=rng.randint(2, 14))) for _ in range(3)]
+        near = [w[:-1] + x for w in base for x in "abc"]
+        rows.append((k, " ".join(rng.choices(base + near, k=8)), " ".join(rng.choices(base + near, k=rng.randint(6, 10)))))
+    found = sentence_changes(spark.createDataFrame(rows, "k int, original string, corrected string"), "k").select("k", F.col("original"), F.col("corrected"))
+    assert Counter(map(tuple, found.collect())) == Counter((k, o, c) for k, a, b in rows for o, c in changes(a, b))
+
+
 def test_sentence_diff_of_sharp_s_equals_sql(spark, tmp_path):
     texts = ["Schge enge iegeung SSßpf zukeitein chver", "Süß Fuß Maß Füßé die groß und bßße", "SSßbe das ungscher lichie üst", "ŉb ŉbb ŉbd ŉpp ŉpd B'"]
     spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
