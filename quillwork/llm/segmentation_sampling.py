@@ -35,7 +35,7 @@ from quillwork.llm._common import by_bytes
 from quillwork.llm.bpe import Grown
 from quillwork.llm.unigram import SPACE, load_vocabulary
 
-#: Arcs that a worker remembers (the memory starts anew when it is full), and texts that are walked together.
+#: Arcs that a worker remembers (when the memory is full, words that came again stay), and texts that are walked together.
 MEMORY, TOGETHER = 12_000_000, 100
 _WORD = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
@@ -82,6 +82,7 @@ class Lattice:
         self._nodes = Grown(np.zeros(2, np.int64))  # where each node's arcs start, and the end
         self._share, self._log_own = Grown(np.zeros(0, np.float32)), Grown(np.zeros(0))
         self._to, self._piece = Grown(np.zeros(0, np.int32)), Grown(np.zeros(0, np.int32))
+        self._again = Grown(np.zeros(1, bool))  # by node: a word begins here that came again after it was learned
         self._show()
         # Ids of the bytes of characters without a piece, one after the other; an arc of such has minus its place.
         self.raw, self.raw_size = np.zeros(1, np.int32), np.zeros(1, np.int32)
@@ -89,11 +90,45 @@ class Lattice:
     def _show(self) -> None:
         self.nodes, self.share, self.log_own, self.to, self.piece = (x.all for x in (self._nodes, self._share, self._log_own, self._to, self._piece))
 
+    def _forget_rare(self) -> None:
+        """Words that did not come again go; the others must come again to stay the next time.  All go if the others fill half of the memory."""
+        old, again = self.words, self._again.all
+        kept = [w for w, n in old.items() if again[n]]
+        first = np.fromiter((old[w] for w in kept), np.int64, len(kept))
+        size = np.fromiter(map(len, kept), np.int64, len(kept))
+        nodes, share, log_own, to, piece = self.nodes, self.share, self.log_own, self.to, self.piece
+        raw, raw_size = self.raw, self.raw_size
+        many = nodes[first + size] - nodes[first]
+        self._forget()
+        if not kept or many.sum() > MEMORY // 2:
+            return
+
+        def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+        at, arcs, begin = spans(first, size), spans(nodes[first], many), np.cumsum(size) - size + 1
+        to, piece = to[arcs], piece[arcs]
+        lone = np.flatnonzero(piece < 0)
+        n = raw_size[-piece[lone]]
+        self.raw, self.raw_size = np.append(np.int32(0), raw[spans(-piece[lone], n)]), np.append(np.int32(0), np.repeat(n, n))
+        piece[lone] = -(1 + np.cumsum(n) - n)
+        self.words = dict(zip(kept, begin.tolist(), strict=True))
+        self._to.add(np.where(to > 0, to + np.repeat(begin - first, many), 0))
+        self._nodes.add(np.cumsum(nodes[at + 1] - nodes[at]))
+        self._again.add(np.zeros(len(at), bool))
+        self._log_own.add(log_own[arcs])
+        self._share.add(share[arcs])
+        self._piece.add(piece)
+        self._show()
+
     def learn(self, words: Iterable[str]) -> None:
         """Arcs of different words."""
         if len(self.to) > MEMORY:
-            self._forget()
-        new = [w for w in words if w not in self.words]
+            self._forget_rare()
+        words = list(words)
+        known = list(map(self.words.get, words))
+        self._again.all[[n for n in known if n is not None]] = True
+        new = [w for w, n in zip(words, known, strict=True) if n is None]
         if not new:
             return
         # No piece crosses from one word into the next: all substrings are looked up at once, by 64-bit hashes.
@@ -156,6 +191,7 @@ class Lattice:
         self.words.update(zip(new, (np.cumsum(size) - size + base).tolist(), strict=True))
         self._to.add(np.where(ends_word[order], 0, to[order] + base))
         self._nodes.add(self._log_own.n + last + 1)
+        self._again.add(np.zeros(len(text), bool))
         self._log_own.add(log_own)
         self._share.add(share)
         self._piece.add(piece[order])
