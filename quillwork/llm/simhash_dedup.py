@@ -358,7 +358,8 @@ def keyed_links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Edges a, b between nodes (node, keys, and bits and size, or the node itself for bits) that share a key at a place and lie within the radius."""
     keyed = nodes.select("node", F.posexplode("keys").alias("k", "v"))
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = _dealt(keyed.join(sizes, ["k", "v"]), F.ceil(F.col("n") / F.lit(tile)), "node", "k", "v")
+    # Spark takes a node for one key, and would send all keys of all nodes through the driver to every executor.
+    dealt = _dealt(keyed.hint("merge").join(sizes, ["k", "v"]), F.ceil(F.col("n") / F.lit(tile)), "node", "k", "v")
     sets = "bits" in nodes.columns
     if sets:  # few nodes share a key, so bits come last
         dealt = dealt.join(nodes.select("node", "bits", "size"), "node")

@@ -116,6 +116,24 @@ def test_near_duplicates(spark):
     assert simhash_dedup.drop_near_copies(table(spark, [])).count() == 0
 
 
+def test_keys_are_not_broadcast(spark):
+    """By the size that Spark sees before keys are exploded they fit a broadcast, by their own they do not."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-(1 << 62), 1 << 62, 24).tolist(), rng.bytes(32), 20) for i in range(8000)]
+    rows += [(i + 8000, rows[i][1], rows[i][2], 20) for i in range(0, 8000, 400)]
+    nodes = simhash_dedup.write_scratch(spark.createDataFrame(rows, "node long, keys array<long>, bits binary, size long"), "test-nodes")
+    narrow = {"spark.sql.autoBroadcastJoinThreshold": "512k", "spark.sql.maxBroadcastTableSize": "4m"}
+    before = {k: spark.conf.get(k) for k in narrow}
+    try:
+        for k, v in narrow.items():
+            spark.conf.set(k, v)
+        got = simhash_dedup.keyed_links(nodes, simhash_dedup.SIMILAR_RADIUS).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(sorted(r)) for r in got) == [(i, i + 8000) for i in range(0, 8000, 400)]
+
+
 def test_large_groups_as_small_ones():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 62, (6, 1), dtype=np.uint64)
