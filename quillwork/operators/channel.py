@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,7 @@ from math import inf, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,153 +195,214 @@ def fit_channel(pairs: DataFrame, steps: int = STEPS) -> Channel:
     return channel
 
 
+#: Words that are searched for together, the rows of each that a first look keeps at a depth, and what sums in another order may differ by.
+TOGETHER, KEPT, SLACK = 128, 8, 1e-9
+#: What is beyond any cost, where a bound must be finite.
+_FAR = 1e9
+
+
+def _nats(chance: float) -> float:
+    return -log(chance) if chance > 0 else inf
+
+
 class Trie:
-    """Dictionary words with the cost of being meant; searched for what a misspelling stands for."""
+    """Dictionary words with the cost of being meant; searched for what misspellings stand for.
+
+    Nodes are numbered by depth, then by the alphabet, so those of a depth and the kids of a
+    node lie side by side: first is a node's first kid, count how many it has, letter the one
+    that leads to it, word the number of the word that ends there or -1.  Of the words below a
+    node, least is the cheapest's cost, near and far the letters to the nearest and the
+    farthest end, and below has a bit for each letter, 64 to a part.
+    """
 
     def __init__(self, words: dict[str, float], channel: Channel):
         """words: how often each occurs, at least once."""
         total = sum(words.values())
-        self.channel, self.kids, self.word = channel, [{}], [None]
-        self.meant: list[float] = [inf]
-        self.least: list[float] = [inf]
-        #: Below each node: a bit for each letter, and the fewest letters to a word's end.
-        self.bits: dict[str, int] = {c: 1 << i for i, c in enumerate(sorted({c for w in words for c in w}))}
-        self.below: list[int] = [0]
-        self.near: list[float] = [inf]
-        self._costs: dict[str, dict[str, float]] = {c: {} for c in self.bits}
-        self._outs = {c: -log(channel.stop) - log(channel.of(c, _OUT)) for c in self.bits}
-        for w, n in sorted(words.items()):
-            cost, at, way = -log(n / total), 0, [0]
-            for c in w:
-                if c not in self.kids[at]:
-                    self.kids[at][c] = len(self.kids)
-                    self.kids.append({})
-                    self.word.append(None)
-                    self.meant.append(inf)
-                    self.least.append(inf)
-                    self.below.append(0)
-                    self.near.append(inf)
-                at = self.kids[at][c]
-                way.append(at)
-            self.word[at], self.meant[at] = w, cost
-            for x in way:
-                self.least[x] = min(self.least[x], cost)
-            letters = 0
-            for i in range(len(w), -1, -1):
-                x = way[i]
-                self.below[x] |= letters
-                self.near[x] = min(self.near[x], len(w) - i)
-                letters |= self.bits[w[i - 1]] if i else 0
-
-    def _cost(self, a: str, b: str) -> float:
-        known = self._costs[a]
-        if b not in known:
-            known[b] = -log(self.channel.stop) - log(self.channel.of(a, b))
-        return known[b]
+        self.channel, self.words, self.letters = channel, sorted(words), sorted({c for w in words for c in w})
+        self.meant = np.array([*(_nats(words[w] / total) for w in self.words), inf])  # the last is that of no word
+        self._lay_out()
+        self.stop = _nats(channel.stop)
+        self.outs = np.array([self.stop + _nats(channel.of(c, _OUT)) for c in self.letters])
+        self._typed: dict[str, tuple[np.ndarray, float, float, float, np.ndarray]] = {}
+
+    def _lay_out(self) -> None:
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        text = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.searchsorted(np.array([ord(c) for c in self.letters], np.uint32), text)
+        left, node, depths, ends = np.arange(len(lengths)), np.zeros(len(lengths), np.int64), [0, 1], []
+        parents, letters = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        while len(left):  # a depth at a time; words are sorted, so those of a node lie side by side
+            over = lengths[left] == len(parents) - 1
+            ends.append((node[over], left[over]))
+            left, node = left[~over], node[~over]
+            c = codes[starts[left] + len(parents) - 1]
+            fresh = np.ones(len(left), bool)
+            fresh[1:] = (node[1:] != node[:-1]) | (c[1:] != c[:-1])
+            parents.append(node[fresh])
+            letters.append(c[fresh])
+            node = depths[-1] + np.cumsum(fresh) - 1
+            depths.append(depths[-1] + int(fresh.sum()))
+        parent, self.letter, n = np.concatenate(parents), np.concatenate(letters), depths[-1]
+        self.count = np.bincount(parent[1:], minlength=n)
+        self.first = 1 + np.cumsum(self.count) - self.count
+        self.word = np.full(n, -1, np.int64)
+        for at, w in ends:
+            self.word[at] = w
+        self.least, ending = self.meant[self.word], self.word >= 0
+        self.near, self.far = np.where(ending, 0.0, inf), np.where(ending, 0.0, -inf)
+        i, parts = np.arange(len(self.letters)), -(-len(self.letters) // 64)
+        self.bits = np.where(i // 64 == np.arange(parts)[:, None], np.uint64(1) << (i % 64).astype(np.uint64), np.uint64(0))
+        self.below = np.zeros((parts, n), np.uint64)
+        for lo, hi in reversed([x for x in zip(depths[1:], depths[2:]) if x[0] < x[1]]):
+            up = parent[lo:hi]
+            runs = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+            to = up[runs]
+            self.least[to] = np.minimum(self.least[to], np.minimum.reduceat(self.least[lo:hi], runs))
+            self.near[to] = np.minimum(self.near[to], 1 + np.minimum.reduceat(self.near[lo:hi], runs))
+            self.far[to] = np.maximum(self.far[to], 1 + np.maximum.reduceat(self.far[lo:hi], runs))
+            self.below[:, to] = np.bitwise_or.reduceat(self.below[:, lo:hi] | self.bits[:, self.letter[lo:hi]], runs, axis=1)
+
+    def typed(self, b: str) -> tuple[np.ndarray, float, float, float, np.ndarray]:
+        """Of a letter: its cost for each letter meant and as a slip; the least it can cost at all, and without the letters often typed so; the bits of these."""
+        if b not in self._typed:
+            costs, slip = np.array([self.stop + _nats(self.channel.of(a, b)) for a in self.letters]), _nats(self.channel.slip(b))
+            low = costs.min(initial=inf)
+            often = costs <= low + 2
+            self._typed[b] = costs, slip, min(low, slip, _FAR), min(costs[~often].min(initial=_FAR), slip), np.bitwise_or.reduce(self.bits[:, often], axis=1)
+        return self._typed[b]
 
     def best(self, word: str, cutoff: float = CUTOFF) -> tuple[str, float] | None:
-        """The cheapest word other than this one and its cost, the first by the alphabet of equals; None if it costs more than cutoff for each letter.
-
-        Best first: a cell's bound is what it costs, the cheapest word below its node, and the
-        least that the letters still to be typed can cost with the letters below, each of which
-        is one of the few that are often typed so, or costs more.  Cells beyond the limit are
-        left out; a row is where it begins and its cells.  The word of the likeliest letters, if
-        there is one, is the first limit.
-        """
-        n, stop, letters = len(word), -log(self.channel.stop), [*self.bits]
-        slip = [-log(self.channel.slip(b)) for b in word]
-        limit, answer, slack = cutoff * n, None, 1e-9  # slack: sums in another order
-        by: dict[str, tuple[float, int, float]] = {}
-        for b, x in zip(word, slip, strict=True):
-            if b not in by:
-                costs = {c: self._cost(c, b) for c in letters}
-                low = min(costs.values(), default=inf)
-                often = {c for c, y in costs.items() if y <= low + 2}
-                by[b] = min(low, x), sum(self.bits[c] for c in often), min([y for c, y in costs.items() if c not in often], default=inf)
-        typed = [(low, often, min(x, high)) for (low, often, high), x in zip((by[b] for b in word), slip, strict=True)]
-        least_out = min(self._outs.values(), default=0.0)
-        keeps = {c: [self._cost(c, b) for b in word] for c in letters}
-        rests: dict[int, list[float]] = {}
-
-        def rest(below: int) -> list[float]:
-            found = rests.get(below)
-            if found is None:
-                found = [stop]
-                for low, often, high in reversed(typed):
-                    found.append(found[-1] + (low if below & often else high))
-                found.reverse()
-                rests[below] = found
-            return found
-
-        def step(start: int, row: list[float], c: str, most: float, after: list[float], near: float) -> tuple[int, list[float], float]:
-            """The next row's beginning and cells under a bound, and their least bound."""
-            keep, out, end = keeps[c], self._outs[c], start + len(row)
-            cells, first, bound, left = [], start, inf, inf
-            for j in range(start, n + 1):
-                x = left + slip[j - 1] if left < inf else inf
-                if j < end and row[j - start] + out < x:
-                    x = row[j - start] + out
-                if start < j <= end and row[j - 1 - start] + keep[j - 1] < x:
-                    x = row[j - 1 - start] + keep[j - 1]
-                full = x + after[j]
-                if near > n - j:
-                    full += (near - n + j) * least_out
-                if full > most:
-                    x = inf
-                    if not cells:
-                        first = j + 1
-                        left = inf
-                        if j > end:
-                            break
-                        continue
-                    if j > end:
-                        break
-                elif full < bound:
-                    bound = full
-                cells.append(x)
-                left = x
-            return first, cells, bound
-
-        likely = "".join(min(letters, key=lambda c, b=b: self._cost(c, b), default="") for b in word)
-        if likely != word:
-            node, start, row = 0, 0, [0.0]
-            for x in slip:
-                row.append(row[-1] + x)
-            for c in likely:
-                node = self.kids[node].get(c, -1)
-                if node < 0:
-                    break
-                start, row, _ = step(start, row, c, inf, [0.0] * (n + 1), 0)
-            if node > 0 and self.word[node] is not None and row[-1] + stop + self.meant[node] <= limit:
-                limit, answer = row[-1] + stop + self.meant[node], self.word[node]
-        row = [0.0]
-        for x in slip:
-            row.append(row[-1] + x)
-        heap = [(0.0, 0, 0, row)]
-        while heap:
-            bound, node, start, row = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
-            if self.word[node] is not None and self.word[node] != word and start + len(row) == n + 1:
-                cost = row[-1] + stop + self.meant[node]
-                if cost < limit or cost == limit and (answer is None or self.word[node] < answer):
-                    limit, answer = cost, self.word[node]
-            for c, kid in self.kids[node].items():
-                least = self.least[kid]
-                first, cells, bound = step(start, row, c, limit + slack - least, rest(self.below[kid]), self.near[kid])
-                if cells:
-                    heapq.heappush(heap, (bound + least, kid, first, cells))
-        return None if answer is None else (answer, limit)
+        """The cheapest word other than this one and its cost, the first by the alphabet of equals; None if it costs more than cutoff for each letter."""
+        return self.best_of([word], cutoff)[0]
+
+    def best_of(self, words: list[str], cutoff: float = CUTOFF) -> list[tuple[str, float] | None]:
+        """The same for many words, which are searched for together, those of about the same length."""
+        found: list[tuple[str, float] | None] = [None] * len(words)
+        order = sorted((i for i, w in enumerate(words) if w and self.words), key=lambda i: (-len(words[i]), words[i]))
+        while order:
+            n = max(1, min(TOGETHER, CELLS // ((len(words[order[0]]) + 1) * max(1, len(self.letters)))))
+            some, order = order[:n], order[n:]
+            for i, told in zip(some, _Search(self, [words[i] for i in some], cutoff).run(), strict=True):
+                found[i] = told
+        return found
+
+
+#: Rows of a search: whose word's and of which node each is, its cells (an array for each place in the words), and the least that its cells can come to.
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+class _Search:
+    """Words that are looked for in a trie together.
+
+    A row has a cell for each place in a word: the cost of typing it up to there, when what was
+    meant is a node's letters.  Words end in the last cell, shorter ones begin later.  A cell's
+    bound is its cost, the cheapest word below its node, and the least that the letters still
+    to be typed can cost: each is one of the few letters below that are often typed so, or
+    costs more; what is too many for the farthest end has slipped in, what is too few for the
+    nearest is left out.  A first look keeps a few rows of each word at each depth; what it
+    finds is a limit for the second, which leaves out only rows whose bounds are all beyond it.
+    """
+
+    def __init__(self, trie: Trie, words: list[str], cutoff: float):
+        lengths = np.array([len(w) for w in words])
+        letters = sorted({b for w in words for b in w})
+        at, told = {b: i for i, b in enumerate(letters)}, [trie.typed(b) for b in letters]
+        self.trie, self.n, self.words = trie, int(lengths.max()), len(words)
+        self.pad = self.n - lengths
+        typed = np.array([[0] * (self.n - len(w)) + [at[b] for b in w] for w in words]).T
+        costs, slips, lows, highs, often = (np.array(x) for x in zip(*told, strict=True))
+        pads = np.arange(self.n)[:, None] < self.pad
+        self.keep = costs[typed].transpose(0, 2, 1).reshape(self.n, -1)  # by place; by letter meant and word
+        self.slip, self.often = slips[typed], np.moveaxis(often[typed], -1, 0)
+        self.low, self.more = np.where(pads, 0.0, lows[typed]), np.where(pads, 0.0, np.maximum(highs - lows, 0)[typed])
+        self.least_slip = np.where(pads, _FAR, np.minimum(self.slip, _FAR)).min(0)
+        self.least_out = trie.outs.min(initial=_FAR)
+        self.limit, self.answer = cutoff * lengths, np.full(len(words), len(trie.words))
+        own = [bisect_left(trie.words, w) for w in words]
+        self.own = np.array([i if trie.words[i : i + 1] == [w] else -1 for i, w in zip(own, words, strict=True)])
+
+    def run(self) -> list[tuple[str, float] | None]:
+        pads = np.arange(self.n + 1)[:, None] < self.pad
+        cells = np.zeros((self.n + 1, self.words))
+        cells[1:] = np.cumsum(np.where(pads[:-1], 0.0, self.slip), axis=0)
+        cells[pads] = inf
+        root = np.arange(self.words), np.zeros(self.words, np.int64), cells, np.zeros(self.words)
+        self._note(*root[:3])
+        rows, depth = root, 0
+        while len(rows[0]):
+            depth += 1
+            rows = self._few(self._below(rows, depth))
+        heap, made, at_once = [(0, 0, root)], 0, max(1, CELLS // 4 // (self.n + 1))
+        while heap:  # the deepest first, so that few wait
+            up, _, rows = heapq.heappop(heap)
+            rows = self._below(rows, 1 - up)
+            for k in range(0, len(rows[0]), at_once):
+                made += 1
+                heapq.heappush(heap, (up - 1, made, tuple(x[..., k : k + at_once] for x in rows)))
+        return [(self.trie.words[a], x) if a < len(self.trie.words) else None for a, x in zip(self.answer.tolist(), self.limit.tolist(), strict=True)]
+
+    def _few(self, rows: _Rows) -> _Rows:
+        """The rows of each word that promise most."""
+        order = np.lexsort((rows[3] + self.trie.least[rows[1]], rows[0]))
+        many = np.bincount(rows[0], minlength=self.words)
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
+        return tuple(x[..., order[rank < KEPT]] for x in rows)
+
+    def _note(self, q: np.ndarray, node: np.ndarray, cells: np.ndarray) -> None:
+        """Words that end here, where they are better than the answers so far."""
+        w = self.trie.word[node]
+        cost = cells[-1] + self.trie.stop + self.trie.meant[w]
+        ends = np.flatnonzero((w >= 0) & (w != self.own[q]) & (cost <= self.limit[q]))
+        ends = ends[np.lexsort((w[ends], cost[ends], q[ends]))]
+        ends = ends[np.unique(q[ends], return_index=True)[1]]
+        q, w, cost = q[ends], w[ends], cost[ends]
+        better = (cost < self.limit[q]) | (w < self.answer[q])
+        self.limit[q[better]], self.answer[q[better]] = cost[better], w[better]
+
+    def _below(self, rows: _Rows, depth: int) -> _Rows:
+        """The rows of the kids, but those whose bounds are beyond the limit."""
+        trie, n, (q, node, cells, bound) = self.trie, self.n, rows
+        count = trie.count[node]
+        at = np.repeat(np.arange(len(q)), count)
+        kid = np.arange(len(at)) + np.repeat(trie.first[node] - np.cumsum(count) + count, count)
+        can = np.flatnonzero(bound[at] + trie.least[kid] <= self.limit[q[at]] + SLACK)
+        at, kid = at[can], kid[can]
+        q, letter, least = q[at], trie.letter[kid], trie.least[kid]
+        out, pair, new = trie.outs[letter], letter * self.words + q, np.full((n + 1, len(at)), inf)
+        # so many more letters of the word than of what was meant, or fewer, are beyond any limit
+        aside = (self.limit.max() - trie.least[0]) / max(min(self.least_slip.min(), self.least_out), SLACK)
+        aside = int(min(aside, n + depth)) + 1
+        lo, hi = max(0, depth + int(self.pad.min()) - aside), min(n, depth + int(self.pad.max()) + aside)
+        before = cells[max(lo - 1, 0)][at]
+        for j in range(lo, hi + 1):
+            here = cells[j][at]
+            x = here + out
+            if j:
+                np.minimum(x, before + self.keep[j - 1][pair], out=x)
+                np.minimum(x, new[j - 1] + self.slip[j - 1][q], out=x)
+            new[j], before = x, here
+        near, far, below, least_slip = trie.near[kid], trie.far[kid], trie.below[:, kid], self.least_slip[q]
+        rest, bound = np.full(len(at), trie.stop), np.full(len(at), inf)
+        for j in range(n, lo - 1, -1):
+            if j <= hi:
+                left = n - j
+                np.minimum(bound, new[j] + np.maximum(rest, (left - far) * least_slip) + np.maximum(near - left, 0) * self.least_out, out=bound)
+            if j:
+                rest += self.low[j - 1][q] + self.more[j - 1][q] * ~(below & self.often[:, j - 1][:, q]).any(axis=0)
+        self._note(q, kid, new)
+        stay = np.flatnonzero((bound + least <= self.limit[q] + SLACK) & (trie.count[kid] > 0))
+        return q[stay], kid[stay], new[:, stay], bound[stay]
 
 
 _tries: dict[str, Trie] = {}
 
 
-def _trie(name: str, words: dict[str, float], channel: Channel) -> Trie:
+def _trie(name: str, sent: Broadcast) -> Trie:
     """One in each worker, kept between tasks."""
     if name not in _tries:
         _tries.clear()
-        _tries[name] = Trie(words, channel)
+        _tries[name] = Trie(*sent.value)
     return _tries[name]
 
 
@@ -351,22 +414,17 @@ class LearnedModel:
         counted = dictionary.filter("word <> ''").groupBy("word").agg(F.greatest(F.sum(n), F.lit(1.0)).alias("n"))
         rows = counted.orderBy(F.desc("n"), "word").limit(most).collect()
         self.channel, self.words, self.name = channel, {r["word"]: r["n"] for r in rows}, uuid.uuid4().hex
+        self._sent = dictionary.sparkSession.sparkContext.broadcast((self.words, channel))  # read once by each worker, not by each task
 
     def corrections(self, words: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-        """word, correction, cost for distinct words (lower case); no row for those without an answer, and for those that fail."""
-        name, known, channel = self.name, self.words, self.channel
+        """word, correction, cost for distinct words (lower case); no row for those without an answer."""
+        name, sent = self.name, self._sent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = _trie(name, known, channel)
+            trie = _trie(name, sent)
             for b in batches:
-                told = []
-                for w in b.column(0).to_pylist():
-                    try:
-                        found = trie.best(w, cutoff) if w else None
-                    except (ValueError, OverflowError):  # of this word alone: it has no answer
-                        found = None
-                    if found:
-                        told.append((w, *found))
+                asked = [w for w in b.column(0).to_pylist() if w]
+                told = [(w, *found) for w, found in zip(asked, trie.best_of(asked, cutoff), strict=True) if found]
                 word, correction, cost = zip(*told, strict=True) if told else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(correction, pa.string()), pa.array(cost, pa.float64())], ["word", "correction", "cost"])
 

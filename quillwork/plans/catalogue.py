@@ -124,8 +124,9 @@ def whitespace_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity --------------------------------------------------------------------------------------------------
 
 
-def swapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return english_words(spark, sf_dir).select(noised("word").alias("misspelling"), F.col("word").alias("correct")).distinct().filter("misspelling <> correct")
+def swapped_pairs(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Of English words, or of those given."""
+    return (english_words(spark, sf_dir) if words is None else words).select(noised("word").alias("misspelling"), F.col("word").alias("correct")).distinct().filter("misspelling <> correct")
 
 
 SWAPPED = f"{EN}, p AS (SELECT DISTINCT translate(word, 'bdpq', 'dbqp') AS misspelling, word AS correct FROM en WHERE translate(word, 'bdpq', 'dbqp') <> word)"
@@ -245,15 +246,19 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY misspelling, corr
 
 def model_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of documents and how often they occur: what the learned model takes to be meant."""
-    words = _t(spark, sf_dir, "documents").select(F.explode(T.words("text")).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return frequent_words(word_frequencies(spark, sf_dir))
+
+
+def frequent_words(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 3")
 
 
 @query()
 def learned_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four fifths of the pairs of swapped words teach a model; it corrects the misspellings of the others."""
-    pairs = shared_table(swapped_pairs(spark, sf_dir), "swapped-pairs").withColumn("_fold", F.crc32("correct") % 5)
-    model = channel.LearnedModel(channel.fit_channel(pairs.filter("_fold <> 0").select("misspelling", "correct")), model_dictionary(spark, sf_dir))
+    counted = shared_table(word_frequencies(spark, sf_dir), "word-frequencies")  # the texts are read once
+    pairs = shared_table(swapped_pairs(spark, sf_dir, counted.filter("lang = 'en'")), "swapped-pairs").withColumn("_fold", F.crc32("correct") % 5)
+    model = channel.LearnedModel(channel.fit_channel(pairs.filter("_fold <> 0").select("misspelling", "correct")), frequent_words(counted))
     held_out = pairs.filter("_fold = 0").select("misspelling", "correct")
     asked = held_out.select(F.col("misspelling").alias("word")).distinct()
     told = model.corrections(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 from collections import Counter
 from itertools import product
 
@@ -223,3 +224,74 @@ def test_search_makes_few_rows():
     finally:
         N.heapq = before
     assert rows[0] < 5
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_words_searched_together(seed):
+    """Words of all lengths at once, letters that no word has, more letters than bits, equal costs and chances of nought: each word's answer is that of all dictionary words."""
+    rng = random.Random(seed)
+    letters = ALPHABET if seed % 2 else "".join(map(chr, range(0x4E00, 0x4E00 + 150)))
+    typed = {a: {b: rng.choice([0.0, 0.2, 0.5]) for b in [a, rng.choice(letters), ""]} for a in letters if rng.random() < 0.8}
+    channel = N.Channel(typed, {letters[0]: 0.1, letters[1]: 0.0}, 0.9)
+    known = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): float(rng.choice([1, 1, 9])) for _ in range(40)}
+    trie, total = N.Trie(known, channel), sum(known.values())
+    asked = ["".join(rng.choice(letters + "x😀") for _ in range(rng.randint(1, 6))) for _ in range(150)] + [*known][:5] + ["", "y" * 50]
+
+    def cost(m, c):
+        nats = lambda p: -math.log(p) if p else math.inf
+        row = [0.0]
+        for b in m:
+            row.append(row[-1] + nats(channel.slip(b)))
+        for a in c:
+            above, row = row, [row[0] + nats(channel.of(a, "")) + nats(channel.stop)]
+            for j, b in enumerate(m):
+                row.append(min(row[j] + nats(channel.slip(b)), above[j + 1] + nats(channel.stop) + nats(channel.of(a, "")), above[j] + nats(channel.stop) + nats(channel.of(a, b))))
+        return row[-1] + nats(channel.stop) - math.log(known[c] / total)
+
+    for cutoff in (2.0, 9.0):
+        for m, got in zip(asked, trie.best_of(asked, cutoff), strict=True):
+            costs = {c: cost(m, c) for c in known if c != m}
+            least = min(costs.values())
+            if not m or least > cutoff * len(m) + 1e-9 or least == math.inf:
+                assert got is None
+            else:
+                assert got[1] == pytest.approx(least) and costs[got[0]] == pytest.approx(least)
+            assert got is None or got == trie.best(m, cutoff)
+
+
+def test_many_words_take_few_calls():
+    """The work of a search is done for many words at once: the one before made about 1,600 Python calls a word here."""
+    rng = random.Random(1)
+    some = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 8)))
+    trie, asked, calls = N.Trie({some(): 1.0 for _ in range(3000)}, N.Channel()), [some() for _ in range(256)], [0]
+
+    def seen(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(seen)
+    try:
+        found = trie.best_of(asked)
+    finally:
+        sys.setprofile(None)
+    assert sum(x is not None for x in found) > 80 and calls[0] < 20 * len(asked)
+
+
+def test_words_too_long_for_all_are_left_at_once():
+    """The letters beyond the longest word would all have slipped in."""
+    trie = N.Trie({"".join(p): 1.0 for p in product(ALPHABET, repeat=6)}, N.Channel({x: {x: 1.0} for x in ALPHABET}, {}, 1.0))
+    pushed, before = [0], N.heapq
+
+    class Counting:
+        heappop = staticmethod(before.heappop)
+
+        @staticmethod
+        def heappush(heap, entry):
+            pushed[0] += 1
+            before.heappush(heap, entry)
+
+    N.heapq = Counting
+    try:
+        assert trie.best("abc" * 100) is None
+    finally:
+        N.heapq = before
+    assert pushed[0] < 5
