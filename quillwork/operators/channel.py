@@ -412,8 +412,8 @@ class LearnedModel:
     def __init__(self, channel: Channel, dictionary: DataFrame, most: int = WORDS):
         n = F.col("n").cast("double") if "n" in dictionary.columns else F.lit(1.0)
         counted = dictionary.filter("word <> ''").groupBy("word").agg(F.greatest(F.sum(n), F.lit(1.0)).alias("n"))
-        rows = counted.orderBy(F.desc("n"), "word").limit(most).collect()
-        self.channel, self.words, self.name = channel, {r["word"]: r["n"] for r in rows}, uuid.uuid4().hex
+        kept = counted.select("word", "n").orderBy(F.desc("n"), "word").limit(most).toArrow()
+        self.channel, self.words, self.name = channel, dict(zip(*(x.to_pylist() for x in kept.columns), strict=True)), uuid.uuid4().hex
         self._sent = dictionary.sparkSession.sparkContext.broadcast((self.words, channel))  # read once by each worker, not by each task
 
     def corrections(self, words: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
